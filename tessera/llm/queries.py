@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, sharding
+from .decontaminate import find_leaks
+from .idfile import round_trip
 from .near_dedup import near_duplicates
+from .packing import pack_documents
+from .secrets import scan_secrets
+
+SHARD_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,8 +23,41 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), least=(85, 100))
 
 
+def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0, with_ids=False)
+
+
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(read(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op6_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_cost_balanced_packing": op2_cost_balanced_packing,
+    "op3_extendible_sharding": op3_extendible_sharding,
+    "op6_bit_plane_ids": op6_bit_plane_ids,
+    "op7_simhash_decontamination": op7_simhash_decontamination,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_secret_scan": op9_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_extendible_sharding": sharding.oracle(SHARD_BYTES),
+    "op8_chat_formatting": chat.ORACLE,
+}
