@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, sharding
+from . import chat, neighbours, quality, sharding
 from .decontaminate import find_leaks
 from .idfile import round_trip
 from .near_dedup import near_duplicates
@@ -31,6 +31,10 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op4_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op6_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -47,17 +51,25 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")), threshold=0.3)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
     "op3_extendible_sharding": op3_extendible_sharding,
+    "op4_block_matrix_neighbours": op4_block_matrix_neighbours,
     "op6_bit_plane_ids": op6_bit_plane_ids,
     "op7_simhash_decontamination": op7_simhash_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scan": op9_secret_scan,
+    "op10_crf_quality": op10_crf_quality,
 }
 
 ORACLES: dict[str, str] = {
     "op3_extendible_sharding": sharding.oracle(SHARD_BYTES),
+    "op4_block_matrix_neighbours": neighbours.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
 }
