@@ -8,8 +8,10 @@ are confirmed on the full sets.
 
 No group is ever expanded into all its pairs. Equal sets are collapsed first. Within a bucket every
 document is compared with two leaders; what the confirmed links join is one component. Only members
-of a bucket that still lie in different components are compared further: in small buckets as pairs,
-in large ones by their packed signatures in square tiles, which emit the pairs that may be linked.
+of a bucket that still lie in different components are compared further, by signatures of 512 lanes:
+in small buckets as pairs, in large ones in square tiles. Tiles first propose, in rounds, each
+member's best partner in another component, which joins nearly all that belongs together; then
+every pair across the components left that the estimate cannot exclude, each in its first bucket.
 """
 
 from __future__ import annotations
@@ -25,24 +27,28 @@ from .shared import Scratch, components
 from .words import distinct, mix, word_blocks
 
 LANES, BITS = 128, 4
+#: Lanes of the signatures by which members of larger buckets are compared.
+LONG_LANES = 512
+#: Rounds of best partners before all pairs across components; they save work, results do not depend on them.
+PARTNER_ROUNDS = 2
 #: Buckets of more members are compared in tiles, not as pairs.
 SMALL_BUCKET = 48
 TILE = 4096
 #: Documents that one task confirms against one leader.
 LEADER_LOAD = 256
 
-_seeds = np.random.default_rng(20240229).integers(1, 1 << 32, (2, LANES), dtype=np.uint32)
+_seeds = np.random.default_rng(20240229).integers(1, 1 << 32, (LONG_LANES, 2), dtype=np.uint32).T
 XORS, FACTORS = _seeds[0], _seeds[1] | np.uint32(1)
 NIBBLES = 0x1111111111111111
 
 
-def minima(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, bounds: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """For each non-empty segment the minima under all hash functions (rows: functions)."""
     low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     starts = bounds[:-1]
-    out = np.empty((LANES, len(starts)), np.uint32)
+    out = np.empty((lanes, len(starts)), np.uint32)
     kept = np.empty_like(low)
-    for k in range(LANES):
+    for k in range(lanes):
         np.bitwise_xor(low, XORS[k], out=kept)
         np.multiply(kept, FACTORS[k], out=kept)
         out[k] = np.minimum.reduceat(kept, starts)
@@ -50,23 +56,23 @@ def minima(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def pack(least: np.ndarray) -> np.ndarray:
-    """The low bits of mixed minima, 16 lanes to an integer: one row of 8 for each document."""
-    lanes = (mix(least.astype(np.uint64)) & np.uint64((1 << BITS) - 1)).reshape(LANES // 16, 16, -1)
+    """The low bits of mixed minima, 16 lanes to an integer: one row for each document."""
+    lanes = (mix(least.astype(np.uint64)) & np.uint64((1 << BITS) - 1)).reshape(len(least) // 16, 16, -1)
     shifts = (np.arange(16, dtype=np.uint64) * np.uint64(BITS))[None, :, None]
     return np.bitwise_or.reduce(lanes << shifts, axis=1).T
 
 
-def equal_lanes_needed(similarity: float, spread: float = 5.0) -> int:
+def equal_lanes_needed(similarity: float, lanes: int = LANES, spread: float = 5.0) -> int:
     """Equal lanes below which a pair of this similarity falls only beyond `spread` standard deviations."""
     chance = 2.0**-BITS
     p = similarity + (1 - similarity) * chance
-    return int(np.floor(LANES * (p - spread * np.sqrt(p * (1 - p) / LANES))))
+    return int(np.floor(lanes * (p - spread * np.sqrt(p * (1 - p) / lanes))))
 
 
-def estimate(equal: float) -> float:
+def estimate(equal: float, lanes: int = LANES) -> float:
     """Similarity for a number of equal lanes, corrected for lanes that are equal by chance."""
     chance = 2.0**-BITS
-    return (equal / LANES - chance) / (1 - chance)
+    return (equal / lanes - chance) / (1 - chance)
 
 
 SIGNATURE = "id long, n_shingles long, h1 long, h2 long, buckets array<long>, signature array<long>"
@@ -110,49 +116,72 @@ def signer(words: int, bands: int, rows: int):
     return run
 
 
+def long_signer(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, block in word_blocks(batch.column(1)):
+                hashes, bounds = distinct(*block.shingles(words))
+                signature = pack(minima(hashes, bounds, LONG_LANES))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(signature, np.diff(bounds), LONG_LANES // 16)], names=["id", "signature"])
+
+    return run
+
+
 def _lists(rows: np.ndarray, sizes: np.ndarray, width: int) -> pa.ListArray:
     """Rows for the documents that have shingles, empty lists for the others."""
     offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, width, 0))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).reshape(-1).view(np.int64)))
 
 
-def _unequal(a: str, b: str) -> str:
+def _unequal(a: str, b: str, lanes: int) -> str:
     """SQL for the number of unequal lanes of two signature columns."""
     parts = []
-    for i in range(LANES // 16):
+    for i in range(lanes // 16):
         x = f"({a}[{i}] ^ {b}[{i}])"
         y = f"({x} | shiftrightunsigned({x}, 1))"
         parts.append(f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {NIBBLES}L)")
     return " + ".join(parts)
 
 
-def _alike(pairs: DataFrame, signatures: DataFrame, needed: int) -> DataFrame:
+def _alike(pairs: DataFrame, signatures: DataFrame, needed: int, lanes: int = LANES) -> DataFrame:
     """The pairs (a, b) with at least `needed` equal lanes."""
     sa, sb = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa")), signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(sa, "a").join(sb, "b").filter(f"{_unequal('sa', 'sb')} <= {LANES - needed}").select("a", "b").distinct()
+    return pairs.join(sa, "a").join(sb, "b").filter(f"{_unequal('sa', 'sb', lanes)} <= {lanes - needed}").select("a", "b").distinct()
 
 
-def _tile(needed: int):
-    """Compares the members of a tile's two sides that have different labels, by packed signatures."""
+def _tile(needed: int, best_only: bool):
+    """Compares the members of a tile's two sides that have different labels, by long signatures.
+
+    Emits each member's best partner, or all pairs that may be linked, except in a later bucket than
+    the first that both share.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, labels, side = (rows.column(c).to_numpy() for c in ("id", "label", "side"))
-        signatures = rows.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES // 16)
+        ids, labels, side, band = (rows.column(c).to_numpy() for c in ("id", "label", "side", "band"))
+        signatures, keys = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("signature", "buckets"))
+        signatures = signatures.view(np.uint64)
         out_a, out_b = [], []
-        one = np.uint64(1)
         square = not (side == 1).any()
         left = np.flatnonzero(side == 0)
         right = left if square else np.flatnonzero(side == 1)
         other, other_labels, other_ids = signatures[right], labels[right], ids[right]
+        earlier = keys[:, : int(band[0])] if len(band) else keys
         for k, i in enumerate(left.tolist()):
-            at = np.flatnonzero(other_labels[k + 1 :] != labels[i]) + k + 1 if square else np.flatnonzero(other_labels != labels[i])
+            at = np.flatnonzero(other_labels != labels[i])
+            if square and not best_only:
+                at = at[at > k]
             if not len(at):
                 continue
             x = other[at] ^ signatures[i]
-            x |= x >> one
+            x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             x &= np.uint64(NIBBLES)
-            hit = at[np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= LANES - needed]
+            unequal = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+            if best_only:
+                hit = at[[unequal.argmin()]] if unequal.min() <= LONG_LANES - needed else at[:0]
+            else:
+                hit = at[unequal <= LONG_LANES - needed]
+                hit = hit[~(earlier[right[hit]] == earlier[i]).any(axis=1)]
             out_a.append(np.minimum(ids[i], other_ids[hit]))
             out_b.append(np.maximum(ids[i], other_ids[hit]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
@@ -234,39 +263,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = members.filter("id = rep").select("id").distinct()
     nodes = sets.join(leads, "id", "left_semi")
 
-    rows_of = nodes.select("id", F.explode("buckets").alias("bucket")).distinct()
+    rows_of = nodes.select("id", F.posexplode("buckets").alias("band", "bucket"))
     heads = rows_of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min_by("id", F.expr("xxhash64(id)")).alias("lead2")).filter("n > 1")
     shared = scratch.table(rows_of.join(heads, "bucket"), "buckets")
     signatures = nodes.select("id", "signature").join(shared.select("id").distinct(), "id", "left_semi")
-    signatures = scratch.table(signatures, "packed")
     stars = shared.select(F.explode(F.array("lead", "lead2")).alias("lead"), "id").filter("lead <> id").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-    stars = scratch.table(_alike(stars, signatures, needed), "stars")
+    tested = scratch.table(_alike(stars, signatures, needed), "stars")
 
-    wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).union(shared.filter("n > 2 and id <> lead and id <> lead2").select("id")).distinct()
+    beyond = shared.filter("n > 2 and id <> lead and id <> lead2").select("bucket", "band", "id", "n")
+    wanted = tested.select(F.col("a").alias("id")).union(tested.select("b")).union(beyond.select("id")).distinct()
     texts = scratch.table(docs.join(wanted, "id", "left_semi"), "texts")
-    links = scratch.table(_confirmed(stars, texts, words, least).union(chained), "links")
-    labels = components(links, scratch)
-
-    far = shared.filter("n > 2 and id <> lead and id <> lead2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    far = scratch.table(far, "labelled")
-    mixed = far.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    far = far.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "id", "label", "n")
-    small = far.filter(F.col("n") <= SMALL_BUCKET)
+    labels = components(scratch.table(_confirmed(tested, texts, words, least).union(chained), "links"), scratch)
+
+    long_texts = texts.join(beyond.select("id").distinct(), "id", "left_semi").select("id", "text")
+    long = scratch.table(long_texts.mapInArrow(long_signer(words), "id long, signature array<long>"), "long-signatures")
+    needed = equal_lanes_needed(least[0] / least[1], LONG_LANES)
+
+    def mixed(some: DataFrame) -> DataFrame:
+        """Rows of the buckets whose members lie in several components, with their labels."""
+        labelled = some.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        kept = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        return labelled.join(kept.select("bucket"), "bucket", "left_semi")
+
+    def tiles(best_only: bool) -> DataFrame:
+        large = mixed(beyond.filter(F.col("n") > SMALL_BUCKET)).withColumn("cuts", F.ceil(F.col("n") / TILE).cast("int"))
+        cut = large.withColumn("cut", F.expr("cast(pmod(xxhash64(id), cuts) as int)")).withColumn("with", F.explode(F.expr("sequence(0, cuts - 1)")))
+        sides = cut.select("bucket", "band", F.least("cut", "with").alias("i"), F.greatest("cut", "with").alias("j"), F.when(F.col("cut") > F.col("with"), 1).otherwise(0).alias("side"), "id", "label")
+        full = sides.join(long, "id").join(nodes.select("id", "buckets"), "id")
+        return full.groupBy("bucket", "i", "j").applyInArrow(_tile(needed, best_only), "a long, b long").distinct()
+
+    def join_up(pairs: DataFrame) -> DataFrame:
+        """The components after the links among `pairs`."""
+        links = _confirmed(pairs, texts, words, least)
+        la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+        ends = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"), F.col("a").alias("a0"), F.col("b").alias("b0"))
+        met = ends.select("a", "b").union(ends.select("a0", "a")).union(ends.select("b0", "b"))
+        return components(met.union(labels.select("id", "label")), scratch)
+
+    for _ in range(PARTNER_ROUNDS):
+        pairs = scratch.table(tiles(best_only=True).join(tested, ["a", "b"], "left_anti"), "partners")
+        if pairs.isEmpty():
+            break
+        labels = join_up(pairs)
+        tested = tested.union(pairs)
+    small = scratch.table(mixed(beyond.filter(F.col("n") <= SMALL_BUCKET)).select("bucket", "id", "label"), "small-buckets")
     left, right = small.select("bucket", F.col("id").alias("a"), F.col("label").alias("la")), small.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-    near = _alike(left.join(right, "bucket").filter("a < b and la <> lb").select("a", "b").distinct(), signatures, needed)
-    large = far.filter(F.col("n") > SMALL_BUCKET).join(signatures, "id").withColumn("cuts", F.ceil(F.col("n") / TILE).cast("int"))
-    cut = F.expr("cast(pmod(xxhash64(id), cuts) as int)")
-    tiles = (
-        large.withColumn("cut", cut).withColumn("with", F.explode(F.expr("sequence(0, cuts - 1)")))
-        .select("bucket", F.least("cut", "with").alias("i"), F.greatest("cut", "with").alias("j"), F.when(F.col("cut") > F.col("with"), 1).otherwise(0).alias("side"), "id", "label", "signature")
-    )
-    wide = tiles.groupBy("bucket", "i", "j").applyInArrow(_tile(needed), "a long, b long").distinct()
-    rest = scratch.table(near.union(wide).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    across = left.join(right, (left.bucket == right.bucket) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
+    near = _alike(across, long, needed, LONG_LANES)
+    rest = scratch.table(near.union(tiles(best_only=False)).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = _confirmed(rest, texts, words, least)
-        joined = more.join(labels.withColumnRenamed("id", "a").withColumnRenamed("label", "la"), "a", "left").join(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b", "left")
-        joined = joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        labels = components(joined.union(labels.select("id", "label")), scratch)
+        labels = join_up(rest)
     rep = members.groupBy("id").agg(F.min("rep").alias("rep"))
     found = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
