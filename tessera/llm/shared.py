@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,27 +51,49 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Edges that one task joins in memory (16 bytes each); more are joined in rounds over all tasks.
+EDGES_AT_ONCE = 1_000_000
+
+
+def union_find(edges: pa.Table) -> pa.Table:
+    """Each node of the edges (a, b) with the smallest node of its component."""
+    nodes, ends = np.unique(np.concatenate([edges.column("a").to_numpy(), edges.column("b").to_numpy()]), return_inverse=True)
+    above = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for a, b in ends.reshape(2, -1).T.tolist():
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    return pa.table({"id": pa.array(nodes, pa.int64()), "label": pa.array(nodes[[top(i) for i in range(len(nodes))]], pa.int64())})
+
+
+def components(edges: DataFrame, scratch: Scratch, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """Connected components of edges (a, b): rows (id, label), label being the smallest id reachable.
 
-    Rounds of taking the least label among neighbours and then the label's own label; every round is
-    a table in the shared folder, and labels only ever leave as tables. Null ends are ignored; a loop
-    makes its node a component.
+    Up to `at_once` distinct edges are joined by one task, whose size that bounds. More take rounds
+    of the least label among neighbours and then the label's own label; every round is a table in
+    the shared folder. Labels only ever leave as tables. Edges with a null end are ignored; a loop makes
+    its node a component.
     """
-    edges = edges.filter("a is not null and b is not null").select("a", "b")
+    edges = edges.filter("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = scratch.table(edges.distinct(), "edges")
+    if edges.limit(at_once + 1).count() <= at_once:
+        return scratch.table(edges.groupBy(F.lit(0).alias("all")).applyInArrow(union_find, "id long, label long"), "labels")
     both = scratch.table(edges.union(edges.select("b", "a")).distinct(), "neighbours")
     labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    changed = labels.filter("label <> id").limit(1).count()
+    changed = not labels.filter("label <> id").isEmpty()
     while changed:
-        near = (
-            both.join(labels, both.b == labels.id)
-            .groupBy("a").agg(F.min("label").alias("near"))
-        )
+        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
         met = labels.join(near, labels.id == near.a).select("id", F.col("label").alias("old"), F.least("label", "near").alias("met"))
         up = labels.select(F.col("id").alias("up"), F.col("label").alias("top"))
         jumped = met.join(up, F.col("met") == F.col("up")).select("id", F.least("met", "top").alias("label"), "old")
         table = scratch.table(jumped, "labels")
-        changed = table.filter("label <> old").limit(1).count()
+        changed = not table.filter("label <> old").isEmpty()
         scratch.drop(labels)
         labels = table.select("id", "label")
         labels._tessera_path = table._tessera_path
