@@ -93,7 +93,8 @@ class Benchmark:
         return low / high if high else 0.0
 
 
-def _search(benchmark: Benchmark, least: float):
+def _search(benchmark: Benchmark, least: float, clean_at: int | None = None):
+    """Emits a row for each leak or, with `clean_at` (the text's column), the rows of the input that hold none."""
     size = benchmark.size
     members = [set(c) for c in benchmark.counts]
 
@@ -138,8 +139,8 @@ def _search(benchmark: Benchmark, least: float):
         sieve = np.zeros(1 << 20, bool)
         sieve[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
-            rows = []
-            for first, _, block in word_blocks(batch.column(1), PUNCTUATION):
+            rows, clean = [], np.ones(len(batch), bool)
+            for first, _, block in word_blocks(batch.column(1 if clean_at is None else clean_at), PUNCTUATION):
                 shingles, bounds = block.shingles(size)
                 maybe = np.flatnonzero(sieve[(shingles >> np.uint64(44)).astype(np.int64)])
                 place = np.minimum(np.searchsorted(vocabulary, shingles[maybe]), max(len(vocabulary) - 1, 0))
@@ -151,9 +152,16 @@ def _search(benchmark: Benchmark, least: float):
                     places = np.full(b - a, -1, np.int64)
                     own = (maybe >= a) & (maybe < b)
                     places[maybe[own] - a] = place[own]
+                    found = document(shingles[a:b], places, int(counts[d]))
+                    if clean_at is not None:
+                        clean[first + d] = not found
+                        continue
                     doc_id = batch.column(0)[first + d].as_py()
-                    for item, (value, start) in document(shingles[a:b], places, int(counts[d])).items():
+                    for item, (value, start) in found.items():
                         rows.append((doc_id, int(benchmark.ids[item]), start, int(benchmark.lengths[item]), value))
+            if clean_at is not None:
+                yield batch.filter(pa.array(clean))
+                continue
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
@@ -172,8 +180,9 @@ def _union(spans: list[tuple[int, int]]) -> np.ndarray:
     return ranges(np.array([a for a, _ in merged]), np.array([b - a for a, b in merged])) if merged else np.zeros(0, np.int64)
 
 
-def _chunks(items: DataFrame, chunk_words: int) -> Iterator[tuple[list[int], pa.Array]]:
+def _chunks(benchmark: DataFrame, chunk_words: int) -> Iterator[tuple[list[int], pa.Array]]:
     """The benchmark in pieces of bounded size, one partition of it at a time on the driver."""
+    items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
     ids, texts, words = [], [], 0
     for row in items.toLocalIterator():
         n = len(row.text.split())
@@ -197,10 +206,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, words:
     keep null. No documents or no items give no rows; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
     out = None
-    for ids, texts in _chunks(items, chunk_words):
+    for ids, texts in _chunks(benchmark, chunk_words):
         part = docs.mapInArrow(_search(Benchmark(ids, texts, words, radius), least), schema)
         out = part if out is None else out.union(part)
     if out is None:
@@ -208,7 +216,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, words:
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """`docs` without the documents that hold a passage of the benchmark; rows without an id stay."""
-    leaked = find_leaks(docs, benchmark, id_col=id_col, **how).select(id_col).distinct()
-    return docs.join(leaked, id_col, "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, words: int = 5, radius: int = RADIUS, chunk_words: int = CHUNK_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that hold no passage of the benchmark, unchanged; see find_leaks."""
+    at = docs.columns.index(text_col)
+    for ids, texts in _chunks(benchmark, chunk_words):
+        docs = docs.mapInArrow(_search(Benchmark(ids, texts, words, radius), least, at), docs.schema)
+    return docs

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import Scratch, components
 from .words import distinct, mix, word_blocks
@@ -317,3 +318,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: tuple[int, int] = (4, 5), bands: int = 32, rows: int = 4) -> DataFrame:
+    """`docs` with one row of each class of near duplicates: the row of the smallest id.
+
+    Of rows that share that id the one of the smallest text stays (of rows equal in both, any one). Rows without words or
+    without an id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, least, bands, rows)
+    flags = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_rows"))
+    flags = Scratch(docs.sparkSession, "kept").table(flags, "flags")
+    gone = flags.filter("not _kept or _rows > 1").select(id_col)
+    single = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    again = flags.filter("_kept and _rows > 1").select(id_col)
+    if again.isEmpty():
+        return single
+    first = Window.partitionBy(id_col).orderBy(F.asc_nulls_first(text_col))
+    multiple = docs.join(again, id_col, "left_semi").withColumn("__tessera_row", F.row_number().over(first)).filter("__tessera_row = 1").select(docs.columns)
+    return single.union(multiple)

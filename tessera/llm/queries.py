@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, neighbours, quality, sharding
 from .decontaminate import find_leaks
 from .idfile import round_trip
+from .language_model import score_documents
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .secrets import scan_secrets
@@ -35,6 +37,10 @@ def op4_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -56,16 +62,22 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
     "op3_extendible_sharding": op3_extendible_sharding,
     "op4_block_matrix_neighbours": op4_block_matrix_neighbours,
+    "op5_backoff_automaton": op5_backoff_automaton,
     "op6_bit_plane_ids": op6_bit_plane_ids,
     "op7_simhash_decontamination": op7_simhash_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scan": op9_secret_scan,
     "op10_crf_quality": op10_crf_quality,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,3 +85,6 @@ ORACLES: dict[str, str] = {
     "op4_block_matrix_neighbours": neighbours.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
