@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-ENTRY = ""
+from . import corpus, events, graphs, orders, policies, search, sensitive, sourcecode, vectors  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
+
+ENTRY = "pii_tier_summary"
