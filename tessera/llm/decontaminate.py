@@ -67,6 +67,11 @@ class Benchmark:
             self.counts.append(dict(zip(*(x.tolist() for x in np.unique(own, return_counts=True)))))
             if len(own):
                 self.prints[i] = fingerprints((signs[own] * self.weights[own, None]).sum(axis=0, keepdims=True))[0]
+        #: Items of fewer words than a shingle: one run of words each, equal or not, by length and hash.
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i in np.flatnonzero((self.lengths > 0) & (self.lengths < size)).tolist():
+            self.short[int(self.lengths[i])][int(shingles[first[i]])].append(i)
+        self.short = {n: dict(table) for n, table in self.short.items()}
         edges = np.linspace(0, BITS, radius + 2).astype(int)
         self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:])]
         index: dict[tuple[int, int, int], list[int]] = defaultdict(list)
@@ -108,6 +113,8 @@ def _search(benchmark: Benchmark, least: float, clean_at: int | None = None):
             for length in np.unique(benchmark.lengths[benchmark.holders[benchmark.holder_bounds[p] : benchmark.holder_bounds[p + 1]]]).tolist():
                 starts[length].append((max(0, at - max(length - size, 0)), min(at, max(0, n_words - length)) + 1))
         for length, spans in starts.items():
+            if length < size:
+                continue
             if length > n_words and length > size:
                 length_here = n_words
             else:
@@ -134,6 +141,19 @@ def _search(benchmark: Benchmark, least: float, clean_at: int | None = None):
                                 best[item] = (value, start)
         return best
 
+    def short(block: Words) -> dict[int, dict[int, tuple[float, int]]]:
+        """For each text of a block the short items that it holds, with the first place."""
+        out: dict[int, dict[int, tuple[float, int]]] = defaultdict(dict)
+        for n, table in benchmark.short.items():
+            runs = block.runs(n)
+            at = np.flatnonzero(np.isin(runs, np.array(list(table), np.uint64)))
+            texts = np.searchsorted(block.first, at, "right") - 1
+            for i, d in zip(at.tolist(), texts.tolist()):
+                if i + n <= block.first[d + 1]:
+                    for item in table[int(runs[i])]:
+                        out[d].setdefault(item, (1.0, i - int(block.first[d])))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = benchmark.vocabulary
         sieve = np.zeros(1 << 20, bool)
@@ -147,12 +167,13 @@ def _search(benchmark: Benchmark, least: float, clean_at: int | None = None):
                 hit = vocabulary[place] == shingles[maybe] if len(vocabulary) else np.zeros(len(maybe), bool)
                 maybe, place = maybe[hit], place[hit]
                 counts = block.counts()
-                for d in np.unique(np.searchsorted(bounds, maybe, "right") - 1).tolist():
+                brief = short(block)
+                for d in sorted({*(np.searchsorted(bounds, maybe, "right") - 1).tolist(), *brief}):
                     a, b = bounds[d], bounds[d + 1]
                     places = np.full(b - a, -1, np.int64)
                     own = (maybe >= a) & (maybe < b)
                     places[maybe[own] - a] = place[own]
-                    found = document(shingles[a:b], places, int(counts[d]))
+                    found = document(shingles[a:b], places, int(counts[d])) | brief.get(d, {})
                     if clean_at is not None:
                         clean[first + d] = not found
                         continue

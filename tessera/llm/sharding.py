@@ -76,14 +76,14 @@ def write_shards(docs: DataFrame, shards: DataFrame, path: str, key: str = "doc_
 def oracle(limit_bytes: int) -> str:
     return f"""
 WITH d AS (
-  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+  SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {HASH_BITS // 4}))::BIGINT AS h FROM documents
 ), levels AS (
   SELECT level::INT AS level, (h >> ({HASH_BITS} - level)::INT) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes
   FROM d, range(0, {HASH_BITS + 1}) r(level) GROUP BY ALL
 ), fit AS (SELECT * FROM levels WHERE shard_bytes <= {limit_bytes} OR level = {HASH_BITS}
 ), best AS (
-  SELECT d.doc_id, d.n_bytes, d.h, min(f.level) AS shard_depth
+  SELECT d.r, d.doc_id, d.n_bytes, d.h, min(f.level) AS shard_depth
   FROM d JOIN fit f ON f.prefix = (d.h >> ({HASH_BITS} - f.level)) GROUP BY ALL
 )
 SELECT b.doc_id, b.n_bytes, substr(lpad(bin(b.h), {HASH_BITS}, '0'), 1, b.shard_depth) AS shard, b.shard_depth,

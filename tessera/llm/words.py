@@ -126,12 +126,20 @@ class Words:
             at = np.repeat(self.first[long] - bounds[long], each[long]) + _ranges(bounds[long], each[long])
             out[_ranges(bounds[long], each[long])] = rolled[at]
         for i in np.flatnonzero((counts > 0) & (counts < size)):
-            h = np.uint64(counts[i])
-            for w in words[self.first[i] : self.first[i + 1]]:
-                h = np.uint64((int(h) * int(_SHINGLE) + int(w)) & 0xFFFFFFFFFFFFFFFF)
-            out[bounds[i]] = mix(np.array([h], np.uint64))[0]
+            out[bounds[i]] = self.runs(int(counts[i]), self.first[i], self.first[i + 1])[0]
         return out, bounds
 
+    def runs(self, n: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Hashes of all runs of n words among words first to last, as of whole sequences of n words; they may cross texts."""
+        words = self.hashes[first:last]
+        if len(words) < n:
+            return np.zeros(0, np.uint64)
+        rolled = np.full(len(words) - n + 1, n, np.uint64)
+        for k in range(n):
+            rolled *= _SHINGLE
+            rolled += words[k : len(words) - n + 1 + k]
+        return mix(rolled)
+
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenated ranges starts[i] .. starts[i] + lengths[i]."""
