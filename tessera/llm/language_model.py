@@ -30,7 +30,7 @@ from .words import mix, word_blocks
 
 ORDER = 2
 #: Words of a chunk, about, and of the n-grams that meet in a partition, about.
-CHUNK_TOKENS, PARTITION_TOKENS = 4 << 20, 4 << 20
+CHUNK_TOKENS, PARTITION_TOKENS = 1 << 20, 2 << 20
 START, END = mix(np.array([1, 2], np.uint64))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
