@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, events, governance, graphs, orders, policies, search, sensitive, sourcecode, vectors  # noqa: F401
+from . import corpus, events, governance, graphs, orders, policies, reports, search, sensitive, sourcecode, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 ENTRY = "pii_tier_summary"

@@ -3,8 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as m
+from ..operators.trading import fifo
 from ..sources.tables import exposition, table, upsert
-from ..streaming.jobs import counted_by_type, ledger_balances, run_once
+from ..streaming.jobs import counted_by_type, event_trades, fifo_stream, ledger_balances, run_once
 from .registry import query
 
 _B = ", ".join(f"({float(b)})" for b in m.BOUNDS)
@@ -66,3 +67,15 @@ def stream_counters(spark, sf_dir):
 @query("SELECT user_id, ccy, round(sum(amount), 4) AS balance FROM (SELECT user_id, event_type AS ccy, value AS amount FROM events UNION ALL SELECT user_id, 'cash', -value FROM events) GROUP BY ALL")
 def stream_ledger(spark, sf_dir):
     return run_once(spark, sf_dir, "events", ledger_balances, "complete").withColumn("balance", F.round("balance", 4))
+
+
+@query()
+def stream_fifo(spark, sf_dir):
+    """FIFO lots with keyed state in a stream of events."""
+    return run_once(spark, sf_dir, "events", lambda e: fifo_stream(event_trades(e)), "append")
+
+
+@query()
+def batch_fifo(spark, sf_dir):
+    """The batch form on the same trades."""
+    return fifo(event_trades(table(spark, sf_dir, "events")))

@@ -25,6 +25,49 @@ def ledger_balances(events: DataFrame) -> DataFrame:
     return events.select("user_id", F.inline(legs)).groupBy("user_id", "ccy").agg(F.sum("amount").alias("balance"))
 
 
+def fifo_stream(trades: DataFrame) -> DataFrame:
+    """The stream form of FIFO lots over (key, id, at, side, quantity, price): open lots are a key's state.
+
+    Trades of a key are taken in order of time and id within a batch; a sell that the lots do not
+    cover takes all of them and is short by the rest.
+    """
+
+    def step(key, batches, state):
+        import pandas as pd
+
+        at, quantity, price = (list(x) for x in state.get) if state.exists else ([], [], [])
+        rows = pd.concat(list(batches)).sort_values(["at", "id"])
+        out = []
+        for r in rows.itertuples():
+            if r.side == "Buy":
+                at.append(r.at)
+                quantity.append(r.quantity)
+                price.append(r.price)
+                continue
+            left, realised, old = r.quantity, 0.0, 0.0
+            while left > 0 and quantity:
+                part = min(left, quantity[0])
+                realised += (r.price - price[0]) * part
+                old += part if (r.at - at[0]).days >= 365 else 0.0
+                left -= part
+                quantity[0] -= part
+                if quantity[0] <= 0:
+                    del at[0], quantity[0], price[0]
+            out.append((r.key, r.id, realised, old, left))
+        state.update((at, quantity, price))
+        yield pd.DataFrame(out, columns=["key", "id", "realised", "long_term", "short"])
+
+    return trades.groupBy("key").applyInPandasWithState(
+        step, "key long, id long, realised double, long_term double, short double", "at array<timestamp>, quantity array<double>, price array<double>", "append", "NoTimeout"
+    )
+
+
+def event_trades(events: DataFrame) -> DataFrame:
+    """Events as trades: purchases and clicks buy, others sell, at a price that follows the id."""
+    side = F.when(F.col("event_type").isin("purchase", "click"), "Buy").otherwise("Sell")
+    return events.filter("value is not null and ts is not null").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), side.alias("side"), F.col("value").cast("double").alias("quantity"), (1 + F.col("event_id") % 17).cast("double").alias("price"))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
