@@ -97,3 +97,27 @@ def margin_requirement(spark, sf_dir):
     p = F.col("o_totalprice")
     margin = F.when(F.col("o_orderstatus") == "O", F.greatest(p * 0.2 - p * 0.05, p * 0.1)).otherwise(p * 0.1)
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum(margin), 2).alias("margin"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN length(base) <> 3 OR base = quote THEN 'pair' WHEN quote NOT IN ('USD', 'EUR') THEN 'quote' WHEN o_totalprice < CASE quote WHEN 'USD' THEN 50000 ELSE 90000 END THEN 'notional' END AS reason FROM (
+  SELECT *, ['USD', 'EUR', 'BTC', 'XX'][(o_custkey % 4 + 1)::INT] AS base, ['USD', 'EUR', 'GBP'][(o_orderkey % 3 + 1)::INT] AS quote FROM orders)""")
+def fx_validate(spark, sf_dir):
+    """Currency pairs, and a least notional for each quote currency from a map."""
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").withColumns({"base": pick(("USD", "EUR", "BTC", "XX"), F.col("o_custkey")), "quote": pick(("USD", "EUR", "GBP"), F.col("o_orderkey"))})
+    least = F.create_map(F.lit("USD"), F.lit(50000.0), F.lit("EUR"), F.lit(90000.0))[F.col("quote")]
+    reason = F.when((F.length("base") != 3) | (F.col("base") == F.col("quote")), "pair").when(least.isNull(), "quote").when(F.col("o_totalprice") < least, "notional")
+    return o.select("o_orderkey", reason.alias("reason"))
+
+
+@query("""
+WITH l AS (SELECT o_orderkey, (o_orderkey % 4 + 1) AS legs, 100 + o_custkey % 10 AS low, 100 + (o_custkey * 7) % 10 AS high, o_totalprice / 10000 AS premium FROM orders)
+SELECT o_orderkey, CASE WHEN legs > 3 THEN 'legs' WHEN legs = 2 AND low >= high THEN 'strikes' WHEN premium <= 1 THEN 'premium' END AS reason, floor(CASE legs WHEN 2 THEN greatest((high - low) * 100 - premium * 100, 0) ELSE premium * 100 END * 100 + 0.5) / 100 AS max_loss FROM l""")
+def option_validate(spark, sf_dir):
+    """Multi-leg checks, the first that fails, and a spread's greatest loss."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (k % 4 + 1).alias("legs"), (100 + c % 10).alias("low"), (100 + (c * 7) % 10).alias("high"), (F.col("o_totalprice") / 10000).alias("premium"))
+    reason = F.when(F.col("legs") > 3, "legs").when((F.col("legs") == 2) & (F.col("low") >= F.col("high")), "strikes").when(F.col("premium") <= 1, "premium")
+    loss = F.when(F.col("legs") == 2, F.greatest((F.col("high") - F.col("low")) * 100 - F.col("premium") * 100, F.lit(0.0))).otherwise(F.col("premium") * 100)
+    return o.select("o_orderkey", reason.alias("reason"), half_up(loss, 2).alias("max_loss"))

@@ -97,3 +97,53 @@ def acceptance_rate(spark, sf_dir):
     click = F.col("event_type") == "click"
     n = F.count_if(click)
     return table(spark, sf_dir, "events").groupBy("user_id").agg(n.alias("drafted"), F.bround(100.0 * F.count_if(click & (F.col("value") > 50)) / F.nullif(n, F.lit(0)), 1).alias("rate"))
+
+
+@query("SELECT sha256(text) AS cluster, count(*) AS copies, sum(n_chars) - max(n_chars) AS saved FROM documents GROUP BY 1 HAVING count(*) > 1")
+def consolidation_saving(spark, sf_dir):
+    """What would be saved if each cluster kept its largest member."""
+    d = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("cluster"))
+    return d.agg(F.count("*").alias("copies"), (F.sum("n_chars") - F.max("n_chars")).alias("saved")).filter("copies > 1")
+
+
+@query("SELECT vec_id, round(100 * a + 60 * b + 15 * c, 4) AS score FROM (SELECT vec_id, abs(embedding[1]) / t AS a, abs(embedding[2]) / t AS b, abs(embedding[3]) / t AS c FROM (SELECT *, abs(embedding[1])::DOUBLE + abs(embedding[2]) + abs(embedding[3]) AS t FROM embeddings))")
+def probability_score(spark, sf_dir):
+    """Three shares weighted 100, 60 and 15."""
+    e = F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x.cast("double")))
+    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    score = F.aggregate(F.zip_with(e, F.array(F.lit(100.0), F.lit(60.0), F.lit(15.0)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) / total
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(score, 4).alias("score"))
+
+
+@query("SELECT c_custkey, substr(c_name, 1, 4) || '…' || right(c_name, 4) AS wallet, lower(replace(c_mktsegment, '_', ' ')) AS segment FROM customer")
+def masked_wallets(spark, sf_dir):
+    n = F.col("c_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.substring(n, 1, 4), F.lit("…"), F.right(n, F.lit(4))).alias("wallet"), F.lower(F.replace("c_mktsegment", F.lit("_"), F.lit(" "))).alias("segment"))
+
+
+@query(r"SELECT doc_id, len(list_filter(['password', 'token', 'the', 'der'], lambda t: regexp_matches(text, '(?i)\b' || t || '\b')))::INT AS leaks FROM documents")
+def leak_scan(spark, sf_dir):
+    """Whole words of a list, case ignored."""
+    hits = sum((F.col("text").rlike(rf"(?i)\b{t}\b").cast("int") for t in ("password", "token", "the", "der")), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", hits.alias("leaks"))
+
+
+@query("SELECT event_id, json_valid(props) AS readable FROM events")
+def json_soft(spark, sf_dir):
+    """Decoding that fails soft: a text that is no JSON object gives null."""
+    parsed = F.from_json("props", "map<string,string>", {"mode": "PERMISSIVE"})
+    return table(spark, sf_dir, "events").select("event_id", parsed.isNotNull().alias("readable"))
+
+
+@query("""
+WITH c AS (SELECT label AS g, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
+s AS (SELECT e.vec_id, e.label, c.g, sum(e.x * c.m) AS sim FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) e JOIN c USING (i) GROUP BY ALL)
+SELECT vec_id, arg_max(g, (round(sim, 9), -g)) AS nearest, arg_max(g, (round(sim, 9), -g)) FILTER (g <> 0) AS without_first FROM s GROUP BY vec_id""")
+def nearest_description(spark, sf_dir):
+    """Nearest centroid of each row, with and without one target; centroids are a row a label, broadcast."""
+    from ..operators.vectors import centroids
+
+    e = table(spark, sf_dir, "embeddings")
+    scored = e.crossJoin(F.broadcast(centroids(e, "label", "embedding").withColumnRenamed("label", "g"))).select("vec_id", "g", F.round(dot(F.col("embedding"), F.col("centroid")), 9).alias("sim"))
+    key = F.struct("sim", -F.col("g"))
+    return scored.groupBy("vec_id").agg(F.max_by("g", key).alias("nearest"), F.max_by(F.when(F.col("g") != 0, F.col("g")), F.when(F.col("g") != 0, key)).alias("without_first"))

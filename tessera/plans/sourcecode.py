@@ -58,3 +58,34 @@ def page_links(spark, sf_dir):
     """Targets mined from markup: the reference rows of a graph of pages."""
     found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
     return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("target"))
+
+
+JOB = """//RUN1 JOB (A)
+//* comment
+//S1 EXEC PGM=DEMO1
+//IN DD DSN=PROD.IN.FILE,DISP=SHR
+//S2 EXEC PGM=DEMO2
+//OUT DD DSN=PROD.OUT.FILE,DISP=NEW
+"""
+DDL = "EXEC SQL DECLARE CUST TABLE (ID INTEGER NOT NULL, NAME VARCHAR(20), PRICE DECIMAL(6, 0)) END-EXEC.\nCREATE TABLE T2 (A DATE, B CHAR(1));"
+NESTED = "\n".join("       " + t for t in ("    IF A = 1", "        MOVE 1 TO B", "        IF C = 2", "            MOVE 2 TO D", "        END-IF", "    END-IF", "    MOVE 'LONG", "    STOP RUN.")).replace("    STOP", "    STOP")
+
+
+@query()
+def job_facts(spark, sf_dir):
+    return src.job_facts(spark.createDataFrame([("RUN1", JOB)], "name string, source string"))
+
+
+@query()
+def declared_columns(spark, sf_dir):
+    return src.declared_columns(spark.createDataFrame([("M", DDL)], "name string, source string"))
+
+
+@query()
+def control_dependence(spark, sf_dir):
+    return src.control_dependence(spark.createDataFrame([("N", NESTED)], "name string, source string"))
+
+
+@query()
+def continued_lines(spark, sf_dir):
+    return src.continued(_members(spark))
