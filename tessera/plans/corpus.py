@@ -121,40 +121,54 @@ def keyword_groups(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(sc.all_groups(F.col("text"), (("the", "der"), ("licensed", "password")))).select("doc_id")
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _any_of(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
 _VAGUE = " + ".join(f"contains(lower(text), '{v}')::INT" for v in sc.VAGUE)
 
 
-@query(rf"""
-WITH s AS (SELECT doc_id, (len(regexp_extract_all(text, '(?m)^\s*(?:\d+[.)]|AC\d+)')) >= 2)::INT + regexp_matches(text, '\b[A-Z][A-Za-z0-9]+(?:Service|Controller|Handler|Repository|Client|\.cs|\.py)\b')::INT
-  + regexp_matches(text, '\d')::INT + (contains(lower(text), 'out of scope') OR contains(lower(text), 'not change') OR contains(lower(text), 'do not') OR contains(lower(text), 'excluded'))::INT
-  + regexp_matches(text, '(?i)\b(?:owner|contact|product owner|architect)\b')::INT AS met, {_VAGUE} AS vague FROM documents)
+@query(f"""
+WITH s AS (SELECT doc_id, (len(regexp_extract_all(text, {_quoted(sc.NUMBERED)})) >= 2)::INT + regexp_matches(text, {_quoted(sc.COMPONENT)})::INT + regexp_matches(text, {_quoted(sc.CONCRETE)})::INT
+  + {_any_of(sc.SCOPE)}::INT + regexp_matches(text, {_quoted(sc.OWNER)})::INT AS met, {_VAGUE} AS vague FROM documents)
 SELECT doc_id, greatest(0, round_even(100.0 * met / 5, 0)::INT - least(vague * 6, 30))::INT AS score, greatest(0, round_even(100.0 * met / 5, 0)::INT - least(vague * 6, 30)) >= 70 AS passed FROM s""")
 def ticket_precheck(spark, sf_dir):
     score, passed = sc.ticket_score(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"), passed.alias("passed"))
 
 
-@query(r"SELECT doc_id, length(text) >= 40 AND length(text) <= 4000 AND regexp_matches(text, '[.!?]') AND len(regexp_split_to_array(text, '[.!?]\s')) >= 2 AS accepted FROM documents")
+@query(r"""
+WITH f AS (SELECT doc_id, substr(text, 1, 10) AS title, substr(text, 1, 60) AS problem, substr(text, 61, 50) AS approach, substr(text, 100, 400) AS evidence, substr(text, 500, 30) AS needs, substr(text, 600, 40) AS failures FROM documents),
+m AS (SELECT doc_id, (length(trim(title)) >= 8)::INT + (length(trim(problem)) >= 40)::INT + (length(trim(approach)) >= 40)::INT + (length(trim(evidence)) >= 30 AND regexp_matches(evidence, '\d'))::INT + (length(trim(needs)) >= 20)::INT + (length(trim(failures)) >= 20)::INT AS met FROM f)
+SELECT doc_id, round_even(100.0 * met / 6, 0)::INT AS score, met = 6 AS admitted FROM m""")
 def contribution_gate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", sc.contribution_accepted(F.col("text")).alias("accepted"))
+    t = lambda a, n: F.substring("text", a, n)
+    score, admitted = sc.contribution(t(1, 10), t(1, 60), t(61, 50), t(100, 400), t(500, 30), t(600, 40))
+    return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"), admitted.alias("admitted"))
 
 
 @query()
 def plan_review(spark, sf_dir):
     """Checks of plans rendered from conversations."""
     c = table(spark, sf_dir, "conversations")
-    score, verdict = sc.plan_score(F.concat(F.lit("# Executive summary\n"), F.col("text")))
-    return c.select("conv_id", "turn", score.alias("score"), verdict.alias("verdict"))
+    score, verdict, words = sc.plan_score(F.concat(F.lit("# Executive summary\n"), F.col("text"), F.lit("\n## Risks\nnone, see the tests\n```mermaid\n```\n")))
+    return c.select("conv_id", "turn", score.alias("score"), verdict.alias("verdict"), words.alias("summary_words"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents)
-SELECT doc_id, len(lines)::INT AS n_lines, CASE WHEN len(lines) = 0 THEN 0 ELSE round(len(list_filter(lines, lambda x: contains(x, '|'))) / len(lines), 6) END AS bars,
-  CASE WHEN len(lines) = 0 THEN 0 ELSE round(len(list_filter(lines, lambda x: regexp_matches(x, '[a-z]+ [a-z]+ [a-z]+'))) / len(lines), 6) END AS prose,
-  CASE WHEN len(lines) = 0 THEN 0 ELSE round(len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*] '))) / len(lines), 6) END AS bullets, len(regexp_extract_all(text, 'https?://'))::INT AS links FROM l""")
+_HAS = ", ".join(f"{_any_of(words)} AS {name}" for name, words in sc.MARKERS.items() if name != "bundle")
+
+
+@query(rf"""
+WITH l AS (SELECT *, string_split(text, chr(10)) AS lines FROM documents)
+SELECT doc_id, {_any_of(sc.MARKERS["bundle"])} OR regexp_matches(text, '(?m)^type:\s') AS bundle, {_HAS},
+  round(len(list_filter(lines, lambda x: regexp_matches(x, '^\s*(//|\*|/\*)'))) / len(lines), 6) AS comments, round(len(list_filter(lines, lambda x: regexp_matches(x, '^\s*([#>|-]|[0-9]+\.)'))) / len(lines), 6) AS structured,
+  len(regexp_extract_all(text, '\]\('))::INT AS links FROM l""")
 def structure_features(spark, sf_dir):
-    s = sc.structure(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *(s[c].alias(c) for c in ("n_lines", "bars", "prose", "bullets", "links")))
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in sc.structure(F.col("text")).items()))
 
 
 _ENT = "{0}"
