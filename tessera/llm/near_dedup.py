@@ -8,7 +8,7 @@ are confirmed on the full sets.
 
 No group is ever expanded into all its pairs. Equal sets are collapsed first. Within a bucket every
 document is compared with two leaders; what the confirmed links join is one component. Only members
-of a bucket that still lie in different components are compared further, by signatures of 512 lanes:
+of a bucket that still lie in different components are compared further, by signatures of 768 lanes:
 in small buckets as pairs, in large ones in square tiles. Tiles first propose, in rounds, each
 member's best partner in another component, which joins nearly all that belongs together; then
 every pair across the components left that the estimate cannot exclude, each in its first bucket.
@@ -29,7 +29,7 @@ from .words import distinct, mix, word_blocks
 
 LANES, BITS = 128, 4
 #: Lanes of the signatures by which members of larger buckets are compared.
-LONG_LANES = 512
+LONG_LANES = 768
 #: Rounds of best partners before all pairs across components; they save work, results do not depend on them.
 PARTNER_ROUNDS = 2
 #: Buckets of more members are compared in tiles, not as pairs.
@@ -273,11 +273,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     beyond = shared.filter("n > 2 and id <> lead and id <> lead2").select("bucket", "band", "id", "n")
     wanted = tested.select(F.col("a").alias("id")).union(tested.select("b")).union(beyond.select("id")).distinct()
-    texts = scratch.table(docs.join(wanted, "id", "left_semi"), "texts")
+    texts = scratch.table(docs.join(wanted.hint("merge"), "id", "left_semi"), "texts")  # ids grow with the input: never broadcast
     labels = components(scratch.table(_confirmed(tested, texts, words, least).union(chained), "links"), scratch)
 
     long_texts = texts.join(beyond.select("id").distinct(), "id", "left_semi").select("id", "text")
-    long = scratch.table(long_texts.mapInArrow(long_signer(words), "id long, signature array<long>"), "long-signatures")
+    long = long_texts.mapInArrow(long_signer(words), "id long, signature array<long>").join(nodes.select("id", "buckets"), "id")
+    long = scratch.table(long, "long-signatures")
     needed = equal_lanes_needed(least[0] / least[1], LONG_LANES)
 
     def mixed(some: DataFrame) -> DataFrame:
@@ -290,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = mixed(beyond.filter(F.col("n") > SMALL_BUCKET)).withColumn("cuts", F.ceil(F.col("n") / TILE).cast("int"))
         cut = large.withColumn("cut", F.expr("cast(pmod(xxhash64(id), cuts) as int)")).withColumn("with", F.explode(F.expr("sequence(0, cuts - 1)")))
         sides = cut.select("bucket", "band", F.least("cut", "with").alias("i"), F.greatest("cut", "with").alias("j"), F.when(F.col("cut") > F.col("with"), 1).otherwise(0).alias("side"), "id", "label")
-        full = sides.join(long, "id").join(nodes.select("id", "buckets"), "id")
+        full = sides.join(long, "id")
         return full.groupBy("bucket", "i", "j").applyInArrow(_tile(needed, best_only), "a long, b long").distinct()
 
     def join_up(pairs: DataFrame) -> DataFrame:
@@ -330,10 +331,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     flags = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_rows"))
     flags = Scratch(docs.sparkSession, "kept").table(flags, "flags")
     gone = flags.filter("not _kept or _rows > 1").select(id_col)
-    single = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    single = docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
     again = flags.filter("_kept and _rows > 1").select(id_col)
     if again.isEmpty():
         return single
     first = Window.partitionBy(id_col).orderBy(F.asc_nulls_first(text_col))
-    multiple = docs.join(again, id_col, "left_semi").withColumn("__tessera_row", F.row_number().over(first)).filter("__tessera_row = 1").select(docs.columns)
+    multiple = docs.join(again.hint("merge"), id_col, "left_semi").withColumn("__tessera_row", F.row_number().over(first)).filter("__tessera_row = 1").select(docs.columns)
     return single.union(multiple)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from .words import SPACES, _power, blocks, mix, ranges, text_bytes
 
 SLOTS_LOG2 = 22
-MOST_ENTRIES, MOST_IDS = 3_000_000, 24_000_000
+MOST_ENTRIES, MOST_IDS = 1_000_000, 8_000_000
 LATIN, OTHER_LEADS = 0xC2, (0xE1, 0xE2, 0xE3)
 WIDE_SPACES = ("\u0085", " ", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　")
 
