@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,3 +66,159 @@ def pairs(vectors: DataFrame, least: float | None = None, key: str = "vec_id", g
     b = vectors.select(F.col(key).alias("b"), F.col(group).alias("group_b"), F.col(vector).alias("vb"))
     joined = a.join(b, F.col("a") < F.col("b")).select("a", "b", "group_a", "group_b", dot(F.col("va"), F.col("vb")).alias("sim"))
     return joined if least is None else joined.filter(F.col("sim") >= least)
+
+
+#: Vectors of a block, about; a tile holds the products of two blocks (8 MB).
+BLOCK = 1024
+
+
+def tiled(vectors: DataFrame, work: Callable[[Tile], pa.Table], schema: str, key: str = "vec_id", group: str = "label", vector: str = "embedding", asks: str = "true", block: int = BLOCK) -> DataFrame:
+    """`work` on every tile of two blocks of rows: together the tiles hold each pair of rows once.
+
+    Rows are dealt into blocks by a hash, so a task's memory is bounded by `block` and does not grow with the
+    table; the number of tiles does, with its square, as exact work over all pairs must.
+    """
+    rows = vectors.filter(F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias("id"), F.col(group).cast("string").alias("label"), F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>")).alias("vector"),
+        F.coalesce(F.expr(asks), F.lit(False)).alias("asks"),
+    )
+    blocks = max(1, math.ceil(rows.count() / block))
+    dealt = rows.withColumn("mine", F.expr(f"cast(pmod(xxhash64(id, vector), {blocks}) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sides = dealt.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "id", "label", "vector", "asks")
+    return sides.groupBy("i", "j").applyInArrow(lambda t: work(Tile(t)), schema)
+
+
+class Tile:
+    """Two blocks of rows (of one block twice, on the diagonal) with the products and which of them are pairs."""
+
+    def __init__(self, rows: pa.Table):
+        ids, side, asks = (rows.column(c).to_numpy() for c in ("id", "side", "asks"))
+        square = not (rows.column("j").to_numpy() != rows.column("i").to_numpy()).any()
+        left = np.flatnonzero(side == 0)
+        right = left if square else np.flatnonzero(side == 1)
+        label = rows.column("label").combine_chunks().dictionary_encode()
+        codes, self.labels = label.indices.fill_null(-1).to_numpy(zero_copy_only=False), label.dictionary
+        flat = rows.column("vector").combine_chunks()
+        bounds, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
+        lengths = np.diff(bounds)
+        self.x, self.y, self.x_asks, self.y_asks = ids[left], ids[right], asks[left], asks[right]
+        self.gx, self.gy = codes[left], codes[right]
+        self.sim = np.zeros((len(left), len(right)))
+        for width in np.unique(lengths[left]).tolist():
+            p, q = (np.flatnonzero(lengths[s] == width) for s in (left, right))
+            a, b = (np.stack([values[at : at + width] for at in bounds[s].tolist()]) if len(s) else np.zeros((0, width)) for s in (left[p], right[q]))
+            product = np.zeros((len(p), len(q)))
+            for c in range(width):  # from the first component to the last, as dot() sums
+                product += np.multiply.outer(a[:, c], b[:, c])
+            self.sim[np.ix_(p, q)] = product
+        self.pair = self.x[:, None] != self.y[None]
+        if square:
+            self.pair &= np.arange(len(left))[:, None] < np.arange(len(right))[None]
+        known = (self.gx >= 0)[:, None] & (self.gy >= 0)[None]
+        self.same = self.pair & known & (self.gx[:, None] == self.gy[None])
+        self.other = self.pair & known & (self.gx[:, None] != self.gy[None])
+        self.square = square
+
+
+def _ends(t: Tile, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(t.x[p], t.y[q]), np.maximum(t.x[p], t.y[q])
+
+
+def separation(vectors: DataFrame, **of) -> DataFrame:
+    """One row over all pairs: least, sum and number of products within groups, largest, sum and number between groups."""
+
+    def work(t: Tile) -> pa.Table:
+        same, other = t.sim[t.same], t.sim[t.other]
+        return pa.table({
+            "low_same": pa.array([same.min() if len(same) else None], pa.float64()), "high_other": pa.array([other.max() if len(other) else None], pa.float64()),
+            "sum_same": [float(same.sum())], "n_same": [len(same)], "sum_other": [float(other.sum())], "n_other": [len(other)],
+        })
+
+    parts = tiled(vectors, work, "low_same double, high_other double, sum_same double, n_same long, sum_other double, n_other long", **of)
+    mean = lambda k: F.try_divide(F.sum(f"sum_{k}"), F.sum(f"n_{k}")).alias(f"mean_{k}")
+    return parts.agg(F.min("low_same").alias("low_same"), F.max("high_other").alias("high_other"), mean("same"), mean("other"))
+
+
+def nearest(vectors: DataFrame, k: int, asks: str = "true", other_group: bool = False, **of) -> DataFrame:
+    """(q, group_q, b, sim, r): the k rows of largest product (9 places, ties to the smaller id) with each row that `asks`, of all or of other groups."""
+
+    def work(t: Tile) -> pa.Table:
+        may = t.other if other_group else t.pair
+        if t.square:
+            may = may | may.T
+        sim = np.round(t.sim, 9)
+        out: list[tuple] = []
+
+        def best(asking, ids, groups, others, sims, mask):
+            for i in np.flatnonzero(asking).tolist():
+                at = np.flatnonzero(mask[i])
+                if len(at) > k:  # all that tie with the k-th stay until ids decide
+                    at = at[sims[i, at] >= np.partition(sims[i, at], len(at) - k)[len(at) - k]]
+                at = at[np.lexsort((others[at], -sims[i, at]))][:k]
+                name = t.labels[int(groups[i])].as_py() if groups[i] >= 0 else None
+                out.extend((int(ids[i]), name, int(others[c]), float(sims[i, c])) for c in at.tolist())
+
+        best(t.x_asks, t.x, t.gx, t.y, sim, may)
+        if not t.square:
+            best(t.y_asks, t.y, t.gy, t.x, sim.T, may.T)
+        q, g, b, s = zip(*out) if out else ((), (), (), ())
+        return pa.table({"q": pa.array(q, pa.int64()), "group_q": pa.array(g, pa.string()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64())})
+
+    found = tiled(vectors, work, "q long, group_q string, b long, sim double", asks=asks, **of)
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "b"))).filter(F.col("r") <= k)
+
+
+def links(vectors: DataFrame, least: float, **of) -> DataFrame:
+    """(a, b): pairs that connect the same rows as all pairs of at least `least` do, fewer than a tile's rows from each tile."""
+
+    def work(t: Tile) -> pa.Table:
+        linked = t.pair & (t.sim >= least)
+        if t.square:
+            near = linked | linked.T
+            ids = t.x
+        else:
+            n, m = linked.shape
+            near = np.zeros((n + m, n + m), bool)
+            near[:n, n:], near[n:, :n] = linked, linked.T
+            ids = np.concatenate([t.x, t.y])
+        a, b, new = [], [], np.ones(len(ids), bool)
+        for start in range(len(ids)):
+            if not new[start]:
+                continue
+            new[start], stack = False, [start]
+            while stack:
+                v = stack.pop()
+                ahead = np.flatnonzero(near[v] & new)
+                new[ahead] = False
+                stack += ahead.tolist()
+                a.append(np.full(len(ahead), ids[v]))
+                b.append(ids[ahead])
+        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tiled(vectors, work, "a long, b long", **of)
+
+
+def boundary(vectors: DataFrame, least: float, top: int = 3, above: int = 3, below: int = 4, **of) -> DataFrame:
+    """(a, b, k): the `top` pairs of largest product (9 places), the `above` least that reach `least`, the `below` largest that do not."""
+
+    def work(t: Tile) -> pa.Table:
+        sim = np.round(t.sim, 9)
+        a, b, k = [], [], []
+        for mask, sign, n in ((t.pair, -1, top), (t.pair & (sim >= least), 1, above), (t.pair & (sim < least), -1, below)):
+            p, q = np.nonzero(mask)
+            key = sign * sim[p, q]
+            if len(key) > n:
+                some = np.flatnonzero(key <= np.partition(key, n - 1)[n - 1])
+                p, q, key = p[some], q[some], key[some]
+            low, high = _ends(t, p, q)
+            first = np.lexsort((high, low, key))[:n]
+            a += low[first].tolist()
+            b += high[first].tolist()
+            k += (sign * key[first]).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "k": pa.array(k, pa.float64())})
+
+    p = tiled(vectors, work, "a long, b long, k double", **of).distinct()
+    first = p.orderBy(F.desc("k"), "a", "b").limit(top)
+    low = p.filter(F.col("k") >= least).orderBy("k", "a", "b").limit(above)
+    return first.union(low).union(p.filter(F.col("k") < least).orderBy(F.desc("k"), "a", "b").limit(below)).distinct()

@@ -56,7 +56,7 @@ def label_centroids(spark, sf_dir):
 
 
 def _small(spark, sf_dir):
-    """The first two hundred vectors: the set that the duplicate audit is over."""
+    """The first two hundred vectors, as the SQL of these queries has them; the queries named _all are over the whole table."""
     return table(spark, sf_dir, "embeddings").filter("vec_id < 200")
 
 
@@ -102,6 +102,40 @@ def boundary_view(spark, sf_dir):
     return top.union(low).union(below).distinct().select("a", "b", "sim")
 
 
+@query()
+def cosine_topk_all(spark, sf_dir):
+    """cosine_topk with all ids divisible by 20 as its queries."""
+    return vec.nearest(table(spark, sf_dir, "embeddings"), 5, "vec_id % 20 = 0").select("q", F.col("b").alias("vec_id"), "r")
+
+
+@query()
+def separation_metrics_all(spark, sf_dir):
+    """separation_metrics over all embeddings."""
+    s = vec.separation(table(spark, sf_dir, "embeddings"))
+    s = s.withColumn("margin", F.col("low_same") - F.col("high_other")).withColumn("threshold", (F.col("low_same") + F.col("high_other")) / 2)
+    return s.select(*(F.round(c, 6).alias(c) for c in s.columns))
+
+
+@query()
+def nearest_other_label_all(spark, sf_dir):
+    """nearest_other_label over all embeddings."""
+    e = table(spark, sf_dir, "embeddings")
+    return vec.nearest(e, 1, other_group=True).select(F.col("q").alias("a"), F.col("group_q").cast(e.schema["label"].dataType).alias("label"), F.col("b").alias("nearest"))
+
+
+@query()
+def threshold_clusters_all(spark, sf_dir):
+    """threshold_clusters over all embeddings."""
+    e = table(spark, sf_dir, "embeddings")
+    return connected(spark, vec.links(e, 0.6), e.select(F.col("vec_id").alias("id")).filter("id is not null").distinct())
+
+
+@query()
+def boundary_view_all(spark, sf_dir):
+    """boundary_view over all embeddings."""
+    return vec.boundary(table(spark, sf_dir, "embeddings"), 0.6).select("a", "b", F.round("k", 6).alias("sim"))
+
+
 @query()
 def classifier_pca_logreg(spark, sf_dir):
     """Labels by multinomial regression on 24 principal components; accuracy on rows held out by a hash."""
