@@ -78,17 +78,22 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def run_once(spark: SparkSession, sf_dir: str, name: str, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Drain a table through a job with state and a checkpoint, and read what the sink holds at the end."""
+    """Drain a table through a job with state and a checkpoint, and read what the sink holds at the end.
+
+    In complete mode the last batch holds all; in append mode every batch has a folder of its own, which a retry overwrites.
+    """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"output mode {mode!r}: append or complete")
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", "*.parquet").parquet(*_stream_path(spark, sf_dir, name))
     out = f"{root}/out"
     task = (
         job(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state")
-        .foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
+        .foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/{epoch if mode == 'append' else 'all'}")).trigger(availableNow=True).start()
     )
     task.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(f"{out}/*")
 
 
 def _stream_path(spark: SparkSession, sf_dir: str, name: str) -> list[str]:

@@ -22,3 +22,24 @@ def test_state_carries_over_batches(spark, tmp_path):
     task = fifo_stream(stream).writeStream.option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, e: b.write.mode("append").parquet(out)).trigger(availableNow=True).start()
     task.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, fifo(trades).collect()))
+
+
+def test_run_once_keeps_all_batches(spark, tmp_path):
+    """More files than one trigger takes: the registered path returns the sells of every batch."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    events = pq.read_table(f"{SF}/events.parquet").select(schema.names).sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    (tmp_path / "events.parquet").mkdir()
+    n, files = len(events), 150
+    for k in range(files):
+        part = tmp_path / "events.parquet" / f"{k:03d}.parquet"
+        pq.write_table(pa.Table.from_batches(events.slice(k * n // files, (k + 1) * n // files - k * n // files).to_batches(), events.schema), part)
+        os.utime(part, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream, batch = (sorted(map(tuple, QUERIES[q](spark, str(tmp_path)).collect())) for q in ("stream_fifo", "batch_fifo"))
+    assert stream == batch and stream
+    totals, want = (sorted(map(tuple, QUERIES["stream_ledger"](spark, d).collect())) for d in (str(tmp_path), SF))
+    assert totals == want and totals
