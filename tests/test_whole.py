@@ -1,8 +1,13 @@
 """Whole tables against brute force, where the SQL is over a part or too slow."""
 
+import math
+from collections import Counter, defaultdict
+from itertools import combinations
+
 import numpy as np
 import pytest
 
+from tessera.operators import graph
 from tessera.operators import vectors as vec
 from tessera.plans import QUERIES
 
@@ -78,3 +83,22 @@ def test_tiles_take_odd_rows(spark):
         assert (s.low_same, s.high_other) == (0.0, 1.0)
         assert {(r.q, r.b) for r in vec.nearest(rows, 1, block=size).collect()} == {(1, 2), (2, 1), (3, 1), (4, 1), (5, 1)}
         assert vec.links(rows, 2.0, block=size).count() == 0
+
+
+def test_popular_items_couple_their_holders(spark, tmp_path):
+    """Items of 51 and more holders, one that all hold, one of a single holder; by tiles and in one."""
+    rows = [(h, "all") for h in range(80)] + [(h, "many") for h in range(60)] + [(h, "some") for h in range(51)] + [(7, "own"), (3, "few"), (70, "few"), (3, "few")]
+    held = defaultdict(set)
+    for h, item in rows:
+        held[item].add(h)
+    want = Counter()
+    for holders in held.values():
+        for pair in combinations(sorted(holders), 2):
+            want[pair] += math.log(80 / len(holders))
+    members = spark.createDataFrame(rows, "holder long, item string")
+    for size in (256, 20):
+        got = {(r.a, r.b): r.weight for r in graph.co_membership(members, holders=size).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - w) < 1e-9 for k, w in want.items())
+    spark.createDataFrame([(h, 1) for h in range(60)] + [(60, 2), (61, 2)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = QUERIES["coinclusion_edges"](spark, str(tmp_path)).collect()
+    assert len(edges) == 60 * 59 // 2 + 1 and {r.weight for r in edges} == {round(math.log(62 / 60), 6), round(math.log(31), 6)}
