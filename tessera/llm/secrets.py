@@ -76,7 +76,7 @@ def lex(text: str) -> set[tuple[int, int]]:
                 spans.append((start + 1, start + len(term) - 1))
             elif term in holds:
                 spans.extend(holds[term])
-            elif pair[2] is term and not NAME.match(term) or any(c.isdigit() for c in term):
+            elif start == pair.start(2) and not NAME.match(term) or any(c.isdigit() for c in term):
                 spans.append((start, start + len(term.rstrip(".:"))))
         spans = tuple(dict.fromkeys(spans))
         holds[name] = spans

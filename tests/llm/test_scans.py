@@ -125,6 +125,18 @@ def test_secret_spans(spark, odd_docs, no_docs):
     assert secrets.scan_secrets(odd_docs).count() == odd_docs.count() and secrets.scan_secrets(no_docs).count() == 0
 
 
+def test_unquoted_literals_without_digits():
+    """The first term of a right side counts if it is no name; later terms and plain names do not."""
+    for text, value in (
+        ("passphrase: correct-horse-battery-staple", "correct-horse-battery-staple"), ("private_key: qwErty-uiop/asdf", "qwErty-uiop/asdf"),
+        ("db_credentials = abc+DEF/ghi==", "abc+DEF/ghi=="), ("x = qwErty-uiop/asdf\nprivate_key = x", "qwErty-uiop/asdf"),
+    ):
+        at = text.index(value)
+        assert (at, 3, at + len(value)) in secrets.all_spans(text)[1]
+        assert secrets.redact(text) == text.replace(value, "[SECRET]")
+    assert not secrets.lex("passphrase: correcthorsebattery") and not secrets.lex("passphrase = load.from_vault")
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "x password=abcdefgh y", 21, 3), (2, None, 0, 3), (3, "clean", 5, 3)], "doc_id long, text string, n_chars long, kind int")
     got = [tuple(r) for r in secrets.redact_secrets(df).orderBy("doc_id").collect()]
