@@ -4,15 +4,19 @@ Every benchmark item has weighted word shingles (rare ones of the benchmark weig
 SimHash. In a document, every window of an item's length that shares a shingle with the item is
 fingerprinted; a window without one has similarity 0, so nothing is left out. A multi-index over
 radius + 1 blocks of bits finds all items of that window's length within the radius (two
-fingerprints that differ in at most `radius` bits agree in a block), and the weighted similarity of
-window and item decides.
+fingerprints that differ in at most `radius` bits agree in a block), and the similarity of window and
+item decides: the weighted or the plain one, whichever is larger, so an item that shares its passages
+with others is not held to more than one that does not. Each has fingerprints of its own.
 
 The benchmark is read by the driver in bounded chunks, each of which goes to the executors with its
-scan; documents are never moved.
+scan; documents are never moved. How many distinct texts of the whole benchmark hold a shingle is
+counted before it is cut, so no verdict depends on what shares a chunk. Every chunk has the shingles
+of more than one text with it, 16 bytes for each.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -42,24 +46,32 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
+_NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
 class Benchmark:
     """Items with their shingles and weights, and the multi-index of their fingerprints."""
 
-    def __init__(self, ids: list[int], texts: pa.Array, size: int, radius: int):
+    def __init__(self, ids: list[int], texts: pa.Array, size: int, radius: int, shared: tuple[np.ndarray, np.ndarray] = _NONE):
+        """`shared`: shingles that several distinct texts of the whole benchmark hold, ascending, and how many hold each."""
         raw, bounds = text_bytes(texts)
         words = Words(raw, bounds, PUNCTUATION)
         shingles, first = words.shingles(size)
         self.size, self.radius, self.lengths = size, radius, words.counts()
         self.ids = np.array(ids, np.int64)
-        self.vocabulary, place = np.unique(shingles, return_inverse=True)
+        self.vocabulary = np.unique(np.concatenate([shingles, shared[0]]))
+        place = np.searchsorted(self.vocabulary, shingles)
         owners = np.repeat(np.arange(len(ids)), np.diff(first))
         pairs = np.unique(np.stack([place, owners]), axis=1) if len(place) else np.zeros((2, 0), np.int64)
-        spread = np.bincount(pairs[0], minlength=len(self.vocabulary))
-        #: A shingle of one item weighs 1; one that many share, less, but never nothing.
-        self.weights = 1 / (1 + np.log(np.maximum(spread, 1)))
+        held = np.bincount(pairs[0], minlength=len(self.vocabulary))
+        spread = np.ones(len(self.vocabulary))
+        spread[np.searchsorted(self.vocabulary, shared[0])] = shared[1]
+        #: A shingle of one text weighs 1; one that many share, less, but never nothing.
+        self.weights = 1 / (1 + np.log(spread))
         order = np.argsort(pairs[0], kind="stable")
-        self.holders, self.holder_bounds = pairs[1][order], np.concatenate([[0], np.cumsum(spread)]).astype(np.int64)
-        self.prints = np.zeros(len(ids), np.uint64)
+        self.weighted = bool((spread > 1).any())
+        self.holders, self.holder_bounds = pairs[1][order], np.concatenate([[0], np.cumsum(held)]).astype(np.int64)
+        self.prints, self.plain_prints = np.zeros((2, len(ids)), np.uint64)
         self.counts: list[dict[int, int]] = []
         signs = bit_signs(self.vocabulary)
         for i in range(len(ids)):
@@ -67,6 +79,7 @@ class Benchmark:
             self.counts.append(dict(zip(*(x.tolist() for x in np.unique(own, return_counts=True)))))
             if len(own):
                 self.prints[i] = fingerprints((signs[own] * self.weights[own, None]).sum(axis=0, keepdims=True))[0]
+                self.plain_prints[i] = fingerprints(signs[own].sum(axis=0, keepdims=True))[0]
         #: Items of fewer words than a shingle: one run of words each, equal or not, by length and hash.
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i in np.flatnonzero((self.lengths > 0) & (self.lengths < size)).tolist():
@@ -74,28 +87,43 @@ class Benchmark:
         self.short = {n: dict(table) for n, table in self.short.items()}
         edges = np.linspace(0, BITS, radius + 2).astype(int)
         self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:])]
+        self.index, self.plain_index = self._indexed(self.prints), self._indexed(self.plain_prints)
+
+    def _indexed(self, prints: np.ndarray) -> dict[tuple[int, int, int], np.ndarray]:
         index: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for i, mark in enumerate(self.prints.tolist()):
+        for i, mark in enumerate(prints.tolist()):
             for k, (shift, mask) in enumerate(self.blocks):
                 index[int(self.lengths[i]), k, mark >> shift & mask].append(i)
-        self.index = {key: np.array(items) for key, items in index.items()}
+        return {key: np.array(items) for key, items in index.items()}
 
-    def within(self, mark: int, length: int) -> np.ndarray:
-        """Items of this length whose fingerprints differ in at most `radius` bits."""
-        found = [items for k, (shift, mask) in enumerate(self.blocks) if (items := self.index.get((length, k, mark >> shift & mask))) is not None]
+    def within(self, mark: int, length: int, plain: bool = False) -> np.ndarray:
+        """Items of this length whose fingerprints (weighted, or plain) differ in at most `radius` bits."""
+        index, prints = (self.plain_index, self.plain_prints) if plain else (self.index, self.prints)
+        found = [items for k, (shift, mask) in enumerate(self.blocks) if (items := index.get((length, k, mark >> shift & mask))) is not None]
         if not found:
             return np.zeros(0, np.int64)
         near = np.unique(np.concatenate(found))
-        return near[np.bitwise_count(self.prints[near] ^ np.uint64(mark)) <= self.radius]
+        return near[np.bitwise_count(prints[near] ^ np.uint64(mark)) <= self.radius]
 
     def similarity(self, item: int, window: np.ndarray, other_weight: float = 1.0) -> float:
-        """Weighted Jaccard of multisets: `window` has places in the vocabulary, -1 for other shingles."""
+        """Jaccard of multisets, weighted or plain, the larger: `window` has places in the vocabulary, -1 for other shingles."""
         have = dict(zip(*(x.tolist() for x in np.unique(window, return_counts=True))))
-        extra = have.pop(-1, 0) * other_weight
+        unknown = have.pop(-1, 0)
         want = self.counts[item]
-        low = sum(self.weights[s] * min(n, have.get(s, 0)) for s, n in want.items())
-        high = extra + sum(self.weights[s] * max(want.get(s, 0), have.get(s, 0)) for s in want.keys() | have.keys())
-        return low / high if high else 0.0
+        every = want.keys() | have.keys()
+        # exact sums, as the order of places differs from chunk to chunk
+        low = math.fsum(self.weights[s] * min(n, have.get(s, 0)) for s, n in want.items())
+        high = math.fsum([unknown * other_weight, *(self.weights[s] * max(want.get(s, 0), have.get(s, 0)) for s in every)])
+        plain_low = sum(min(n, have.get(s, 0)) for s, n in want.items())
+        plain_high = unknown + sum(max(want.get(s, 0), have.get(s, 0)) for s in every)
+        return max(low / high, plain_low / plain_high) if plain_high else 0.0
+
+
+def windows(signed: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of the windows of `width` rows that begin at these rows."""
+    sums = np.zeros((len(signed) + 1, BITS))
+    np.cumsum(signed, axis=0, out=sums[1:])
+    return fingerprints(np.round(sums[begin + width] - sums[begin], 9))
 
 
 def _search(benchmark: Benchmark, least: float, clean_at: int | None = None):
@@ -128,13 +156,15 @@ def _search(benchmark: Benchmark, least: float, clean_at: int | None = None):
                     continue
                 low, high = int(some[0]), int(some[-1]) + width
                 here = places[low:high]
+                signs = bit_signs(shingles[low:high])
                 weights = np.where(here >= 0, benchmark.weights[here], 1.0)
-                sums = np.zeros((high - low + 1, BITS))
-                np.cumsum(bit_signs(shingles[low:high]) * weights[:, None], axis=0, out=sums[1:])
-                marks = fingerprints(np.round(sums[some - low + width] - sums[some - low], 9))
-                for start, mark in zip(some.tolist(), marks.tolist()):
+                marks = [windows(signs, some - low, width)]
+                if benchmark.weighted:
+                    marks = [windows(signs * weights[:, None], some - low, width), *marks]
+                for at, start in enumerate(some.tolist()):
+                    near = {item for k, m in enumerate(reversed(marks)) for item in benchmark.within(int(m[at]), length, plain=k == 0).tolist()}
                     window = places[start : start + width]
-                    for item in benchmark.within(mark, length).tolist():
+                    for item in sorted(near):
                         if not members[item].isdisjoint(window.tolist()):
                             value = benchmark.similarity(item, window)
                             if value >= least and (item not in best or (-value, start) < (-best[item][0], best[item][1])):
@@ -201,6 +231,26 @@ def _union(spans: list[tuple[int, int]]) -> np.ndarray:
     return ranges(np.array([a for a, _ in merged]), np.array([b - a for a, b in merged])) if merged else np.zeros(0, np.int64)
 
 
+def _texts_of_shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, block in word_blocks(batch.column(0), PUNCTUATION):
+                shingles, bounds = block.shingles(size)
+                # equal sequences of words are one text, however they are written
+                yield pa.RecordBatch.from_arrays([pa.array(block.counts(), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64)))], names=["n", "shingles"])
+
+    return run
+
+
+def shared_shingles(benchmark: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several distinct texts of the benchmark hold, ascending, and how many texts hold each."""
+    texts = benchmark.filter("text is not null and item_id is not null").select("text").mapInArrow(_texts_of_shingles(size), "n long, shingles array<long>").distinct()
+    found = texts.select(F.explode(F.array_distinct("shingles")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").toArrow()
+    h, n = found["h"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
 def _chunks(benchmark: DataFrame, chunk_words: int) -> Iterator[tuple[list[int], pa.Array]]:
     """The benchmark in pieces of bounded size, one partition of it at a time on the driver."""
     items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
@@ -228,9 +278,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, words:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
-    out = None
+    out, shared = None, shared_shingles(benchmark, words)
     for ids, texts in _chunks(benchmark, chunk_words):
-        part = docs.mapInArrow(_search(Benchmark(ids, texts, words, radius), least), schema)
+        part = docs.mapInArrow(_search(Benchmark(ids, texts, words, radius, shared), least), schema)
         out = part if out is None else out.union(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -239,7 +289,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, words:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, words: int = 5, radius: int = RADIUS, chunk_words: int = CHUNK_WORDS, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that hold no passage of the benchmark, unchanged; see find_leaks."""
-    at = docs.columns.index(text_col)
+    at, shared = docs.columns.index(text_col), shared_shingles(benchmark, words)
     for ids, texts in _chunks(benchmark, chunk_words):
-        docs = docs.mapInArrow(_search(Benchmark(ids, texts, words, radius), least, at), docs.schema)
+        docs = docs.mapInArrow(_search(Benchmark(ids, texts, words, radius, shared), least, at), docs.schema)
     return docs

@@ -81,6 +81,29 @@ def test_leaks_against_brute_force(spark, leaks):
     assert find_leaks(d, b.limit(0)).count() == 0 and find_leaks(d.limit(0), b).count() == 0
 
 
+def test_repeated_and_shared_items_in_any_chunks(spark):
+    """Near copies (plain similarity 50/60) of an item in 10 rows, of items that share a passage, and the same verdicts by chunks."""
+    rng = random.Random(4)
+    text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    repeated, passage, unlike = text(59), text(29), text(59)
+    sharing = [passage + text(30) for _ in range(6)]
+    items = [(k, " ".join(repeated).upper() if k % 2 else " ".join(repeated)) for k in range(10)]
+    items += [(20 + k, " ".join(w)) for k, w in enumerate(sharing)] + [(40, " ".join(unlike))]
+    docs = []
+    for k, (w, at) in enumerate([(repeated, 29), *((w, 40) for w in sharing), (sharing[0], 12), (unlike, 29)]):
+        docs.append((k, " ".join([*text(20), *w[:at], "changed", *w[at + 1 :], *text(15)])))
+    d = spark.createDataFrame(docs + [(99, " ".join(text(90)))], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, k) for k in range(10)} | {(1 + k, 20 + k) for k in range(6)} | {(7, 20), (8, 40)}
+    seen = []
+    for chunk in (10**6, 130, 1):
+        found = {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 9)) for r in find_leaks(d, b, chunk_words=chunk).collect()}
+        assert want <= set(found) and all(found[k][0] == 20 and found[k][1] >= 0.833 for k in want)
+        seen.append(found)
+        assert [r.doc_id for r in decontaminate(d, b, chunk_words=chunk).collect()] == [99]
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_hamming_blocks_miss_nothing():
     import pyarrow as pa
 
