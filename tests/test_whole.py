@@ -102,3 +102,8 @@ def test_popular_items_couple_their_holders(spark, tmp_path):
     spark.createDataFrame([(h, 1) for h in range(60)] + [(60, 2), (61, 2)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     edges = QUERIES["coinclusion_edges"](spark, str(tmp_path)).collect()
     assert len(edges) == 60 * 59 // 2 + 1 and {r.weight for r in edges} == {round(math.log(62 / 60), 6), round(math.log(31), 6)}
+
+
+def test_the_sweep_is_whole(spark):
+    runs = QUERIES["community_sweep"](spark, SF).collect()
+    assert {(r.resolution, r.seed) for r in runs} == {(g, s) for g in (0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0) for s in range(1, 13)} and len(runs) == 84
