@@ -122,8 +122,12 @@ def long_signer(words: int):
         for batch in batches:
             for first, last, block in word_blocks(batch.column(1)):
                 hashes, bounds = distinct(*block.shingles(words))
-                signature = pack(minima(hashes, bounds, LONG_LANES))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(signature, np.diff(bounds), LONG_LANES // 16)], names=["id", "signature"])
+                some = np.flatnonzero(np.diff(bounds))  # an id may have a row without words besides
+                if not len(some):
+                    continue
+                signature = pack(minima(hashes, np.append(bounds[:-1][some], bounds[-1]), LONG_LANES))
+                ids = batch.column(0).slice(first, last - first).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([ids, _lists(signature, np.diff(bounds)[some], LONG_LANES // 16)], names=["id", "signature"])
 
     return run
 

@@ -62,6 +62,38 @@ def test_large_bucket_is_whole(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, least=(85, 100)).collect()} == want
 
 
+def test_ids_that_repeat_without_words(spark):
+    """Members of a bucket whose ids also have null, empty and blank rows: no link is lost, by pairs and by tiles."""
+    rng = random.Random(6)
+    for copies in (12, 80):
+        base = [f"w{i}" for i in range(120)]
+        rows = []
+        for k in range(copies):
+            w = list(base)
+            for _ in range(rng.randrange(1, 8)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((k, " ".join(w)))
+            if k % 2:
+                rows.append((k, (None, "", " \n")[k % 3]))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        want = brute(rows, 85, 100)
+        got = near_duplicates(docs, least=(85, 100)).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+
+
+def test_long_signer_passes_over_rows_without_words():
+    import pyarrow as pa
+
+    from tessera.llm.near_dedup import long_signer
+
+    full = ["a b c d e f g", "h i j k l m n o"]
+    sign = lambda ids, texts: [r for b in long_signer(5)(iter([pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])])) for r in b.to_pylist()]
+    want = sign([1, 2], full)
+    assert [len(r["signature"]) for r in want] == [48, 48]
+    assert sign([1, 1, 2, 2], [full[0], None, full[1], " "]) == want and sign([2, 1, 2], ["", *full]) == want
+    assert sign([1], [None]) == []
+
+
 def test_empty_and_keep_one(odd_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0 and keep_one(no_docs).count() == 0
     want = brute([(r.doc_id, r.text) for r in odd_docs.collect()], 4, 5)
