@@ -147,6 +147,19 @@ def test_quality_held_out(spark, odd_docs, no_docs):
     assert {round(r.score, 9) for r in quality.score_quality(docs, nothing).collect()} == {0.5}
 
 
+def test_quality_reads_whole_documents(spark, monkeypatch):
+    """A document of 300 lines is trained on by all of them, in the field and in its evidence."""
+    rows = [(k, "\n".join(f"line {i} of {k}." for i in range(300 if k == 1 else 3))) for k in range(1, 12)]
+    held_out = {k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, weight, first, labels: seen.append((len(x), len(weight), np.diff(first).tolist())))
+    quality.train(docs, labels)
+    want = [300 if k == 1 else 3 for k, _ in rows if k not in held_out]
+    assert 300 in want and seen == [(sum(want), sum(want), want)]
+
+
 def test_forward_backward_against_all_labellings():
     import itertools
 
