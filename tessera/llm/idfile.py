@@ -8,8 +8,9 @@ A file is a run of segments, each followed by a line feed. A segment:
     planes of all chunks
 
 All numbers are little-endian. A chunk keeps the planes up to its largest id's highest bit (byte), so
-small ids take few. Segments are bounded, so that writers and readers hold one at a time, and a
-chunk can be read alone by its place.
+small ids take few. Segments are bounded in ids, so writers hold one at a time, and a chunk can be
+read alone by its place. A file ends after FILE_SEGMENTS segments, some 60 MB, so that readers, which
+get a file as one value, hold that much. (A text of more ids than a segment's makes a longer one.)
 
 Files are written by Spark's own committer (a text file without encoding), so they go to any store,
 whole or not at all, and are read again as binary files.
@@ -34,7 +35,7 @@ from .tokens import encoder, with_end
 MAGIC, VERSION = b"TIDP", 1
 HEAD = struct.Struct("<4sIQQQIIQ")
 BLOCK = 1 << 16
-SEGMENT_IDS = 4 << 20
+SEGMENT_IDS, FILE_SEGMENTS = 4 << 20, 8
 BITS, BYTES = 1, 8
 
 
@@ -130,11 +131,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
         definition = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(_segments(definition, end_id, block, kind), "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(path)
+    ordered.mapInArrow(_segments(definition, end_id, block, kind), "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
-def segments_of(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    view, at = memoryview(content), 0
+def segments_of(content) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    view, at = memoryview(content).cast("B"), 0
     while at < len(view):
         keys, counts, ids, length = decode_segment(view[at:])
         yield keys, counts, ids
@@ -146,7 +147,7 @@ def _documents(with_ids: bool):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 before = row = 0
-                for keys, counts, ids in segments_of(content.as_buffer().to_pybytes()):
+                for keys, counts, ids in segments_of(content.as_buffer()):
                     flat = np.ascontiguousarray(ids, "<u4")
                     ends = np.cumsum(counts)
                     view = memoryview(flat).cast("B")
@@ -170,10 +171,17 @@ def read_ids(docs_session, path: str, with_ids: bool = True) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(_documents(with_ids), schema)
 
 
+def file_order(name: str = "file") -> list:
+    """Columns that order files as they were written: by the task's number, then by the file's number in it."""
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"), F.regexp_extract(name, r"-c(\d+)", 1).cast("long")]
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document, from files written for this and read back.
 
-    `start` counts the ids of all documents before it in ascending order of id. An empty table gives no rows.
+    `start` counts the ids of all documents before it in ascending order of id (null first, rows of one id in order of
+    text). Null and empty texts are the end id alone, very long texts are written whole; other columns are ignored. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-ids")
@@ -182,5 +190,5 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     found = scratch.table(read_ids(spark, path, with_ids=False), "documents")
     # one row for each file: what stands before a file in the files' order
     sums = found.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    before = sums.select("file", F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = sums.select("file", F.coalesce(F.sum("ids").over(Window.orderBy(*file_order()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return found.join(before, "file").select(F.col("doc_id").alias(id_col), (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")

@@ -120,7 +120,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     A document is the tokenizer's ids of the whole text, then `end_id`; null and empty texts are the end
     id alone. `start` counts the document's ids before the piece, `offset` the sequence's. Documents of
     one cost keep the input's order. Rows that share an id are documents of their own, null ids stay null.
-    An empty table gives no pieces; other columns are ignored. sequence_id is the input's partition
+    A very long text gives whole sequences and a rest. An empty table gives no pieces; other columns are ignored. sequence_id is the input's partition
     in the upper 32 bits and a number in it; sequences are to be padded to `capacity`.
     """
     with open(tokenizer_path, encoding="utf-8") as f:

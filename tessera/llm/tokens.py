@@ -3,8 +3,9 @@
 A text is cut where no token can cross, judged from the tokenizer's own definition: for byte-level
 BPE before a single space and around a single line feed between other characters; for tokenizers
 that drop white space, at white space. Pieces are known by a 64-bit hash in a bounded table, so only
-pieces that the table lacks reach the library. Texts with other white space than ASCII, where cuts
-would not be safe, and tokenizers of other kinds are encoded whole.
+pieces that the table lacks reach the library. Texts with other white space than ASCII or with the
+string of an added token, where cuts would not be safe, and tokenizers of other kinds are encoded whole.
+Ids are those of the untouched library: the string of a special token in a text gives that token.
 """
 
 from __future__ import annotations
@@ -36,13 +37,17 @@ def cutting(definition: dict) -> str:
 
 
 class Encoder:
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, special_as_text: bool = False):
+        """`special_as_text`: special tokens' strings in a text are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.rule = cutting(json.loads(definition))
+        self.tokenizer.encode_special_tokens = special_as_text
+        known = json.loads(definition)
+        added = known.get("added_tokens") or []
+        self.rule = "never" if any(t.get("normalized") for t in added) else cutting(known)
+        self.added = [t["content"].encode() for t in added]
         self._clear()
 
     def _clear(self) -> None:
@@ -65,6 +70,9 @@ class Encoder:
             begins, finishes = ~space, ~space
             begins[1:] &= space[:-1] | cut[1:-1]
             finishes[:-1] &= space[1:] | cut[1:-1]
+            for a, b in self._whole(raw, bounds):
+                begins[a:b] = finishes[a:b] = False
+                begins[a] = finishes[b - 1] = True
             return np.flatnonzero(begins), np.flatnonzero(finishes) + 1
         lone = np.zeros(len(raw), bool)
         if self.rule == "space":
@@ -78,10 +86,26 @@ class Encoder:
                 part = raw[a:b]
                 if ((part == LATIN) | (part >= OTHER_LEADS[0]) & (part <= OTHER_LEADS[2])).any() and any(s in part.tobytes().decode() for s in WIDE_SPACES):
                     begins[a:b] = False
+        for a, b in self._whole(raw, bounds):
+            begins[a:b] = False
         begins[bounds[:-1][np.diff(bounds) > 0]] = True
         starts = np.flatnonzero(begins)
         return starts, np.append(starts[1:], len(raw))
 
+    def _whole(self, raw: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """Bounds of the texts that hold the string of an added token."""
+        data, found = raw.tobytes(), set()
+        for string in self.added:
+            at = data.find(string)
+            while at >= 0:
+                k = int(np.searchsorted(bounds, at, "right"))
+                if at + len(string) <= bounds[k]:
+                    found.add((int(bounds[k - 1]), int(bounds[k])))
+                    at = data.find(string, int(bounds[k]))
+                else:
+                    at = data.find(string, at + 1)
+        return sorted(found)
+
     def _block(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.idfile import BITS, BYTES, decode_segment, encode_segment, round_trip
+from tessera.llm.idfile import BITS, BYTES, decode_segment, encode_segment, file_order, round_trip
 from tessera.llm.packing import cost, pack, pack_documents
 from tessera.llm.tokens import Encoder
 
@@ -19,14 +19,12 @@ FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 def both(request):
     path = public_tokenizers.path(request.param)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         return library, Encoder(f.read())
 
 
 def library_ids(file, texts):
     t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -44,6 +42,52 @@ def test_same_as_library(both, texts):
     assert ids_of(encoder, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+SPECIAL = ["hello <|endoftext|> world", "<|endoftext|>", "a\n<|endoftext|>\nb  c", " <|startoftext|>x<|endoftext|> ", "<|endoftext", "|>plain", "two <|EndOfText|> cases", "x <|endoftext|><|endoftext|> y", ""]
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "endoftext|>", " ", "  ", "\n", "word", "é", "\u3000", "'s"]), max_size=12).map("".join), min_size=1, max_size=6))
+def test_special_strings_as_in_the_untouched_library(both, texts):
+    library, encoder = both
+    for some in (texts, SPECIAL):
+        assert ids_of(encoder, some) == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
+def test_special_strings_as_text():
+    path = public_tokenizers.path(FILES[0])
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    with open(path, encoding="utf-8") as f:
+        assert ids_of(Encoder(f.read(), special_as_text=True), SPECIAL) == [e.ids for e in library.encode_batch(SPECIAL, add_special_tokens=False)]
+
+
+def test_files_in_order_of_number(spark):
+    names = ["part-100000-u-c000.txt", "part-99999-u-c001.txt", "part-99999-u-c000.txt", "part-00002-u-c010.txt", "part-00002-u-c9.txt"]
+    got = [r.file for r in spark.createDataFrame([(n,) for n in names], "file string").orderBy(*file_order()).collect()]
+    assert got == ["part-00002-u-c9.txt", "part-00002-u-c010.txt", "part-99999-u-c000.txt", "part-99999-u-c001.txt", "part-100000-u-c000.txt"]
+
+
+def test_pack_takes_the_cheapest_sequence_with_room():
+    """The rule by plain lists: descending documents, each to the lowest cost that has room, else cut over the lowest costs."""
+    rng = np.random.default_rng(9)
+    for capacity in (16, 100):
+        lengths = rng.integers(1, 2 * capacity, 150)
+        pieces, costs = pack(lengths, capacity)
+        n_full = sum(n // capacity for n in lengths.tolist())
+        rests = sorted(((n % capacity, d) for d, n in enumerate(lengths.tolist()) if n % capacity), key=lambda r: (-r[0], r[1]))
+        filled = [0] * -(-sum(n for n, _ in rests) // capacity)
+        paid, want = [0.0] * len(filled), []
+        for n, d in rests:
+            start = int(lengths[d]) // capacity * capacity
+            room = [s for s in range(len(filled)) if filled[s] + n <= capacity]
+            while n:
+                s = min(room or [s for s in range(len(filled)) if filled[s] < capacity], key=lambda s: paid[s])
+                part = min(n, capacity - filled[s])
+                want.append((d, start, part, n_full + s, filled[s]))
+                filled[s], paid[s], start, n = filled[s] + part, paid[s] + cost(part), start + part, n - part
+        assert sorted(p for p in pieces if p[3] >= n_full) == sorted(want) and np.allclose(costs[n_full:], paid)
+
+
 def test_pack_properties():
     rng = np.random.default_rng(4)
     lengths = rng.integers(1, 3000, 400)
