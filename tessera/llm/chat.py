@@ -51,11 +51,11 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame, template: tuple[str, str, str] = TEMPLATE) -> DataFrame:
-    """(conv_id, rendered): all turns in order, each as opening, role, separator, text, closing."""
+    """(conv_id, n_turns, rendered): all turns in order, each as opening, role, separator, text, closing."""
     opening, separator, closing = template
     listed = F.array_sort(F.collect_list(F.struct("turn", "role", "t1", "t2", "text")))
     shown = F.transform(listed, lambda t: F.concat(F.lit(opening), t["role"], F.lit(separator), t["text"], F.lit(closing)))
-    return _turns(turns).withColumn("turn", F.coalesce("turn", F.lit(-(1 << 63)))).groupBy("conv_id").agg(F.array_join(shown, "").alias("rendered"))
+    return _turns(turns).withColumn("turn", F.coalesce("turn", F.lit(-(1 << 63)))).groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(shown, "").alias("rendered"))
 
 
 def format_chats(turns: DataFrame, template: tuple[str, str, str] = TEMPLATE) -> DataFrame:
@@ -63,10 +63,10 @@ def format_chats(turns: DataFrame, template: tuple[str, str, str] = TEMPLATE) ->
 
     Turns are ordered by number (null first), then role and text hashes, so ties have one order;
     repeated rows are repeated turns. Null roles and texts are empty. Rows without a conv_id belong
-    to no conversation and are ignored; other columns are ignored. No rows give no rows.
+    to no conversation and are ignored; other columns are ignored. Very long texts are rendered whole. No rows give no rows.
     """
-    kept = maximal_conversations(turns)
-    return render(turns.join(kept.select("conv_id"), "conv_id", "left_semi"), template).join(kept, "conv_id").select("conv_id", "n_turns", "rendered")
+    kept = maximal_conversations(turns).select("conv_id")
+    return render(turns.join(kept.hint("merge"), "conv_id", "left_semi"), template)  # ids grow with the input: never broadcast
 
 
 ORACLE = """
