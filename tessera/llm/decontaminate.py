@@ -1,12 +1,16 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact verification.
 
-Every benchmark item has weighted word shingles (rare ones of the benchmark weigh more) and a 64-bit
+Every benchmark item has weighted word shingles (rare ones of the benchmark weigh more) and a 256-bit
 SimHash. In a document, every window of an item's length that shares a shingle with the item is
-fingerprinted; a window without one has similarity 0, so nothing is left out. A multi-index over
-radius + 1 blocks of bits finds all items of that window's length within the radius (two
-fingerprints that differ in at most `radius` bits agree in a block), and the similarity of window and
-item decides: the weighted or the plain one, whichever is larger, so an item that shares its passages
-with others is not held to more than one that does not. Each has fingerprints of its own.
+fingerprinted; a window without one has similarity 0, so nothing is left out. A multi-index over 8
+blocks of 32 bits finds all items of that window's length within the radius: two fingerprints that
+differ in at most `radius` bits differ in at most radius // 8 of some block, and a block's distinct
+values within that are found by bit counts; of unlike items less than 3 % pass. The similarity of
+window and item decides: the weighted or the plain one, whichever is larger, so an item that shares its
+passages with others is not held to more than one that does not. Each has fingerprints of its own. The
+weighted ones sum the shingles' signs by the square roots of their weights, so that the angle between
+two fingerprints' sums follows the weighted similarity. Items in which a shingle repeats, where it
+does not, are verified wherever a window shares a shingle with them.
 
 The benchmark is read by the driver in bounded chunks, each of which goes to the executors with its
 scan; documents are never moved. How many distinct texts of the whole benchmark hold a shingle is
@@ -25,98 +29,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import PUNCTUATION, Words, mix, ranges, text_bytes, word_blocks
+from .words import PUNCTUATION, Words, mix, ranges, word_blocks
 
-BITS = 64
-#: A window at similarity 0.8 differs from the item in 9.7 bits on average, standard deviation 2.9.
-RADIUS = 23
+BITS, BLOCK_BITS = 256, 32
+#: A window at similarity 0.8 differs from the item in 38.8 bits on average, standard deviation 5.7; this is 4.6 of them more.
+RADIUS = 65
 #: Words of benchmark text that are sent to the executors at once; a longer benchmark takes several scans.
-CHUNK_WORDS = 4_000_000
-#: Positions of windows fingerprinted at once.
-WINDOWS_AT_ONCE = 1 << 14
+CHUNK_WORDS = 1_000_000
+#: Positions of windows fingerprinted at once, and comparisons of block values.
+WINDOWS_AT_ONCE, COMPARED_AT_ONCE = 1 << 12, 1 << 22
+_PARTS = np.array([0x0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
 def bit_signs(hashes: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each hash."""
-    bits = np.unpackbits(np.ascontiguousarray(mix(hashes)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """+1 or -1 for each bit of each hash's 256."""
+    wide = mix(np.ascontiguousarray(hashes)[:, None] + _PARTS)
+    bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
     return bits.astype(np.float64) * 2 - 1
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    """Four 64-bit integers for each row of sums."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)
 
 
 _NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
+class Index:
+    """Fingerprints of items of one length: by blocks, the distinct values and each item's place among them."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray):
+        self.items, self.prints = items, prints
+        self.blocks = [np.unique(values, return_inverse=True) for values in np.ascontiguousarray(prints).view(np.uint32).T]
+
+    def candidates(self, marks: np.ndarray, radius: int) -> np.ndarray:
+        """Whether some block of a mark (row) lies within the radius' share of an item's (column)."""
+        out = np.zeros((len(marks), len(self.items)), bool)
+        for (values, place), own in zip(self.blocks, np.ascontiguousarray(marks).view(np.uint32).T):
+            near = np.bitwise_count(values ^ own[:, None]) <= radius // (BITS // BLOCK_BITS)
+            if near.any():
+                out |= near[:, place]
+        return out
+
+    def within(self, marks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a mark and an item that differ in at most `radius` bits."""
+        rows, items = [], []
+        for a in range(0, len(marks), step := max(1, COMPARED_AT_ONCE // len(self.items))):
+            w, i = np.nonzero(self.candidates(marks[a : a + step], radius))
+            close = np.bitwise_count(marks[a + w] ^ self.prints[i]).sum(axis=1, dtype=np.int64) <= radius
+            rows.append(a + w[close])
+            items.append(self.items[i[close]])
+        return np.concatenate(rows), np.concatenate(items)
+
+
 class Benchmark:
     """Items with their shingles and weights, and the multi-index of their fingerprints."""
 
     def __init__(self, ids: list[int], texts: pa.Array, size: int, radius: int, shared: tuple[np.ndarray, np.ndarray] = _NONE):
         """`shared`: shingles that several distinct texts of the whole benchmark hold, ascending, and how many hold each."""
-        raw, bounds = text_bytes(texts)
-        words = Words(raw, bounds, PUNCTUATION)
-        shingles, first = words.shingles(size)
-        self.size, self.radius, self.lengths = size, radius, words.counts()
-        self.ids = np.array(ids, np.int64)
+        parts = [(block.counts(), *block.shingles(size)) for _, _, block in word_blocks(texts, PUNCTUATION)]
+        shingles = np.concatenate([np.zeros(0, np.uint64), *(x for _, x, _ in parts)])
+        held = np.concatenate([np.zeros(0, np.int64), *(np.diff(bounds) for *_, bounds in parts)])
+        self.lengths = np.concatenate([np.zeros(0, np.int64), *(n for n, *_ in parts)])
+        self.size, self.radius, self.ids = size, radius, np.array(ids, np.int64)
         self.vocabulary = np.unique(np.concatenate([shingles, shared[0]]))
-        place = np.searchsorted(self.vocabulary, shingles)
-        owners = np.repeat(np.arange(len(ids)), np.diff(first))
-        pairs = np.unique(np.stack([place, owners]), axis=1) if len(place) else np.zeros((2, 0), np.int64)
-        held = np.bincount(pairs[0], minlength=len(self.vocabulary))
         spread = np.ones(len(self.vocabulary))
         spread[np.searchsorted(self.vocabulary, shared[0])] = shared[1]
         #: A shingle of one text weighs 1; one that many share, less, but never nothing.
         self.weights = 1 / (1 + np.log(spread))
-        order = np.argsort(pairs[0], kind="stable")
         self.weighted = bool((spread > 1).any())
-        self.holders, self.holder_bounds = pairs[1][order], np.concatenate([[0], np.cumsum(held)]).astype(np.int64)
-        self.prints, self.plain_prints = np.zeros((2, len(ids)), np.uint64)
-        self.counts: list[dict[int, int]] = []
-        signs = bit_signs(self.vocabulary)
-        for i in range(len(ids)):
-            own = place[first[i] : first[i + 1]]
-            self.counts.append(dict(zip(*(x.tolist() for x in np.unique(own, return_counts=True)))))
-            if len(own):
-                self.prints[i] = fingerprints((signs[own] * self.weights[own, None]).sum(axis=0, keepdims=True))[0]
-                self.plain_prints[i] = fingerprints(signs[own].sum(axis=0, keepdims=True))[0]
+        first = np.concatenate([[0], np.cumsum(held)])
+        owners, place = np.repeat(np.arange(len(held)), held), np.searchsorted(self.vocabulary, shingles)
+        order = np.lexsort((place, owners))
+        owners, place = owners[order], place[order]
+        fresh = np.ones(len(place), bool)
+        fresh[1:] = (owners[1:] != owners[:-1]) | (place[1:] != place[:-1])
+        at = np.flatnonzero(fresh)
+        #: Each item's distinct shingles (places in the vocabulary, ascending), how often it has each, and items' bounds among them.
+        self.places, self.counts = place[at], np.diff(np.append(at, len(place)))
+        self.bounds = np.searchsorted(owners[at], np.arange(len(held) + 1))
+        order = np.argsort(self.places, kind="stable")
+        self.holders = owners[at][order]
+        self.holder_bounds = np.searchsorted(self.places[order], np.arange(len(self.vocabulary) + 1))
+        prints = np.zeros((2, len(held), BITS // 64), np.uint64)
+        for i in np.flatnonzero(held).tolist():
+            own = shingles[first[i] : first[i + 1]]
+            signs = bit_signs(own)
+            prints[0, i] = fingerprints(signs.sum(axis=0, keepdims=True))
+            if self.weighted:
+                prints[1, i] = fingerprints(np.round((signs * np.sqrt(self.weights[np.searchsorted(self.vocabulary, own)])[:, None]).sum(axis=0, keepdims=True), 9))
         #: Items of fewer words than a shingle: one run of words each, equal or not, by length and hash.
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i in np.flatnonzero((self.lengths > 0) & (self.lengths < size)).tolist():
             self.short[int(self.lengths[i])][int(shingles[first[i]])].append(i)
         self.short = {n: dict(table) for n, table in self.short.items()}
-        edges = np.linspace(0, BITS, radius + 2).astype(int)
-        self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:])]
-        self.index, self.plain_index = self._indexed(self.prints), self._indexed(self.plain_prints)
-
-    def _indexed(self, prints: np.ndarray) -> dict[tuple[int, int, int], np.ndarray]:
-        index: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for i, mark in enumerate(prints.tolist()):
-            for k, (shift, mask) in enumerate(self.blocks):
-                index[int(self.lengths[i]), k, mark >> shift & mask].append(i)
-        return {key: np.array(items) for key, items in index.items()}
-
-    def within(self, mark: int, length: int, plain: bool = False) -> np.ndarray:
-        """Items of this length whose fingerprints (weighted, or plain) differ in at most `radius` bits."""
-        index, prints = (self.plain_index, self.plain_prints) if plain else (self.index, self.prints)
-        found = [items for k, (shift, mask) in enumerate(self.blocks) if (items := index.get((length, k, mark >> shift & mask))) is not None]
-        if not found:
-            return np.zeros(0, np.int64)
-        near = np.unique(np.concatenate(found))
-        return near[np.bitwise_count(prints[near] ^ np.uint64(mark)) <= self.radius]
+        repeats = np.zeros(len(held), bool)
+        repeats[owners[at][self.counts > 1]] = True
+        #: For each length the indexes of its items, plain and (if any weigh less) weighted, and the items in which a shingle repeats.
+        self.index: dict[int, list[Index]] = {}
+        self.loose: dict[int, np.ndarray] = {}
+        for length in np.unique(self.lengths[self.lengths >= size]).tolist():
+            same = np.flatnonzero(self.lengths == length)
+            self.loose[length] = same[repeats[same]]
+            self.index[length] = [Index(same, kind[same]) for kind in prints[: 1 + self.weighted]]
+
+    def candidates(self, marks: list[np.ndarray], length: int) -> list[tuple[int, int]]:
+        """Pairs of a window and an item to verify, in order; `marks` are the windows' plain and weighted fingerprints."""
+        pairs = {p for index, own in zip(self.index[length], marks) for p in zip(*(x.tolist() for x in index.within(own, self.radius)))}
+        pairs.update((w, i) for i in self.loose[length].tolist() for w in range(len(marks[0])))
+        return sorted(pairs)
 
     def similarity(self, item: int, window: np.ndarray, other_weight: float = 1.0) -> float:
         """Jaccard of multisets, weighted or plain, the larger: `window` has places in the vocabulary, -1 for other shingles."""
-        have = dict(zip(*(x.tolist() for x in np.unique(window, return_counts=True))))
-        unknown = have.pop(-1, 0)
-        want = self.counts[item]
-        every = want.keys() | have.keys()
+        known = window[window >= 0]
+        unknown = len(window) - len(known)
+        have, n_have = np.unique(known, return_counts=True)
+        own = slice(self.bounds[item], self.bounds[item + 1])
+        want, n_want = self.places[own], self.counts[own]
+        every = np.union1d(want, have)
+        a, b = np.zeros((2, len(every)), np.int64)
+        a[np.searchsorted(every, want)], b[np.searchsorted(every, have)] = n_want, n_have
+        least, most, weights = np.minimum(a, b), np.maximum(a, b), self.weights[every]
+        if not least.any():
+            return 0.0
         # exact sums, as the order of places differs from chunk to chunk
-        low = math.fsum(self.weights[s] * min(n, have.get(s, 0)) for s, n in want.items())
-        high = math.fsum([unknown * other_weight, *(self.weights[s] * max(want.get(s, 0), have.get(s, 0)) for s in every)])
-        plain_low = sum(min(n, have.get(s, 0)) for s, n in want.items())
-        plain_high = unknown + sum(max(want.get(s, 0), have.get(s, 0)) for s in every)
-        return max(low / high, plain_low / plain_high) if plain_high else 0.0
+        weighted = math.fsum((weights * least).tolist()) / math.fsum([unknown * other_weight, *(weights * most).tolist()])
+        return max(weighted, int(least.sum()) / (unknown + int(most.sum())))
 
 
 def windows(signed: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
@@ -129,7 +168,6 @@ def windows(signed: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
 def _search(benchmark: Benchmark, least: float, clean_at: int | None = None):
     """Emits a row for each leak or, with `clean_at` (the text's column), the rows of the input that hold none."""
     size = benchmark.size
-    members = [set(c) for c in benchmark.counts]
 
     def document(shingles: np.ndarray, places: np.ndarray, n_words: int) -> dict[int, tuple[float, int]]:
         best: dict[int, tuple[float, int]] = {}
@@ -155,20 +193,16 @@ def _search(benchmark: Benchmark, least: float, clean_at: int | None = None):
                 if not len(some):
                     continue
                 low, high = int(some[0]), int(some[-1]) + width
-                here = places[low:high]
-                signs = bit_signs(shingles[low:high])
-                weights = np.where(here >= 0, benchmark.weights[here], 1.0)
+                here, signs = places[low:high], bit_signs(shingles[low:high])
                 marks = [windows(signs, some - low, width)]
                 if benchmark.weighted:
-                    marks = [windows(signs * weights[:, None], some - low, width), *marks]
-                for at, start in enumerate(some.tolist()):
-                    near = {item for k, m in enumerate(reversed(marks)) for item in benchmark.within(int(m[at]), length, plain=k == 0).tolist()}
-                    window = places[start : start + width]
-                    for item in sorted(near):
-                        if not members[item].isdisjoint(window.tolist()):
-                            value = benchmark.similarity(item, window)
-                            if value >= least and (item not in best or (-value, start) < (-best[item][0], best[item][1])):
-                                best[item] = (value, start)
+                    signs *= np.sqrt(np.where(here >= 0, benchmark.weights[here], 1.0))[:, None]
+                    marks.append(windows(signs, some - low, width))
+                for at, item in benchmark.candidates(marks, length):
+                    start = int(some[at])
+                    value = benchmark.similarity(item, places[start : start + width])
+                    if value >= least and (item not in best or (-value, start) < (-best[item][0], best[item][1])):
+                        best[item] = (value, start)
         return best
 
     def short(block: Words) -> dict[int, dict[int, tuple[float, int]]]:
@@ -274,7 +308,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, words:
     document where it is shorter. Words are runs of letters and digits, A-Z lower-cased. Items without
     words (null, empty) match nothing; items of fewer words than a shingle match as one shingle. Rows
     that share an id are searched each for itself, and items that share an id too. Rows without an id
-    keep null. No documents or no items give no rows; other columns are ignored.
+    keep null. No documents or no items give no rows; other columns are ignored. Very long texts are searched whole,
+    their windows in bounded runs.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
@@ -288,7 +323,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, words:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, words: int = 5, radius: int = RADIUS, chunk_words: int = CHUNK_WORDS, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no passage of the benchmark, unchanged; see find_leaks."""
+    """The rows of `docs` that hold no passage of the benchmark, unchanged; see find_leaks.
+
+    Null and empty texts hold none and stay; repeated rows are judged each for itself; null ids do not matter. No items: all stay.
+    """
     at, shared = docs.columns.index(text_col), shared_shingles(benchmark, words)
     for ids, texts in _chunks(benchmark, chunk_words):
         docs = docs.mapInArrow(_search(Benchmark(ids, texts, words, radius, shared), least, at), docs.schema)
