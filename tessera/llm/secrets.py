@@ -8,18 +8,21 @@ literal assigned to a harmless name is found when that name is later assigned to
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import text_bytes
+from .words import blocks, text_bytes
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -27,9 +30,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{32,}")
 
-_LITERAL = r'''"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z0-9_$][^\s"'`,;(){}\[\]<>|&*]*'''
-PAIR = re.compile(rf'''["']?([A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*({_LITERAL})''')
-MORE = re.compile(rf"[\x20\t]*\+[\x20\t]*({_LITERAL})")
+_LITERAL = r'''"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`|[A-Za-z0-9_$][^\s"'`,;(){}\[\]<>|&*]*+'''
+# A name is a whole run of name characters from its first letter on, so that no run is read twice.
+PAIR = re.compile(rf'''(?<![A-Za-z0-9_.-])[0-9.-]*+([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+({_LITERAL})''')
+MORE = re.compile(rf"[\x20\t]*+\+[\x20\t]*+({_LITERAL})")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -87,7 +91,7 @@ def lex(text: str) -> set[tuple[int, int]]:
             if score and weight + score >= FOUND_AT:
                 found.update(s for s in spans if s[1] > s[0])
         # what follows a bare word may itself be the name of the next pair
-        at = pair.start(2) if len(terms) == 1 and NAME.match(pair[2]) else max(end, pair.end(1) + 1)
+        at = pair.start(2) if len(terms) == 1 and NAME.match(pair[2]) else end
     return found
 
 
@@ -102,37 +106,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and these with the lexer's that no base span holds."""
     base = base_spans(text)
-    added = [(a, 3, b) for a, b in lex(text) if not any(s <= a and b <= e for s, _, e in base)] if "=" in text or ":" in text else []
-    return base, sorted(base + added)
+    if "=" not in text and ":" not in text:
+        return base, base
+    starts, ends = [s for s, *_ in base], list(accumulate((e for *_, e in base), max))
+    held = lambda a, b: (k := bisect.bisect_right(starts, a)) and ends[k - 1] >= b
+    return base, sorted(base + [(a, 3, b) for a, b in lex(text) if not held(a, b)])
 
 
 def say(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def suspects(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which texts can hold a span at all: an assignment sign, AKIA, or a run of 32 hexadecimal digits."""
-    n = len(bounds) - 1
-    marks = []
-    signs = np.flatnonzero((raw == 61) | (raw == 58))
-    marks.append(signs)
-    marks.append(_positions(raw, b"AKIA"))
-    digit = np.zeros(256, bool)
-    digit[[*range(48, 58), *range(97, 103)]] = True
-    other = np.flatnonzero(~digit[raw])
-    if len(raw):
-        edges = np.concatenate([[-1], other, [len(raw)]])
-        marks.append(edges[:-1][np.diff(edges) > 32] + 1)
-    hit = np.zeros(n, bool)
-    for m in marks:
-        hit[np.minimum(np.searchsorted(bounds, m, "right") - 1, max(n - 1, 0))] = True
-    # a run over several texts starts in the first of them only
-    if len(raw):
-        for a in marks[-1].tolist():
-            first = int(np.searchsorted(bounds, a, "right")) - 1
-            last = int(np.searchsorted(bounds, edges[np.searchsorted(edges, a, "right")] if a < len(raw) else a, "left"))
-            hit[first:last] = True
-    return hit
+_HEX_DIGIT = np.zeros(256, bool)
+_HEX_DIGIT[[*range(48, 58), *range(97, 103)]] = True
+
+
+def suspects(texts: pa.Array) -> list[int]:
+    """Which texts can hold a span at all: an assignment sign, AKIA, or 32 hexadecimal digits in a row. Bounded blocks at a time."""
+    raw, bounds = text_bytes(texts)
+    out = []
+    for first, last in blocks(bounds):
+        part, own = raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
+        if not len(part):
+            continue
+        digits = _HEX_DIGIT[part]
+        for step in (1, 2, 4, 8, 16):  # a position stays if `step` further ones, then twice as many, are digits
+            digits = digits[:-step] & digits[step:] if len(digits) > step else digits[:0]
+        at = np.concatenate([np.flatnonzero((part == 61) | (part == 58)), np.flatnonzero(digits), _positions(part, b"AKIA")])
+        # a run may go over several texts: it marks each in which it has 32 digits left, and at most a text too many
+        hit = np.zeros(last - first, bool)
+        hit[np.searchsorted(own, at, "right") - 1] = True
+        out += (first + np.flatnonzero(hit)).tolist()
+    return out
 
 
 def _positions(raw: np.ndarray, needle: bytes) -> np.ndarray:
@@ -147,7 +152,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
         counts, digests, spans = np.zeros((3, len(texts)), np.int64), [empty] * len(texts), [""] * len(texts)
-        for i in np.flatnonzero(suspects(*text_bytes(texts))).tolist():
+        for i in suspects(texts):
             base, every = all_spans(texts[i].as_py() or "")
             for _, kind, _ in base:
                 counts[kind][i] += 1
@@ -190,19 +195,25 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with secrets replaced by the mark in the text, and the text's length (if that column exists) made right; null texts stay null."""
+    """`docs` with secrets replaced by the mark in the text, and the text's length (if that column exists) made right.
+
+    Null texts stay null, empty ones empty, repeated rows and null ids are rows like others; no rows give no rows.
+    """
     at, has_length = docs.columns.index(text_col), length_col in docs.columns
     texts_kind = docs.schema[text_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
-            hits = np.flatnonzero(suspects(*text_bytes(texts))).tolist()
-            if hits:
-                new = texts.to_pylist()
-                for i in hits:
-                    new[i] = new[i] and redact(new[i], mark)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            new = {}
+            for i in suspects(texts):
+                if (text := texts[i].as_py()) and (safe := redact(text, mark)) != text:
+                    new[i] = safe
+            if new:
+                spots = np.zeros(len(texts), bool)
+                spots[list(new)] = True
+                changed = pa.array([new[i] for i in sorted(new)], texts.type)
+                batch = batch.set_column(at, batch.schema.field(at), pc.replace_with_mask(texts, pa.array(spots), changed))
             yield batch
 
     assert texts_kind.typeName() == "string"
