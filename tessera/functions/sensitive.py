@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,20 +17,22 @@ class Detector:
     pattern: str
     mark: str
     checked: bool = False
+    #: A match holds one of these; a text without any is not searched.
+    needs: tuple[str, ...] = ()
 
 
 # Names, categories, tiers, patterns and marks, in the order in which they apply.
 DETECTORS = (
-    Detector("Private key block", "Credential", 3, r"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[PRIVATE_KEY_REDACTED]"),
-    Detector("Cloud / API key", "Credential", 3, r"\b(?:sk-[A-Za-z0-9]{16,}|ghp_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z\-_]{20,})\b", "[API_KEY_REDACTED]"),
-    Detector("Connection string password", "Credential", 3, r"""(?i)\b(?:password|pwd|api[_-]?key|secret)\s*=\s*[^\s;"']{6,}""", "[SECRET_REDACTED]"),
-    Detector("Bearer / JWT token", "Credential", 3, r"\beyJ[A-Za-z0-9\-_]{8,}\.[A-Za-z0-9\-_]{8,}\.[A-Za-z0-9\-_]{8,}\b", "[TOKEN_REDACTED]"),
+    Detector("Private key block", "Credential", 3, r"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[PRIVATE_KEY_REDACTED]", needs=("-----",)),
+    Detector("Cloud / API key", "Credential", 3, r"\b(?:sk-[A-Za-z0-9]{16,}|ghp_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z\-_]{20,})\b", "[API_KEY_REDACTED]", needs=("sk-", "ghp_", "AKIA", "AIza")),
+    Detector("Connection string password", "Credential", 3, r"""(?i)\b(?:password|pwd|api[_-]?key|secret)\s*=\s*[^\s;"']{6,}""", "[SECRET_REDACTED]", needs=("=",)),
+    Detector("Bearer / JWT token", "Credential", 3, r"\beyJ[A-Za-z0-9\-_]{8,}\.[A-Za-z0-9\-_]{8,}\.[A-Za-z0-9\-_]{8,}\b", "[TOKEN_REDACTED]", needs=("eyJ",)),
     Detector("Payment card number", "Financial PII", 3, r"\b(?:\d[ -]?){13,19}\b", "[PAN_REDACTED]", checked=True),
-    Detector("US national ID pattern", "Sensitive PII", 3, r"\b\d{3}-\d{2}-\d{4}\b", "[NATIONAL_ID_REDACTED]"),
-    Detector("Email address", "PII", 2, r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[EMAIL_REDACTED]"),
+    Detector("US national ID pattern", "Sensitive PII", 3, r"\b\d{3}-\d{2}-\d{4}\b", "[NATIONAL_ID_REDACTED]", needs=("-",)),
+    Detector("Email address", "PII", 2, r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[EMAIL_REDACTED]", needs=("@",)),
     Detector("Phone number", "PII", 2, r"(?<![\d.\-])(?:\+?1[ .\-])?\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\d.\-])", "[PHONE_REDACTED]"),
-    Detector("Private network address", "Internal", 1, r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})\b", "[INTERNAL_IP_REDACTED]"),
-    Detector("Internal hostname", "Internal", 1, r"(?i)\b[a-z0-9\-]+\.(?:internal|corp|local|intranet)\b", "[INTERNAL_HOST_REDACTED]"),
+    Detector("Private network address", "Internal", 1, r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})\b", "[INTERNAL_IP_REDACTED]", needs=("10.", "192.168.", "172.")),
+    Detector("Internal hostname", "Internal", 1, r"(?i)\b[a-z0-9\-]+\.(?:internal|corp|local|intranet)\b", "[INTERNAL_HOST_REDACTED]", needs=(".",)),
 )
 TIERS = ("Public", "Internal", "Confidential", "Restricted")
 DECISIONS = ("ALLOW", "ALLOW-INTERNAL", "SCRUB", "BLOCK")
@@ -47,8 +50,12 @@ def luhn(text: Column) -> Column:
 
 
 def matches(text: Column, detector: Detector) -> Column:
+    """All matches of a detector, of a checked one those that pass; texts that lack what a match needs are not searched."""
     found = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
-    return F.filter(found, luhn) if detector.checked else found
+    found = F.filter(found, luhn) if detector.checked else found
+    if not detector.needs:
+        return found
+    return F.when(reduce(Column.__or__, (F.contains(text, F.lit(n)) for n in detector.needs)), found).otherwise(F.array().cast("array<string>"))
 
 
 def redact(text: Column, detector: Detector) -> Column:

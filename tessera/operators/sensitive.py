@@ -12,7 +12,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """id, findings (array of label, category, tier, count, sample), tier, tier_name, decision, redacted.
 
     Every detector reads the text that the one before left. A blocked text's `redacted` is empty.
-    Texts that hold no digit, "@", "." or "-----" pass by untouched.
+    A detector skips texts that lack a string which all of its matches hold.
     """
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t0"))
     for k, d in enumerate(DETECTORS):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sensitive import DETECTORS, mask
 from ..operators.sensitive import assess, card_candidates
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 
@@ -49,7 +49,7 @@ _DECIDE = "CASE tier WHEN 3 THEN 'BLOCK' WHEN 2 THEN 'SCRUB' WHEN 1 THEN 'ALLOW-
 @query(f"SELECT lang, {_DECIDE} AS decision, count(*) AS docs, sum(n_detectors)::BIGINT AS detectors FROM ({_chain()}) GROUP BY ALL")
 def pii_tier_summary(spark, sf_dir):
     """Documents by language and decision, with the detectors that fired."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     assessed = assess(docs.withColumn("doc_id", F.struct("doc_id", "lang"))).select("doc_id.lang", "decision", F.size("findings").alias("n"))
     return assessed.groupBy("lang", "decision").agg(F.count("*").alias("docs"), F.sum("n").alias("detectors"))
 
@@ -57,13 +57,13 @@ def pii_tier_summary(spark, sf_dir):
 @query(f"SELECT doc_id, tier, {_DECIDE} AS decision, CASE WHEN tier = 3 THEN '' ELSE t END AS redacted FROM ({_chain()})")
 def pii_redacted(spark, sf_dir):
     """Redacted text of each document; blocked ones are empty."""
-    return assess(table(spark, sf_dir, "documents")).select("doc_id", "tier", "decision", "redacted")
+    return assess(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "tier", "decision", "redacted")
 
 
 @query(f"SELECT doc_id, trim(candidate) AS candidate, {_luhn('candidate')} AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_re(_PAN)})) AS candidate FROM documents)")
 def card_luhn_valid(spark, sf_dir):
     """Card-like runs and whether they pass the checksum."""
-    return card_candidates(table(spark, sf_dir, "documents")).withColumn("candidate", F.trim("candidate"))
+    return card_candidates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("candidate", F.trim("candidate"))
 
 
 @query("""
@@ -77,7 +77,7 @@ def pii_incidents(spark, sf_dir):
     steps = F.array_compact(F.array(
         F.when(tier >= 1, "log reference"), F.when(tier >= 1, "notify owner"), F.when(tier >= 2, "scrub payload"), F.when(tier >= 3, "rotate credential"), F.when(tier >= 3, "open incident"),
     ))
-    return assess(table(spark, sf_dir, "documents")).groupBy(severity.alias("severity")).agg(F.count("*").alias("docs"), F.sum(F.size(steps)).alias("steps"))
+    return assess(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).groupBy(severity.alias("severity")).agg(F.count("*").alias("docs"), F.sum(F.size(steps)).alias("steps"))
 
 
 @query("""
@@ -86,16 +86,3 @@ SELECT c_custkey, CASE WHEN length(c_name) <= 6 THEN repeat('•', length(c_name
 def masked_names(spark, sf_dir):
     """Names that keep three characters at either end."""
     return table(spark, sf_dir, "customer").select("c_custkey", mask(F.col("c_name")).alias("masked"))
-
-
-@query("""
-SELECT s_suppkey, s_name, round(risk, 6) AS risk, risk >= 0.35 AS rejected FROM (
-  SELECT s_suppkey, s_name, ('0x' || substr(sha256(s_name), 1, 2))::INT / 255.0 * 0.4 + CASE WHEN s_nationkey IN (1, 7) THEN 0.5 ELSE 0 END + CASE WHEN s_acctbal < 0 THEN 0.1 ELSE 0 END AS risk
-  FROM supplier)""")
-def counterparty_risk(spark, sf_dir):
-    """Base risk from the name's hash, a listed jurisdiction, and a negative balance; above a limit it rejects."""
-    listed = spark.createDataFrame([(1, 0.5), (7, 0.5)], "s_nationkey int, listed double")
-    base = F.conv(F.substring(F.sha2("s_name", 256), 1, 2), 16, 10).cast("int") / 255.0 * 0.4
-    rows = table(spark, sf_dir, "supplier").join(F.broadcast(listed), "s_nationkey", "left")  # two rows
-    risk = base + F.coalesce("listed", F.lit(0.0)) + F.when(F.col("s_acctbal") < 0, 0.1).otherwise(0.0)
-    return rows.withColumn("risk", risk).select("s_suppkey", "s_name", F.round("risk", 6).alias("risk"), (F.col("risk") >= 0.35).alias("rejected"))

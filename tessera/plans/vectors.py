@@ -12,21 +12,15 @@ from ..operators.graph import connected
 from ..sources.tables import table
 from .registry import query
 
-#: A stated set of exemplars, against all rows.
-EXEMPLARS = 10
-_PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, a.label AS ga, b.label AS gb, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200"
+_PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, a.label AS ga, b.label AS gb, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
 
 
 @query("""
 SELECT q, vec_id, r FROM (SELECT q.vec_id AS q, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id)::INT AS r
-FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 10) WHERE r <= 5""")
+FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE r <= 5""")
 def cosine_topk(spark, sf_dir):
-    """Five nearest of each of ten exemplars (a stated query set, broadcast) among all rows."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter(F.col("vec_id") < EXEMPLARS).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    scored = e.crossJoin(F.broadcast(q)).filter("q <> vec_id").select("q", "vec_id", F.round(vec.dot(F.col("qe"), F.col("embedding")), 9).alias("s"))
-    w = Window.partitionBy("q").orderBy(F.desc("s"), "vec_id")
-    return scored.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("q", "vec_id", "r")
+    """Five nearest among all rows of each row whose id is divisible by 20."""
+    return vec.nearest(table(spark, sf_dir, "embeddings"), 5, "vec_id % 20 = 0").select("q", F.col("b").alias("vec_id"), "r")
 
 
 _LOO = """
@@ -55,18 +49,12 @@ def label_centroids(spark, sf_dir):
     return vec.centroids(e, "label", "embedding").select("label", F.posexplode("centroid").alias("pos", "mean")).withColumn("mean", F.round("mean", 6))
 
 
-def _small(spark, sf_dir):
-    """The first two hundred vectors, as the SQL of these queries has them; the queries named _all are over the whole table."""
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 200")
-
-
 @query(f"""
 WITH p AS ({_PAIRS}), s AS (SELECT min(sim) FILTER (ga = gb) AS low_same, max(sim) FILTER (ga <> gb) AS high_other, avg(sim) FILTER (ga = gb) AS mean_same, avg(sim) FILTER (ga <> gb) AS mean_other FROM p)
 SELECT round(low_same, 6) AS low_same, round(high_other, 6) AS high_other, round(mean_same, 6) AS mean_same, round(mean_other, 6) AS mean_other, round(low_same - high_other, 6) AS margin, round((low_same + high_other) / 2, 6) AS threshold FROM s""")
 def separation_metrics(spark, sf_dir):
-    p = vec.pairs(_small(spark, sf_dir))
-    same, other = F.when(F.col("group_a") == F.col("group_b"), F.col("sim")), F.when(F.col("group_a") != F.col("group_b"), F.col("sim"))
-    s = p.agg(F.min(same).alias("low_same"), F.max(other).alias("high_other"), F.avg(same).alias("mean_same"), F.avg(other).alias("mean_other"))
+    """Similarities within and between labels over all pairs of embeddings, by tiles."""
+    s = vec.separation(table(spark, sf_dir, "embeddings"))
     s = s.withColumn("margin", F.col("low_same") - F.col("high_other")).withColumn("threshold", (F.col("low_same") + F.col("high_other")) / 2)
     return s.select(*(F.round(c, 6).alias(c) for c in s.columns))
 
@@ -76,18 +64,27 @@ WITH p AS ({_PAIRS}), b AS (SELECT a, ga, b, gb, sim FROM p UNION ALL SELECT b,
 n AS (SELECT a, ga, arg_max(b, (round(sim, 9), -b)) AS nearest FROM b WHERE ga <> gb GROUP BY a, ga)
 SELECT a, ga AS label, nearest FROM n""")
 def nearest_other_label(spark, sf_dir):
-    p = vec.pairs(_small(spark, sf_dir)).filter("group_a <> group_b")
-    both = p.select("a", "group_a", "b", "sim").union(p.select("b", "group_b", "a", "sim"))
-    return both.groupBy("a", F.col("group_a").alias("label")).agg(F.max_by("b", F.struct(F.round("sim", 9), -F.col("b"))).alias("nearest"))
+    e = table(spark, sf_dir, "embeddings")
+    return vec.nearest(e, 1, other_group=True).select(F.col("q").alias("a"), F.col("group_q").cast(e.schema["label"].dataType).alias("label"), F.col("b").alias("nearest"))
+
+
+@query(f"""
+WITH p AS ({_PAIRS}), b AS (SELECT a, ga, b, gb, sim FROM p UNION ALL SELECT b, gb, a, ga, sim FROM p), n AS (SELECT a, ga, arg_max(gb, (round(sim, 9), -b)) AS g FROM b GROUP BY a, ga)
+SELECT count(*) AS n, round(avg((ga = g)::INT), 6) AS hit_rate FROM n""")
+def neighbour_hit_rate(spark, sf_dir):
+    """The share of rows whose nearest row has their own label."""
+    e = table(spark, sf_dir, "embeddings")
+    best = vec.nearest(e, 1).join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("group_b")), "b")
+    return best.agg(F.count("*").alias("n"), F.round(F.avg((F.col("group_q") == F.col("group_b").cast("string")).cast("int")), 6).alias("hit_rate"))
 
 
 @query(f"""
 WITH RECURSIVE p AS ({_PAIRS}), e AS (SELECT a, b FROM p WHERE sim >= 0.6 UNION SELECT b, a FROM p WHERE sim >= 0.6), 
-c AS (SELECT vec_id AS id, vec_id AS r FROM embeddings WHERE vec_id < 200 UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.id)
+c AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.id)
 SELECT id, min(r) AS label FROM c GROUP BY id""")
 def threshold_clusters(spark, sf_dir):
-    s = _small(spark, sf_dir)
-    return connected(spark, vec.pairs(s, 0.6).select("a", "b"), s.select(F.col("vec_id").alias("id")))
+    e = table(spark, sf_dir, "embeddings")
+    return connected(spark, vec.links(e, 0.6), e.select(F.col("vec_id").alias("id")).filter("id is not null").distinct())
 
 
 @query(f"""
@@ -95,44 +92,6 @@ WITH p AS ({_PAIRS}), r AS (SELECT a, b, round(sim, 6) AS sim, row_number() OVER
 SELECT a, b, sim FROM r WHERE hi <= 3 OR (above AND lo <= 3) OR (NOT above AND down <= 4)""")
 def boundary_view(spark, sf_dir):
     """Top three pairs, the lowest three above the threshold, the highest four below: top-k reports, no window over all."""
-    p = vec.pairs(_small(spark, sf_dir)).select("a", "b", F.round("sim", 9).alias("k"), F.round("sim", 6).alias("sim"))
-    top = p.orderBy(F.desc("k"), "a", "b").limit(3)
-    low = p.filter("k >= 0.6").orderBy("k", "a", "b").limit(3)
-    below = p.filter("k < 0.6").orderBy(F.desc("k"), "a", "b").limit(4)
-    return top.union(low).union(below).distinct().select("a", "b", "sim")
-
-
-@query()
-def cosine_topk_all(spark, sf_dir):
-    """cosine_topk with all ids divisible by 20 as its queries."""
-    return vec.nearest(table(spark, sf_dir, "embeddings"), 5, "vec_id % 20 = 0").select("q", F.col("b").alias("vec_id"), "r")
-
-
-@query()
-def separation_metrics_all(spark, sf_dir):
-    """separation_metrics over all embeddings."""
-    s = vec.separation(table(spark, sf_dir, "embeddings"))
-    s = s.withColumn("margin", F.col("low_same") - F.col("high_other")).withColumn("threshold", (F.col("low_same") + F.col("high_other")) / 2)
-    return s.select(*(F.round(c, 6).alias(c) for c in s.columns))
-
-
-@query()
-def nearest_other_label_all(spark, sf_dir):
-    """nearest_other_label over all embeddings."""
-    e = table(spark, sf_dir, "embeddings")
-    return vec.nearest(e, 1, other_group=True).select(F.col("q").alias("a"), F.col("group_q").cast(e.schema["label"].dataType).alias("label"), F.col("b").alias("nearest"))
-
-
-@query()
-def threshold_clusters_all(spark, sf_dir):
-    """threshold_clusters over all embeddings."""
-    e = table(spark, sf_dir, "embeddings")
-    return connected(spark, vec.links(e, 0.6), e.select(F.col("vec_id").alias("id")).filter("id is not null").distinct())
-
-
-@query()
-def boundary_view_all(spark, sf_dir):
-    """boundary_view over all embeddings."""
     return vec.boundary(table(spark, sf_dir, "embeddings"), 0.6).select("a", "b", F.round("k", 6).alias("sim"))
 
 

@@ -21,6 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt over all cores where it has fewer partitions than there are, as a file of one row group has.
+
+    For work that is heavy for each row. A table of many files has partitions enough and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+#: Rows that are broadcast at most.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows, which is counted; else as it is, for the optimizer to join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hash_id(text: Column) -> Column:
     """The first 16 hexadecimal digits of SHA-256."""
     return F.substring(F.sha2(text, 256), 1, 16)

@@ -52,7 +52,7 @@ def clusters(pairs):
 
 
 def test_embeddings_are_searched_whole(spark, block, pairs):
-    rows = {q: [tuple(r) for r in QUERIES[f"{q}_all"](spark, SF).collect()] for q in ("separation_metrics", "nearest_other_label", "threshold_clusters", "boundary_view", "cosine_topk")}
+    rows = {q: [tuple(r) for r in QUERIES[q](spark, SF).collect()] for q in ("separation_metrics", "nearest_other_label", "threshold_clusters", "boundary_view", "cosine_topk")}
     same, other = [p[4] for p in pairs if p[2] == p[3]], [p[4] for p in pairs if p[2] != p[3]]
     want = [min(same), max(other), sum(same) / len(same), sum(other) / len(other), min(same) - max(other), (min(same) + max(other)) / 2]
     assert np.allclose(rows["separation_metrics"][0], want, atol=2e-6, rtol=0)
