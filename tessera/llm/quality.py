@@ -5,9 +5,9 @@ labels all lines of a document good or bad at once; forward-backward gives each
 of good, and their mean, weighted by the lines' lengths, is the document's evidence, which a logistic
 curve fitted on the same training documents turns into its score.
 
-The field is fitted on the driver on a bounded sample of labelled documents (`sample`, a parameter,
-chosen by a hash of the id), each line taking its document's label. Scoring is one pass over whole
-texts; nothing but the model is sent to the executors.
+The field is fitted by one task on a bounded sample of labelled documents (`sample`, a parameter,
+chosen by a hash of the id), each line taking its document's label; the driver gets the weights
+alone. Scoring is one pass over whole texts; nothing but the model is sent to the executors.
 """
 
 from __future__ import annotations
@@ -172,8 +172,39 @@ class Field:
         return 1 / (1 + np.exp(-(slope * self.evidence(x, weight, first) + shift)))
 
 
-def fit(x: np.ndarray, weight: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 250, penalty: float = 1e-3, rate: float = 0.05) -> Field:
-    """Maximum conditional likelihood by Adam, then the curve by Newton's method."""
+def _climb(gain, theta: np.ndarray, rounds: int, memory: int = 8, least: float = 1e-5) -> np.ndarray:
+    """The maximum of a concave function by limited-memory BFGS; `gain` gives value and gradient."""
+    value, slope = gain(theta)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        if np.abs(slope).max() < least:
+            break
+        way, shares = slope.copy(), []
+        for s, y, rho in reversed(steps):
+            shares.append(rho * (s @ way))
+            way -= shares[-1] * y
+        if steps:
+            s, y, _ = steps[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y, rho), share in zip(steps, reversed(shares)):
+            way += s * (share - rho * (y @ way))
+        rise, far = slope @ way, 1.0 if steps else 1.0 / max(1.0, np.linalg.norm(slope))
+        for _ in range(30):
+            new_value, new_slope = gain(theta + far * way)
+            if new_value >= value + 1e-4 * far * rise:
+                break
+            far /= 2
+        else:
+            break
+        s, y = far * way, slope - new_slope
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y, 1 / (s @ y))]
+        theta, value, slope = theta + s, new_value, new_slope
+    return theta
+
+
+def fit(x: np.ndarray, weight: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 100, penalty: float = 1e-3) -> Field:
+    """Maximum conditional likelihood (with a small ridge), then the curve by Newton's method."""
     field = Field(np.zeros(x.shape[1]), np.zeros((2, 2)))
     if not len(labels):
         return field
@@ -182,14 +213,15 @@ def fit(x: np.ndarray, weight: np.ndarray, first: np.ndarray, labels: np.ndarray
     inner[first[:-1]] = False
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (y[np.flatnonzero(inner) - 1].astype(int), y[inner].astype(int)), 1)
-    n, theta = len(x), np.zeros(x.shape[1] + 4)
-    m = v = np.zeros_like(theta)
-    for k in range(1, rounds + 1):
+    n, own = len(x), x.T @ y
+
+    def gain(theta: np.ndarray) -> tuple[float, np.ndarray]:
         field.weights, field.steps = theta[:-4], theta[-4:].reshape(2, 2)
-        good, joint, _, _ = field.marginals(x, first)
-        slope = np.concatenate([x.T @ (y - good), (pairs - joint).ravel()]) / n - penalty * theta
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-        theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+        good, joint, z, _ = field.marginals(x, first)
+        value = (own @ field.weights + (pairs * field.steps).sum() - z) / n - penalty / 2 * theta @ theta
+        return value, np.concatenate([own - x.T @ good, (pairs - joint).ravel()]) / n - penalty * theta
+
+    theta = _climb(gain, np.zeros(x.shape[1] + 4), rounds)
     field.weights, field.steps = theta[:-4].copy(), theta[-4:].reshape(2, 2).copy()
     e, target = field.evidence(x, weight, first), labels.astype(np.float64)
     beta = np.array([0.5, 0.0])
@@ -216,24 +248,36 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary()), pa.array(weights, pa.binary())], names=["id", "label", "n", "x", "weight"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """The field fitted on at most `sample` labelled documents, whole ones: the driver holds 17 numbers of each of their lines, and 54 while it fits. Labels of ids with crc32 modulo 5 = 0 (held out) are not read.
+def _fitted(table: pa.Table) -> pa.Table:
+    """The field fitted on the rows of _lines, as one row."""
+    table = table.sort_by([("id", "ascending"), ("n", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f4").reshape(-1, len(FEATURES)).astype(np.float64)
+    weight = np.frombuffer(b"".join(table["weight"].to_pylist()), "<f4").astype(np.float64)
+    first = np.concatenate([[0], np.cumsum(table["n"].to_numpy())]).astype(np.int64)
+    field = fit(with_neighbours(x, first), weight, first, table["label"].to_numpy())
+    return pa.table({k: pa.array([np.ravel(v).tolist()], pa.list_(pa.float64())) for k, v in vars(field).items()})
 
-    Rows without an id or label are ignored; an id with several labels takes the smallest; of rows
-    that share an id, all are used. Without labelled documents every score is 0.5.
-    """
+
+def training_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(id, label, n, x, weight) of each row of `docs` that is trained on: its number of lines, their features and weights as bytes."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `sample` pairs
-    table = rows.select("id", "text", "label").mapInArrow(_lines, "id long, label int, n int, x binary, weight binary").toArrow()
-    if not len(table):
-        return fit(np.zeros((0, 3 * len(FEATURES) + 3)), np.zeros(0), np.zeros(1, np.int64), np.zeros(0))
-    table = table.sort_by([("id", "ascending")])
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f4").reshape(-1, len(FEATURES)).astype(np.float64)
-    weight = np.frombuffer(b"".join(table["weight"].to_pylist()), "<f4").astype(np.float64)
-    first = np.concatenate([[0], np.cumsum(table["n"].to_numpy())]).astype(np.int64)
-    return fit(with_neighbours(x, first), weight, first, table["label"].to_numpy())
+    return rows.select("id", "text", "label").mapInArrow(_lines, "id long, label int, n int, x binary, weight binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+    """The field fitted on at most `sample` labelled documents, whole ones: one task holds 17 numbers of each of their lines, and 54 while it fits. Labels of ids with crc32 modulo 5 = 0 (held out) are not read.
+
+    Rows without an id or label are ignored; an id with several labels takes the smallest; of rows
+    that share an id, all are used. Without labelled documents every score is 0.5.
+    """
+    lines = training_lines(docs, labels, sample, id_col, text_col, label_col)
+    found = lines.groupBy(F.lit(0).alias("all")).applyInArrow(_fitted, "weights array<double>, steps array<double>, curve array<double>").collect()  # one row
+    if not found:
+        return Field(np.zeros(3 * len(FEATURES) + 3), np.zeros((2, 2)))
+    return Field(np.array(found[0].weights), np.array(found[0].steps).reshape(2, 2), tuple(found[0].curve))
 
 
 def _scores(field: Field, texts: pa.Array) -> np.ndarray:
@@ -248,7 +292,7 @@ def _scores(field: Field, texts: pa.Array) -> np.ndarray:
 def score_quality(docs: DataFrame, field: Field, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of `docs`: id, held_out, score (0 to 1) and predicted (1 if score >= threshold).
 
-    Null and empty texts are one empty line. held_out is whether crc32 of the id as text is 0 modulo
+    Null and empty texts are one empty line; a very long text is scored whole, in a block of its own. held_out is whether crc32 of the id as text is 0 modulo
     5 (null for a null id). Other columns are ignored; an empty table gives no rows.
     """
 
@@ -261,7 +305,11 @@ def score_quality(docs: DataFrame, field: Field, threshold: float = 0.3, id_col:
 
 
 def keep_good(docs: DataFrame, field: Field, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that score at least the threshold, unchanged."""
+    """The rows of `docs` that score at least the threshold, unchanged.
+
+    Null and empty texts are one empty line, repeated rows are judged each for itself (and alike), null ids do not matter;
+    no rows give no rows.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
