@@ -151,7 +151,7 @@ def _unequal(a: str, b: str, lanes: int) -> str:
 def _alike(pairs: DataFrame, signatures: DataFrame, needed: int, lanes: int = LANES) -> DataFrame:
     """The pairs (a, b) with at least `needed` equal lanes."""
     sa, sb = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa")), signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(sa, "a").join(sb, "b").filter(f"{_unequal('sa', 'sb', lanes)} <= {lanes - needed}").select("a", "b").distinct()
+    return pairs.join(sa.hint("merge"), "a").join(sb.hint("merge"), "b").filter(f"{_unequal('sa', 'sb', lanes)} <= {lanes - needed}").select("a", "b").distinct()
 
 
 def _tile(needed: int, best_only: bool):
@@ -228,13 +228,13 @@ def _confirm(words: int, least: tuple[int, int]):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: tuple[int, int], scratch: Scratch) -> DataFrame:
     """The pairs whose full sets are similar enough; a leader with many is dealt out by salts."""
-    loads = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_LOAD).cast("int").alias("salts"))
-    salted = pairs.join(loads, "a").withColumn("salt", F.expr("cast(pmod(xxhash64(b), salts) as int)"))
-    others = salted.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "text")
+    loads = scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_LOAD).cast("int").alias("salts")), "loads")
+    salted = pairs.join(loads.hint("merge"), "a").withColumn("salt", F.expr("cast(pmod(xxhash64(b), salts) as int)"))
+    others = salted.join(texts.withColumnRenamed("id", "b").hint("merge"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "text")
     leaders = (
-        loads.join(texts.withColumnRenamed("id", "a"), "a")
+        loads.join(texts.withColumnRenamed("id", "a").hint("merge"), "a")
         .select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
     )
     dealt = leaders.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
@@ -259,69 +259,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     needed = equal_lanes_needed(least[0] / least[1])
+    # Every step is a small plan from tables to a table. Joins are sort-merge joins of two tables, so nothing is built on
+    # the driver, and a bucket, set or leader that holds a great part of the rows is split by adaptive execution.
     signed = scratch.table(docs.mapInArrow(signer(words, bands, rows), SIGNATURE), "signatures")
     sets = signed.filter("id is not null and n_shingles > 0")
-    classes = sets.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
-    members = scratch.table(sets.select("id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("id", "rep").distinct(), "members")
+    classes = scratch.table(sets.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep")), "classes")
+    members = scratch.table(sets.select("id", "h1", "h2", "n_shingles").join(classes.hint("merge"), ["h1", "h2", "n_shingles"]).select("id", "rep").distinct(), "members")
     twice = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
-    chained = members.join(twice, "id").select("a", F.col("rep").alias("b"))
+    chained = scratch.table(members.join(twice.hint("merge"), "id").select("a", F.col("rep").alias("b")), "chained")
     leads = members.filter("id = rep").select("id").distinct()
-    nodes = sets.join(leads, "id", "left_semi")
+    nodes = scratch.table(sets.select("id", "buckets", "signature").join(leads.hint("merge"), "id", "left_semi"), "nodes")
 
     rows_of = nodes.select("id", F.posexplode("buckets").alias("band", "bucket"))
-    heads = rows_of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min_by("id", F.expr("xxhash64(id)")).alias("lead2")).filter("n > 1")
-    shared = scratch.table(rows_of.join(heads, "bucket"), "buckets")
-    signatures = nodes.select("id", "signature").join(shared.select("id").distinct(), "id", "left_semi")
+    heads = scratch.table(rows_of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min_by("id", F.expr("xxhash64(id)")).alias("lead2")).filter("n > 1"), "heads")
+    shared = scratch.table(rows_of.join(heads.hint("merge"), "bucket"), "buckets")
+    signatures = nodes.select("id", "signature")
     stars = shared.select(F.explode(F.array("lead", "lead2")).alias("lead"), "id").filter("lead <> id").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
     tested = scratch.table(_alike(stars, signatures, needed), "stars")
 
-    beyond = shared.filter("n > 2 and id <> lead and id <> lead2").select("bucket", "band", "id", "n")
+    beyond = scratch.table(shared.filter("n > 2 and id <> lead and id <> lead2").select("bucket", "band", "id", "n"), "beyond")
+    scratch.drop(shared, heads, classes)
     wanted = tested.select(F.col("a").alias("id")).union(tested.select("b")).union(beyond.select("id")).distinct()
-    texts = scratch.table(docs.join(wanted.hint("merge"), "id", "left_semi"), "texts")  # ids grow with the input: never broadcast
-    labels = components(scratch.table(_confirmed(tested, texts, words, least).union(chained), "links"), scratch)
+    texts = scratch.table(docs.join(wanted.hint("merge"), "id", "left_semi"), "texts")
+    labels = components(scratch.table(_confirmed(tested, texts, words, least, scratch).union(chained), "links"), scratch)
 
-    long_texts = texts.join(beyond.select("id").distinct(), "id", "left_semi").select("id", "text")
-    long = long_texts.mapInArrow(long_signer(words), "id long, signature array<long>").join(nodes.select("id", "buckets"), "id")
-    long = scratch.table(long, "long-signatures")
     needed = equal_lanes_needed(least[0] / least[1], LONG_LANES)
+    if not beyond.isEmpty():
+        long_texts = texts.join(beyond.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "text")
+        long = long_texts.mapInArrow(long_signer(words), "id long, signature array<long>").join(nodes.select("id", "buckets").hint("merge"), "id")
+        long = scratch.table(long, "long-signatures")
 
     def mixed(some: DataFrame) -> DataFrame:
         """Rows of the buckets whose members lie in several components, with their labels."""
-        labelled = some.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        kept = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        return labelled.join(kept.select("bucket"), "bucket", "left_semi")
+        labelled = scratch.table(some.join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+        several = scratch.table(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
+        return labelled.join(several.hint("merge"), "bucket", "left_semi")
 
     def tiles(best_only: bool) -> DataFrame:
         large = mixed(beyond.filter(F.col("n") > SMALL_BUCKET)).withColumn("cuts", F.ceil(F.col("n") / TILE).cast("int"))
         cut = large.withColumn("cut", F.expr("cast(pmod(xxhash64(id), cuts) as int)")).withColumn("with", F.explode(F.expr("sequence(0, cuts - 1)")))
         sides = cut.select("bucket", "band", F.least("cut", "with").alias("i"), F.greatest("cut", "with").alias("j"), F.when(F.col("cut") > F.col("with"), 1).otherwise(0).alias("side"), "id", "label")
-        full = sides.join(long, "id")
+        full = sides.join(long.hint("merge"), "id")
         return full.groupBy("bucket", "i", "j").applyInArrow(_tile(needed, best_only), "a long, b long").distinct()
 
     def join_up(pairs: DataFrame) -> DataFrame:
         """The components after the links among `pairs`."""
-        links = _confirmed(pairs, texts, words, least)
+        links = scratch.table(_confirmed(pairs, texts, words, least, scratch), "links")
         la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        ends = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"), F.col("a").alias("a0"), F.col("b").alias("b0"))
-        met = ends.select("a", "b").union(ends.select("a0", "a")).union(ends.select("b0", "b"))
+        ends = links.join(la.hint("merge"), "a", "left").join(lb.hint("merge"), "b", "left")
+        met = ends.select(F.explode(F.expr("array(struct(coalesce(la, a) as a, coalesce(lb, b) as b), struct(a, coalesce(la, a) as b), struct(b as a, coalesce(lb, b) as b))")).alias("e")).select("e.a", "e.b")
         return components(met.union(labels.select("id", "label")), scratch)
 
-    for _ in range(PARTNER_ROUNDS):
-        pairs = scratch.table(tiles(best_only=True).join(tested, ["a", "b"], "left_anti"), "partners")
+    large = not beyond.filter(F.col("n") > SMALL_BUCKET).isEmpty()
+    for _ in range(PARTNER_ROUNDS if large else 0):
+        pairs = scratch.table(tiles(best_only=True).join(tested.hint("merge"), ["a", "b"], "left_anti"), "partners")
         if pairs.isEmpty():
             break
         labels = join_up(pairs)
-        tested = tested.union(pairs)
-    small = scratch.table(mixed(beyond.filter(F.col("n") <= SMALL_BUCKET)).select("bucket", "id", "label"), "small-buckets")
-    left, right = small.select("bucket", F.col("id").alias("a"), F.col("label").alias("la")), small.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-    across = left.join(right, (left.bucket == right.bucket) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
-    near = _alike(across, long, needed, LONG_LANES)
-    rest = scratch.table(near.union(tiles(best_only=False)).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        labels = join_up(rest)
+        tested = scratch.table(tested.union(pairs), "tested")
+    if not beyond.isEmpty():
+        small = scratch.table(mixed(beyond.filter(F.col("n") <= SMALL_BUCKET)).select("bucket", "id", "label"), "small-buckets")
+        left, right = small.select("bucket", F.col("id").alias("a"), F.col("label").alias("la")), small.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
+        across = left.join(right.hint("merge"), (left.bucket == right.bucket) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
+        near = scratch.table(_alike(across, long, needed, LONG_LANES), "near")
+        if large:
+            near = near.union(tiles(best_only=False)).distinct()
+        rest = scratch.table(near.join(tested.hint("merge"), ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            labels = join_up(rest)
+        scratch.drop(long)
     rep = members.groupBy("id").agg(F.min("rep").alias("rep"))
-    found = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
-    out = signed.select("id", "n_shingles").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    found = rep.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
+    out = signed.select("id", "n_shingles").join(found.hint("merge"), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    scratch.drop(texts, beyond, tested, nodes)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

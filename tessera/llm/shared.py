@@ -6,8 +6,10 @@ this machine's own is set, once for a session.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's setting that a finished write removes its shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs within it removes its shuffle files at its end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Parquet tables of one run, under one new folder of the shared folder."""
 
@@ -36,9 +53,10 @@ class Scratch:
         return f"{self.root}/{self.n:03d}-{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """`df` written and read again."""
+        """`df` written and read again. The write's own shuffle files go once it is done, as the table stands for them."""
         path = self.path(name)
-        df.write.parquet(path)
+        with clean_shuffles(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out
@@ -88,10 +106,10 @@ def components(edges: DataFrame, scratch: Scratch, at_once: int = EDGES_AT_ONCE)
     labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     changed = not labels.filter("label <> id").isEmpty()
     while changed:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.join(near, labels.id == near.a).select("id", F.col("label").alias("old"), F.least("label", "near").alias("met"))
+        near = both.join(labels.hint("merge"), both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
+        met = labels.join(near.hint("merge"), labels.id == near.a).select("id", F.col("label").alias("old"), F.least("label", "near").alias("met"))
         up = labels.select(F.col("id").alias("up"), F.col("label").alias("top"))
-        jumped = met.join(up, F.col("met") == F.col("up")).select("id", F.least("met", "top").alias("label"), "old")
+        jumped = met.join(up.hint("merge"), F.col("met") == F.col("up")).select("id", F.least("met", "top").alias("label"), "old")
         table = scratch.table(jumped, "labels")
         changed = not table.filter("label <> old").isEmpty()
         scratch.drop(labels)
