@@ -96,8 +96,121 @@ def expand_name(name: Column, words: dict[str, str]) -> Column:
 
 
 def top_level_commas(text: Column) -> Column:
-    """Parts between commas that no parenthesis encloses (one level deep)."""
-    return F.transform(F.split(text, r",(?![^(]*\))"), lambda p: F.trim(p))
+    """Parts between commas that no parenthesis encloses, at any depth; a text that ends in such a comma has no part after it."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("parts"))
+
+    def step(s: Column, c: Column) -> Column:
+        cuts = (c == ",") & (s["depth"] == 0)
+        depth = s["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.when(cuts, "").otherwise(F.concat(s["now"], c)).alias("now"), F.when(cuts, F.array_append(s["parts"], s["now"])).otherwise(s["parts"]).alias("parts"))
+
+    end = lambda s: F.transform(F.when(s["now"] != "", F.array_append(s["parts"], s["now"])).otherwise(s["parts"]), lambda p: F.trim(p))
+    return F.aggregate(F.split(text, ""), start, step, end)
+
+
+def prettify(name: Column) -> Column:
+    """Parts between underscores and hyphens, each of two letters or more with a capital first and the rest in lower case."""
+    return F.array_join(F.transform(F.split(name, "[_-]"), lambda p: F.when(F.length(p) <= 1, p).otherwise(F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, 2, 1 << 30))))), " ")
+
+
+def number_after(text: Column, marker: str) -> Column:
+    """The leading digits after the first `marker` of a line, of the first line where they make an integer; 0 if none does."""
+    with_it = F.filter(F.split(text, "\n"), lambda line: F.contains(line, F.lit(marker)))
+    found = F.transform(with_it, lambda line: F.regexp_extract(F.substr(line, F.locate(marker, line) + len(marker)), r"^[0-9]+", 0).try_cast("int"))
+    return F.coalesce(F.get(F.array_compact(found), 0), F.lit(0))
+
+
+def hex_after(line: Column, marker: str) -> Column:
+    """The leading hexadecimal digits after the first `marker`, in upper case; empty if there are none."""
+    at = F.locate(marker, line)
+    return F.when(at > 0, F.upper(F.regexp_extract(F.substr(line, at + len(marker)), r"^[0-9A-Fa-f]*", 0))).otherwise("")
+
+
+def json_body(text: Column) -> Column:
+    """The first code fence's content, or the text, from its first brace to its last."""
+    t = fenced_body(text)
+    body = F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    return F.when(body != "", body).otherwise(t)
+
+
+# How the fields of a streamed trace are read aloud, those after a comma first.
+TRACE_FIELDS = (
+    ('{"trace":', ""), (',"sequence":', " step "), ('"sequence":', "step "), (',"stage":', " · "), ('"stage":', ""),
+    (',"evidence":', " — quoting: "), ('"evidence":', " — quoting: "), (',"decision":', " — decided: "), ('"decision":', " — decided: "),
+)
+
+
+def humanise_fragment(text: Column, most: int = 400) -> Column:
+    """A fragment of a streamed JSON trace as prose; of a longer one the last `most` characters."""
+    t = F.replace(F.replace(text, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit(" "))
+    for field, prose in TRACE_FIELDS:
+        t = F.replace(t, F.lit(field), F.lit(prose))
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r'[{}\[\]"]', ""), " {2,}", " "))
+    t = F.trim(F.regexp_replace(t, r"^[·, ]+", ""))
+    return F.when(F.length(t) > most, F.concat(F.lit("…"), F.right(t, F.lit(most)))).otherwise(t)
+
+
+def split_assumptions(content: Column) -> Column:
+    """(body, assumptions): lines `// ASSUMPTION:` and the comment lines that go on with one, and the other lines but `// FILE:`.
+
+    A code fence around the content goes first.
+    """
+    t = F.regexp_replace(content, r"^\s+|\s+$", "")
+    inner = F.regexp_extract(t, r"(?s)^```[^\n]*\n(.*)```", 1)
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("assumptions"), F.array().cast("array<string>").alias("body"))
+
+    def step(s: Column, line: Column) -> Column:
+        cut = F.regexp_replace(line, r"^\s+", "")
+        opens, names = F.upper(cut).startswith("// ASSUMPTION:"), F.upper(cut).startswith("// FILE:")
+        goes_on = ~opens & s["inside"] & cut.startswith("//") & ~cut.startswith("///")
+        last = F.concat(F.element_at(s["assumptions"], -1), F.lit(" "), F.trim(F.regexp_replace(cut, "^/+", "")))
+        assumptions = F.when(opens, F.array_append(s["assumptions"], F.trim(F.substr(cut, F.lit(15))))).when(goes_on, F.array_append(F.slice(s["assumptions"], F.lit(1), F.size(s["assumptions"]) - 1), last)).otherwise(s["assumptions"])
+        inside = F.when(opens, True).when(goes_on | names, s["inside"]).otherwise(False)
+        body = F.when(opens | goes_on | names, s["body"]).otherwise(F.array_append(s["body"], F.regexp_replace(line, r"\s+$", "")))
+        return F.struct(inside.alias("inside"), assumptions.alias("assumptions"), body.alias("body"))
+
+    # an index below 1 is never reached: a line goes on only where there is an assumption
+    trimmed = lambda lines: F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
+    return F.aggregate(F.split(F.when(inner != "", inner).otherwise(t), "\n"), start, step, lambda s: F.struct(trimmed(s["body"]).alias("body"), s["assumptions"].alias("assumptions")))
+
+
+def formatted(value: Column, kind: str) -> Column:
+    """A number as money, percent, integer, boolean or plain number, as a policy prints it."""
+    plain = lambda v: F.regexp_replace(F.regexp_replace(v.cast("decimal(38,4)").cast("string"), r"0+$", ""), r"\.$", "")
+    if kind == "money":
+        return F.concat(F.when(value < 0, "-$").otherwise("$"), F.format_number(F.abs(value), 2))
+    if kind == "percent":
+        return F.concat(plain(value * 100), F.lit("%"))
+    if kind == "boolean":
+        return F.when(value != 0, "true").otherwise("false")
+    return value.cast("decimal(38,0)").cast("string") if kind == "integer" else plain(value)
+
+
+def topic(stage: Column) -> Column:
+    """The name of a stage's topic."""
+    return F.concat_ws(".", F.lit("orders"), stage, F.lit("v1"))
+
+
+def all_allowed(cited: Column, allowed: Column) -> Column:
+    """Whether every cited path is on the list."""
+    return F.size(F.array_except(cited, allowed)) == 0
+
+
+# Where an article's body begins, in order of preference, and where it ends.
+ARTICLE_STARTS = ('<div class="devsite-article-body', "devsite-article-body", "<article", "<main")
+ARTICLE_ENDS = ("</devsite-content", "<devsite-page-rating", "</article")
+
+
+def article_body(html: Column) -> Column:
+    """What stands between the first start of an article (by preference) that has an end after it, and that end; empty if none has. Case is ignored."""
+    low, out = F.lower(html), F.lit("")
+    for start in reversed(ARTICLE_STARTS):
+        at = F.locate(start, low)
+        opened = F.when(at > 0, F.position(F.lit(">"), low, at))
+        ends = [F.position(F.lit(e), low, opened) for e in ARTICLE_ENDS]
+        end = F.coalesce(*(F.when(e > 0, e) for e in ends))
+        out = F.when((opened > 0) & (end > opened), F.substr(html, opened + 1, end - opened - 1)).otherwise(out)
+    return out
 
 
 # Named entities that are decoded, ampersand last.
@@ -110,6 +223,7 @@ def html_text(html: Column) -> Column:
     for tag in ("script", "style", "noscript"):
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
+    # The ends that break a line.
     t = F.regexp_replace(t, r"(?i)</(p|div|li|h[1-6]|tr|section|article)>", "\n")
     t = F.regexp_replace(t, "<[^>]+>", " ")
     for entity, plain in ENTITIES:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1400) -> DataFrame:
@@ -23,6 +24,56 @@ def ingest_scores(rows: DataFrame, slots: DataFrame, top: int = 5, note: int = 4
     return rows.join(F.broadcast(slots), "slot", "left_semi").select("slot", F.greatest(F.lit(1), F.least(F.lit(top), "score")).alias("score"), F.left("note", F.lit(note)).alias("note"))
 
 
+def ranking(entries: DataFrame, slots: DataFrame) -> DataFrame:
+    """(slot, place): known slots in the order in which they are first named; entries are (position, slot)."""
+    known = entries.join(slots.select("slot"), "slot", "left_semi").groupBy("slot").agg(F.min("position").alias("position"))
+    return known.select("slot", F.row_number().over(Window.orderBy("position", "slot")).alias("place"))  # a row a slot
+
+
+# Bounds of a review event.
+SEQUENCES, STAGE_LENGTH, TEXT_LENGTH = (1, 20), 80, 500
+
+
+def valid_event(sequence: Column, stage: Column, evidence: Column, decision: Column) -> Column:
+    """Whether a review event is within its bounds: its number, and texts that are not blank and not too long."""
+    good = lambda c, n: F.coalesce((F.regexp_replace(c, r"\s", "") != "") & (F.length(c) <= n), F.lit(False))
+    return F.coalesce(sequence.between(*SEQUENCES), F.lit(False)) & good(stage, STAGE_LENGTH) & good(evidence, TEXT_LENGTH) & good(decision, TEXT_LENGTH)
+
+
+def review_trace(events: DataFrame) -> DataFrame:
+    """Valid events in order of sequence, of each (session, sequence) the one that came first: (session, place, sequence, stage, arrived)."""
+    good = events.filter(valid_event(F.col("sequence"), F.col("stage"), F.col("evidence"), F.col("decision")))
+    first = good.groupBy("session", "sequence").agg(F.min_by(F.struct("stage", "arrived"), "arrived").alias("e"))  # an event a sequence, twenty a session at most
+    return first.select("session", F.row_number().over(Window.partitionBy("session").orderBy("sequence")).alias("place"), "sequence", "e.stage", "e.arrived")
+
+
+def for_profile(bridge: Column, in_process: Column, full: bool, allowed: bool) -> Column:
+    """Whether a step is for a profile: one that needs the bridge only in full, one that runs in process only where that is allowed."""
+    return (F.lit(full) | ~bridge) & (F.lit(allowed) | ~in_process)
+
+
+REFERENCE = "§([A-Z]{2}-[A-Z]+)"
+
+
+def renumber(segments: DataFrame) -> DataFrame:
+    """(doc, number, id, title, body): segments (doc, position, id, title, body) numbered from 1 in each doc, with §ID of a segment of the doc made §number.
+
+    References are joined by (doc, id) and replaced, the longest id first, so that none is taken for the beginning of another.
+    """
+    numbered = segments.withColumn("number", F.row_number().over(Window.partitionBy("doc").orderBy("position")))
+    cited = numbered.select("doc", "number", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(REFERENCE), F.lit(1)))).alias("target"))
+    known = numbered.groupBy("doc", F.col("id").alias("target")).agg(F.min("number").alias("becomes"))
+    swaps = cited.join(known, ["doc", "target"]).groupBy("doc", "number").agg(F.sort_array(F.collect_list(F.struct(F.length("target").alias("n"), "target", "becomes")), asc=False).alias("swaps"))
+    body = F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<n:int,target:string,becomes:int>>")), F.col("body"), lambda b, s: F.regexp_replace(b, F.concat(F.lit("§"), s["target"], F.lit("(?![A-Z])")), F.concat(F.lit("§"), s["becomes"].cast("string"))))
+    return numbered.join(swaps, ["doc", "number"], "left").select("doc", "number", "id", "title", F.trim(body).alias("body"))
+
+
+def sections(rendered: DataFrame) -> DataFrame:
+    """(doc, text): segments (doc, number, title, body) under their headings, in order."""
+    block = F.concat(F.lit("## Section "), F.col("number").cast("string"), F.lit(" — "), "title", F.lit("\n"), F.trim("body"))
+    return rendered.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", block.alias("block")))), lambda s: s["block"]), "\n\n").alias("text"))
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
 

@@ -46,6 +46,17 @@ def centroids(vectors: DataFrame, group: str, vector: str, normalised: bool = Fa
     return sums(vectors, group, vector).select(group, (unit(mean) if normalised else mean).alias("centroid"))
 
 
+def pooled(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
+    """(group, vector): the sum of a group's vectors made of length one; groups whose sum is zero have none."""
+    return sums(vectors, group, vector).filter(norm(F.col("total")) > 0).select(group, unit(F.col("total")).alias("vector"))
+
+
+def windows(docs: DataFrame, tokens: Column, size: int = 512, key: str = "doc_id") -> DataFrame:
+    """(key, window, part): tokens in windows of `size`, the last one shorter; a text without tokens has none."""
+    each = docs.select(key, tokens.alias("t")).filter(F.size("t") > 0)
+    return each.select(key, "t", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / size).cast("int"))).alias("window")).select(key, "window", F.slice("t", F.col("window") * size + 1, size).alias("part"))
+
+
 def leave_one_out(vectors: DataFrame, key: str = "vec_id", group: str = "label", vector: str = "embedding") -> DataFrame:
     """(key, group, predicted, rank): nearest centroid by inner product, each row's own group without the row itself.
 
