@@ -8,9 +8,12 @@ its log-probability, and a failure arc leads from a history to the shorter one a
 
 Scale. The model grows with the corpus and is never in one place. Documents are cut into bounded
 chunks of encoded words. A chunk sends the distinct n-grams it needs, with its own training counts,
-to partitions by hash, as sorted packed blocks; a partition adds them up and answers each chunk with
-the corpus totals in the order asked. A chunk then holds the part of the automaton its own documents
-can reach, and walks them through it from left to right, all in step.
+to partitions by hash, as sorted packed blocks, one order after the other; a partition adds them up
+and answers each chunk with the corpus totals in the order asked. A chunk meets its answers twice:
+once for the sums behind the backoff masses, once for its scores. For these it holds the part of
+the automaton its own documents can reach and walks them through it from left to right, all in step.
+A long document walks in stretches, each of which begins in the state that the words before it lead to.
+The shuffles of a step go once it is written, so disk holds chunks, answers and one shuffle at most.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
-from .words import mix, word_blocks
+from .shared import Scratch, clean_shuffles
+from .words import mix, ranges, word_blocks
 
-ORDER = 2
+ORDER = 3
 #: Words of a chunk, about, and of the n-grams that meet in a partition, about.
 CHUNK_TOKENS, PARTITION_TOKENS = 1 << 20, 2 << 20
+#: Words that are walked one after the other; stretches walk side by side.
+STRETCH = 256
 START, END = mix(np.array([1, 2], np.uint64))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
@@ -128,29 +133,27 @@ def _open(row: dict, order: int) -> tuple[Grams, np.ndarray, np.ndarray]:
     return Grams(words, np.array(row["sizes"], np.int64), order), words, np.array([held_out(d) for d in row["ids"]], bool)
 
 
-def _asks(order: int, partitions: int):
-    """A chunk's distinct n-grams and their training counts in it, a block for each order and partition."""
+def _asks(n: int, partitions: int):
+    """A chunk's distinct n-grams of order n and their training counts in it, a block for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                grams, _, held = _open(row, order)
-                learns = np.repeat(~held, np.diff(grams.first)).astype(np.uint64)
-                for n in range(1, order + 1):
-                    marked = np.sort(grams.keys[n] | learns)
-                    keys = marked & _EVEN
-                    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                    counts = np.add.reduceat(marked & np.uint64(1), at).astype(np.uint32)
-                    keys = keys[at]
-                    part = _part(keys, partitions)
-                    edges = np.searchsorted(part, np.arange(partitions + 1))
-                    some = np.flatnonzero(np.diff(edges))
-                    blocks = [(squeeze_sorted(keys[edges[p] : edges[p + 1]]), squeeze(counts[edges[p] : edges[p + 1]])) for p in some.tolist()]
-                    k = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int32()), pa.array([n] * k, pa.int32()), pa.array([row["chunk"]] * k, pa.int64()), pa.array([b[0] for b in blocks], pa.binary()), pa.array([b[1] for b in blocks], pa.binary())],
-                        names=["part", "n", "chunk", "keys", "counts"],
-                    )
+                grams, _, held = _open(row, n)
+                marked = grams.keys[n] | np.repeat(~held, np.diff(grams.first)).astype(np.uint64)
+                marked.sort()
+                keys = marked & _EVEN
+                at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                counts = np.add.reduceat(marked & np.uint64(1), at).astype(np.uint32)
+                keys = keys[at]
+                edges = np.searchsorted(_part(keys, partitions), np.arange(partitions + 1))
+                some = np.flatnonzero(np.diff(edges))
+                blocks = [(squeeze_sorted(keys[edges[p] : edges[p + 1]]), squeeze(counts[edges[p] : edges[p + 1]])) for p in some.tolist()]
+                k = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([n] * k, pa.int32()), pa.array([row["chunk"]] * k, pa.int64()), pa.array([b[0] for b in blocks], pa.binary()), pa.array([b[1] for b in blocks], pa.binary())],
+                    names=["part", "n", "chunk", "keys", "counts"],
+                )
 
     return run
 
@@ -188,7 +191,7 @@ class Tables:
     def __init__(self, grams: Grams, blocks: dict[int, list[bytes]], order: int):
         self.keys, self.position, self.total, self.first_asker, self.place = ([None] for _ in range(5))
         for n in range(1, order + 1):
-            by = np.argsort(grams.keys[n], kind="stable")
+            by = np.argsort(grams.keys[n])
             ordered = grams.keys[n][by]
             fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
             at = np.flatnonzero(fresh)
@@ -210,28 +213,29 @@ class Tables:
         return np.where(opens[at], documents, self.total[n - 1][self.place[n - 1][at - 1]])
 
 
-def _gathered(order: int, documents: int):
-    """A chunk's row with its totals joined, and what its first-asked n-grams say on backoff masses: words and single n-grams by class of history."""
+def _met(chunks: pa.Table, answers: pa.Table, order: int) -> tuple[dict, Grams, np.ndarray, Tables]:
+    """A chunk's row, n-grams, held-out marks and tables, with its answers."""
+    answers = answers.sort_by([("n", "ascending"), ("part", "ascending")]).select(["n", "totals"]).to_pydict()
+    (row,) = chunks.to_pylist()
+    blocks: dict[int, list[bytes]] = {n: [] for n in range(1, order + 1)}
+    for n, block in zip(answers["n"], answers["totals"]):
+        blocks[n].append(block)
+    grams, _, held = _open(row, order)
+    return row, grams, held, Tables(grams, blocks, order)
+
+
+def _sums(order: int, documents: int):
+    """What a chunk's first-asked n-grams say on backoff masses: words and single n-grams by order and class of history."""
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by([("n", "ascending"), ("part", "ascending")]).select(["n", "totals"]).to_pydict()
-        (row,) = chunks.to_pylist()
-        blocks: dict[int, list[bytes]] = {n: [] for n in range(1, order + 1)}
-        for n, block in zip(answers["n"], answers["totals"]):
-            blocks[n].append(block)
-        grams, _, _ = _open(row, order)
-        tables = Tables(grams, blocks, order)
+        _, grams, _, tables = _met(chunks, answers, order)
         words, singles = np.zeros((2, order + 1, CLASSES), np.int64)
         for n in range(2, order + 1):
             of = classes(tables.history_total(grams, n, documents))
             own = tables.first_asker[n] & (tables.total[n] > 0)
             words[n] = np.bincount(of[own], tables.total[n][own], CLASSES).astype(np.int64)
             singles[n] = np.bincount(of[own & (tables.total[n] == 1)], minlength=CLASSES)
-        return pa.table({
-            **{c: chunks.column(c) for c in ("chunk", "ids", "sizes", "vocabulary", "tokens")},
-            "totals": pa.array([[squeeze(tables.total[n].astype(np.uint64)) for n in range(1, order + 1)]], pa.list_(pa.binary())),
-            "words": pa.array([words.ravel().tolist()], pa.list_(pa.int64())), "singles": pa.array([singles.ravel().tolist()], pa.list_(pa.int64())),
-        })
+        return pa.table({"at": pa.array(np.arange(words.size), pa.int32()), "words": words.ravel(), "singles": singles.ravel()})
 
     return run
 
@@ -248,15 +252,16 @@ class Automaton:
 
     Level n holds the seen n-grams: as arcs, each with its log-probability `weight[n]` after its
     history; as states, each with the weight `failure[n]` of the failure arc to its suffix.
+    `arc[n]` is the arc of level n that each of the chunk's positions would take, -1 where there is none;
+    taken or not, it is the state of that level in which the position ends.
     """
 
     def __init__(self, grams: Grams, tables: Tables, order: int, n_tokens: int, n_types: int, documents: int, masses: np.ndarray):
-        self.order = order
-        self.starts = grams.starts
+        self.order, self.first = order, grams.first
         self.unknown = float(np.log10(0.5 / (n_tokens + 0.5 * (n_types + 1))))
         unigram = np.log10((tables.total[1] + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
         self.base, self.known = unigram, tables.total[1] > 0
-        self.keys, self.weight, self.failure, self.start_failure = [None], [None], [None], [0.0]
+        self.arc, self.weight, self.failure, self.start_failure = [None], [None], [None], [0.0]
         every = [None, unigram]
         for n in range(1, order + 1):
             seen = tables.total[n] > 0
@@ -266,68 +271,49 @@ class Automaton:
                 lower = every[n - 1][tables.place[n - 1][tables.position[n]]]
                 with np.errstate(divide="ignore"):
                     every.append(np.log10((1 - b) * tables.total[n] / np.maximum(histories, 1) + b * 10.0**lower))
-            self.keys.append(tables.keys[n][seen])
-            self.weight.append(every[n][seen])
-            self.failure.append(np.log10(masses[n + 1][classes(tables.total[n][seen])]) if n < order else None)
+            self.arc.append(np.where(seen, np.cumsum(seen) - 1, -1)[tables.place[n]])
+            # a last entry of 0 is what place -1 finds
+            self.weight.append(np.append(every[n][seen], 0.0))
+            self.failure.append(np.append(np.log10(masses[n + 1][classes(tables.total[n][seen])]), 0.0) if n < order else None)
             self.start_failure.append(float(np.log10(masses[n + 1][classes(np.array([documents]))[0]])) if n < order and documents else 0.0)
 
-    def _find(self, n: int, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys on level n, -1 where there are none."""
-        have = self.keys[n]
-        if not len(have):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return np.where(have[at] == keys, at, -1)
-
-    def walk(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each document: all walk from left to right in step, each carrying its state."""
-        lengths = np.diff(first)
+    def walk(self, stretch: int = STRETCH) -> np.ndarray:
+        """log10 probability of each document: all walk from left to right in step, each carrying its state's failure weights."""
+        pieces = -(-np.diff(self.first) // stretch)
+        owner = np.repeat(np.arange(len(pieces)), pieces)
+        begins = self.first[owner] + ranges(np.zeros(len(pieces), np.int64), pieces) * stretch
+        lengths = np.minimum(stretch, self.first[owner + 1] - begins)
         by = np.argsort(-lengths, kind="stable")
-        begins, lengths = first[:-1][by], lengths[by]
+        begins, lengths, owner = begins[by], lengths[by], owner[by]
+        opens = begins == self.first[owner]
+        # the failure weight of the state of each level that a stretch begins in, 0 where it is no state
+        leave = [np.zeros(0)] + [np.where(opens, self.start_failure[n], self.failure[n][self.arc[n][begins - 1]]) for n in range(1, self.order)]
         total = np.zeros(len(by))
-        # a document's state: the hashes of its last 1 .. order - 1 words, and the failure weight of each (0 where it is no state)
-        state = [np.zeros(0, np.uint64)] + [np.full(len(by), self.starts[n], np.uint64) for n in range(1, self.order)]
-        leave = [np.zeros(0)] + [np.full(len(by), self.start_failure[n]) for n in range(1, self.order)]
         active = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), "right")
         for t, k in enumerate(active.tolist()):
-            word = words[begins[:k] + t]
-            grams = [None, word] + [mix(state[n - 1][:k] * _STEP + word) for n in range(2, self.order + 1)]
-            left = np.arange(k)
+            arcs = [None] + [self.arc[n][begins[:k] + t] for n in range(1, self.order + 1)]
+            gain, free = np.zeros(k), np.ones(k, bool)
             for n in range(self.order, 0, -1):
-                at = self._find(n, grams[n][left] & _EVEN)
-                hit = at >= 0
-                total[left[hit]] += self.weight[n][at[hit]]
-                left = left[~hit]
-                if n > 1:
-                    total[left] += leave[n - 1][:k][left]
-                else:
-                    total[left] += self.unknown
+                gain += self.weight[n][arcs[n]] * free
+                free &= arcs[n] < 0
+                gain += (leave[n - 1][:k] if n > 1 else self.unknown) * free
+            total[:k] += gain
             for n in range(1, self.order):
-                at = self._find(n, grams[n] & _EVEN)
-                state[n][:k] = grams[n]
-                leave[n][:k] = np.where(at >= 0, self.failure[n][np.maximum(at, 0)] if len(self.failure[n]) else 0.0, 0.0)
-        out = np.empty(len(by))
-        out[by] = total
-        return out
+                leave[n][:k] = self.failure[n][arcs[n]]
+        return np.bincount(owner, total, len(pieces))
 
 
 def _scored(order: int, n_tokens: int, n_types: int, documents: int, masses: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams, words, held = _open(row, order)
-                tables = Tables(grams, {n: [squeeze(unsqueeze(b, np.uint64) << np.uint64(1))] for n, b in enumerate(row["totals"], 1)}, order)
-                automaton = Automaton(grams, tables, order, n_tokens, n_types, documents, masses)
-                score = automaton.walk(words, grams.first)
-                place = tables.place[1]
-                sums = lambda x: np.add.reduceat(x[place], grams.first[:-1])
-                n = np.diff(grams.first)
-                base, known = sums(automaton.base), sums(automaton.known.astype(np.int64))
-                k = len(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([n_tokens] * k, pa.int64()), pa.array(base), pa.array(score)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        row, grams, held, tables = _met(chunks, answers, order)
+        automaton = Automaton(grams, tables, order, n_tokens, n_types, documents, masses)
+        place = tables.place[1]
+        sums = lambda x: np.add.reduceat(x[place], grams.first[:-1])
+        n = np.diff(grams.first)
+        return pa.table({
+            "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(held), "n_tokens": n, "n_known": sums(automaton.known.astype(np.int64)),
+            "train_tokens": np.full(len(n), n_tokens), "base_score": sums(automaton.base), "score": automaton.walk(),
+        })
 
     return run
 
@@ -349,17 +335,17 @@ def score_documents(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     each = chunks.select(F.explode(F.arrays_zip("ids", "sizes")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("size"))
     tokens, documents = each.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.expr(learns))).first()
     partitions = max(1, -(-tokens // PARTITION_TOKENS))
-    asked = chunks.mapInArrow(_asks(order, partitions), "part int, n int, chunk long, keys binary, counts binary")
-    answers = asked.groupBy("part", "n").applyInArrow(_answers, "chunk long, n int, part int, totals binary, known long, added long")
-    answers = scratch.table(answers, "answers")
+    asks, said = "part int, n int, chunk long, keys binary, counts binary", "chunk long, n int, part int, totals binary, known long, added long"
+    answers = None
+    for n in range(1, order + 1):
+        some = scratch.table(chunks.mapInArrow(_asks(n, partitions), asks).groupBy("part").applyInArrow(_answers, said), f"answers-{n}")
+        answers = some if answers is None else answers.union(some)
     n_types, n_tokens = answers.filter("n = 1").agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("added"), F.lit(0))).first()
-    gathered = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_gathered(order, documents), CHUNK + ", totals array<binary>, words array<long>, singles array<long>")
-    gathered = scratch.table(gathered, "gathered")
-    scratch.drop(chunks, answers)
+    both = chunks.groupBy("chunk").cogroup(answers.select("chunk", "n", "part", "totals").groupBy("chunk"))
     words, singles = np.zeros((2, (order + 1) * CLASSES))
-    sums = gathered.select(F.posexplode(F.arrays_zip("words", "singles")).alias("at", "both")).groupBy("at").agg(F.sum("both.words"), F.sum("both.singles"))
-    for at, w, s in sums.collect():  # a row for each order and class
-        words[at], singles[at] = w, s
+    with clean_shuffles(spark):
+        for at, w, s in both.applyInArrow(_sums(order, documents), "at int, words long, singles long").groupBy("at").agg(F.sum("words"), F.sum("singles")).collect():  # a row for each order and class
+            words[at], singles[at] = w, s
     masses = backoff_masses(words.reshape(-1, CLASSES), singles.reshape(-1, CLASSES))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return gathered.select("ids", "sizes", "vocabulary", "tokens", "totals").mapInArrow(_scored(order, n_tokens, n_types, documents, masses), schema).withColumnRenamed("doc_id", id_col)
+    return both.applyInArrow(_scored(order, n_tokens, n_types, documents, masses), schema).withColumnRenamed("doc_id", id_col)
