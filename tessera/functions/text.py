@@ -27,14 +27,20 @@ def normal(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case parts of identifiers, split at case changes: four letters or more, no stop word, not all digits."""
-    words = F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9]+"), F.lit(0))
-    parts = F.flatten(F.transform(words, lambda w: F.split(w, "(?<=[a-z0-9])(?=[A-Z])")))
-    return F.filter(F.transform(parts, F.lower), lambda t: (F.length(t) >= 4) & ~t.isin(*STOP_WORDS))
+    return F.filter(token_parts(text), lambda t: ~t.isin(*STOP_WORDS))
+
+
+def token_parts(text: Column) -> Column:
+    """Tokens, stop words among them: a space between cases, then one pass that takes parts of four or more."""
+    return F.transform(F.regexp_extract_all(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), F.lit("[A-Za-z][A-Za-z0-9]{3,}"), F.lit(0)), lambda t: F.lower(t))
+
+
+TERM = "[A-Za-z][A-Za-z0-9_-]+"
 
 
 def terms(text: Column) -> Column:
     """Lower-case retrieval terms."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9_-]+"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(t))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import scoring as sc
-from ..sources.tables import hash_id, table
+from ..sources.tables import hash_id, spread, table
 from .registry import query
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
@@ -32,7 +32,7 @@ def corpus_rollup(spark, sf_dir):
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS duplicate FROM documents")
 def dup_first_seen(spark, sf_dir):
     """First occurrence by hash: the smallest id of a hash, by an aggregate that combines before the shuffle."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.sha2("text", 256).alias("h"))
     first = d.groupBy("h").agg(F.min("doc_id").alias("first"))
     return d.join(first, "h").select("doc_id", F.substring("h", 1, 16).alias("sha"), (F.col("doc_id") > F.col("first")).alias("duplicate"))
 
@@ -53,7 +53,7 @@ def jaccard_pairs(spark, sf_dir):
 
 @query(_DF.format("documents"))
 def token_doc_freq(spark, sf_dir):
-    return sc.document_frequency(table(spark, sf_dir, "documents"))
+    return sc.document_frequency(spread(table(spark, sf_dir, "documents").select("text")))
 
 
 _EN, _DE = "(SELECT * FROM documents WHERE lang = 'en')", "(SELECT * FROM documents WHERE lang = 'de')"
@@ -62,8 +62,8 @@ _EN, _DE = "(SELECT * FROM documents WHERE lang = 'en')", "(SELECT * FROM docume
 @query(f"SELECT a.token, a.docs FROM ({_DF.format(_EN)}) a WHERE docs >= 2 AND NOT EXISTS (SELECT 1 FROM ({_DF.format(_DE)}) b WHERE b.token = a.token)")
 def distinctive_vocab(spark, sf_dir):
     """Tokens of two or more English texts that no German text has."""
-    d = table(spark, sf_dir, "documents")
-    return sc.distinctive(d.filter("lang = 'en'"), d.filter("lang = 'de'"))
+    d = spread(table(spark, sf_dir, "documents").select("lang", "text"))
+    return sc.vocabularies(d, F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2)).filter("side = 1").select("token", "docs")
 
 
 @query(f"""
@@ -76,9 +76,8 @@ r AS (SELECT *, list_sort([p1, p2, p3], 'DESC') AS s, CASE WHEN p1 >= p2 AND p1
 SELECT doc_id, round(p1, 6) AS p_first, round(p2, 6) AS p_second, round(p3, 6) AS p_shared, predicted, round(s[1] - s[2], 6) AS margin, predicted <> 'second' OR s[1] - s[2] < 0.2 AS kept FROM r""")
 def lexical_vote(spark, sf_dir):
     """English against German vocabulary, with the asymmetric keep rule."""
-    d = table(spark, sf_dir, "documents")
-    en, de = d.filter("lang = 'en'"), d.filter("lang = 'de'")
-    return sc.votes(d, sc.distinctive(en, de), sc.distinctive(de, en))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return sc.votes(d, sc.vocabularies(d, F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2)))
 
 
 @query(f"SELECT doc_id, {_SCORE} AS score, ({_N_MET})::INT AS n_met FROM documents")
@@ -142,12 +141,12 @@ def ticket_precheck(spark, sf_dir):
 
 
 @query(r"""
-WITH f AS (SELECT doc_id, substr(text, 1, 10) AS title, substr(text, 1, 60) AS problem, substr(text, 61, 50) AS approach, substr(text, 100, 400) AS evidence, substr(text, 500, 30) AS needs, substr(text, 600, 40) AS failures FROM documents),
+WITH f AS (SELECT doc_id, substr(text, 1, 10) AS title, substr(text, 1, 60) AS problem, substr(text, 61, 50) AS approach, substr(text, 100, 400) AS evidence, substr(text, 500, 30) AS needs, substr(text, 600) AS failures FROM documents),
 m AS (SELECT doc_id, (length(trim(title)) >= 8)::INT + (length(trim(problem)) >= 40)::INT + (length(trim(approach)) >= 40)::INT + (length(trim(evidence)) >= 30 AND regexp_matches(evidence, '\d'))::INT + (length(trim(needs)) >= 20)::INT + (length(trim(failures)) >= 20)::INT AS met FROM f)
 SELECT doc_id, round_even(100.0 * met / 6, 0)::INT AS score, met = 6 AS admitted FROM m""")
 def contribution_gate(spark, sf_dir):
     t = lambda a, n: F.substring("text", a, n)
-    score, admitted = sc.contribution(t(1, 10), t(1, 60), t(61, 50), t(100, 400), t(500, 30), t(600, 40))
+    score, admitted = sc.contribution(t(1, 10), t(1, 60), t(61, 50), t(100, 400), t(500, 30), F.substr("text", F.lit(600)))
     return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"), admitted.alias("admitted"))
 
 
@@ -185,7 +184,7 @@ _HTML = rf"trim(regexp_replace(regexp_replace({_HTML}, '[ \t\f\v\r]+', ' ', 'g')
 
 @query(f"SELECT page_id, {_HTML} AS body FROM pages")
 def page_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("body"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", tx.html_text(F.col("html")).alias("body"))
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, left(regexp_replace(lower(html), '[^a-z0-9 ]', ' ', 'g'), 200) AS head FROM pages")

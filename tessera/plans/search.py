@@ -3,7 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as ret
-from ..sources.tables import table
+from ..operators.graph import cut
+from ..operators.vectors import nearest
+from ..sources.tables import small, spread, table
 from .registry import query
 
 _T = "list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9_-]+'), lambda w: lower(w))"
@@ -17,7 +19,7 @@ lexical AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score
 
 
 def _arms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
     return docs, ret.bm25(docs, queries)
 
@@ -27,13 +29,21 @@ def bm25_topk(spark, sf_dir):
     return ret.top(_arms(spark, sf_dir)[1], 8).withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
 
 
-@query(_BM25 + """, shortest AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY len, doc) AS rank FROM (SELECT query, doc, len(ts) AS len FROM lexical JOIN d USING (doc) WHERE rank <= 50)),
-fused AS (SELECT query, doc, sum(1.0 / (60 + rank)) AS score FROM (SELECT query, doc, rank FROM lexical WHERE rank <= 50 UNION ALL SELECT query, doc, rank FROM shortest) GROUP BY ALL)
+@query(_BM25 + """, near AS (SELECT * FROM (SELECT q.vec_id AS query, e.vec_id AS doc, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
+  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)) WHERE rank <= 50),
+linked AS (SELECT l.query, o.doc_id AS doc, count(*) AS n FROM lexical l JOIN documents d ON d.doc_id = l.doc JOIN documents o ON o.source = d.source AND o.lang = d.lang WHERE l.rank <= 3 GROUP BY ALL),
+graph AS (SELECT * FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY n DESC, doc) AS rank FROM linked) WHERE rank <= 50),
+fused AS (SELECT query, doc, sum(1.0 / (60 + rank)) AS score FROM (SELECT query, doc, rank FROM lexical WHERE rank <= 50 UNION ALL SELECT * FROM near UNION ALL SELECT * FROM graph) GROUP BY ALL)
 SELECT query, doc, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM fused) WHERE rank <= 8""")
 def rrf_fused_topk(spark, sf_dir):
-    """A lexical arm and one by brevity among its fifty best, fused by reciprocal ranks."""
+    """Three arms fused by reciprocal ranks: terms, vectors (of the same ids), and links (documents of one source and language with the best by terms)."""
     docs, scores = _arms(spark, sf_dir)
-    lexical = ret.top(scores, 50)
-    lengths = docs.select("doc", F.size(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]+"), F.lit(0))).alias("len"))
-    brief = ret.top(lexical.select("query", "doc").join(lengths, "doc").select("query", "doc", (-F.col("len")).alias("score")), 50)
-    return ret.fuse([lexical, brief]).withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
+    lexical = cut(ret.top(scores, 50))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
+    e = table(spark, sf_dir, "embeddings")
+    asks = e.join(small(items.distinct()), e.vec_id == F.col("query"), "left").withColumn("asks", F.col("query").isNotNull())
+    near = nearest(asks.select("vec_id", "label", "embedding", "asks"), 50, "asks").select(F.col("q").alias("query"), F.col("b").alias("doc"), F.col("r").alias("rank"))
+    places = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", "lang")
+    best = lexical.filter("rank <= 3").join(places, "doc").groupBy("query", "source", "lang").agg(F.count("*").alias("n"))
+    linked = places.join(small(cut(best)), ["source", "lang"]).select("query", "doc", F.col("n").cast("double").alias("score"))
+    return ret.fuse([lexical, near, ret.top(linked, 50)]).withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
