@@ -33,7 +33,7 @@ from .words import mix, ranges, word_blocks
 
 ORDER = 3
 #: Words of a chunk, about, and of the n-grams that meet in a partition, about.
-CHUNK_TOKENS, PARTITION_TOKENS = 1 << 20, 2 << 20
+CHUNK_TOKENS, PARTITION_TOKENS = 3 << 18, 3 << 19
 #: Words that are walked one after the other; stretches walk side by side.
 STRETCH = 256
 START, END = mix(np.array([1, 2], np.uint64))
@@ -77,13 +77,13 @@ class Grams:
         opens = self.first[:-1]
         self.starts = [np.uint64(0), START]
         self.keys = [None, words & _EVEN]
-        whole = [None, words]
+        whole = words
         for n in range(2, order + 1):
             before = np.empty_like(words)
-            before[1:] = whole[n - 1][:-1]
+            before[1:] = whole[:-1]
             before[opens] = self.starts[n - 1]
-            whole.append(mix(before * _STEP + words))
-            self.keys.append(whole[n] & _EVEN)
+            whole = mix(before * _STEP + words)
+            self.keys.append(whole & _EVEN)
             self.starts.append(mix(np.array([self.starts[n - 1]]) * _STEP + START)[0])
 
 
@@ -186,21 +186,20 @@ def _answers(rows: pa.Table) -> pa.Table:
 
 
 class Tables:
-    """For each order the chunk's distinct n-grams: keys, a position of each, totals, first-asker marks, and each position's place among them."""
+    """For each order the chunk's distinct n-grams, ascending: a position of each, totals, first-asker marks, and each position's place among them."""
 
     def __init__(self, grams: Grams, blocks: dict[int, list[bytes]], order: int):
-        self.keys, self.position, self.total, self.first_asker, self.place = ([None] for _ in range(5))
+        self.position, self.total, self.first_asker, self.place = ([None] for _ in range(4))
         for n in range(1, order + 1):
             by = np.argsort(grams.keys[n])
             ordered = grams.keys[n][by]
             fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
             at = np.flatnonzero(fresh)
-            place = np.empty(len(by), np.int64)
+            place = np.empty(len(by), np.int32)
             place[by] = np.cumsum(fresh) - 1
             marked = np.concatenate([unsqueeze(b, np.uint64) for b in blocks[n]])
             assert len(marked) == len(at), "answers do not match what the chunk asked"
-            self.keys.append(ordered[at])
-            self.position.append(by[at])
+            self.position.append(by[at].astype(np.int32))
             self.place.append(place)
             self.total.append((marked >> np.uint64(1)).astype(np.int64))
             self.first_asker.append((marked & np.uint64(1)).astype(bool))
@@ -271,7 +270,7 @@ class Automaton:
                 lower = every[n - 1][tables.place[n - 1][tables.position[n]]]
                 with np.errstate(divide="ignore"):
                     every.append(np.log10((1 - b) * tables.total[n] / np.maximum(histories, 1) + b * 10.0**lower))
-            self.arc.append(np.where(seen, np.cumsum(seen) - 1, -1)[tables.place[n]])
+            self.arc.append(np.where(seen, np.cumsum(seen) - 1, -1).astype(np.int32)[tables.place[n]])
             # a last entry of 0 is what place -1 finds
             self.weight.append(np.append(every[n][seen], 0.0))
             self.failure.append(np.append(np.log10(masses[n + 1][classes(tables.total[n][seen])]), 0.0) if n < order else None)
