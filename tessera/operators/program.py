@@ -478,3 +478,145 @@ def field_cards(rows: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit(" Valid states: "), "states", F.lit(".")), F.lit("")), F.coalesce(F.concat(F.lit(" Used by "), "users", F.lit(".")), F.lit("")),
     )
     return full.select("origin", F.col("name").alias("field"), "line", text.alias("text"))
+
+
+# What marks comment blocks, log entries and call targets.
+BOILERPLATE = "COPYRIGHT|DISCLAIMER|WARRANT|INDEMNIF|ALL RIGHTS RESERVED|LICENSED MATERIALS|IBM CORP|THESE SAMPLES"
+CODE_LIKE = r"^\s*(MOVE|COMPUTE|PERFORM|IF|EVALUATE|CALL|EXEC|ADD|SUBTRACT|MULTIPLY|DIVIDE|GO\s+TO|SET|INITIALIZE|END-IF|END-EXEC|WHEN)\b"
+MAINTAINED = r"\b(CHANGE\s+LOG|MAINTENANCE|MODIFICATION|REVISION HISTORY|PR#|CR-|DEFECT)\b"
+LOG_ENTRY = r"(?i)(\d{2}[/-]\d{2}[/-]\d{2,4})\s+(?:([A-Z][A-Z0-9]{2,8})\b)?\s*((?:PR#|CR-|DEF-|INC)\s*\d+)?\s*(.*)$"
+HEADER_LINES = 30
+
+
+def comment_lines(members: DataFrame) -> DataFrame:
+    """(name, line, mark, text) of all lines of members (name, source) that say something; text is columns 8 to 72."""
+    each = members.select("name", F.posexplode(F.split("source", "\r\n|\r|\n")).alias("at", "raw")).filter("trim(raw) <> ''")
+    return each.select("name", (F.col("at") + 1).alias("line"), F.substring(F.rpad("raw", 7, " "), 7, 1).alias("mark"), F.rtrim(F.substring("raw", 8, 65)).alias("text"))
+
+
+def comment_blocks(members: DataFrame) -> DataFrame:
+    """(name, line, n_lines, kind, text, duplicate): runs of comment lines by gaps and islands, each of one of six kinds; a text that another block has before it (by name and line) is a duplicate.
+
+    Half of its lines or more that read as statements make a block commented-out code. A block is one row, as the result demands.
+    """
+    order = Window.partitionBy("name").orderBy("line")
+    lines = comment_lines(members).withColumn("said", F.col("mark").isin("*", "/"))
+    runs = lines.withColumn("run", F.sum(F.when(F.col("said") & ~F.lag("said", 1, False).over(order), 1).otherwise(0)).over(order)).filter("said")
+    stripped = F.regexp_replace("text", r"^[* ]+|[* ]+$", "")
+    runs = runs.select("name", "run", "line", "text", stripped.alias("s"))
+    some = F.col("s") != ""
+    b = runs.groupBy("name", "run").agg(
+        F.min("line").alias("line"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "s"))), lambda x: x["s"]), " ").alias("text"),
+        F.count_if(some).alias("lines_said"), F.count_if(some & F.upper("s").rlike(CODE_LIKE)).alias("code"),
+    )
+    b = b.filter(F.regexp_replace("text", "[* -]", "") != "").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    up = F.upper("text")
+    kind = (
+        F.when(up.rlike(BOILERPLATE), "boilerplate").when((F.col("code") > 0) & (F.col("code") * 2 >= F.col("lines_said")), "commented-out-code").when(up.rlike(MAINTAINED), "maintenance-log")
+        .when(F.contains(up, F.lit("MODULE NAME")) | F.contains(up, F.lit("PROGRAM-ID")) | (F.col("line") < HEADER_LINES), "header").when(F.col("n_lines") > 1, "paragraph").otherwise("inline")
+    )
+    first = b.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("name", "line")).alias("first"))
+    b = b.withColumn("kind", kind).withColumn("h", F.sha2("text", 256)).join(first, "h")
+    return b.select("name", "line", "n_lines", "kind", "text", (F.struct("name", "line") != F.col("first")).alias("duplicate"))
+
+
+def maintenance(members: DataFrame) -> DataFrame:
+    """(name, line, date, author, ticket, description) of every comment line that holds a log entry; author and ticket are null where there is none."""
+    c = comment_lines(members).filter(F.col("mark").isin("*", "/") & F.col("text").rlike(LOG_ENTRY))
+    part = lambda k: F.regexp_extract("text", LOG_ENTRY, k)
+    return c.select("name", "line", part(1).alias("date"), F.nullif(part(2), F.lit("")).alias("author"), F.nullif(part(3), F.lit("")).alias("ticket"), F.trim(F.regexp_replace(part(4), r"\s+", " ")).alias("description"))
+
+
+CHUNK_LENGTH = 1400
+
+
+def typed_chunks(rows: DataFrame, cards: DataFrame, comments: DataFrame, most: int = CHUNK_LENGTH) -> DataFrame:
+    """(kind, title, text, member, line): a chunk for each field card, program, paragraph and comment that is neither boilerplate, code nor inline, cut at `most` characters.
+
+    A program's chunk is its name, its first header and its first 40 items; a paragraph's its statements in order.
+    """
+    fields = cards.select(F.lit("field").alias("kind"), F.concat_ws(".", "origin", "field").alias("title"), "text", F.col("origin").alias("member"), "line")
+    header = comments.filter("kind = 'header' and not duplicate").groupBy("name").agg(F.min_by("text", "line").alias("header"))
+    items = of(rows, "item").groupBy("program").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("line", "origin", "name"))), 1, 40), lambda i: i["name"]), " ").alias("items"))
+    whole = rows.select("program").distinct().join(items, "program", "left").join(header.withColumnRenamed("name", "program"), "program", "left")
+    programs = whole.select(F.lit("program").alias("kind"), F.col("program").alias("title"), F.concat_ws(" ", "program", F.coalesce("header", F.lit("")), F.coalesce("items", F.lit(""))).alias("text"), F.col("program").alias("member"), F.lit(1).alias("line"))
+    said = of(rows, "statement").groupBy("program", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda s: s["text"]), " ").alias("body"))
+    paragraphs = of(rows, "paragraph").select("program", F.col("name").alias("paragraph"), "line").join(said, ["program", "paragraph"], "left")
+    paragraphs = paragraphs.select(F.lit("paragraph").alias("kind"), F.concat_ws(".", "program", "paragraph").alias("title"), F.concat_ws(" ", "paragraph", F.coalesce("body", F.lit(""))).alias("text"), F.col("program").alias("member"), "line")
+    notes = comments.filter(F.col("kind").isin("header", "paragraph", "maintenance-log") & ~F.col("duplicate")).select(F.lit("comment").alias("kind"), F.concat("name", F.lit(" note")).alias("title"), "text", F.col("name").alias("member"), "line")
+    return fields.union(programs).union(paragraphs).union(notes).withColumn("text", F.left("text", F.lit(most)))
+
+
+QUESTION = r"(?i)\b(?:who|what|which)\b.*?\b(writes?|updates?|owns|reads?|uses?|calls?|links)\b\s+(?:to\s+|from\s+|the\s+)?([A-Za-z0-9_$#@-]+)"
+
+
+def graph_answers(questions: DataFrame, access: DataFrame, edges: DataFrame) -> DataFrame:
+    """(question, answers): programs in order, by a question's predicate over data access and edges; `calls` gives the programs that its subject calls. Null where no edge answers; questions of another form have no row.
+
+    Questions are few and join with facts by their subject, so facts are read once.
+    """
+    q = questions.filter(F.col("question").rlike(QUESTION)).select("question", F.upper(F.regexp_extract("question", QUESTION, 1)).alias("intent"), F.upper(F.regexp_extract("question", QUESTION, 2)).alias("subject"))
+    bare = lambda c: F.regexp_replace(c, "^program:", "")
+    writes = access.filter(F.col("access").isin(*CHANGING)).select(F.lit("W").alias("form"), F.upper("artifact").alias("subject"), "program")
+    reads = access.filter("access = 'READS'").select(F.lit("R"), F.upper("artifact"), "program")
+    uses = edges.select(F.lit("R"), F.upper(F.regexp_replace("target", "^[^:]*:", "")), bare("source"))
+    calls = edges.filter(F.col("kind").isin("CICS_LINK", "CICS_XCTL", "CALLS_STATIC", "CALLS_DYNAMIC")).select(F.lit("C"), F.upper(bare("source")), bare("target"))
+    form = F.when(F.col("intent").isin("WRITES", "WRITE", "UPDATES", "OWNS"), "W").when(F.col("intent").isin("READS", "READ", "USES", "USE"), "R").when(F.col("intent").isin("CALLS", "CALL", "LINKS"), "C")
+    found = q.withColumn("form", form).join(writes.union(reads).union(uses).union(calls), ["form", "subject"], "left")
+    return found.groupBy("question").agg(F.array_sort(F.collect_set("program")).alias("a")).select("question", F.when(F.size("a") > 0, F.array_join("a", ", ")).alias("answers"))
+
+
+def resource_facts(members: DataFrame, programs: DataFrame) -> DataFrame:
+    """(member, kind, subject, target, known, line) of job control and resource decks: steps, programs run under a plan, tables made, programs defined, transactions routed.
+
+    A transaction goes to the first PROGRAM() that follows its definition before the next one. `known` is whether the target is one of `programs` (name).
+    """
+    each = members.select("name", F.posexplode(F.split("source", "\r?\n")).alias("at", "text")).filter("not startswith(text, '//*')").withColumn("line", F.col("at") + 1).withColumn("text", F.upper("text"))
+    ex = lambda pattern, k: F.regexp_extract("text", pattern, k)
+    step, run = r"^//([A-Z0-9@#$]+)\s+EXEC\s+PGM=([A-Z0-9@#$]+)", r"\bRUN\s+PROGRAM\(([A-Z0-9@#$]+)\)(?:\s+PLAN\(([A-Z0-9@#$]+)\))?"
+    create, define, routed = r"\bCREATE\s+TABLE\s+(?:&?[A-Z0-9@#$_]+\.)?([A-Z0-9@#$_]+)", r"^\s*DEFINE\s+(PROGRAM|TRANSACTION|DB2ENTRY)\(([A-Z0-9@#$]+)\)", r"\bPROGRAM\(([A-Z0-9@#$]+)\)"
+    order = Window.partitionBy("name").orderBy("line")
+    form = F.when(F.col("text").rlike(step), "STEP").when(F.col("text").rlike(run), "RUNS").when(F.col("text").rlike(create), "CREATES_TABLE").when(F.col("text").rlike(define), "DEFINE").when(F.col("text").rlike(routed), "ROUTE")
+    marked = each.withColumn("form", form).withColumn("deck", F.sum(F.when(F.col("form") == "DEFINE", 1).otherwise(0)).over(order))
+    defined = F.last(F.when(F.col("form") == "DEFINE", F.struct(ex(define, 1).alias("kind"), ex(define, 2).alias("name"))), ignorenulls=True).over(order)
+    marked = marked.withColumn("last", defined).filter("form is not null")
+    first = F.row_number().over(Window.partitionBy("name", "deck", "form").orderBy("line"))
+    marked = marked.withColumn("nth", first)
+    subject = F.when(F.col("form") == "STEP", ex(step, 1)).when(F.col("form") == "RUNS", F.when(ex(run, 2) != "", ex(run, 2)).otherwise("batch")).when(F.col("form") == "CREATES_TABLE", "DB2").when(F.col("form") == "DEFINE", "CICS").otherwise(F.col("last.name"))
+    target = F.when(F.col("form") == "STEP", ex(step, 2)).when(F.col("form") == "RUNS", ex(run, 1)).when(F.col("form") == "CREATES_TABLE", ex(create, 1)).when(F.col("form") == "DEFINE", ex(define, 2)).otherwise(ex(routed, 1))
+    kept = marked.filter("form not in ('DEFINE', 'ROUTE') or (form = 'DEFINE' and last.kind = 'PROGRAM') or (form = 'ROUTE' and last.kind = 'TRANSACTION' and nth = 1)")
+    kind = F.when(F.col("form") == "DEFINE", "DEFINES_PROGRAM").when(F.col("form") == "ROUTE", "ROUTES_TO").otherwise(F.col("form"))
+    facts = kept.select(F.col("name").alias("member"), kind.alias("kind"), subject.alias("subject"), target.alias("target"), "line")
+    known = programs.select(F.upper("name").alias("target")).distinct().withColumn("known", F.lit(True))
+    return facts.join(known, "target", "left").select("member", "kind", "subject", "target", F.coalesce("known", F.lit(False)).alias("known"), "line")
+
+
+def call_targets(members: DataFrame, books: DataFrame) -> DataFrame:
+    """(name, target): programs that a member links to, calls, moves the name of (if it is a member) or reaches by a copybook whose first link names one; comment lines are left out."""
+    pattern = {"link": r"(?:LINK|XCTL)\s+PROGRAM\(\s*'([A-Z0-9]{4,8})'", "call": r"CALL\s+'([A-Z0-9]{4,8})'", "move": r"MOVE\s+'([A-Z0-9]{4,8})'\s+TO", "copy": r"COPY\s+(C[A-Z0-9]{3,7})"}
+    code = lambda m: m.select("name", F.posexplode(F.split("source", "\r?\n")).alias("line", "text")).filter("substring(text, 7, 1) <> '*' and not startswith(ltrim(text), '*')")
+    mined = lambda rows, what: rows.select("name", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern[what]), F.lit(1))).alias("target"))
+    own = code(members)
+    plain = mined(own, "link").union(mined(own, "call")).select("name", "target")
+    moved = mined(own, "move").join(members.select(F.col("name").alias("target")), "target", "left_semi").select("name", "target")
+    first = mined(code(books), "link").groupBy("name").agg(F.min_by("target", "line").alias("linked"))
+    copied = mined(own, "copy").select("name", F.col("target").alias("book")).join(first.withColumnRenamed("name", "book"), "book").select("name", F.col("linked").alias("target"))
+    return plain.union(moved).union(copied).distinct()
+
+
+def catalog(documents: DataFrame) -> DataFrame:
+    """(program, domain, function) of the rows of markdown tables `| PROGRAM | .. | domain | function |`, the first of a program by document and line."""
+    row = r"^\|\s*([A-Z][A-Z0-9]{2,9})\s*\|\s*[^|]*\|\s*(\d{1,2})(?:/\d+)?\s*\|\s*(.+?)\s*\|"
+    each = documents.select("name", F.posexplode(F.split("text", "\r?\n")).alias("line", "text")).filter(F.col("text").rlike(row))
+    found = each.select(F.regexp_extract("text", row, 1).alias("program"), F.lpad(F.regexp_extract("text", row, 2), 2, "0").alias("domain"), F.trim(F.regexp_replace(F.regexp_extract("text", row, 3), r"\*", "")).alias("function"), "name", "line")
+    return found.groupBy("program").agg(F.min_by(F.struct("domain", "function"), F.struct("name", "line")).alias("f")).select("program", "f.*")
+
+
+def descriptions(documents: DataFrame, heading: str = "Business purpose") -> DataFrame:
+    """(name, title, purpose) of markdown documents: the first heading, and the section of that heading or else the first paragraph of more than 40 characters."""
+    t = F.col("text")
+    title = F.regexp_extract(t, r"(?m)^#\s+(?:Domain\s+\d+\s+[—-]\s+)?(.+)$", 1)
+    section = F.trim(F.regexp_replace(F.regexp_extract(t, rf"(?ms)^##+\s*{heading}\s*$(.+?)(?=^##\s|\z)", 1), r"\s+", " "))
+    blocks = F.filter(F.transform(F.split(t, "\n\n"), lambda b: F.trim(b)), lambda b: (F.length(b) > 40) & ~b.startswith("#") & ~b.startswith("|"))
+    paragraph = F.trim(F.regexp_replace(F.coalesce(F.get(blocks, 0), t), r"\s+", " "))
+    return documents.select("name", F.when(title != "", F.trim(title)).otherwise(F.col("name")).alias("title"), F.when(section != "", section).otherwise(paragraph).alias("purpose"))

@@ -95,18 +95,6 @@ def cost_per_success(spark, sf_dir):
     return e.select("rung", F.round("cost", 6).alias("cost"), F.round("success", 4).alias("success"), F.round("cost_per_success", 6).alias("cost_per_success"))
 
 
-@query("""
-SELECT q AS question, s_name AS program FROM (VALUES ('who writes p7', 'R', 7), ('Which programs reads the p12?', 'N', 12)) v(q, flag, part), (SELECT DISTINCT l_partkey, l_returnflag, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) f
-WHERE f.l_partkey = v.part AND f.l_returnflag = v.flag""")
-def graph_answers(spark, sf_dir):
-    """Questions in words to predicates over access facts."""
-    s = table(spark, sf_dir, "supplier")
-    li = table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    facts = li.select(F.col("s_name").alias("program"), F.when(F.col("l_returnflag") == "R", "WRITES").when(F.col("l_returnflag") == "N", "READS").otherwise("OTHER").alias("access"), F.concat(F.lit("p"), F.col("l_partkey")).alias("artifact"))
-    asked = spark.createDataFrame([("who writes p7",), ("Which programs reads the p12?",)], "question string")
-    return gov.graph_questions(asked, facts)
-
-
 @query("""
 SELECT n_name, count(*) AS customers, count(*) FILTER (c_acctbal < 0) AS overdrawn, round_even(100.0 * count(*) FILTER (c_acctbal >= 0) / count(*), 0)::INT AS coverage
 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""")

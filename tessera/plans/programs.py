@@ -187,3 +187,120 @@ def compiler_options(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     p = rows.groupBy("program").agg(F.max(F.when(F.col("record") == "program", F.col("name"))).alias("program_id"), F.count_if(F.col("record") == "paragraph").alias("paragraphs"))
     return pr.of(rows, "option").select("program", "name", F.col("target").alias("value")).join(p, "program")
+
+
+_CODE = "'       MOVE 1 TO X.'"
+_NOTES = {
+    "name": "concat('N', s_suppkey)",
+    "source": f"concat_ws(chr(10), CASE WHEN s_suppkey % 2 = 0 THEN concat('      * Copyright holder ', s_suppkey) END, {_CODE}, '      *  MOVE A TO B', '      * ADD 1 TO C', '      * words', {_CODE}, '      * Change log', "
+    "concat('      * 01/02/2020 JSM PR#', s_suppkey, '  made   it'), concat('      * 3-04-99 12-11-21 note ', s_suppkey % 5), " + _CODE + ", concat('      * Reads orders of nation ', s_nationkey), " + _CODE + ", '      *---', "
+    + _CODE + ", repeat(concat(' ', chr(10)), 22), '      / first', '      * second', " + _CODE + ", '      * alone')",
+}
+
+
+def _notes(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").selectExpr(*(f"{e} AS {n}" for n, e in _NOTES.items()))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS nation, (s_suppkey % 2 = 0)::INT AS d FROM supplier),
+b AS (SELECT 'N' || k AS name, 1 AS line, 1 AS n_lines, 'boilerplate' AS kind, 'Copyright holder ' || k AS text FROM s WHERE d = 1
+  UNION ALL SELECT 'N' || k, d + 2, 3, 'commented-out-code', 'MOVE A TO B ADD 1 TO C words' FROM s
+  UNION ALL SELECT 'N' || k, d + 6, 3, 'maintenance-log', 'Change log 01/02/2020 JSM PR#' || k || ' made it 3-04-99 12-11-21 note ' || (k % 5) FROM s
+  UNION ALL SELECT 'N' || k, d + 10, 1, 'header', 'Reads orders of nation ' || nation FROM s
+  UNION ALL SELECT 'N' || k, d + 37, 2, 'paragraph', 'first second' FROM s UNION ALL SELECT 'N' || k, d + 40, 1, 'inline', 'alone' FROM s)
+SELECT name, line::INT AS line, n_lines::BIGINT AS n_lines, kind, text, row_number() OVER (PARTITION BY text ORDER BY name, line) > 1 AS duplicate FROM b""")
+def comment_kinds(spark, sf_dir):
+    """Comment blocks of six kinds, later copies marked."""
+    return pr.comment_blocks(_notes(spark, sf_dir))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, (s_suppkey % 2 = 0)::INT AS d FROM supplier)
+SELECT 'N' || k AS name, d + 7 AS line, '01/02/2020' AS date, 'JSM' AS author, 'PR#' || k AS ticket, 'made it' AS description FROM s
+UNION ALL SELECT 'N' || k, d + 8, '12-11-21', 'note', NULL, (k % 5)::VARCHAR FROM s""")
+def maintenance_log(spark, sf_dir):
+    """Dates, authors, tickets and descriptions of log entries in comments."""
+    return pr.maintenance(_notes(spark, sf_dir))
+
+
+@query(f"""
+WITH {_M} SELECT 'field' AS kind, count(*) AS n FROM (SELECT DISTINCT n FROM copies WHERE n IN (SELECT n FROM lib) UNION ALL SELECT k FROM s, range(6)) UNION ALL SELECT 'program', count(*) FROM s UNION ALL SELECT 'paragraph', 2 * count(*) FROM s
+UNION ALL SELECT 'comment', 1""")
+def chunks_by_kind(spark, sf_dir):
+    """Typed chunks of programs, counted: the log entry, which all programs share, is one."""
+    rows = _rows(spark, sf_dir)
+    chunks = pr.typed_chunks(rows, pr.field_cards(rows), pr.comment_blocks(_programs(spark, sf_dir)))
+    return chunks.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_M} SELECT 'P' || k || '.LAST-PARA' AS title, concat('LAST-PARA EXEC CICS RETURN TRANSID(''X', nation % 5, ''') END-EXEC') AS text, 'P' || k AS member FROM s")
+def paragraph_chunks(spark, sf_dir):
+    """The chunks of last paragraphs."""
+    rows = _rows(spark, sf_dir)
+    chunks = pr.typed_chunks(rows, pr.field_cards(rows), pr.comment_blocks(_programs(spark, sf_dir)))
+    return chunks.filter("kind = 'paragraph' and endswith(title, 'LAST-PARA')").select("title", "text", "member")
+
+
+_ASKED = ("who writes F4", "Which programs update the T3?", "what reads from T2", "who uses M3", "what calls P1", "which program links to P2", "who owns T99", "how many?")
+
+
+@query(f"""
+WITH {_M}, f AS (SELECT 'W' AS form, artifact AS subject, 'P' || k AS program FROM acc WHERE access = 'UPDATES' UNION ALL SELECT 'R', artifact, 'P' || k FROM acc WHERE access = 'READS'
+  UNION ALL SELECT 'R', regexp_replace(target, '^[^:]*:', ''), substr(source, 9) FROM e UNION ALL SELECT 'C', substr(source, 9), substr(target, 9) FROM e WHERE kind IN ('CICS_LINK', 'CICS_XCTL', 'CALLS_STATIC', 'CALLS_DYNAMIC')),
+q AS (SELECT * FROM (VALUES ('who writes F4', 'W', 'F4'), ('Which programs update the T3?', NULL, 'T3'), ('what reads from T2', 'R', 'T2'), ('who uses M3', 'R', 'M3'), ('what calls P1', 'C', 'P1'), ('which program links to P2', 'C', 'P2'), ('who owns T99', 'W', 'T99')) v(question, form, subject))
+SELECT question, string_agg(DISTINCT program, ', ' ORDER BY program) AS answers FROM q LEFT JOIN f USING (form, subject) GROUP BY question""")
+def graph_answers(spark, sf_dir):
+    """Questions in words answered by predicates over access and edges."""
+    rows = _rows(spark, sf_dir)
+    return pr.graph_answers(spark.createDataFrame([(q,) for q in _ASKED], "question string"), pr.data_access(rows), pr.evidence_edges(rows))
+
+
+_DECKS = {
+    "name": "concat('J', s_suppkey)",
+    "source": "concat_ws(chr(10), '//* //S0 EXEC PGM=NONE', concat('//S1 EXEC PGM=P', s_suppkey), concat('  run program(P', s_suppkey + 7, ')', CASE WHEN s_suppkey % 2 = 0 THEN concat(' plan(PL', s_nationkey, ')') ELSE '' END), concat('  CREATE TABLE &DB.T', s_suppkey % 9, ' ('), concat(' DEFINE TRANSACTION(X', s_nationkey, ') GROUP(A)'), concat('   PROGRAM(P', s_suppkey * 3, ')'), '   PROGRAM(LATER)', concat(' DEFINE PROGRAM(P', s_suppkey * 2, ')'), '   PROGRAM(OTHER)', ' DEFINE DB2ENTRY(D)')",
+}
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS nation FROM supplier), f AS (
+  SELECT k, 'STEP' AS kind, 'S1' AS subject, 'P' || k AS target, 2 AS line FROM s UNION ALL SELECT k, 'RUNS', CASE WHEN k % 2 = 0 THEN 'PL' || nation ELSE 'batch' END, 'P' || (k + 7), 3 FROM s
+  UNION ALL SELECT k, 'CREATES_TABLE', 'DB2', 'T' || (k % 9), 4 FROM s UNION ALL SELECT k, 'ROUTES_TO', 'X' || nation, 'P' || (k * 3), 6 FROM s UNION ALL SELECT k, 'DEFINES_PROGRAM', 'CICS', 'P' || (k * 2), 8 FROM s)
+SELECT 'J' || k AS member, kind, subject, target, target IN (SELECT 'P' || k FROM s) AS known, line FROM f""")
+def resource_facts(spark, sf_dir):
+    """Facts of job control and resource decks."""
+    decks = table(spark, sf_dir, "supplier").selectExpr(*(f"{e} AS {n}" for n, e in _DECKS.items()))
+    return pr.resource_facts(decks, _programs(spark, sf_dir))
+
+
+_CALLERS = {
+    "name": "concat('PG', 1000 + s_suppkey)",
+    "source": "concat_ws(chr(10), concat('      * CALL ', chr(39), 'PG9999', chr(39)), concat('           CALL ', chr(39), 'PG', 1000 + s_suppkey % 7, chr(39), '.'), concat('           MOVE ', chr(39), 'PG', 1000 + s_suppkey * 2, chr(39), ' TO X'), concat('           EXEC CICS LINK PROGRAM(', chr(39), 'PGLINK', chr(39), ') END-EXEC'), concat('           COPY CBK', s_suppkey % 4, '.'))",
+}
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k FROM supplier)
+SELECT DISTINCT 'PG' || (1000 + k) AS name, target FROM (SELECT k, 'PG' || (1000 + k % 7) AS target FROM s UNION ALL SELECT k, 'PG' || (1000 + k * 2) FROM s WHERE k * 2 IN (SELECT k FROM s) UNION ALL SELECT k, 'PGLINK' FROM s UNION ALL SELECT k, 'PGVIA' || (k % 4) FROM s WHERE k % 4 < 3)""")
+def call_targets(spark, sf_dir):
+    """Call targets by four patterns, one of them through copybooks."""
+    members = table(spark, sf_dir, "supplier").selectExpr(*(f"{e} AS {n}" for n, e in _CALLERS.items()))
+    books = [(f"CBK{k}", f"      * LINK PROGRAM('NOTTHIS')\n           EXEC CICS XCTL PROGRAM('PGVIA{k}')\n           LINK PROGRAM('LATER')") for k in range(3)]
+    return pr.call_targets(members, spark.createDataFrame(books, "name string, source string"))
+
+
+@query("SELECT 'PRG' || chr((65 + s_suppkey % 26)::INT) || s_suppkey AS program, lpad((s_nationkey % 12)::VARCHAR, 2, '0') AS domain, 'Does ' || s_suppkey AS function FROM supplier")
+def catalog_rows(spark, sf_dir):
+    """Programs of a markdown catalog, the first row of each."""
+    row = "concat('| PRG', chr(65 + s_suppkey % 26), s_suppkey, ' | layer | ', s_nationkey % 12, '/3 | **Does ', s_suppkey, '** | more |')"
+    docs = table(spark, sf_dir, "supplier").selectExpr("concat('d', s_suppkey) AS name", f"concat_ws(chr(10), '# Catalog', '| Program | Layer |', '|---|---|', {row}, replace({row}, 'Does', 'Again')) AS text")
+    return pr.catalog(docs)
+
+
+@query("""
+SELECT 'd' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'd' || s_suppkey ELSE 'Title ' || s_suppkey END AS title,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'It sells. Twice.' ELSE 'This paragraph of ' || s_suppkey || ' is long enough to be a description of it.' END AS purpose FROM supplier""")
+def domain_descriptions(spark, sf_dir):
+    """Titles and purposes of markdown documents."""
+    text = "concat(CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('# Domain 4 — Title ', s_suppkey) END, chr(10), chr(10), 'short', chr(10), chr(10), 'This paragraph of ', s_suppkey, ' is long enough', chr(10), 'to be a description of it.', chr(10), chr(10), CASE WHEN s_suppkey % 2 = 0 THEN concat('## Business purpose', chr(10), 'It sells.', chr(10), 'Twice.', chr(10), '## Next', chr(10), 'x') ELSE '' END)"
+    return pr.descriptions(table(spark, sf_dir, "supplier").selectExpr("concat('d', s_suppkey) AS name", f"{text} AS text"))
