@@ -88,3 +88,26 @@ def tier_curve(runs: DataFrame) -> DataFrame:
 def members(rows: DataFrame, group: str, member: str, separator: str = ", ") -> DataFrame:
     """(group, members, n): distinct members in order, joined."""
     return rows.select(group, member).distinct().groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(member)), separator).alias("members"), F.count("*").alias("n"))
+
+
+def cluster_kind(members: DataFrame, cluster: str, role: str) -> DataFrame:
+    """(cluster, kind): functional only where more members are functional than not."""
+    functional, other = F.count_if(F.col(role) == "Functional"), F.count_if(F.col(role) == "Non-functional")
+    return members.groupBy(cluster).agg(F.when(other >= functional, "Non-functional").otherwise("Functional").alias("kind"))
+
+
+def bundle(members: DataFrame, labels: DataFrame, contracts: DataFrame, boundaries: DataFrame, root: str = "okf", top_boundaries: int = 3, top_contracts: int = 4) -> DataFrame:
+    """(path, text): a knowledge bundle in markdown: an index, a file for each community, the widest boundaries and contracts (a report of the first few).
+
+    Members are (program, community), labels (community, label), contracts (artifact, communities, crossing), boundaries (artifact, holders).
+    """
+    front = lambda kind, title: F.concat(F.lit("---\ntype: "), F.lit(kind), F.lit("\ntitle: "), title, F.lit("\nstatus: draft\nverified: null\n---\n# "), title, F.lit("\n\n"))
+    listed = members.groupBy("community").agg(F.array_join(F.array_sort(F.collect_set("program")), ", ").alias("members")).join(labels, "community")
+    community = listed.select(F.concat(F.lit(f"{root}/communities/community-"), F.col("community").cast("string"), F.lit(".md")).alias("path"), F.concat(front("Domain", F.col("label")), F.lit("Members: "), "members", F.lit(".\n")).alias("text"))
+    widest = boundaries.orderBy(F.desc("holders"), "artifact").limit(top_boundaries)
+    boundary = widest.select(F.concat(F.lit(f"{root}/boundaries/"), F.lower("artifact"), F.lit(".md")).alias("path"), F.concat(front("Boundary", F.col("artifact")), F.lit("Held by "), F.col("holders").cast("string"), F.lit(" programs.\n")).alias("text"))
+    first = contracts.orderBy(F.desc("communities"), "artifact").limit(top_contracts)
+    contract = first.select(F.concat(F.lit(f"{root}/contracts/"), F.lower("artifact"), F.lit(".md")).alias("path"), F.concat(front("Contract", F.col("artifact")), F.lit("Crossing: "), "crossing", F.lit(".\n")).alias("text"))
+    sums = members.agg(F.countDistinct("community").alias("c"), F.countDistinct("program").alias("p"))
+    index = sums.select(F.lit(f"{root}/index.md").alias("path"), F.concat(F.lit('---\nokf_version: "0.2"\ntitle: domain map\nstatus: draft\nverified: null\n---\n# Domain map\n\n'), F.col("c").cast("string"), F.lit(" communities over "), F.col("p").cast("string"), F.lit(" programs.\n")).alias("text"))
+    return index.union(community).union(boundary).union(contract)

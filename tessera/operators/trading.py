@@ -36,6 +36,11 @@ def rejection(symbol: Column, kind: Column, quantity: Column, limit_price: Colum
     )
 
 
+def order_record(reason: Column, journal: Column) -> tuple[Column, Column]:
+    """Status of an order that went through all stages or failed one, and its journal as one text."""
+    return F.when(reason.isNull(), "FILLED").otherwise("REJECTED"), F.array_join(journal, " | ")
+
+
 def add_business_days(day: Column, n: int) -> Column:
     """The n-th day after that is no Saturday or Sunday."""
     ahead = F.filter(F.sequence(F.date_add(day, 1), F.date_add(day, n + 2 * (n // 5 + 1) + 2)), lambda d: ~F.dayofweek(d).isin(1, 7))

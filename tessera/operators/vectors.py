@@ -233,3 +233,70 @@ def boundary(vectors: DataFrame, least: float, top: int = 3, above: int = 3, bel
     first = p.orderBy(F.desc("k"), "a", "b").limit(top)
     low = p.filter(F.col("k") >= least).orderBy("k", "a", "b").limit(above)
     return first.union(low).union(p.filter(F.col("k") < least).orderBy(F.desc("k"), "a", "b").limit(below)).distinct()
+
+
+def structural_classes(programs: DataFrame, calls: DataFrame, domains: DataFrame, crossing: DataFrame, least_callers: int = 2) -> DataFrame:
+    """(name, domain, how): classes of programs by the call graph and their pooled vectors.
+
+    Programs are (name, layer, vector), calls (source, target), domains (domain, vector), crossing (name, domain): programs
+    whose class is given. Programs of the layer "Data" that `least_callers` or more others call are shared. The rest are
+    joined by their calls; a component's vectors are pooled and it goes to the domain of the largest product, ties to
+    the first. A shared program takes the domain of most of its callers, ties to the first, null if none has one.
+    """
+    from ..sources.tables import small
+    from .graph import connected
+
+    known = programs.select("name").distinct()
+    among = lambda e, c: e.join(known.select(F.col("name").alias(c)), c, "left_semi")
+    edges = among(among(calls.select("source", "target").distinct(), "source"), "target")
+    callers = edges.groupBy(F.col("target").alias("name")).agg(F.count("*").alias("n")).filter(F.col("n") >= least_callers)
+    shared = programs.filter("layer = 'Data'").join(callers, "name", "left_semi").select("name").distinct()
+    out = crossing.select("name").union(shared).distinct()
+    left = programs.join(out, "name", "left_anti")
+    inner = edges.join(out.withColumnRenamed("name", "source"), "source", "left_anti").join(out.withColumnRenamed("name", "target"), "target", "left_anti")
+    label = connected(programs.sparkSession, inner.select(F.col("source").alias("a"), F.col("target").alias("b")), left.select(F.col("name").alias("id")).distinct())
+    group = left.join(label.withColumnRenamed("id", "name"), "name")
+    pool = sums(group, "label", "vector").select("label", "total")
+    scored = pool.crossJoin(small(domains.select("domain", F.col("vector").alias("dv"))))
+    best = scored.groupBy("label").agg(F.min_by("domain", F.struct(-F.round(dot(F.col("total"), F.col("dv")), 9), F.col("domain"))).alias("domain"))
+    placed = group.select("name", "label").join(best, "label").select("name", "domain")
+    votes = edges.join(shared.withColumnRenamed("name", "target"), "target", "left_semi").join(placed.withColumnRenamed("name", "source"), "source").groupBy("target", "domain").agg(F.count("*").alias("n"))
+    voted = votes.groupBy(F.col("target").alias("name")).agg(F.min_by("domain", F.struct(-F.col("n"), F.col("domain"))).alias("domain"))
+    rest = shared.join(crossing.select("name"), "name", "left_anti").join(voted, "name", "left")
+    given = crossing.join(known, "name", "left_semi").select("name", "domain")
+    return placed.withColumn("how", F.lit("component")).union(rest.select("name", "domain", F.lit("callers"))).union(given.withColumn("how", F.lit("given")))
+
+
+def supervised_leave_one_out(vectors: DataFrame, key: str = "vec_id", group: str = "label", vector: str = "embedding", folds: int | None = None, rounds: int = 200, penalty: float = 1e-3) -> DataFrame:
+    """(key, group, predicted): each row's class by a regression on principal components that is fitted without it.
+
+    With `folds` rows are left out by that many hashes of their key at a time; without, one at a time, for tables of a
+    few thousand rows, as every fit reads all of them. The components number twice the classes, 2 to 16. Each fit is
+    one task with its own copy of the rows: multinomial, by gradient steps of fixed length on standardised components.
+    """
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(group).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    fold = F.col("id") if folds is None else F.pmod(F.xxhash64("id"), F.lit(folds))
+    out = rows.select(fold.alias("fold")).distinct()
+    dealt = out.crossJoin(rows).withColumn("held", fold == F.col("fold"))
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        held = t.column("held").to_numpy(zero_copy_only=False).astype(bool)
+        x = np.array(t.column("v").to_pylist(), np.float64)
+        names, y = np.unique(np.array(t.column("g").to_pylist()), return_inverse=True)
+        mean = x[~held].mean(axis=0)
+        _, _, axes = np.linalg.svd(x[~held] - mean, full_matrices=False)
+        z = (x - mean) @ axes[: max(2, min(16, 2 * len(np.unique(y[~held]))))].T
+        z /= np.maximum(z[~held].std(axis=0), 1e-12)
+        z = np.hstack([z, np.ones((len(z), 1))])
+        w, target = np.zeros((z.shape[1], len(names))), np.eye(len(names))[y[~held]]
+        for _ in range(rounds):
+            s = z[~held] @ w
+            p = np.exp(s - s.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            w += 1.0 * (z[~held].T @ (target - p) / len(target) - penalty * w)
+        best = (z[held] @ w).argmax(axis=1)
+        return pa.table({"id": t.column("id").to_numpy()[held], "g": pa.array(np.array(t.column("g").to_pylist(), object)[held], pa.string()), "predicted": pa.array(names[best].astype(object), pa.string())})
+
+    found = dealt.groupBy("fold").applyInArrow(one, "id long, g string, predicted string")
+    return found.select(F.col("id").alias(key), F.col("g").alias(group), "predicted")

@@ -74,6 +74,11 @@ def upsert(existing: DataFrame, updates: DataFrame, key: str, version: str) -> D
     return both.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "_side")
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """Rows (path, text) as text files, one folder for each path, written whole or not at all by Spark's committer."""
+    files.select(F.col("text").alias("value"), F.col("path").alias("file")).write.partitionBy("file").mode("overwrite").text(path)
+
+
 def exposition(metrics: DataFrame) -> DataFrame:
     """Metrics text lines of (name, label, value)."""
     named = F.when(F.col("label").isNull() | (F.col("label") == ""), F.col("name")).otherwise(F.concat("name", F.lit('{label="'), "label", F.lit('"}')))
