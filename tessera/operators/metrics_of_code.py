@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TYPE = re.compile(r"\b(class|struct|interface|record)\s+([A-Za-z_]\w*)")
@@ -89,8 +89,12 @@ def measure(name: str, source: str | None) -> tuple:
 def code_metrics(sources: DataFrame) -> DataFrame:
     """One row for each source (name, source): types, methods, the greatest complexity, nesting, lines and parameters of a method, magic numbers, open ends in comments, and which type names which."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in SCHEMA.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([measure(n, s) for n, s in batch.itertuples(index=False)], columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+            found = [measure(r["name"], r["source"]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, f)) for f in found], schema)
 
-    return sources.select("name", "source").mapInPandas(run, SCHEMA)
+    return sources.select("name", "source").mapInArrow(run, SCHEMA)

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -332,14 +332,15 @@ def parsed(programs: DataFrame, books: DataFrame) -> DataFrame:
     texts = reached.join(books.select(F.col("name").alias("target"), F.col("source").alias("book")), "target").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("target", "book"))).alias("books"))
     rows = programs.filter("source is not null").join(texts, "name", "left").select("name", "source", "books")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("program", pa.string()), *((f, pa.int32() if f in NUMBERS else pa.string()) for f in FIELDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, source, own in batch.itertuples(index=False):
-                found = pd.DataFrame(parse(name, source, dict(own) if own is not None else {}), columns=list(FIELDS)).astype({n: "Int32" for n in NUMBERS})
-                found.insert(0, "program", name)
-                yield found
+            for row in batch.to_pylist():
+                found = parse(row["name"], row["source"], dict(row["books"] or ()))
+                yield pa.RecordBatch.from_pylist([{"program": row["name"], **f} for f in found], schema)
 
-    return rows.mapInPandas(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def of(rows: DataFrame, record: str) -> DataFrame:

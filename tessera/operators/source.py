@@ -1,4 +1,4 @@
-"""Fixed-format program source to rows: lines, fields with offsets, calls, SQL and transaction facts, comments."""
+"""Fixed-format program source to rows by expressions alone: lines, continuations, byte sizes, record layouts, declared columns."""
 
 from __future__ import annotations
 
@@ -74,49 +74,6 @@ def layout(members: DataFrame) -> DataFrame:
     return code(members).groupBy("name").applyInPandas(place, "name string, line int, level int, item string, path string, picture string, bytes int, offset int")
 
 
-def facts(members: DataFrame) -> DataFrame:
-    """(program, kind, target, line, confidence)."""
-    c = code(members)
-
-    def mined(kind: str, pattern: str, confidence: str = "exact") -> DataFrame:
-        return c.select(F.col("name").alias("program"), F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 1).alias("target"), "line", F.lit(confidence).alias("confidence")).filter("target <> ''")
-
-    moves = c.select("name", "line", F.regexp_extract("code", r"MOVE '([A-Z0-9]+)' TO", 1).alias("literal"), F.regexp_extract("code", r"MOVE '[A-Z0-9]+' TO ([A-Z0-9-]+)", 1).alias("item")).filter("literal <> ''")
-    dynamic = c.select("name", "line", F.regexp_extract("code", r"CALL ([A-Z][A-Z0-9-]+)", 1).alias("item")).filter("item <> ''")
-    # as-of: the last literal moved into the item before the call
-    both = moves.select("name", "item", "line", "literal", F.lit(False).alias("call")).union(dynamic.select("name", "item", "line", F.lit(None).cast("string"), F.lit(True)))
-    last = F.last("literal", ignorenulls=True).over(Window.partitionBy("name", "item").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    resolved = both.withColumn("target", last).filter("call").select(F.col("name").alias("program"), F.lit("CALLS_DYNAMIC").alias("kind"), F.coalesce("target", "item").alias("target"), "line", F.when(F.col("target").isNull(), "unresolved").otherwise("inferred").alias("confidence"))
-    declared = c.select("name", F.regexp_extract("code", r"DECLARE ([A-Z0-9]+) CURSOR", 1).alias("cursor"), F.regexp_extract("code", r"DECLARE .* FROM ([A-Z0-9_]+)", 1).alias("target"), F.col("line").alias("declared")).filter("cursor <> ''")
-    opened = c.select("name", F.regexp_extract("code", r"EXEC SQL (?:OPEN|FETCH|CLOSE) ([A-Z0-9]+)", 1).alias("cursor"), "line").filter("cursor <> ''")
-    cursors = opened.join(declared, ["name", "cursor"]).filter("declared <= line").select(F.col("name").alias("program"), F.lit("USES_CURSOR").alias("kind"), "target", "line", F.lit("exact").alias("confidence"))
-    out = mined("INCLUDES", r"^COPY ([A-Z0-9]+)").union(mined("CALLS_STATIC", r"CALL '([A-Z0-9]+)'")).union(mined("CICS_LINK", r"EXEC CICS LINK PROGRAM\('([A-Z0-9]+)'\)")).union(mined("READS", r"EXEC SQL SELECT .* FROM ([A-Z0-9_]+)"))
-    return out.union(resolved).union(cursors)
-
-
-def comments(members: DataFrame) -> DataFrame:
-    """(name, first_line, n_lines, kind, ticket, duplicate): runs of comment lines by gaps and islands."""
-    c = lines(members)
-    order = Window.partitionBy("name").orderBy("line")
-    mark = F.col("indicator") == "*"
-    runs = c.withColumn("run", F.sum(F.when(mark & ~F.lag(mark, 1, False).over(order), 1).otherwise(0)).over(order)).filter(mark)
-    blocks = runs.groupBy("name", "run").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda x: x["code"]), "\n").alias("text"))
-    kind = F.when(F.col("text").rlike(r"\d{4}-\d\d-\d\d"), "maintenance").when(F.col("text").rlike("(?i)copyright|license"), "boilerplate").when(F.col("n_lines") > 3, "header").otherwise("inline")
-    first = F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy("name", "first_line")) > 1
-    return blocks.select("name", "first_line", "n_lines", kind.alias("kind"), F.regexp_extract("text", r"([A-Z]+-\d+)", 1).alias("ticket"), first.alias("duplicate"))
-
-
-def job_facts(members: DataFrame) -> DataFrame:
-    """(member, kind, target, line) of job control: steps' programs and datasets; a dataset belongs to the last step above it."""
-    each = members.select("name", F.posexplode(F.split("source", "\r?\n")).alias("line", "text")).filter("text rlike '^//[^*]'")
-    step = F.regexp_extract("text", r"^//\S*\s+EXEC\s+(?:PGM=)?([A-Z0-9]+)", 1)
-    data = F.regexp_extract("text", r"DSN=([A-Z0-9.]+)", 1)
-    above = F.last(F.when(step != "", step), ignorenulls=True).over(Window.partitionBy("name").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    marked = each.select("name", (F.col("line") + 1).alias("line"), step.alias("step"), data.alias("data"), above.alias("owner"))
-    runs = marked.filter("step <> ''").select(F.col("name").alias("member"), F.lit("RUNS").alias("kind"), F.col("step").alias("target"), "line")
-    return runs.union(marked.filter("data <> ''").select(F.coalesce("owner", "name"), F.lit("USES_DATASET"), "data", "line"))
-
-
 def declared_columns(members: DataFrame) -> DataFrame:
     """(member, table, position, column, kind) of `DECLARE name TABLE (...)` and `CREATE TABLE name (...)`, commas in parentheses respected."""
     found = members.select("name", F.explode(F.regexp_extract_all("source", F.lit(r"(?is)(?:DECLARE\s+\S+\s+TABLE|CREATE\s+TABLE\s+\S+)\s*\((?:[^()]|\([^()]*\))*\)"), F.lit(0))).alias("ddl"))
@@ -124,24 +81,13 @@ def declared_columns(members: DataFrame) -> DataFrame:
     other = F.upper(F.regexp_extract("ddl", r"(?i)CREATE\s+TABLE\s+([A-Za-z0-9_.]+)", 1))
     body = F.regexp_extract("ddl", r"(?s)^[^(]*\((.*)\)$", 1)
     parts = found.select("name", F.when(table != "", table).otherwise(other).alias("table"), F.posexplode(F.split(body, r",(?![^(]*\))")).alias("position", "part"))
-    return parts.select(F.col("name").alias("member"), "table", "position", F.upper(F.regexp_extract(F.trim(F.regexp_replace("part", r"\s+", " ")), r"^(\S+)", 1)).alias("column"), F.upper(F.regexp_extract(F.trim(F.regexp_replace("part", r"\s+", " ")), r"^\S+ (\S+(?: ?\([^)]*\))?)", 1)).alias("kind"))
+    return parts.select(F.col("name").alias("member"), "table", "position", F.upper(F.regexp_extract(F.trim(F.regexp_replace("part", r"\s+", " ")), r"^(\S+)", 1)).alias("column"), F.upper(F.regexp_extract(F.trim(F.regexp_replace("part", r"\s+", " ")), r"^\S+ ([^\s(]+(?: ?\([^)]*\))?)", 1)).alias("kind"))
 
 
 def continued(members: DataFrame) -> DataFrame:
-    """(name, line, code): continuation lines (indicator -) joined to the last line of code before them."""
+    """(name, line, code): continuation lines (indicator -), without their blanks before, joined to the last line of code before them."""
     c = lines(members).filter(~F.col("indicator").isin("*", "/"))
     order = Window.partitionBy("name").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.last(F.when(F.col("indicator") != "-", F.col("line")), ignorenulls=True).over(order)
     joined = c.withColumn("owner", F.coalesce(owner, F.col("line"))).groupBy("name", "owner").agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("parts"))
-    return joined.select("name", F.col("owner").alias("line"), F.array_join(F.transform("parts", lambda p: F.trim(p["code"])), " ").alias("code"))
-
-
-def control_dependence(members: DataFrame) -> DataFrame:
-    """(name, line, depth, under): IF nesting of statements; `under` is the line of the IF that governs one, by the running balance of IF and END-IF."""
-    c = code(members)
-    order = Window.partitionBy("name").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    change = F.when(F.col("code").rlike("^IF "), 1).when(F.col("code").rlike("^END-IF"), -1).otherwise(0)
-    d = c.withColumn("depth", F.coalesce(F.sum(change).over(order), F.lit(0)) - F.when(F.col("code").rlike("^(?:END-IF|ELSE)"), 1).otherwise(0))
-    ifs = d.filter("code rlike '^IF '").select("name", F.col("line").alias("under"), (F.col("depth") + 1).alias("depth"))
-    met = d.filter("depth > 0").join(ifs, ["name", "depth"]).filter("under < line").groupBy("name", "line", "depth").agg(F.max("under").alias("under"))
-    return met
+    return joined.select("name", F.col("owner").alias("line"), F.array_join(F.transform("parts", lambda p, i: F.when(i == 0, p["code"]).otherwise(F.ltrim(p["code"]))), "").alias("code"))

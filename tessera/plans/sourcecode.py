@@ -1,56 +1,38 @@
+"""Queries over single lines of fixed-format sources and over links of pages; sources are made from the tables."""
+
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import program as pr
 from ..operators import source as src
 from ..sources.tables import table
+from .programs import _M, _rows
 from .registry import query
 
-PROGRAM = """000100 IDENTIFICATION DIVISION.
-000200 PROGRAM-ID. DEMO1.
-000300* 2020-01-02 JS TKT-12 first version
-000400 DATA DIVISION.
-000500 WORKING-STORAGE SECTION.
-000600 01  WS-REC.
-000700     05 WS-NAME      PIC X(20).
-000800     05 WS-AMT       PIC S9(7)V99 COMP-3.
-000900     05 WS-CNT       PIC 9(4) COMP.
-001000     05 WS-ALT REDEFINES WS-CNT PIC X(2).
-001100 01  WS-PGM          PIC X(8).
-001200     COPY CUSTREC.
-001300 PROCEDURE DIVISION.
-001400 MAIN-PARA.
-001500     MOVE 'SUBPGM' TO WS-PGM.
-001600     CALL WS-PGM.
-001700     CALL 'STATIC1'.
-001800     EXEC SQL SELECT NAME INTO :WS-NAME FROM CUSTOMER WHERE ID = 1 END-EXEC.
-001900     EXEC SQL DECLARE C1 CURSOR FOR SELECT NAME FROM ORDERS END-EXEC.
-002000     EXEC SQL OPEN C1 END-EXEC.
-002100     EXEC CICS LINK PROGRAM('NEXTPGM') END-EXEC.
-002200     STOP RUN.
-"""
-
-
-def _members(spark):
-    programs = [(f"DEMO{i}", PROGRAM.replace("DEMO1", f"DEMO{i}").replace("CUSTOMER", f"CUST{i}")) for i in range(1, 4)]
-    return spark.createDataFrame(programs, "name string, source string")
-
-
-@query()
-def source_facts(spark, sf_dir):
-    """Facts of programs: copies, calls (a dynamic one by the last literal moved), tables, cursors, links."""
-    return src.facts(_members(spark))
-
-
-@query()
-def record_layout(spark, sf_dir):
-    """Fields with byte sizes and offsets; one that redefines another starts where it does."""
-    return src.layout(_members(spark))
 
+@query(f"""
+WITH {_M}, f AS (SELECT DISTINCT k, n FROM copies WHERE n IN (SELECT n FROM lib)), b AS (SELECT 'P' || k AS program, 5 AS level, 'FLD-' || n AS name, 'X(' || (n % 9 + 1) || ')' AS picture, (n % 9 + 1) AS length, coalesce(sum(n % 9 + 1) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_ FROM f)
+SELECT program, level, name, picture, length::INT AS length, offset_::INT AS offset_ FROM b UNION ALL SELECT 'P' || k, 1, name, picture, length, 0 FROM s, (VALUES ('WS-TEXT', 'X(8)', 8), ('WS-PGM', 'X(8)', 8), ('WS-CNT', 'S9(7)V99', 5), ('WS-ALT', 'X(5)', 5), ('WS-TOT', '9(5)', 5), ('WS-BOOK', NULL, 0)) v(name, picture, length)
+UNION ALL SELECT 'P' || k, 1, 'COMMAREA', 'X(' || (k % 500 + 1) || ')', (k % 500 + 1)::INT, 0 FROM s""")
+def item_layout(spark, sf_dir):
+    """Data items with byte sizes and offsets, copybooks' among them; one that redefines another starts where it does."""
+    return pr.of(_rows(spark, sf_dir), "item").filter("level <> 88").select("program", "level", "name", "picture", "length", F.col("offset").alias("offset_"))
+
+
+_LAYOUT = {
+    "name": "concat('L', s_suppkey)",
+    "source": "concat_ws(chr(10), '       01  REC.', concat('           05 A PIC X(', s_suppkey % 30 + 1, ').'), '           05 B PIC S9(7)V99 COMP-3.', '           05 C OCCURS 3 PIC 9(4) COMP.', '           05 D REDEFINES C PIC X(6).', '           05 E PIC X.')",
+}
 
-@query()
-def comment_blocks(spark, sf_dir):
-    return src.comments(_members(spark))
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, (s_suppkey % 30 + 1)::INT AS a FROM supplier)
+SELECT 'L' || k AS name, item, path, bytes::INT AS bytes, offset_::INT AS offset_ FROM s, LATERAL (VALUES ('REC', 'REC', a + 12, 0), ('A', 'REC.A', a, 0), ('B', 'REC.B', 5, a), ('C', 'REC.C', 6, a + 5), ('D', 'REC.D', 6, a + 5), ('E', 'REC.E', 1, a + 11)) v(item, path, bytes, offset_)""")
+def record_layout(spark, sf_dir):
+    """Groups and fields with sizes, a group's being the sum of its fields'."""
+    members = table(spark, sf_dir, "supplier").selectExpr(*(f"{e} AS {n}" for n, e in _LAYOUT.items()))
+    return src.layout(members).select("name", "item", "path", "bytes", F.col("offset").alias("offset_"))
 
 
 @query(r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS target FROM pages")
@@ -60,32 +42,21 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("target"))
 
 
-JOB = """//RUN1 JOB (A)
-//* comment
-//S1 EXEC PGM=DEMO1
-//IN DD DSN=PROD.IN.FILE,DISP=SHR
-//S2 EXEC PGM=DEMO2
-//OUT DD DSN=PROD.OUT.FILE,DISP=NEW
-"""
-DDL = "EXEC SQL DECLARE CUST TABLE (ID INTEGER NOT NULL, NAME VARCHAR(20), PRICE DECIMAL(6, 0)) END-EXEC.\nCREATE TABLE T2 (A DATE, B CHAR(1));"
-NESTED = "\n".join("       " + t for t in ("    IF A = 1", "        MOVE 1 TO B", "        IF C = 2", "            MOVE 2 TO D", "        END-IF", "    END-IF", "    MOVE 'LONG", "    STOP RUN.")).replace("    STOP", "    STOP")
-
-
-@query()
-def job_facts(spark, sf_dir):
-    return src.job_facts(spark.createDataFrame([("RUN1", JOB)], "name string, source string"))
+_DDL = "concat('EXEC SQL DECLARE CUST', s_suppkey, ' TABLE (ID INTEGER NOT NULL, N', s_suppkey, ' VARCHAR(20),', chr(10), ' price DECIMAL(6, 0)) END-EXEC.', chr(10), 'CREATE TABLE T2 (A DATE, B CHAR(1));')"
 
 
-@query()
+@query("""
+SELECT 'M' || s_suppkey AS member, table_ , position_::INT AS position_, column_, kind FROM supplier, LATERAL (VALUES ('CUST' || s_suppkey, 0, 'ID', 'INTEGER'), ('CUST' || s_suppkey, 1, 'N' || s_suppkey, 'VARCHAR(20)'), ('CUST' || s_suppkey, 2, 'PRICE', 'DECIMAL(6, 0)'), ('T2', 0, 'A', 'DATE'), ('T2', 1, 'B', 'CHAR(1)')) v(table_, position_, column_, kind)""")
 def declared_columns(spark, sf_dir):
-    return src.declared_columns(spark.createDataFrame([("M", DDL)], "name string, source string"))
+    """Columns of declared and created tables."""
+    found = src.declared_columns(table(spark, sf_dir, "supplier").selectExpr("concat('M', s_suppkey) AS name", f"{_DDL} AS source"))
+    return found.select("member", F.col("table").alias("table_"), F.col("position").alias("position_"), F.col("column").alias("column_"), "kind")
 
 
-@query()
-def control_dependence(spark, sf_dir):
-    return src.control_dependence(spark.createDataFrame([("N", NESTED)], "name string, source string"))
+_LONG = "concat_ws(chr(10), concat('           MOVE ', chr(39), 'LONG', s_suppkey), '      * between', '      -    ', concat('      -     TAIL', chr(39), ' TO X.'), '           STOP RUN.')"
 
 
-@query()
+@query("SELECT 'C' || s_suppkey AS name, line, code FROM supplier, LATERAL (VALUES (1, concat('    MOVE ', chr(39), 'LONG', s_suppkey, 'TAIL', chr(39), ' TO X.')), (5, '    STOP RUN.')) v(line, code)")
 def continued_lines(spark, sf_dir):
-    return src.continued(_members(spark))
+    """Lines of code with those that continue them."""
+    return src.continued(table(spark, sf_dir, "supplier").selectExpr("concat('C', s_suppkey) AS name", f"{_LONG} AS source"))

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 from tessera.operators import governance as gov
 from tessera.operators import reports as rep
 from tessera.operators import scoring as sc
-from tessera.operators import source
 
 
 def test_tiers_are_floors(spark):
@@ -44,12 +43,3 @@ def test_chunks_cover_the_text(spark):
     text = "x" * 2801 + "é"
     parts = rep.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")).orderBy("chunk").collect()
     assert "".join(p.body for p in parts) == text and [p.chunk for p in parts] == [0, 1, 2]
-
-
-def test_nesting_and_jobs(spark):
-    lines = "\n".join("       " + t for t in ("IF A = 1", "    MOVE 1 TO B", "    IF C = 2", "        MOVE 2 TO D", "    END-IF", "END-IF", "STOP RUN."))
-    got = {r.line: (r.depth, r.under) for r in source.control_dependence(spark.createDataFrame([("N", lines)], "name string, source string")).collect()}
-    assert got[2] == (1, 1) and got[4] == (2, 3) and 7 not in got
-    job = "//J JOB\n//S1 EXEC PGM=P1\n//D DD DSN=A.B\n//S2 EXEC P2\n//E DD DSN=C.D,DISP=SHR"
-    rows = {tuple(r)[:3] for r in source.job_facts(spark.createDataFrame([("J", job)], "name string, source string")).collect()}
-    assert rows == {("J", "RUNS", "P1"), ("J", "RUNS", "P2"), ("P1", "USES_DATASET", "A.B"), ("P2", "USES_DATASET", "C.D")}
