@@ -13,6 +13,7 @@ from .language_model import score_documents
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .secrets import scan_secrets
+from .shared import spread
 
 SHARD_BYTES = 1 << 20
 
@@ -21,12 +22,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of all documents, over all cores."""
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), least=(85, 100))
+    return near_duplicates(texts(spark, sf_dir), least=(85, 100))
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0, with_ids=False)
+    return pack_documents(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0, with_ids=False)
 
 
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def op4_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(read(spark, sf_dir, "documents"))
+    return score_documents(texts(spark, sf_dir))
 
 
 def op6_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def op6_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return find_leaks(texts(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +60,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(read(spark, sf_dir, "documents"))
+    return scan_secrets(texts(spark, sf_dir))
 
 
 def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return quality.score_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")), threshold=0.3)
 
 

@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt over all cores where it has fewer partitions than there are, as a table of one row group has; others are not moved."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 #: Spark's setting that a finished write removes its shuffle files.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
