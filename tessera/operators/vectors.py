@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import small
+
+#: Centroids that are sent to all rows at most.
+LABELS = 10_000
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product; 0 for vectors of different lengths or none."""
@@ -60,13 +65,13 @@ def windows(docs: DataFrame, tokens: Column, size: int = 512, key: str = "doc_id
 def leave_one_out(vectors: DataFrame, key: str = "vec_id", group: str = "label", vector: str = "embedding") -> DataFrame:
     """(key, group, predicted, rank): nearest centroid by inner product, each row's own group without the row itself.
 
-    The groups' sums are one row a group, so they are broadcast; a group of one has no centroid for its row.
+    The groups' sums are one row a group and go to the rows if counted few; a group of one has no centroid for its row.
     """
     totals = sums(vectors, group, vector).withColumnRenamed(group, "g")
     own = F.col(group) == F.col("g")
     n = F.when(own, F.col("n") - 1).otherwise(F.col("n"))
     left = F.when(own, F.zip_with("total", vector, lambda t, x: t - x.cast("double"))).otherwise(F.col("total"))
-    scored = vectors.crossJoin(F.broadcast(totals)).filter(n > 0).select(key, group, "g", F.round(dot(left, F.col(vector)) / n, 9).alias("sim"))
+    scored = vectors.crossJoin(small(totals, LABELS)).filter(n > 0).select(key, group, "g", F.round(dot(left, F.col(vector)) / n, 9).alias("sim"))
     ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sim"), "g")))
     return ranked.groupBy(key, group).agg(F.min_by("g", "r").alias("predicted"), F.min(F.when(F.col(group) == F.col("g"), F.col("r"))).alias("rank"))
 
@@ -243,7 +248,6 @@ def structural_classes(programs: DataFrame, calls: DataFrame, domains: DataFrame
     joined by their calls; a component's vectors are pooled and it goes to the domain of the largest product, ties to
     the first. A shared program takes the domain of most of its callers, ties to the first, null if none has one.
     """
-    from ..sources.tables import small
     from .graph import connected
 
     known = programs.select("name").distinct()

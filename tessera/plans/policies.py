@@ -83,12 +83,17 @@ def policy_invariant_violations(spark, sf_dir):
     return Compiled(SHIPPING).apply(_orders(spark, sf_dir)).filter("failed_invariant >= 0").select("o_orderkey", "failed_invariant")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('small', true), ('large and urgent', true)) v(example, passed)")
 def policy_examples(spark, sf_dir):
+    """A policy's own examples: 0 below the limit, and 2000 x 2.5 % x 2."""
     return spark.createDataFrame(Compiled(SHIPPING).run_examples(spark), "example string, passed boolean")
 
 
-@query()
+#: By hand: money and a percent are not added, an unknown name, rules that are not exhaustive, a rule that leaves an output out, two operators.
+_FAULTS = "('units', 'P007'), ('unknown', 'P006'), ('open', 'P010'), ('target', 'P012'), ('syntax', 'P002')"
+
+
+@query(f"SELECT * FROM (VALUES {_FAULTS}) v(\"case\", code)")
 def policy_diagnostics(spark, sf_dir):
     """The kind of fault of each of a set of broken policies."""
     broken = {

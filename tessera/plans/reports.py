@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import clamp
 from ..operators import reports as rep
 from ..operators.vectors import dot
-from ..sources.tables import table
+from ..sources.tables import small, table
 from .registry import query
 
 
@@ -140,10 +140,10 @@ WITH c AS (SELECT label AS g, i, avg(x) AS m FROM (SELECT label, unnest(embeddin
 s AS (SELECT e.vec_id, e.label, c.g, sum(e.x * c.m) AS sim FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) e JOIN c USING (i) GROUP BY ALL)
 SELECT vec_id, arg_max(g, (round(sim, 9), -g)) AS nearest, arg_max(g, (round(sim, 9), -g)) FILTER (g <> 0) AS without_first FROM s GROUP BY vec_id""")
 def nearest_description(spark, sf_dir):
-    """Nearest centroid of each row, with and without one target; centroids are a row a label, broadcast."""
-    from ..operators.vectors import centroids
+    """Nearest centroid of each row, with and without one target; centroids are a row a label."""
+    from ..operators.vectors import LABELS, centroids
 
     e = table(spark, sf_dir, "embeddings")
-    scored = e.crossJoin(F.broadcast(centroids(e, "label", "embedding").withColumnRenamed("label", "g"))).select("vec_id", "g", F.round(dot(F.col("embedding"), F.col("centroid")), 9).alias("sim"))
+    scored = e.crossJoin(small(centroids(e, "label", "embedding").withColumnRenamed("label", "g"), LABELS)).select("vec_id", "g", F.round(dot(F.col("embedding"), F.col("centroid")), 9).alias("sim"))
     key = F.struct("sim", -F.col("g"))
     return scored.groupBy("vec_id").agg(F.max_by("g", key).alias("nearest"), F.max_by(F.when(F.col("g") != 0, F.col("g")), F.when(F.col("g") != 0, key)).alias("without_first"))

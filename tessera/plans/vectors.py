@@ -106,7 +106,13 @@ def classifier_pca_logreg(spark, sf_dir):
     return out.groupBy((F.col("fold") == 0).alias("held_out")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 4).alias("accuracy"))
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT p_partkey, 70 + p_retailprice % 60 AS price, (1 + p_size % 5)::DOUBLE AS coupon, (2 + p_size % 20)::INT AS periods FROM part),
+i AS (SELECT p_partkey, price, coupon, periods, 0 AS n, 0.05::DOUBLE AS y, false AS done, true AS live FROM b
+  UNION ALL SELECT p_partkey, price, coupon, periods, n + 1, CASE WHEN abs(diff) < 1e-8 OR abs(slope) < 1e-12 THEN y ELSE y - diff / slope END, abs(diff) < 1e-8, abs(diff) >= 1e-8 AND abs(slope) >= 1e-12 AND y - diff / slope BETWEEN -0.99 AND 5
+  FROM (SELECT *, list_sum(list_transform(range(1, periods + 1), lambda t: (coupon + CASE WHEN t = periods THEN 100 ELSE 0 END) / power(1 + y / 2, t))) - price AS diff,
+    list_sum(list_transform(range(1, periods + 1), lambda t: -t * (coupon + CASE WHEN t = periods THEN 100 ELSE 0 END) / power(1 + y / 2, t + 1) / 2)) AS slope FROM i WHERE live AND n < 100))
+SELECT p_partkey, CASE WHEN bool_or(done) THEN round(arg_max(y, n), 6) END AS ytm FROM i GROUP BY p_partkey""")
 def ytm_newton(spark, sf_dir):
     """Yield to maturity by Newton's method on whole batches of bonds made from parts."""
 
@@ -131,4 +137,4 @@ def ytm_newton(spark, sf_dir):
 
     yields = F.pandas_udf(solve, "double")
     part = table(spark, sf_dir, "part").select("p_partkey", (70 + F.col("p_retailprice") % 60).alias("price"), (1 + F.col("p_size") % 5).cast("double").alias("coupon"), (2 + F.col("p_size") % 20).cast("int").alias("periods"))
-    return part.withColumn("ytm", F.round(yields("price", "coupon", "periods"), 8)).select("p_partkey", "ytm")
+    return part.withColumn("ytm", F.round(yields("price", "coupon", "periods"), 6)).select("p_partkey", "ytm")
