@@ -18,15 +18,15 @@ scores AS (SELECT query, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4
 lexical AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM scores)"""
 
 
-def _arms(spark, sf_dir):
+def _texts(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return docs, ret.bm25(docs, queries)
+    return docs, queries
 
 
 @query(_BM25 + " SELECT query, doc, round(score, 6) AS score, rank::INT AS rank FROM lexical WHERE rank <= 8")
 def bm25_topk(spark, sf_dir):
-    return ret.top(_arms(spark, sf_dir)[1], 8).withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
+    return ret.bm25_top(*_texts(spark, sf_dir), 8).withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
 
 
 @query(_BM25 + """, near AS (SELECT * FROM (SELECT q.vec_id AS query, e.vec_id AS doc, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
@@ -37,8 +37,7 @@ fused AS (SELECT query, doc, sum(1.0 / (60 + rank)) AS score FROM (SELECT query,
 SELECT query, doc, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM fused) WHERE rank <= 8""")
 def rrf_fused_topk(spark, sf_dir):
     """Three arms fused by reciprocal ranks: terms, vectors (of the same ids), and links (documents of one source and language with the best by terms)."""
-    docs, scores = _arms(spark, sf_dir)
-    lexical = cut(ret.top(scores, 50))
+    lexical = cut(ret.bm25_top(*_texts(spark, sf_dir), 50))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
     e = table(spark, sf_dir, "embeddings")
     asks = e.join(small(items.distinct()), e.vec_id == F.col("query"), "left").withColumn("asks", F.col("query").isNotNull())
