@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.operators import governance as gov
@@ -43,3 +46,18 @@ def test_chunks_cover_the_text(spark):
     text = "x" * 2801 + "é"
     parts = rep.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")).orderBy("chunk").collect()
     assert "".join(p.body for p in parts) == text and [p.chunk for p in parts] == [0, 1, 2]
+
+
+def test_summaries_as_by_the_backtracking_pattern(spark):
+    """The possessive pattern finds what the original one (fixed value) finds: presence and words, over random plans."""
+    original = re.compile(r"(?im)^#{0,4}\s*executive\s+summary\s*:?\s*$\r?\n(?P<body>(?:.++\n?+)+?)(?=^#{1,4}\s|\Z)")  # its lines made atomic: else exponential
+    rng = random.Random(2)
+    pieces = ["# Executive summary", "executive  Summary:", "## Risks", "##### deep", "#tag", "words in a line", "  indented words", "", "", "   ", "\n", "# "]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = {r.k: (r.there, r.words) for r in rows.select("k", F.col("t").rlike(sc.SUMMARY).alias("there"), sc.plan_score(F.col("t"))[2].alias("words")).collect()}
+    for k, t in enumerate(texts):
+        m = original.search(t)
+        assert found[k] == (bool(m), len([w for w in m["body"].split(" ") if w]) if m else 0), t
+    assert 50 < sum(there for there, _ in found.values()) < 550
+
