@@ -93,3 +93,34 @@ def graph_questions(questions: DataFrame, facts: DataFrame) -> DataFrame:
     access = F.when(F.col("intent").rlike("^(WRITE|UPDATE|OWN)"), "WRITES").when(F.col("intent").rlike("^(READ|USE)"), "READS").when(F.col("intent").rlike("^(CALL|LINK)"), "CALLS")
     known = facts.select("program", "access", F.upper("artifact").alias("artifact")).distinct()
     return q.withColumn("access", access).join(known, ["access", "artifact"]).select("question", "program").distinct()
+
+
+def step_problems(steps: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(subject, problem): what leaves a step unconstrained, and scenes (scene) that no step covers.
+
+    Steps are (step, scene, kind, selector, wait, wait_key, value, facts); a step without facts, one that does not observe but has
+    no selector, a wait for a state without a key, a selection or entry without a value. A step may have several problems.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    rules = {
+        "facts": F.coalesce("facts", F.lit(0)) == 0, "selector": (F.col("kind") != "Observe") & blank("selector"),
+        "wait key": (F.col("wait") == "State") & blank("wait_key"), "value": F.col("kind").isin("Select", "Fill") & F.col("value").isNull(),
+    }
+    found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())))
+    own = steps.select(F.col("step").cast("string").alias("subject"), F.explode(found).alias("problem"))
+    bare = scenes.join(steps.select("scene").distinct(), "scene", "left_anti").select(F.concat(F.lit("scene "), F.col("scene").cast("string")).alias("subject"), F.lit("coverage").alias("problem"))
+    return own.union(bare)
+
+
+def answer_checks(key: DataFrame, given: DataFrame, on: str) -> DataFrame:
+    """(on, passed) of every key entry (on, want, kind): texts compare trimmed, rows of fields with or without their last separator and line end, hexadecimal ones without case, blanks, hyphens and 0x; an answer that is missing fails."""
+
+    def row(c: Column) -> Column:
+        cut = F.regexp_replace(c, r"[\r\n]+\z", "")
+        return F.when(cut.endswith("|"), cut).otherwise(F.concat(cut, F.lit("|")))
+
+    digits = lambda c: F.replace(F.upper(F.regexp_replace(c, r"[\s-]", "")), F.lit("0X"), F.lit(""))
+    same = lambda f: f(F.col("want")) == f(F.col("got"))
+    both = key.select(on, "want", "kind").join(given.select(on, "got"), on, "left")
+    passed = F.when(F.col("kind") == "hex", same(digits)).when(F.col("kind") == "row", same(row)).otherwise(same(F.trim))
+    return both.select(on, F.coalesce(passed, F.lit(False)).alias("passed"))

@@ -134,3 +134,38 @@ def vector_functions(spark, sf_dir):
 
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(e), 6).alias("norm"), F.round(dot(F.slice(e, 1, 16), F.slice(e, 17, 16)), 6).alias("half"))
+
+
+_STEPS = {
+    "step": "p_partkey", "scene": "p_size", "kind": "CASE p_partkey % 4 WHEN 0 THEN 'Observe' WHEN 1 THEN 'Select' WHEN 2 THEN 'Fill' ELSE 'Click' END",
+    "selector": "CASE WHEN p_partkey % 7 = 0 THEN ' ' WHEN p_partkey % 11 = 0 THEN NULL ELSE '#x' END", "wait": "CASE WHEN p_partkey % 3 = 0 THEN 'State' ELSE 'None' END",
+    "wait_key": "CASE WHEN p_partkey % 2 = 0 THEN 'k' END", "value": "CASE WHEN p_partkey % 5 <> 0 THEN 'v' END", "facts": "p_partkey % 6",
+}
+
+
+@query(f"""
+WITH s AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _STEPS.items())} FROM part)
+SELECT step::VARCHAR AS subject, 'facts' AS problem FROM s WHERE facts = 0 UNION ALL SELECT step::VARCHAR, 'selector' FROM s WHERE kind <> 'Observe' AND trim(coalesce(selector, '')) = ''
+UNION ALL SELECT step::VARCHAR, 'wait key' FROM s WHERE wait = 'State' AND wait_key IS NULL UNION ALL SELECT step::VARCHAR, 'value' FROM s WHERE kind IN ('Select', 'Fill') AND value IS NULL
+UNION ALL SELECT 'scene ' || i, 'coverage' FROM range(1, 61) r(i) WHERE i NOT IN (SELECT scene FROM s)""")
+def step_problems(spark, sf_dir):
+    """Steps of a manifest that break its rules, and scenes that no step covers."""
+    steps = table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in _STEPS.items()))
+    return gov.step_problems(steps, spark.range(1, 61).withColumnRenamed("id", "scene"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 5 WHEN 4 THEN false ELSE CASE c_custkey % 3 WHEN 0 THEN c_custkey % 5 <> 3 ELSE c_custkey % 5 NOT IN (2, 3) END END AS passed FROM customer""")
+def answer_checks(spark, sf_dir):
+    """Hexadecimal answers, rows and texts against a key."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "hex").when(k % 3 == 1, "row").otherwise("exact")
+    digits = F.hex(k + 4096)
+    want = F.when(k % 3 == 0, digits).otherwise(F.concat(F.lit("a |b|"), k.cast("string")))
+    # exact for 0; other ends for 1; changed inside for 2, which only hexadecimal answers forgive; wrong for 3; missing for 4
+    loose = F.when(k % 3 == 0, F.concat(F.lit("0x"), F.lower(digits))).when(k % 3 == 1, F.concat(want, F.lit("|\n"))).otherwise(F.concat(F.lit(" "), want, F.lit(" ")))
+    inside = F.when(k % 3 == 0, F.concat_ws(" ", F.left(digits, F.lit(2)), F.substring(digits, 3, 20))).otherwise(F.concat(F.lit("a|b|"), k.cast("string")))
+    got = F.when(k % 5 == 0, want).when(k % 5 == 1, loose).when(k % 5 == 2, inside).when(k % 5 == 3, F.concat(want, F.lit("1")))
+    c = table(spark, sf_dir, "customer")
+    return gov.answer_checks(c.select("c_custkey", want.alias("want"), kind.alias("kind")), c.filter(k % 5 != 4).select("c_custkey", got.alias("got")), "c_custkey")
+
