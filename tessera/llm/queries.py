@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neighbours, quality, sharding
+from . import chat, collocations, language_id, neighbours, quality, ranked_search, sharding
 from .decontaminate import find_leaks
 from .idfile import round_trip
 from .language_model import score_documents
@@ -68,6 +68,19 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op11_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
+
+
+def op12_blocked_sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(texts(spark, sf_dir), read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_hashed_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spread(read(spark, sf_dir, "documents").select("text", "lang")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -83,6 +96,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scan": op9_secret_scan,
     "op10_crf_quality": op10_crf_quality,
+    "op11_mixture_language_id": op11_mixture_language_id,
+    "op12_blocked_sparse_search": op12_blocked_sparse_search,
+    "op13_hashed_collocations": op13_hashed_collocations,
     "pipeline": pipeline,
 }
 
@@ -90,6 +106,8 @@ ORACLES: dict[str, str] = {
     "op3_extendible_sharding": sharding.oracle(SHARD_BYTES),
     "op4_block_matrix_neighbours": neighbours.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
+    "op12_blocked_sparse_search": ranked_search.ORACLE,
+    "op13_hashed_collocations": collocations.ORACLE,
 }
 
 if corpus_pipeline.ORACLE_SQL:
