@@ -206,8 +206,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 50, multiplicity:
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = packed.withColumn("g", copies(groups)).groupBy("i", "g")
     right = blocks.select(F.expr(f"cast(pmod(xxhash64(block), {groups}) as int)").alias("g"), "ids", "sizes", "terms", "df", "docs", "times").withColumn("i", copies(i_blocks)).groupBy("i", "g")
-    arrow = pa.schema([]) if not n_entries else packed.limit(0).toArrow().schema
-    value = arrow.field("items").type.value_type if n_entries else pa.null()
+    value = items.select(item_col).limit(0).toArrow().schema.field(0).type
     found = left.cogroup(right).applyInArrow(_tile(k, n_docs, max(1, n_words), value), f"item {kind.simpleString()}, doc long, score long")
     order = Window.partitionBy("item").orderBy(F.desc("score"), "doc")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
