@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,71 +40,3 @@ def fuse(arms: list[DataFrame], k: int = 8, constant: int = 60) -> DataFrame:
     for arm in arms[1:]:
         rows = rows.union(arm.select("query", "doc", "rank"))
     return top(rows.groupBy("query", "doc").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score")), k)
-
-
-#: Terms and queries that the block form takes; beyond them scores are made by joins.
-MOST_TERMS, MOST_QUERIES = 200_000, 20_000
-#: Documents whose scores are held at once: a block of documents by queries.
-BLOCK_CELLS = 1 << 22
-
-
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.4, b: float = 0.75) -> DataFrame:
-    """(query, doc, score, rank): the k best of `bm25` for each query, ties at 9 decimals to the smaller doc.
-
-    Queries are a stated small set: their terms, weighted, are one sparse matrix that goes to the executors. Each batch of
-    documents is a matrix of its own, the product of both gives its scores in blocks, and only what can still be among
-    the k best of a query leaves the batch. Where the queries or their terms are more than MOST_QUERIES or MOST_TERMS,
-    all scores are made by joins. Docs are (doc, text) with integer docs, queries (query, text).
-    """
-    asked = queries.select("query", F.explode(terms(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    names = queries.select("query").distinct()
-    if names.limit(MOST_QUERIES + 1).count() > MOST_QUERIES or asked.select("term").distinct().limit(MOST_TERMS + 1).count() > MOST_TERMS:
-        return top(bm25(docs, queries, k1, b), k)
-    n_docs, mean = docs.agg(F.count("*"), F.avg(F.regexp_count("text", F.lit(TERM)))).first()
-    found = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rows = asked.join(found, "term").select("query", "term", "times", F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).toArrow()  # bounded above
-    if not len(rows):
-        return docs.sparkSession.createDataFrame([], "query long, doc long, score double, rank int")
-    vocabulary, term = np.unique(np.array(rows["term"].to_pylist(), object), return_inverse=True)
-    asking, query = np.unique(rows["query"].to_numpy(), return_inverse=True)
-    weight = rows["idf"].to_numpy() * rows["times"].to_numpy()
-    order = np.lexsort((query, term))
-    term, query, weight = term[order], query[order].astype(np.int32), weight[order]
-    bounds = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(vocabulary, pa.string())
-        for batch in batches:
-            lists = batch.column(1)
-            ends = lists.offsets.to_numpy()
-            at = pc.index_in(pc.utf8_lower(lists.flatten()), value_set=known).fill_null(-1).to_numpy()
-            ends = ends - ends[0]
-            lengths = np.diff(ends)
-            ids = batch.column(0).to_numpy()
-            step = max(1, BLOCK_CELLS // len(asking))
-            for first in range(0, len(ids), step):
-                last = min(first + step, len(ids))
-                own = at[ends[first] : ends[last]]
-                owner = np.repeat(np.arange(last - first), lengths[first:last])[own >= 0]
-                own = own[own >= 0].astype(np.int64)
-                pair, tf = np.unique(owner * len(vocabulary) + own, return_counts=True)
-                owner, own = pair // len(vocabulary), pair % len(vocabulary)
-                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[first:last][owner] / mean))
-                score, touched = np.zeros((2, last - first, len(asking)))
-                for v in np.unique(own).tolist():
-                    of, rows_of = slice(bounds[v], bounds[v + 1]), own == v
-                    cells = np.ix_(owner[rows_of], query[of])
-                    score[cells] += np.multiply.outer(part[rows_of], weight[of])
-                    touched[cells] = 1
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q in range(len(asking)):
-                    hit = np.flatnonzero(touched[:, q])
-                    if len(hit) > k:
-                        near = np.round(score[hit, q], 9)
-                        hit = hit[near >= np.partition(near, len(near) - k)[len(near) - k]]
-                    out.append((np.full(len(hit), asking[q]), ids[first:last][hit], score[hit, q]))
-                columns = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query", "doc", "score"])
-
-    words = docs.select(F.col("doc").cast("long").alias("doc"), F.coalesce(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.array().cast("array<string>")).alias("ts"))
-    return top(words.mapInArrow(run, "query long, doc long, score double"), k)

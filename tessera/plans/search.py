@@ -2,10 +2,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval as ret
+from ..operators import lexical_index, retrieval as ret
 from ..operators.graph import cut
 from ..operators.vectors import nearest
-from ..sources.tables import small, spread, table
+from ..sources.tables import small, table
 from .registry import query
 
 _T = "list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9_-]+'), lambda w: lower(w))"
@@ -19,14 +19,16 @@ lexical AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score
 
 
 def _texts(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
+    """The stored index of all documents, and the benchmark's items as queries."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return docs, queries
+    return lexical_index.index_of(docs), queries
 
 
 @query(_BM25 + " SELECT query, doc, round(score, 6) AS score, rank::INT AS rank FROM lexical WHERE rank <= 8")
 def bm25_topk(spark, sf_dir):
-    return ret.bm25_top(*_texts(spark, sf_dir), 8).withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
+    index, queries = _texts(spark, sf_dir)
+    return index.search(queries, 8).withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
 
 
 @query(_BM25 + """, near AS (SELECT * FROM (SELECT q.vec_id AS query, e.vec_id AS doc, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
@@ -37,7 +39,8 @@ fused AS (SELECT query, doc, sum(1.0 / (60 + rank)) AS score FROM (SELECT query,
 SELECT query, doc, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM fused) WHERE rank <= 8""")
 def rrf_fused_topk(spark, sf_dir):
     """Three arms fused by reciprocal ranks: terms, vectors (of the same ids), and links (documents of one source and language with the best by terms)."""
-    lexical = cut(ret.bm25_top(*_texts(spark, sf_dir), 50))
+    index, queries = _texts(spark, sf_dir)
+    lexical = cut(index.search(queries, 50))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
     e = table(spark, sf_dir, "embeddings")
     asks = e.join(small(items.distinct()), e.vec_id == F.col("query"), "left").withColumn("asks", F.col("query").isNotNull())

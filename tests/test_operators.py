@@ -170,19 +170,3 @@ def test_parsed_reads_books_through_each_other(spark):
     assert {(r.program, r.origin, r.name) for r in program.of(rows, "item").collect()} == {("P1", "A", "GA"), ("P1", "B", "FB")}
     assert program.evidence_nodes(rows, program.evidence_edges(rows)).count() == 5
     assert program.parsed(programs.limit(0), books).count() == 0 and program.parsed(programs, books.limit(0)).filter("record = 'copy'").first().confidence == "unresolved"
-
-
-def test_block_scores_as_by_joins(spark, monkeypatch):
-    """The k best by blocks and by joins, with ties, null and empty texts, a query without known terms."""
-    from tessera.operators import retrieval
-
-    rng = random.Random(7)
-    docs = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "Beta", "gamma-x", "delta", "of"]) for _ in range(rng.randrange(9)))) for i in range(60)] + [(70, None), (71, "")], "doc long, text string")
-    queries = spark.createDataFrame([(1, "alpha beta beta"), (2, "of of gamma-x"), (3, "unknown"), (4, None)], "query long, text string")
-    want = sorted((r.query, r["rank"], r.doc, round(r.score, 9)) for r in retrieval.top(retrieval.bm25(docs, queries), 7).collect())
-    for cells in (1 << 22, 8):
-        monkeypatch.setattr(retrieval, "BLOCK_CELLS", cells)
-        assert sorted((r.query, r["rank"], r.doc, round(r.score, 9)) for r in retrieval.bm25_top(docs, queries, 7).collect()) == want
-    assert retrieval.bm25_top(docs, queries.limit(0), 7).count() == 0 and retrieval.bm25_top(docs.limit(0), queries, 7).count() == 0
-    monkeypatch.setattr(retrieval, "MOST_TERMS", 1)
-    assert sorted((r.query, r["rank"], r.doc, round(r.score, 9)) for r in retrieval.bm25_top(docs, queries, 7).collect()) == want
