@@ -32,6 +32,8 @@ from .words import LOWER, Words, blocks, mix, ranges, text_bytes
 
 #: Buckets of a pass (a byte each in a task, a bit each in a bitmap), and slices that they travel in.
 BITS, SLICES = 25, 256
+#: Shares of a language's phrases whose first are found apart.
+SHARES = 64
 #: Text bytes of a block, and distinct phrases that a task holds before it sends them.
 BLOCK, HELD = 1 << 22, 1 << 20
 UNKNOWN = "und"
@@ -247,8 +249,11 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: tup
         longer = together(within).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
         worst = worst.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (inside[1] * F.col("longer") < inside[0] * F.col("a")))
     kept = worst.select("lang", "phrase", "a", "worst.l", "worst.r", "worst.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # a language's first are sought in shares first, so that no task sorts all of a hot language
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*order)
+    kept = kept.withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= top)
+    best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
