@@ -62,7 +62,10 @@ def redact(text: Column, detector: Detector) -> Column:
     """The text with a detector's matches replaced; of a checked one, those that pass alone."""
     if not detector.checked:
         return F.regexp_replace(text, detector.pattern, detector.mark.replace("$", r"\$"))
-    return F.aggregate(matches(text, detector), text, lambda t, m: F.replace(t, m, F.lit(detector.mark)))
+    # what lies between matches and the matches take turns; text that only looks like a match elsewhere is left
+    between, found = F.split(text, detector.pattern, -1), F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
+    kept = lambda m: F.when(m.isNull(), "").when(luhn(m), detector.mark).otherwise(m)
+    return F.array_join(F.zip_with(between, found, lambda b, m: F.concat(b, kept(m))), "")
 
 
 def mask(text: Column) -> Column:
@@ -74,3 +77,23 @@ def mask(text: Column) -> Column:
 
 def by_tier(tier: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), tier + 1)
+
+
+# Steps after a finding, in their order, with the condition of each: any incident, a credential, tier 3.
+STEPS = (
+    ("revoke and rotate the credential", "credential"), ("stop the run without a retry", "any"), ("confirm that nothing was sent or logged", "any"), ("purge the payload, keep references and hashes", "any"),
+    ("declare the incident to responder and security", "restricted"), ("use the kill switch and roll back", "restricted"), ("record the detection for the gate", "any"),
+)
+
+
+def incident(tier: Column, categories: Column) -> Column:
+    """What follows a finding: severity, responder, due and ordered steps. Tiers 0 and 1 are no incident; tier 3 is Sev1 with a credential among the categories, else Sev2."""
+    credential = F.array_contains(categories, "Credential")
+    holds = {"any": tier >= 2, "credential": (tier >= 2) & credential, "restricted": tier == 3}
+    pick = lambda none, two, three: F.when(tier == 3, three).when(tier == 2, two).otherwise(none)
+    return F.struct(
+        pick(F.lit("None"), F.lit("Sev3"), F.when(credential, "Sev1").otherwise("Sev2")).alias("severity"),
+        pick(F.lit("Repo owner"), F.lit("Repo owner + AI Quality"), F.lit("Named incident responder + Security")).alias("responder"),
+        pick(F.lit("n/a"), F.lit("Resolve within 1 business day"), F.lit("Contain immediately; declare within 1 hour")).alias("due"),
+        F.array_compact(F.array(*(F.when(holds[c], F.lit(s)) for s, c in STEPS))).alias("steps"),
+    )

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 # Ordered scales; the position in a scale counts.
 BLAST = ("file", "repo", "team-system", "production", "customer")
 AUTONOMY = ("Suggests", "Acts-with-approval", "Acts-autonomously")
 DATA = ("Public", "Internal", "Confidential", "Restricted")
 
-# Controls with the tier from which each is required and the tier from which it is advised.
+# Controls with the tier from which each is required, the tier from which it is advised, the word for that, and whether tools alone require it.
 CONTROLS = (
-    ("named owner", 0, 0), ("accountable human", 0, 0), ("default guardrails", 0, 0), ("human review", 0, 0), ("pinned model", 1, 1), ("prompt regression tests", 1, 1),
-    ("action envelope", 2, 2), ("reviewer competency", 2, 1), ("trap QA", 2, 2), ("drift gate", 2, 1), ("runtime logging", 2, 2),
-    ("gold eval set", 3, 3), ("kill switch tested", 3, 3), ("incident responder", 3, 3), ("second-model check", 3, 3),
+    ("named owner", 0, 0, "", False), ("accountable human", 0, 0, "", False), ("default guardrails", 0, 0, "", False), ("human review", 0, 0, "", False), ("pinned model", 1, 1, "", False), ("prompt regression tests", 1, 1, "", False),
+    ("action envelope", 2, 2, "", True), ("reviewer competency", 2, 1, "Recommended", False), ("trap QA", 2, 2, "", False), ("drift gate", 2, 1, "Opportunistic", False), ("runtime logging", 2, 2, "", False),
+    ("gold eval set", 3, 3, "", False), ("kill switch tested", 3, 3, "", False), ("incident responder", 3, 3, "", False), ("second-model check", 3, 3, "", False),
 )
 
+# Fields without which no agent is registered, and those that one with tools needs besides.
+FIELDS = ("owner", "release_id", "model", "data_tier", "autonomy", "blast_radius", "agent_status")
+TOOL_FIELDS = ("runtime_identity", "action_policy", "approval_mode")
+
 # Actions with reversible, production, customer-visible, security, in-envelope.
 ACTIONS = (
     ("read-repo", True, False, False, False, True), ("draft-pr", True, False, False, False, True), ("run-tests", True, False, False, False, True),
@@ -27,22 +33,51 @@ ACTIONS = (
 
 
 def level(value: Column, scale: tuple[str, ...]) -> Column:
-    """Position from 0 in a scale, case ignored; -1 where it is not there."""
-    return (F.array_position(F.array(*(F.lit(s.lower()) for s in scale)), F.lower(F.coalesce(value, F.lit("")))) - 1).cast("int")
+    """Position from 0 in a scale, case ignored; 0 where it is not there."""
+    found = F.array_position(F.array(*(F.lit(s.lower()) for s in scale)), F.lower(F.coalesce(value, F.lit(""))))
+    return F.greatest(found - 1, F.lit(0)).cast("int")
 
 
 def risk_tier(blast: Column, autonomy: Column, data: Column) -> Column:
-    """The highest floor that any axis, or a pair of them, sets; never an average."""
+    """An agent's own tier: the highest floor that any axis, or autonomy with reach, sets; never an average."""
     b, a, d = level(blast, BLAST), level(autonomy, AUTONOMY), level(data, DATA)
-    floors = (((b >= 1) | (d >= 1), 1), (b >= 2, 2), (d >= 2, 2), ((a >= 2) & (b >= 1), 2), (b >= 3, 3), ((d >= 3) & (a >= 1), 3))
+    floors = (((b >= 1) | (d >= 1), 1), (b >= 2, 2), (d == 2, 2), (d == 3, 3), (b >= 3, 3), ((a == 2) & (b >= 2), 3))
     return F.greatest(F.lit(0), *(F.when(c, t).otherwise(0) for c, t in floors))
 
 
-def missing_fields(required: dict[str, Column], model: Column) -> Column:
-    """Names of required fields that are blank, and of a model that is no pinned version."""
-    blank = [F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit(n)) for n, c in required.items()]
-    floating = F.when((F.trim(F.coalesce(model, F.lit(""))) != "") & (F.contains(F.lower(model), F.lit("latest")) | ~model.rlike(r"\d")), F.lit("pinned model"))
-    return F.array_compact(F.array(*blank, floating))
+def inherited(agents: DataFrame, invokes: DataFrame) -> DataFrame:
+    """(agent, tier): the largest tier among an agent and all that it invokes, directly or through others; cycles share one.
+
+    Agents are (agent, tier), invokes (caller, callee). Only agents whose tier rose in a round offer it to their callers in
+    the next, so a round's work follows what changed; there are as many rounds as the longest chain along which a tier
+    rises. Invocations of agents that are not registered, and null tiers, add nothing.
+    """
+    tiers = stored(agents.groupBy("agent").agg(F.coalesce(F.max("tier"), F.lit(0)).alias("tier")))
+    invokes = stored(invokes.filter("caller <> callee").select("caller", "callee").distinct())
+    rising = tiers.filter("tier > 0")
+    while True:
+        offers = invokes.join(rising.withColumnRenamed("agent", "callee"), "callee").groupBy(F.col("caller").alias("agent")).agg(F.max("tier").alias("offer"))
+        rising = stored(offers.join(tiers, "agent").filter("offer > tier").select("agent", F.col("offer").alias("tier")))
+        if rising.isEmpty():
+            return tiers
+        tiers = stored(tiers.join(rising.withColumnRenamed("tier", "rose"), "agent", "left").select("agent", F.greatest("tier", "rose").alias("tier")))
+
+
+def missing_fields(tools: Column, model: Column, fields: tuple[str, ...] = FIELDS, tool_fields: tuple[str, ...] = TOOL_FIELDS) -> Column:
+    """Names of required columns that are blank, of those that an agent with tools needs, and of a model that is no pinned version."""
+    blank = lambda c: ~F.coalesce(F.col(c), F.lit("")).rlike(r"\S")
+    floating = model.rlike(r"\S") & (F.contains(F.lower(model), F.lit("latest")) | ~model.rlike(r"\d"))
+    need = [F.when(blank(c), F.lit(c)) for c in fields] + [F.when(F.coalesce(tools, F.lit(False)) & blank(c), F.lit(c)) for c in tool_fields]
+    return F.array_compact(F.array(*need, F.when(floating, F.lit("pinned model"))))
+
+
+def control_rule(tier: Column, tools: Column) -> Column:
+    """What a control (columns of CONTROLS) is to an agent of a tier, with tools or without."""
+    c = F.col
+    return (
+        F.when(tier >= c("required"), "Required").when(c("for_tools") & F.coalesce(tools, F.lit(False)), "Required (tool-enabled)")
+        .when(tier >= c("advised"), c("advice")).otherwise("Not required")
+    )
 
 
 def authority(registrable: Column, autonomy: Column) -> Column:
@@ -86,15 +121,6 @@ def economics(runs: DataFrame) -> DataFrame:
     return g.withColumn("cost_per_success", F.when(F.col("success") > 0, F.col("cost") * 100.0 / F.col("success")).otherwise(0.0))
 
 
-def graph_questions(questions: DataFrame, facts: DataFrame) -> DataFrame:
-    """(question, program): `who writes|reads|calls X` against facts (program, access, artifact)."""
-    pattern = r"(?i)\b(?:who|which|what)\b.*?\b(writes?|updates|owns|reads?|uses?|calls?|links)\s+(?:to\s+|the\s+)?([A-Za-z0-9_#-]+)"
-    q = questions.select("question", F.upper(F.regexp_extract("question", pattern, 1)).alias("intent"), F.upper(F.regexp_extract("question", pattern, 2)).alias("artifact"))
-    access = F.when(F.col("intent").rlike("^(WRITE|UPDATE|OWN)"), "WRITES").when(F.col("intent").rlike("^(READ|USE)"), "READS").when(F.col("intent").rlike("^(CALL|LINK)"), "CALLS")
-    known = facts.select("program", "access", F.upper("artifact").alias("artifact")).distinct()
-    return q.withColumn("access", access).join(known, ["access", "artifact"]).select("question", "program").distinct()
-
-
 def step_problems(steps: DataFrame, scenes: DataFrame) -> DataFrame:
     """(subject, problem): what leaves a step unconstrained, and scenes (scene) that no step covers.
 

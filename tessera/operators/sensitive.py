@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sensitive import DECISIONS, DETECTORS, TIERS, by_tier, luhn, mask, matches, redact
+from ..functions.sensitive import DECISIONS, DETECTORS, TIERS, by_tier, incident, luhn, mask, matches, redact
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, findings (array of label, category, tier, count, sample), tier, tier_name, decision, redacted.
+    """id, findings (array of label, category, tier, count, sample), tier, tier_name, decision, redacted, incident (severity, responder, due, steps).
 
     Every detector reads the text that the one before left. A blocked text's `redacted` is empty.
     A detector skips texts that lack a string which all of its matches hold.
@@ -25,7 +25,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     tier = F.coalesce(F.array_max(F.transform("findings", lambda f: f["tier"])), F.lit(0))
     out = out.withColumn("tier", tier)
     decision = by_tier(F.col("tier"), DECISIONS)
-    return out.select(F.col("id").alias(id_col), "findings", "tier", by_tier(F.col("tier"), TIERS).alias("tier_name"), decision.alias("decision"), F.when(decision == "BLOCK", "").otherwise(F.col("left")).alias("redacted"))
+    return out.select(F.col("id").alias(id_col), "findings", "tier", by_tier(F.col("tier"), TIERS).alias("tier_name"), decision.alias("decision"), F.when(decision == "BLOCK", "").otherwise(F.col("left")).alias("redacted"), incident(F.col("tier"), F.transform("findings", lambda f: f["category"])).alias("incident"))
 
 
 def card_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,59 +4,93 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import governance as gov
-from ..sources.tables import table
+from ..sources.tables import small, table
 from .registry import query
 
 _list = lambda scale: "[" + ", ".join(f"'{s}'" for s in scale) + "]"
 _AGENTS = f"""
-SELECT c_custkey AS agent, {_list(gov.BLAST)}[(c_nationkey % 5 + 1)::INT] AS blast, {_list(gov.AUTONOMY)}[(c_custkey % 3 + 1)::INT] AS autonomy, {_list(gov.DATA)}[(c_custkey % 4 + 1)::INT] AS data,
-  CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name END AS owner, CASE c_custkey % 3 WHEN 0 THEN 'm-1.2' WHEN 1 THEN 'm-latest' ELSE NULL END AS model FROM customer"""
+SELECT c_custkey AS agent, CASE WHEN c_custkey % 23 = 0 THEN 'galaxy' ELSE {_list(gov.BLAST)}[(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_nationkey % 5 END + 1)::INT] END AS blast_radius,
+  CASE WHEN c_custkey % 5 = 0 THEN upper({_list(gov.AUTONOMY)}[(c_custkey % 3 + 1)::INT]) ELSE {_list(gov.AUTONOMY)}[(c_custkey % 3 + 1)::INT] END AS autonomy,
+  CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE {_list(gov.DATA)}[(CASE WHEN c_custkey % 4 > 0 THEN 0 ELSE c_custkey // 4 % 4 END + 1)::INT] END AS data_tier,
+  c_custkey % 2 = 0 AS tools, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name END AS owner, CASE WHEN c_custkey % 17 <> 0 THEN 'r' || c_custkey END AS release_id,
+  CASE c_custkey % 9 WHEN 0 THEN 'm-latest2' WHEN 1 THEN 'm' WHEN 2 THEN NULL ELSE 'm-1.2' END AS model, CASE WHEN c_custkey % 11 = 0 THEN chr(9) || ' ' ELSE 'active' END AS agent_status,
+  CASE WHEN c_custkey % 7 > 0 THEN 'id' END AS runtime_identity, CASE WHEN c_custkey % 29 > 0 THEN 'policy' END AS action_policy, CASE WHEN c_custkey % 31 > 0 THEN 'mode' END AS approval_mode, c_nationkey
+FROM customer"""
+#: Who invokes whom: chains of ten, one cycle for each nation of its agents by key, and calls of an agent that is not there.
+_INVOKES = """
+SELECT c_custkey AS caller, c_custkey + 1 AS callee FROM customer WHERE c_custkey % 10 > 0
+UNION SELECT c_custkey, coalesce(lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey), first_value(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey)) FROM customer WHERE c_nationkey < 3 AND c_custkey % 6 = 1
+UNION SELECT c_custkey, c_custkey + 1000000000 FROM customer WHERE c_custkey % 50 = 0"""
 _TIERS = f"""
-SELECT *, greatest(0, CASE WHEN b >= 1 OR d >= 1 THEN 1 ELSE 0 END, CASE WHEN b >= 2 OR d >= 2 OR (a >= 2 AND b >= 1) THEN 2 ELSE 0 END, CASE WHEN b >= 3 OR (d >= 3 AND a >= 1) THEN 3 ELSE 0 END) AS tier,
-  (owner = '')::INT + (model IS NULL)::INT + coalesce((model = 'm-latest')::INT, 0) AS missing
-FROM (SELECT *, list_position({_list(gov.BLAST)}, blast) - 1 AS b, list_position({_list(gov.AUTONOMY)}, autonomy) - 1 AS a, list_position({_list(gov.DATA)}, data) - 1 AS d FROM ({_AGENTS}))"""
+SELECT o.*, r.tier FROM (SELECT *, greatest(0, CASE WHEN b >= 1 OR d >= 1 THEN 1 ELSE 0 END, CASE WHEN b >= 2 OR d = 2 THEN 2 ELSE 0 END, CASE WHEN b >= 3 OR d = 3 OR (a = 2 AND b >= 2) THEN 3 ELSE 0 END) AS own,
+  (owner = '')::INT + (release_id IS NULL)::INT + (model IS NULL)::INT + (data_tier IS NULL)::INT + (agent_status <> 'active')::INT
+  + CASE WHEN tools THEN (runtime_identity IS NULL)::INT + (action_policy IS NULL)::INT + (approval_mode IS NULL)::INT ELSE 0 END + coalesce((model IN ('m-latest2', 'm'))::INT, 0) AS missing
+FROM (SELECT *, coalesce(list_position({_list(tuple(x.lower() for x in gov.BLAST))}, lower(blast_radius)) - 1, 0) AS b, coalesce(list_position({_list(tuple(x.lower() for x in gov.AUTONOMY))}, lower(autonomy)) - 1, 0) AS a,
+  coalesce(list_position({_list(tuple(x.lower() for x in gov.DATA))}, lower(data_tier)) - 1, 0) AS d FROM agents)) o JOIN (SELECT agent, max(tier) AS tier FROM reach GROUP BY agent) r USING (agent)"""
+_OWN = f"SELECT agent, greatest(0, CASE WHEN b >= 1 OR d >= 1 THEN 1 ELSE 0 END, CASE WHEN b >= 2 OR d = 2 THEN 2 ELSE 0 END, CASE WHEN b >= 3 OR d = 3 OR (a = 2 AND b >= 2) THEN 3 ELSE 0 END) AS tier FROM (SELECT agent, coalesce(list_position({_list(tuple(x.lower() for x in gov.BLAST))}, lower(blast_radius)) - 1, 0) AS b, coalesce(list_position({_list(tuple(x.lower() for x in gov.AUTONOMY))}, lower(autonomy)) - 1, 0) AS a, coalesce(list_position({_list(tuple(x.lower() for x in gov.DATA))}, lower(data_tier)) - 1, 0) AS d FROM agents)"
+#: Tiers by recursion: each agent's own tier reaches all that invoke it, cycles ending as pairs repeat.
+_WITH = f"WITH RECURSIVE agents AS ({_AGENTS}), invokes AS ({_INVOKES}), reach(agent, tier) AS ({_OWN} UNION SELECT i.caller, r.tier FROM reach r JOIN invokes i ON i.callee = r.agent JOIN agents g ON g.agent = i.caller), tiers AS ({_TIERS}) "
 
 
 def _agents(spark, sf_dir):
-    pick = lambda scale, at: F.element_at(F.array(*map(F.lit, scale)), (at % len(scale) + 1).cast("int"))
-    k = F.col("c_custkey")
-    a = table(spark, sf_dir, "customer").select(
-        k.alias("agent"), pick(gov.BLAST, F.col("c_nationkey")).alias("blast"), pick(gov.AUTONOMY, k).alias("autonomy"), pick(gov.DATA, k).alias("data"),
-        F.when(k % 13 == 0, "").otherwise(F.col("c_name")).alias("owner"), F.when(k % 3 == 0, "m-1.2").when(k % 3 == 1, "m-latest").alias("model"),
+    """Agents made from customers, with their own and inherited tiers and the fields they lack."""
+    c, k = F.col, F.col("c_custkey")
+    pick = lambda scale, at: F.element_at(F.array(*map(F.lit, scale)), (at + 1).cast("int"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    a = customers.select(
+        k.alias("agent"), F.when(k % 23 == 0, "galaxy").otherwise(pick(gov.BLAST, F.when(k % 3 == 0, 0).otherwise(c("c_nationkey") % 5))).alias("blast_radius"),
+        F.when(k % 5 == 0, F.upper(pick(gov.AUTONOMY, k % 3))).otherwise(pick(gov.AUTONOMY, k % 3)).alias("autonomy"),
+        F.when(k % 19 > 0, pick(gov.DATA, F.when(k % 4 > 0, 0).otherwise(F.floor(k / 4) % 4))).alias("data_tier"), (k % 2 == 0).alias("tools"),
+        F.when(k % 13 == 0, "").otherwise(c("c_name")).alias("owner"), F.when(k % 17 > 0, F.concat(F.lit("r"), k.cast("string"))).alias("release_id"),
+        F.when(k % 9 == 0, "m-latest2").when(k % 9 == 1, "m").when(k % 9 > 2, "m-1.2").alias("model"), F.when(k % 11 == 0, "\t ").otherwise("active").alias("agent_status"),
+        F.when(k % 7 > 0, "id").alias("runtime_identity"), F.when(k % 29 > 0, "policy").alias("action_policy"), F.when(k % 31 > 0, "mode").alias("approval_mode"),
     )
-    missing = gov.missing_fields({"owner": F.col("owner"), "model": F.col("model")}, F.col("model"))
-    return a.withColumn("tier", gov.risk_tier(F.col("blast"), F.col("autonomy"), F.col("data"))).withColumn("missing", F.size(missing))
+    a = a.withColumn("own", gov.risk_tier(c("blast_radius"), c("autonomy"), c("data_tier"))).withColumn("missing", gov.missing_fields(c("tools"), c("model")))
+    ring = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    cycles = customers.filter("c_nationkey < 3 and c_custkey % 6 = 1").select(k.alias("caller"), F.coalesce(F.lead("c_custkey").over(ring), F.first("c_custkey").over(ring)).alias("callee"))
+    invokes = customers.filter("c_custkey % 10 > 0").select(k.alias("caller"), (k + 1).alias("callee")).union(cycles).union(customers.filter("c_custkey % 50 = 0").select(k, k + 1_000_000_000))
+    return a.join(gov.inherited(a.select("agent", F.col("own").alias("tier")), invokes), "agent")
 
 
-@query(f"SELECT agent, tier::INT AS tier, missing::INT AS missing FROM ({_TIERS})")
+@query(_WITH + "SELECT agent, own::INT AS own, tier::INT AS tier, missing::INT AS missing FROM tiers")
 def agent_tiers(spark, sf_dir):
-    """Risk tiers by floors, and required fields that are missing."""
-    return _agents(spark, sf_dir).select("agent", "tier", "missing")
+    """Risk tiers by floors, what agents inherit from those they invoke, and how many required fields are missing."""
+    return _agents(spark, sf_dir).select("agent", "own", "tier", F.size("missing").alias("missing"))
+
+
+@query(_WITH + """SELECT field, tools, count(*) AS agents FROM (SELECT tools, unnest(list_filter([CASE WHEN owner = '' THEN 'owner' END, CASE WHEN release_id IS NULL THEN 'release_id' END, CASE WHEN model IS NULL THEN 'model' END, CASE WHEN data_tier IS NULL THEN 'data_tier' END,
+  CASE WHEN agent_status <> 'active' THEN 'agent_status' END, CASE WHEN tools AND runtime_identity IS NULL THEN 'runtime_identity' END, CASE WHEN tools AND action_policy IS NULL THEN 'action_policy' END,
+  CASE WHEN tools AND approval_mode IS NULL THEN 'approval_mode' END, CASE WHEN model IN ('m-latest2', 'm') THEN 'pinned model' END], lambda x: x IS NOT NULL)) AS field FROM agents) GROUP BY ALL""")
+def agent_missing(spark, sf_dir):
+    """Which required fields agents lack, with tools and without."""
+    return _agents(spark, sf_dir).select("tools", F.explode("missing").alias("field")).groupBy("field", "tools").agg(F.count("*").alias("agents"))
 
 
 _ACT = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in a) + ")" for a in gov.ACTIONS)
 
 
-@query(f"""
+@query(_WITH + f"""
 SELECT action, verdict, count(*) AS agents FROM (SELECT action, CASE WHEN missing > 0 OR NOT in_envelope THEN 'DENY' WHEN customer_visible OR security OR NOT reversible OR production THEN 'APPROVE'
-  WHEN autonomy = 'Suggests' THEN 'PROPOSE' WHEN autonomy = 'Acts-autonomously' THEN 'AUTO' ELSE 'APPROVE' END AS verdict
-FROM ({_TIERS}), (VALUES {_ACT}) c(action, reversible, production, customer_visible, security, in_envelope)) GROUP BY ALL""")
+  WHEN lower(autonomy) = 'suggests' THEN 'PROPOSE' WHEN lower(autonomy) = 'acts-autonomously' THEN 'AUTO' ELSE 'APPROVE' END AS verdict
+FROM tiers, (VALUES {_ACT}) c(action, reversible, production, customer_visible, security, in_envelope)) GROUP BY ALL""")
 def action_authority(spark, sf_dir):
     """Verdicts on eleven actions for every agent: the catalog is broadcast."""
     actions = spark.createDataFrame(gov.ACTIONS, "action string, reversible boolean, production boolean, customer_visible boolean, security boolean, in_envelope boolean")
     rows = _agents(spark, sf_dir).crossJoin(F.broadcast(actions))
-    return rows.groupBy("action", gov.authority(F.col("missing") == 0, F.col("autonomy")).alias("verdict")).agg(F.count("*").alias("agents"))
+    return rows.groupBy("action", gov.authority(F.size("missing") == 0, F.col("autonomy")).alias("verdict")).agg(F.count("*").alias("agents"))
 
 
-_CTL = ", ".join(f"('{n}', {r}, {a})" for n, r, a in gov.CONTROLS)
+_CTL = ", ".join(f"('{n}', {r}, {a}, '{w}', {str(t).lower()})" for n, r, a, w, t in gov.CONTROLS)
 
 
-@query(f"SELECT tier::INT AS tier, control, CASE WHEN tier >= required THEN 'Required' WHEN tier >= advised THEN 'Recommended' ELSE 'Not required' END AS rule, count(*) AS agents FROM ({_TIERS}), (VALUES {_CTL}) c(control, required, advised) GROUP BY ALL")
+@query(_WITH + f"""
+SELECT tier::INT AS tier, tools, control, CASE WHEN tier >= required THEN 'Required' WHEN for_tools AND tools THEN 'Required (tool-enabled)' WHEN tier >= advised THEN advice ELSE 'Not required' END AS rule, count(*) AS agents
+FROM tiers, (VALUES {_CTL}) c(control, required, advised, advice, for_tools) GROUP BY ALL""")
 def controls_matrix(spark, sf_dir):
-    controls = spark.createDataFrame(gov.CONTROLS, "control string, required int, advised int")
-    by_tier = _agents(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("agents"))
-    rule = F.when(F.col("tier") >= F.col("required"), "Required").when(F.col("tier") >= F.col("advised"), "Recommended").otherwise("Not required")
-    return by_tier.crossJoin(F.broadcast(controls)).select("tier", "control", rule.alias("rule"), "agents")
+    """What each of the fifteen controls is to agents of each tier, with tools and without."""
+    controls = spark.createDataFrame(gov.CONTROLS, "control string, required int, advised int, advice string, for_tools boolean")
+    by_tier = _agents(spark, sf_dir).groupBy("tier", "tools").agg(F.count("*").alias("agents"))
+    return by_tier.crossJoin(F.broadcast(controls)).select("tier", "tools", "control", gov.control_rule(F.col("tier"), F.col("tools")).alias("rule"), "agents")  # fifteen controls
 
 
 @query("SELECT DISTINCT p_type AS token FROM part WHERE NOT (p_type LIKE 'STANDARD%' OR p_type LIKE 'PROMO A%') AND p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 400 = 1)")
@@ -101,7 +135,7 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""")
 def coverage_metrics(spark, sf_dir):
     """Resolved of total in percent, over a dimension that is broadcast."""
     n = table(spark, sf_dir, "nation")
-    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    c = table(spark, sf_dir, "customer").join(small(n), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.groupBy("n_name").agg(F.count("*").alias("customers"), F.count_if(F.col("c_acctbal") < 0).alias("overdrawn"), F.bround(100.0 * F.count_if(F.col("c_acctbal") >= 0) / F.count("*"), 0).cast("int").alias("coverage"))
 
 

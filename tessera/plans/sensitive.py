@@ -21,8 +21,8 @@ _PHONE_RE2 = r"(?:^|[^\d.\-])((?:\+?1[ .\-])?\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4})(
 def _luhn(x: str) -> str:
     digits = f"reverse(regexp_replace({x}, '[^0-9]', '', 'g'))"
     return (
-        f"(length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda i: "
-        f"CASE WHEN i % 2 = 1 THEN substr({digits}, i, 1)::INT ELSE (substr({digits}, i, 1)::INT * 2) % 10 + (substr({digits}, i, 1)::INT * 2) // 10 END)) % 10 = 0)"
+        f"(length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda j: "
+        f"CASE WHEN j % 2 = 1 THEN substr({digits}, j, 1)::INT ELSE (substr({digits}, j, 1)::INT * 2) % 10 + (substr({digits}, j, 1)::INT * 2) // 10 END)) % 10 = 0)"
     )
 
 
@@ -32,7 +32,9 @@ def _chain() -> str:
     for k, d in enumerate(DETECTORS):
         if d.checked:
             hits = f"list_filter(regexp_extract_all(t, {_re(d.pattern)}), lambda x: {_luhn('x')})"
-            new, flag = f"list_reduce(list_prepend(t, {hits}), lambda a, m: replace(a, m, '{d.mark}'))", f"len({hits}) > 0"
+            found, between = f"regexp_extract_all(t, {_re(d.pattern)})", f"string_split_regex(t, {_re(d.pattern)})"
+            turn = f"CASE WHEN i > len({found}) THEN '' WHEN {_luhn(f'{found}[i]')} THEN '{d.mark}' ELSE {found}[i] END"
+            new, flag = f"CASE WHEN len({hits}) > 0 THEN array_to_string(list_transform(range(1, len({between}) + 1), lambda i: {between}[i] || {turn}), '') ELSE t END", f"len({hits}) > 0"
         elif d.name == "Phone number":
             new = rf"regexp_replace(t, '(^|[^\d.\-])(?:\+?1[ .\-])?\(?\d{{3}}\)?[ .\-]\d{{3}}[ .\-]\d{{4}}($|[^\d.\-])', '\1{d.mark}\2', 'g')"
             flag = f"regexp_matches(t, {_re(_PHONE_RE2)})"
@@ -40,7 +42,7 @@ def _chain() -> str:
             new, flag = f"regexp_replace(t, {_re(d.pattern)}, '{d.mark}', 'g')", f"regexp_matches(t, {_re(d.pattern)})"
         sql = f"SELECT * REPLACE ({new} AS t), {flag} AS f{k} FROM ({sql})"
     tier = "greatest(" + ", ".join(f"CASE WHEN f{k} THEN {d.tier} ELSE 0 END" for k, d in enumerate(DETECTORS)) + ")"
-    return f"SELECT doc_id, lang, t, {tier} AS tier, {' + '.join(f'f{k}::INT' for k in range(len(DETECTORS)))} AS n_detectors FROM ({sql})"
+    return f"SELECT doc_id, lang, t, {tier} AS tier, {' + '.join(f'f{k}::INT' for k in range(len(DETECTORS)))} AS n_detectors, f0 OR f1 OR f2 OR f3 AS credential FROM ({sql})"
 
 
 _DECIDE = "CASE tier WHEN 3 THEN 'BLOCK' WHEN 2 THEN 'SCRUB' WHEN 1 THEN 'ALLOW-INTERNAL' ELSE 'ALLOW' END"
@@ -66,18 +68,18 @@ def card_luhn_valid(spark, sf_dir):
     return card_candidates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("candidate", F.trim("candidate"))
 
 
-@query("""
-SELECT severity, count(*) AS docs, sum(steps)::BIGINT AS steps FROM (
-  SELECT CASE tier WHEN 3 THEN 'SEV1' WHEN 2 THEN 'SEV2' WHEN 1 THEN 'SEV3' ELSE 'NONE' END AS severity, CASE tier WHEN 3 THEN 5 WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS steps
-  FROM (%s)) GROUP BY ALL""" % _chain())
+@query(f"""
+SELECT doc_id, CASE WHEN tier < 2 THEN 'None' WHEN tier = 2 THEN 'Sev3' WHEN credential THEN 'Sev1' ELSE 'Sev2' END AS severity,
+  CASE WHEN tier < 2 THEN 'Repo owner' WHEN tier = 2 THEN 'Repo owner + AI Quality' ELSE 'Named incident responder + Security' END AS responder,
+  CASE WHEN tier < 2 THEN 'n/a' WHEN tier = 2 THEN 'Resolve within 1 business day' ELSE 'Contain immediately; declare within 1 hour' END AS due,
+  concat_ws('; ', CASE WHEN tier >= 2 AND credential THEN 'revoke and rotate the credential' END,
+    CASE WHEN tier >= 2 THEN 'stop the run without a retry; confirm that nothing was sent or logged; purge the payload, keep references and hashes' END,
+    CASE WHEN tier = 3 THEN 'declare the incident to responder and security; use the kill switch and roll back' END, CASE WHEN tier >= 2 THEN 'record the detection for the gate' END) AS steps
+FROM ({_chain()})""")
 def pii_incidents(spark, sf_dir):
-    """Incident severity and the number of response steps it takes."""
-    tier = F.col("tier")
-    severity = F.when(tier == 3, "SEV1").when(tier == 2, "SEV2").when(tier == 1, "SEV3").otherwise("NONE")
-    steps = F.array_compact(F.array(
-        F.when(tier >= 1, "log reference"), F.when(tier >= 1, "notify owner"), F.when(tier >= 2, "scrub payload"), F.when(tier >= 3, "rotate credential"), F.when(tier >= 3, "open incident"),
-    ))
-    return assess(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).groupBy(severity.alias("severity")).agg(F.count("*").alias("docs"), F.sum(F.size(steps)).alias("steps"))
+    """Severity, responder, deadline and ordered steps that follow each document's findings."""
+    assessed = assess(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return assessed.select("doc_id", "incident.severity", "incident.responder", "incident.due", F.array_join("incident.steps", "; ").alias("steps"))
 
 
 @query("""

@@ -9,11 +9,47 @@ from tessera.operators import scoring as sc
 
 
 def test_tiers_are_floors(spark):
-    rows = [("file", "Suggests", "Public", 0), ("repo", "Suggests", "Public", 1), ("REPO", "acts-autonomously", "Public", 2), ("production", "Suggests", "Public", 3), ("file", "Acts-with-approval", "Restricted", 3), (None, None, None, 0)]
+    rows = [
+        ("file", "Suggests", "Public", 0), ("repo", "Suggests", "Public", 1), ("file", "Suggests", "internal", 1), ("REPO", "acts-autonomously", "Public", 1), ("team-system", "Acts-with-approval", "Public", 2),
+        ("team-system", "Acts-Autonomously", "Public", 3), ("file", "Suggests", "Confidential", 2), ("file", "Suggests", "Restricted", 3), ("production", "Suggests", "Public", 3), ("customer", None, "Public", 3),
+        ("galaxy", "?", "", 0), (None, None, None, 0),
+    ]
     df = spark.createDataFrame(rows, "b string, a string, d string, want int")
     assert df.filter(gov.risk_tier(F.col("b"), F.col("a"), F.col("d")) != F.col("want")).count() == 0
 
 
+def test_tiers_are_inherited(spark):
+    """Along chains, through cycles, from several; a hot callee; unknown agents and loops add nothing."""
+    rng = random.Random(5)
+    agents = [(i, 3 if i == 40 else rng.choice([0, 0, 0, 1, 2])) for i in range(60)] + [(99, None)]
+    invokes = [(i, i + 1) for i in range(30, 40)] + [(50, 51), (51, 52), (52, 50), (53, 50)] + [(i, 7) for i in range(20)] + [(8, 8), (9, 777), (None, 3), (99, 50)]
+    want, changed = {a: t or 0 for a, t in agents}, True
+    while changed:
+        new = {a: max([want[a], *(want[y] for x, y in invokes if x == a and y in want)]) for a in want}
+        changed, want = new != want, new
+    got = gov.inherited(spark.createDataFrame(agents, "agent int, tier int"), spark.createDataFrame(invokes, "caller int, callee int"))
+    assert {r.agent: r.tier for r in got.collect()} == want and want[30] == 3
+    assert gov.inherited(spark.createDataFrame(agents, "agent int, tier int"), spark.createDataFrame([], "caller int, callee int")).count() == 61
+
+
+def test_required_fields(spark):
+    columns = [*gov.FIELDS, *gov.TOOL_FIELDS]
+    full = dict.fromkeys(columns, "v1")
+    rows = [(0, True, full), (1, False, {**full, "runtime_identity": None}), (2, True, {**full, "runtime_identity": " ", "owner": "\t"}), (3, None, {**full, "model": "Latest-2"}), (4, False, {**full, "model": "two"}), (5, True, dict.fromkeys(columns))]
+    df = spark.createDataFrame([(i, t, *(r[c] for c in columns)) for i, t, r in rows], f"k int, tools boolean, {', '.join(f'{c} string' for c in columns)}")
+    got = {r.k: r.m for r in df.select("k", gov.missing_fields(F.col("tools"), F.col("model")).alias("m")).collect()}
+    assert got == {0: [], 1: [], 2: ["owner", "runtime_identity"], 3: ["pinned model"], 4: ["pinned model"], 5: columns}
+
+
+def test_controls_by_tier_and_tools(spark):
+    controls = spark.createDataFrame(gov.CONTROLS, "control string, required int, advised int, advice string, for_tools boolean")
+    rows = spark.createDataFrame([(t, x) for t in range(4) for x in (True, False)], "tier int, tools boolean").crossJoin(controls)
+    got = {(r.tier, r.tools, r.control): r.rule for r in rows.select("tier", "tools", "control", gov.control_rule(F.col("tier"), F.col("tools")).alias("rule")).collect()}
+    assert [got[t, x, "action envelope"] for t in range(4) for x in (True, False)] == ["Required (tool-enabled)", "Not required"] * 2 + ["Required"] * 4
+    assert [got[t, True, "drift gate"] for t in range(4)] == ["Not required", "Opportunistic", "Required", "Required"]
+    assert [got[t, True, "reviewer competency"] for t in range(4)] == ["Not required", "Recommended", "Required", "Required"]
+
+
 def test_undeclared_by_prefix(spark):
     required, declared = (spark.createDataFrame([(t,) for t in ts], "token string") for ts in (["a-1", "b", "c", "ab"], ["a-*", "b", "unused"]))
     assert sorted(r.token for r in gov.undeclared(required, declared).collect()) == ["ab", "c"]

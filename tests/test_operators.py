@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.policy import Compiled, PolicyError, kind_of, mutants, parse
-from tessera.functions.sensitive import luhn
+from tessera.functions.sensitive import DETECTORS, luhn, redact
 from tessera.operators import graph, metrics, program, trading
 from tessera.operators.sensitive import assess
 from tessera.plans.policies import SHIPPING
@@ -37,6 +37,25 @@ def test_luhn_and_redaction(spark):
     assert got == {1: (2, "SCRUB", "mail [EMAIL_REDACTED]"), 2: (3, "BLOCK", ""), 3: (0, "ALLOW", ""), 4: (1, "ALLOW-INTERNAL", "host [INTERNAL_HOST_REDACTED]")}
 
 
+def test_only_the_match_is_redacted(spark):
+    """A valid card's text inside a longer run of digits that is no match, and matches that fail the checksum, stay."""
+    rows = ["4111111111111111, 99994111111111111111999999999", "4111111111111112 4111111111111111", "4111111111111111", "4111111111111111;5500005555555559 x4111111111111112", ""]
+    pan = next(d for d in DETECTORS if d.checked)
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, t string")
+    got = [r.x for r in df.orderBy("k").select(redact(F.col("t"), pan).alias("x")).collect()]
+    m = pan.mark
+    assert got == [f"{m}, 99994111111111111111999999999", f"4111111111111112 {m}", m, f"{m};{m} x4111111111111112", ""]
+
+
+def test_incident_paths(spark):
+    """Four to seven steps; the credential first, the record last; no incident below tier 2."""
+    rows = [("k", "password=hunter22x"), ("c", "4111 1111 1111 1111"), ("p", "a@b.com"), ("i", "db.corp"), ("n", None)]
+    got = {r.doc_id: r.incident for r in assess(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: (v.severity, len(v.steps)) for k, v in got.items()} == {"k": ("Sev1", 7), "c": ("Sev2", 6), "p": ("Sev3", 4), "i": ("None", 0), "n": ("None", 0)}
+    assert got["k"].steps[0].startswith("revoke") and got["c"].steps[0].startswith("stop") and all(v.steps[-1].startswith("record") for v in got.values() if v.steps)
+    assert got["c"].due != got["p"].due and got["i"].due == "n/a" and got["p"].responder == "Repo owner + AI Quality"
+
+
 def test_policy_examples_and_errors(spark):
     assert all(ok for _, ok in Compiled(SHIPPING).run_examples(spark))
     with pytest.raises(PolicyError) as fault:
