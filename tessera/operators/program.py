@@ -1,346 +1,15 @@
-"""Fixed-format programs to rows: normalising, copybooks, statements, data items, embedded blocks, facts and flows.
-
-A program is parsed by itself, with the copybooks that it reaches, in one Arrow batch function; a program's text
-bounds the memory. `parsed` gives one row for each thing found, told apart by `record`; the functions after it are views
-of these rows, and the graph is assembled from them by joins and unions.
-"""
+"""Views of programs' rows (see `statements.parsed`): the evidence graph, access to data, layers, labels, contracts, cards, chunks, questions; comments, decks and documents."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import co_membership, cut
-from .source import picture_bytes
-
-FIELDS = ("record", "ordinal", "line", "origin", "kind", "name", "target", "confidence", "text", "paragraph", "depth", "parent", "level", "picture", "usage", "redefines", "occurs", "offset", "length", "section")
-NUMBERS = {"ordinal", "line", "depth", "parent", "level", "occurs", "offset", "length"}
-SCHEMA = "program string, " + ", ".join(f"{f} {'int' if f in NUMBERS else 'string'}" for f in FIELDS)
-
-# Names in the language, and the patterns of its statements and embedded commands.
-_NAME = r"[A-Z0-9$#@_-]+"
-_TABLE = r'[A-Z0-9_"$#@.]+'
-OPTION, OPTION_VALUE = re.compile(r"(?:CBL|PROCESS)\s+"), re.compile(r"(TRUNC|NUMPROC|ARITH|CODEPAGE|NSYMBOL|PGMNAME|OPTIMIZE)\s*\(\s*([A-Z0-9]+)\s*\)")
-EXEC, INCLUDE = re.compile(r"EXEC\s+(SQLIMS|SQL|CICS|DLI)\b"), re.compile(r"\bINCLUDE\s+([A-Z0-9][A-Z0-9$#@_-]*)")
-COPY = re.compile(rf"COPY\s+('[^']+'|\"[^\"]+\"|[A-Z0-9][A-Z0-9$#@_-]*)(?:\s+(?:OF|IN)\s+({_NAME}))?")
-DIVISION, SECTION = re.compile(r"(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION"), re.compile(r"(FILE|WORKING-STORAGE|LOCAL-STORAGE|LINKAGE|REPORT|SCREEN)\s+SECTION")
-PROGRAM_ID, PARAGRAPH = re.compile(r"PROGRAM-ID\.?\s+([A-Z0-9][A-Z0-9$#@_-]*)"), re.compile(r"[A-Z0-9][A-Z0-9$#@_-]*\.$")
-ITEM, PICTURE = re.compile(r"(\d{1,2})\s+([A-Z0-9][A-Z0-9$#@_-]*)\b(.*)$"), re.compile(r"\bPIC(?:TURE)?\s+(?:IS\s+)?([X9AVSZ0-9()+\-.,/*$CRDB]+)")
-REDEFINES, OCCURS, USAGE = re.compile(r"\bREDEFINES\s+([A-Z0-9][A-Z0-9$#@_-]*)"), re.compile(r"\bOCCURS\s+(\d+)"), re.compile(r"\b(COMP(?:UTATIONAL)?(?:-[1-5])?|BINARY|PACKED-DECIMAL)\b")
-VALUE = re.compile(r"\bVALUES?\s+(?:IS\s+|ARE\s+)?(.+)$")
-CURSOR, CURSOR_USE = re.compile(rf"DECLARE\s+({_NAME})\s+CURSOR\s+(?:WITH\s+\w+\s+)?FOR\s+(.+)$"), re.compile(rf"(OPEN|CLOSE|FETCH)\s+({_NAME})")
-DECLARE_TABLE, PREPARE, EXECUTE = re.compile(rf"DECLARE\s+({_TABLE})\s+TABLE\b"), re.compile(rf"PREPARE\s+({_NAME})"), re.compile(rf"EXECUTE\s+(?!IMMEDIATE)({_NAME})")
-CHANGES = ((re.compile(rf"INSERT\s+INTO\s+({_TABLE})"), "WRITES"), (re.compile(rf"UPDATE\s+({_TABLE})\s+SET\b"), "UPDATES"), (re.compile(rf"DELETE\s+FROM\s+({_TABLE})"), "DELETES"))
-CONNECT, FROM = re.compile(rf"CONNECT\s+TO\s+({_NAME})"), re.compile(r'\bFROM\s+([A-Z0-9_"$#@., ]+?)(?=\s+(?:WHERE|ORDER|GROUP|HAVING|FETCH|FOR|UNION|INTO)\b|$)')
-OPERANDS = {what: re.compile(rf"\b{what}\s*\(\s*'?({_NAME})'?\s*\)") for what in ("TRANSID", "MAP", "FILE")}
-PROGRAM_OPERAND = re.compile(rf"\bPROGRAM\s*\(\s*(?:'([^']+)'|\"([^\"]+)\"|({_NAME}))\s*\)")
-CALL, MOVE_LITERAL = re.compile(rf"CALL\s+(?:'([^']+)'|\"([^\"]+)\"|({_NAME}))"), re.compile(rf"MOVE\s+(?:'([^']+)'|\"([^\"]+)\")\s+TO\s+({_NAME})")
-MOVE, COMPUTE, INTO = re.compile(r"MOVE\s+(.+?)\s+TO\s+(.+)$"), re.compile(rf"COMPUTE\s+({_NAME})(?:\s+ROUNDED)?\s*=\s*(.+)$"), re.compile(r"\bINTO\s+(:.+?)(?=\s+(?:FROM|WHERE|END-EXEC)\b|$)")
-IDENTIFIER = re.compile(r"\b[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+\b|\b[A-Z][A-Z0-9]{2,}\b")
-VERBS = ("MOVE COMPUTE PERFORM IF EVALUATE CALL EXEC ADD SUBTRACT MULTIPLY DIVIDE GO SET INITIALIZE END-IF END-EVALUATE END-PERFORM WHEN ELSE STOP EXIT GOBACK DISPLAY ACCEPT OPEN CLOSE READ WRITE REWRITE "
-         "DELETE STRING UNSTRING INSPECT SEARCH SORT CONTINUE ALTER START RETURN").split()
-FILE_ACCESS = {"READ": "READS", "WRITE": "WRITES", "REWRITE": "UPDATES", "DELETE": "DELETES"}
-LINK_WEIGHT = {"CICS_LINK": 1.0, "CICS_XCTL": 0.7}
+from .graph import co_membership
+from .statements import FILE_ACCESS
 
-
-@dataclass
-class Line:
-    text: str
-    at: int
-    origin: str
-    comment: bool = False
-
-
-def collapse(text: str) -> str:
-    return " ".join(text.split())
-
-
-def normalise(member: str, source: str) -> list[Line]:
-    """Columns 8 to 72 of every line that says something; continuations are joined to the last line of code before them."""
-    out: list[Line] = []
-    last = None
-    for at, raw in enumerate(source.replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1):
-        if not raw.strip():
-            continue
-        mark, area = raw[6:7] or " ", raw[7:72].rstrip()
-        if mark in "*/Dd":
-            out.append(Line(area, at, member, True))
-        elif area and mark == "-" and last is not None:
-            out[last].text += area.lstrip()
-        elif area:
-            last = len(out)
-            out.append(Line(area, at, member))
-    return out
-
-
-@dataclass
-class Parse:
-    program: str
-    books: dict[str, str]
-    rows: list[dict] = field(default_factory=list)
-    seen: set[str] = field(default_factory=set)
-
-    def add(self, record: str, **values) -> None:
-        self.rows.append({"record": record, **values})
-
-    def copy(self, program: str, name: str, line: int, lines: list[Line]) -> None:
-        """A copybook's own lines stand where it is named, once in a program; a cycle ends there."""
-        have = name in self.books
-        self.add("copy", name=program, target=name, confidence="exact" if have else "unresolved", line=line)
-        if have and name not in self.seen:
-            self.seen.add(name)
-            self.expand(name, normalise(name, self.books[name]), lines)
-
-    def expand(self, program: str, lines: list[Line], out: list[Line]) -> None:
-        k = 0
-        while k < len(lines):
-            line = lines[k]
-            k += 1
-            text = line.text.strip().upper()
-            if line.comment:
-                continue
-            if OPTION.match(text):
-                for name, value in OPTION_VALUE.findall(text):
-                    self.add("option", name=name, target=value, line=line.at, origin=line.origin)
-            elif found := EXEC.match(text):
-                body = [text]
-                while "END-EXEC" not in body[-1] and k < len(lines):
-                    if not lines[k].comment:
-                        body.append(lines[k].text.strip().upper())
-                    k += 1
-                whole = collapse(" ".join(body))
-                self.add("exec", kind=found[1], text=whole, line=line.at, origin=line.origin)
-                if found[1] != "DLI":
-                    out.append(Line("    " + whole.rstrip(". "), line.at, line.origin))
-                if named := INCLUDE.search(whole):
-                    self.copy(program, named[1], line.at, out)
-            elif found := COPY.match(text):
-                while "." not in text and k < len(lines):
-                    text += " " + lines[k].text.strip()
-                    k += 1
-                self.copy(program, found[1].strip("'\""), line.at, out)
-            else:
-                out.append(line)
-
-    def item(self, text: str, line: Line, section: str, stack: list[list], starts: dict[str, int]) -> None:
-        found = ITEM.match(collapse(text.rstrip(". ")))
-        if not found:
-            return
-        level, name, rest = int(found[1]), found[2], found[3]
-        picture, usage, other, times = PICTURE.search(rest), USAGE.search(rest), REDEFINES.search(rest), OCCURS.search(rest)
-        usage = usage[1].replace("COMPUTATIONAL", "COMP").replace("PACKED-DECIMAL", "COMP-3") if usage else "DISPLAY"
-        picture, other, occurs = picture[1].rstrip(".") if picture else None, other[1] if other else None, int(times[1]) if times else 0
-        if level == 88:
-            value = VALUE.search(rest)
-            self.add("item", level=88, name=name, text=value[1].strip("'\" ") if value else None, line=line.at, origin=line.origin, section=section)
-            return
-        length = (picture_bytes(picture, usage) if picture or usage in ("COMP-1", "COMP-2") else 0) * max(occurs, 1)
-        while stack and stack[-1][0] >= level:
-            stack.pop()
-        offset = starts[other] if other in starts else stack[-1][1] if stack else 0
-        path = " > ".join([s[2] for s in stack] + [name])
-        self.add("item", level=level, name=name, picture=picture, usage=usage, redefines=other, occurs=occurs, offset=offset, length=length, section=section, line=line.at, origin=line.origin, text=path)
-        if name != "FILLER":
-            starts[name] = offset
-        if other is None:
-            for group in stack:
-                group[1] += length
-        stack.append([level, offset, name])
-
-    def read(self, lines: list[Line]) -> None:
-        division, section, paragraph, depth, ordinal = "", "", "(program)", 0, 0
-        scopes: list[int] = []
-        stack: list[list] = []
-        starts: dict[str, int] = {}
-        held, held_at = "", None
-        for line in lines:
-            text = collapse(line.text).upper()
-            if held and (DIVISION.match(text) or SECTION.match(text) or re.match(r"\d{1,2}\s", text)):
-                self.item(held, held_at, section, stack, starts)
-                held = ""
-            if found := DIVISION.match(text):
-                division, section = found[1], ""
-            elif division == "DATA" and (found := SECTION.match(text)):
-                section = found[1]
-                stack.clear()
-            elif found := PROGRAM_ID.match(text):
-                self.add("program", name=found[1], line=line.at)
-            elif division == "DATA":
-                held, held_at = f"{held} {text}".strip(), held_at if held else line
-                if text.endswith("."):
-                    self.item(held, held_at, section, stack, starts)
-                    held = ""
-            elif division == "PROCEDURE" and line.text[:1] != " " and PARAGRAPH.match(text):
-                paragraph, depth = text.rstrip("."), 0
-                scopes.clear()
-                self.add("paragraph", name=paragraph, line=line.at, origin=line.origin)
-            elif division == "PROCEDURE":
-                verb = next((v for v in VERBS if re.match(rf"{v}\b(?!-)", text)), None)
-                if verb in ("END-IF", "END-EVALUATE", "END-PERFORM"):
-                    depth = max(0, depth - 1)
-                    del scopes[-1:]
-                elif verb:
-                    self.add("statement", ordinal=ordinal, kind=verb, text=text.rstrip("."), paragraph=paragraph, depth=depth, parent=scopes[-1] if scopes else -1, line=line.at, origin=line.origin)
-                    opens = {"IF": "END-IF" not in text, "EVALUATE": "END-EVALUATE" not in text, "PERFORM": (" UNTIL " in text or " VARYING " in text) and "END-PERFORM" not in text}
-                    if opens.get(verb):
-                        depth += 1
-                        scopes.append(ordinal)
-                    ordinal += 1
-        if held:
-            self.item(held, held_at, section, stack, starts)
-
-    def sql(self) -> None:
-        cursors: dict[str, list[str]] = {}
-        prepared: set[str] = set()
-        plain = lambda name: name.strip().strip('"')
-
-        def tables(query: str) -> list[str]:
-            found = FROM.search(query)
-            return list(dict.fromkeys(plain(t.split()[0]) for t in found[1].split(",") if t.strip())) if found else []
-
-        def say(kind: str, target: str, access: str, confidence: str, block: dict) -> None:
-            self.add("sql", kind=kind, target=target, name=access, confidence=confidence, line=block["line"])
-
-        for block in sorted((r for r in self.rows if r["record"] == "exec" and r["kind"] == "SQL"), key=lambda r: r["line"]):
-            body = collapse(re.sub(r"^EXEC\s+SQL\b|\bEND-EXEC\b", "", block["text"])).rstrip(". ")
-            if found := DECLARE_TABLE.match(body):
-                say("declare-table", plain(found[1]), "DECLARE", "exact", block)
-            elif found := CURSOR.match(body):
-                cursors[found[1]] = tables(found[2])
-                for t in cursors[found[1]]:
-                    say("cursor", t, "READS", "exact", block)
-                    if "FOR UPDATE" in body:
-                        say("cursor", t, "UPDATES", "exact", block)
-            elif found := CURSOR_USE.match(body):
-                for t in cursors.get(found[2], []):
-                    say(found[1].lower(), t, "READS", "resolved", block)
-                if found[2] not in cursors and found[2] in prepared:
-                    say("dynamic", "(unresolved)", "UNKNOWN", "unresolved", block)
-            elif found := PREPARE.match(body):
-                prepared.add(found[1])
-                say("dynamic", "(unresolved)", "UNKNOWN", "unresolved", block)
-            elif EXECUTE.match(body):
-                say("dynamic", "(unresolved)", "UNKNOWN", "unresolved", block)
-            else:
-                for pattern, access in CHANGES:
-                    if found := pattern.match(body):
-                        say("dml", plain(found[1]), access, "exact", block)
-                for t in tables(body) if body.startswith("SELECT") else []:
-                    say("dml", t, "READS", "exact", block)
-                if found := CONNECT.match(body):
-                    say("connect", found[1], "CONNECT", "exact", block)
-
-    def transactions(self) -> None:
-        for block in [r for r in self.rows if r["record"] == "exec" and r["kind"] == "CICS"]:
-            body = collapse(re.sub(r"^EXEC\s+CICS\b|\bEND-EXEC\b", "", block["text"])).rstrip(". ")
-            command = body.split(" ")[0]
-            kind = target = None
-            confidence = "exact"
-            if command in ("LINK", "XCTL"):
-                if found := PROGRAM_OPERAND.search(body):
-                    kind, target, confidence = f"CICS_{command}", found[1] or found[2] or found[3], "inferred" if found[3] else "exact"
-            elif command in ("RETURN", "START"):
-                if found := OPERANDS["TRANSID"].search(body):
-                    kind, target = "NEXT_TRANSID" if command == "RETURN" else "CICS_START", found[1]
-            elif command in ("SEND", "RECEIVE"):
-                if found := OPERANDS["MAP"].search(body):
-                    kind, target = "USES_MAP", found[1]
-            elif command in FILE_ACCESS and (found := OPERANDS["FILE"].search(body)):
-                kind, target = FILE_ACCESS[command], found[1]
-            if kind:
-                self.add("cics", kind=kind, target=target, confidence=confidence, line=block["line"])
-
-    def flows(self) -> None:
-        """Calls, a dynamic one by the last literal moved into its item, and the flow of data between declared items."""
-        literals: dict[str, str] = {}
-        items = [r for r in self.rows if r["record"] == "item"]
-        declared = {r["name"] for r in items if r["name"] != "FILLER"}
-        names = lambda text: [n for n in IDENTIFIER.findall(text) if n in declared]
-        met: set[tuple] = set()
-
-        def flow(source: str, target: str, via: str, line: int) -> None:
-            if source != target and (source, target, via) not in met:
-                met.add((source, target, via))
-                self.add("flow", name=source, target=target, kind=via, line=line)
-
-        for s in [r for r in self.rows if r["record"] == "statement"]:
-            text, verb, line = s["text"], s["kind"], s["line"]
-            if verb == "MOVE":
-                if found := MOVE_LITERAL.match(text):
-                    literals[found[3]] = found[1] or found[2]
-                if found := MOVE.match(text):
-                    for target in names(found[2]):
-                        for source in names(found[1]):
-                            flow(source, target, "MOVE", line)
-            elif verb == "CALL":
-                if found := CALL.match(text):
-                    known = found[1] or found[2] or literals.get(found[3])
-                    self.add("call", kind="CALLS_DYNAMIC" if found[3] else "CALLS_STATIC", target=known or "(unresolved)", confidence=("resolved" if known else "unresolved") if found[3] else "exact", line=line)
-            elif verb == "COMPUTE":
-                if (found := COMPUTE.match(text)) and found[1] in declared:
-                    for source in names(found[2]):
-                        flow(source, found[1], "COMPUTE", line)
-            elif verb == "EXEC" and (found := INTO.search(text)):
-                for target in names(found[1]):
-                    flow("(sql result)", target, "FETCH INTO", line)
-        for r in items:
-            if r.get("redefines"):
-                flow(r["name"], r["redefines"], "REDEFINES overlap", r["line"])
-                flow(r["redefines"], r["name"], "REDEFINES overlap", r["line"])
-
-
-def parse(program: str, source: str, books: dict[str, str]) -> list[dict]:
-    """All rows of a program: copies, options, embedded blocks, items, paragraphs, statements, facts, calls and flows."""
-    p = Parse(program, books)
-    lines: list[Line] = []
-    p.expand(program, normalise(program, source), lines)
-    p.read(lines)
-    p.sql()
-    p.transactions()
-    p.flows()
-    return p.rows
-
-
-def _includes(members: DataFrame) -> DataFrame:
-    """(name, target): copybooks that a member's own text names."""
-    code = F.filter(F.transform(F.split(F.upper("source"), "\r\n|\r|\n"), lambda line: F.struct(F.substring(line, 7, 1).alias("mark"), F.trim(F.substring(line, 8, 65)).alias("text"))), lambda c: ~c["mark"].isin("*", "/", "D"))
-    text = F.array_join(F.transform(code, lambda c: c["text"]), "\n")
-    named = F.concat(F.regexp_extract_all(text, F.lit(r"(?m)^COPY\s+['\"]?([A-Z0-9][A-Z0-9$#@_-]*)"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\bINCLUDE\s+([A-Z0-9][A-Z0-9$#@_-]*)"), F.lit(1)))
-    return members.select("name", F.explode(F.array_distinct(named)).alias("target"))
-
-
-def parsed(programs: DataFrame, books: DataFrame) -> DataFrame:
-    """Rows of SCHEMA for all programs (name, source), with copybooks (name, source) resolved through each other.
-
-    Which books a program reaches is found by joins, in rounds until no new pair appears; each program is then parsed
-    with its own books alone. Null sources give no rows.
-    """
-    inner = cut(_includes(books))
-    reached = frontier = cut(_includes(programs))
-    while True:
-        ahead = frontier.join(inner.select(F.col("name").alias("target"), F.col("target").alias("next")), "target").select("name", F.col("next").alias("target")).distinct()
-        frontier = cut(ahead.join(reached, ["name", "target"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached = cut(reached.union(frontier))
-    texts = reached.join(books.select(F.col("name").alias("target"), F.col("source").alias("book")), "target").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("target", "book"))).alias("books"))
-    rows = programs.filter("source is not null").join(texts, "name", "left").select("name", "source", "books")
-
-    schema = pa.schema([("program", pa.string()), *((f, pa.int32() if f in NUMBERS else pa.string()) for f in FIELDS)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = parse(row["name"], row["source"], dict(row["books"] or ()))
-                yield pa.RecordBatch.from_pylist([{"program": row["name"], **f} for f in found], schema)
-
-    return rows.mapInArrow(run, SCHEMA)
+LINK_WEIGHT = {"CICS_LINK": 1.0, "CICS_XCTL": 0.7}
 
 
 def of(rows: DataFrame, record: str) -> DataFrame:
@@ -432,10 +101,10 @@ def contracts(members: DataFrame, access: DataFrame, edges: DataFrame) -> DataFr
 
 
 def dependence(rows: DataFrame) -> DataFrame:
-    """(program, ordinal, parent, condition, depth): each statement with the statement that governs it, by its place."""
+    """(program, ordinal, parent, condition, depth, paragraph): each statement with the statement that governs it, by its place."""
     s = of(rows, "statement")
     up = s.select("program", F.col("ordinal").alias("parent"), F.col("text").alias("condition"))
-    return s.join(up, ["program", "parent"], "left").select("program", "ordinal", "parent", F.coalesce("condition", F.lit("(unconditional)")).alias("condition"), "depth")
+    return s.join(up, ["program", "parent"], "left").select("program", "ordinal", "parent", F.coalesce("condition", F.lit("(unconditional)")).alias("condition"), "depth", "paragraph")
 
 
 def conditions(rows: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import graph as g
 from ..operators import program as pr
+from ..operators import source
+from ..operators import statements as st
+from ..sources.shared import fingerprint, version, written_once
 from ..sources.tables import table
 from .registry import query
 
@@ -59,9 +63,15 @@ def _books(spark, sf_dir):
     return n.select(F.concat(F.lit("C"), k.cast("string")).alias("name"), F.concat(_line("    05 FLD-", k, " PIC X(", k % 9 + 1, ")."), more).alias("source"))
 
 
+def _parsed(spark, sf_dir, name: str, programs, books):
+    """Rows of programs that are made from tables: a table in the shared folder, made once for each state of the tables and of the code."""
+    tables = [table(spark, sf_dir, t).select(F.lit(0)) for t in ("supplier", "lineitem", "part")]
+    key = f"{name}-{version(st, source, sys.modules[__name__])}-{'-'.join(fingerprint(t)[:8] for t in tables)}"
+    return spark.read.parquet(written_once(spark, key, lambda path: st.parsed(programs(spark, sf_dir), books(spark, sf_dir)).write.parquet(path)))
+
+
 def _rows(spark, sf_dir):
-    """The programs parsed once; what follows reads the checkpoint."""
-    return g.cut(pr.parsed(_programs(spark, sf_dir), _books(spark, sf_dir)))
+    return _parsed(spark, sf_dir, "program-rows", _programs, _books)
 
 
 _M = f"""
@@ -156,11 +166,76 @@ def data_flows(spark, sf_dir):
     return pr.of(_rows(spark, sf_dir), "flow").select("program", F.col("name").alias("source"), "target", F.col("kind").alias("via"))
 
 
+#: Statements of the long programs, by a number from 0 to 10 of each line item.
+_STEPS = (
+    ("IF A = ", "l_quantity"), ("END-IF", None), ("EVALUATE B", "l_quantity"), ("END-EVALUATE", None), ("PERFORM UNTIL C = ", "l_quantity"), ("END-PERFORM", None),
+    ("MOVE 'P{0}' TO W{1}P", None), ("CALL W{2}P", None), ("EXEC SQL DECLARE C{3} CURSOR FOR\n             SELECT A FROM T{4}, U{5} WHERE X = 1 END-EXEC", None), ("EXEC SQL OPEN C{2} END-EXEC", None), ("ELSE", None),
+)
+_STEP = "(l_partkey * 7 + l_linenumber * 3) % 11"
+_PARTS = ("l_partkey % 50", "l_linenumber % 3", "l_partkey % 4", "l_partkey % 3", "l_partkey % 7", "l_partkey % 2")
+
+
+def _long_programs(spark, sf_dir):
+    """(name, source): a program for each supplier, a statement for each of its line items in order, a paragraph for each third order whose first item it has."""
+    text = lambda step, n: "concat('           '" + "".join(f", {x if k % 2 else repr(x)}" for k, x in enumerate(_split(step))) + (f", cast(cast({n} as int) as string)" if n else "") + ")"
+    statement = f"CASE {_STEP} " + " ".join(f"WHEN {k} THEN {text(t, n)}" for k, (t, n) in enumerate(_STEPS)) + " END"
+    head = "CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN concat('       PARA-', l_orderkey, '.', chr(10)) ELSE '' END"
+    rows = table(spark, sf_dir, "lineitem").selectExpr("concat('P', l_suppkey) AS name", "struct(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS at", f"concat({head}, {statement}) AS text")
+    whole = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
+    return whole.select("name", F.concat(F.lit("       PROCEDURE DIVISION.\n"), F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("source"))
+
+
+def _split(step: str) -> list[str]:
+    """A template as its texts and, between them, the expressions that it names."""
+    out = [""]
+    for piece in step.replace("{", "\0").replace("}", "\0").split("\0"):
+        if piece.isdigit() and len(out) % 2:
+            out += [_PARTS[int(piece)], ""]
+        else:
+            out[-1] += piece
+    return out
+
+
+def _long_rows(spark, sf_dir):
+    return _parsed(spark, sf_dir, "long-program-rows", _long_programs, lambda spark, _: spark.createDataFrame([], "name string, source string"))
+
+
+_LONG = f"""
+l AS (SELECT l_suppkey AS k, l_orderkey AS o, l_linenumber AS n, {_STEP} AS t, {', '.join(f'{p} AS p{i}' for i, p in enumerate(_PARTS))}, l_quantity::INT AS q, (l_linenumber = 1 AND l_orderkey % 3 = 0) AS opens, (l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS place FROM lineitem),
+numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY k ORDER BY place) AS para, row_number() OVER (PARTITION BY k ORDER BY place) AS seq, coalesce('PARA-' || last_value(CASE WHEN opens THEN o END IGNORE NULLS) OVER (PARTITION BY k ORDER BY place), '(program)') AS paragraph,
+  CASE WHEN t IN (1, 3, 5) THEN -1 WHEN t IN (0, 2, 4) THEN 1 ELSE 0 END AS step FROM l),
+summed AS (SELECT *, sum(step) OVER (PARTITION BY k, para ORDER BY seq) AS s FROM numbered),
+deep AS (SELECT *, (s - step - least(0, coalesce(min(s) OVER (PARTITION BY k, para ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::INT AS depth FROM summed),
+st AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY seq) - 1)::INT AS ordinal,
+  CASE t WHEN 0 THEN 'IF A = ' || q WHEN 2 THEN 'EVALUATE B' || q WHEN 4 THEN 'PERFORM UNTIL C = ' || q END AS said FROM deep WHERE t NOT IN (1, 3, 5))"""
+
+
 @query(f"""
-WITH {_M} SELECT 'P' || k AS program, ordinal, parent, condition, depth FROM s, (VALUES (0, -1, '(unconditional)', 0), (1, 0, 'IF WS-CNT = 1', 1), (2, 0, 'IF WS-CNT = 1', 1), (3, 2, 'IF WS-TOT = 2', 2)) v(ordinal, parent, condition, depth)""")
+WITH {_LONG} SELECT 'P' || a.k AS program, a.ordinal, coalesce(b.ordinal, -1)::INT AS parent, coalesce(b.said, '(unconditional)') AS condition, a.depth, a.paragraph
+FROM (SELECT *, depth - 1 AS above FROM st) a ASOF LEFT JOIN (SELECT * FROM st WHERE step = 1) b ON a.k = b.k AND a.para = b.para AND a.above = b.depth AND a.seq > b.seq""")
 def statement_dependence(spark, sf_dir):
-    """Which condition governs a statement, of the first four of each program."""
-    return pr.dependence(_rows(spark, sf_dir)).filter("ordinal < 4")
+    """Which statement governs each, over whole programs of scopes of three kinds, closed too often and too rarely."""
+    rows = _long_rows(spark, sf_dir)
+    return pr.dependence(rows)
+
+
+@query(f"""
+WITH {_LONG} SELECT 'P' || c.k AS program, count(*) AS calls, coalesce('P' || m.p0, '(unresolved)') AS target, CASE WHEN m.k IS NULL THEN 'unresolved' ELSE 'resolved' END AS confidence
+FROM (SELECT k, seq, p2 AS item FROM st WHERE t = 7) c ASOF LEFT JOIN (SELECT k, seq, p1 AS item, p0 FROM st WHERE t = 6) m ON c.k = m.k AND c.item = m.item AND c.seq > m.seq GROUP BY ALL""")
+def dynamic_calls(spark, sf_dir):
+    """Programs called by an item: the literal last moved into it before the call. Items are moved into again and again; one never is."""
+    calls = pr.of(_long_rows(spark, sf_dir), "call")
+    return calls.groupBy("program", "target", "confidence").agg(F.count("*").alias("calls"))
+
+
+@query(f"""
+WITH {_LONG}, d AS (SELECT k, seq, p3 AS c, ['T' || p4, 'U' || p5] AS tables FROM st WHERE t = 8),
+u AS (SELECT u.k, d.tables FROM (SELECT k, seq, p2 AS c FROM st WHERE t = 9) u ASOF JOIN d ON u.k = d.k AND u.c = d.c AND u.seq > d.seq)
+SELECT 'P' || k AS program, kind, target, count(*) AS n FROM (SELECT k, 'cursor' AS kind, unnest(tables) AS target FROM d UNION ALL SELECT k, 'open', unnest(tables) FROM u) GROUP BY ALL""")
+def cursor_tables(spark, sf_dir):
+    """Tables that cursors read: where declared, and at each opening those of the declaration last before it; opening an undeclared cursor reads none."""
+    facts = pr.of(_long_rows(spark, sf_dir), "sql")
+    return facts.groupBy("program", "kind", "target").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_M} SELECT 'P' || k AS program, 'WS-CNT' AS item, 'WS-DONE' AS state, '1' AS value FROM s")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -34,6 +35,11 @@ def fingerprint(df: DataFrame) -> str:
     return hashlib.sha256("\n".join(said).encode()).hexdigest()[:24]
 
 
+def version(*modules) -> str:
+    """A hash of the modules' source: tables that their code makes are made anew when it changes."""
+    return hashlib.sha256("".join(inspect.getsource(m) for m in modules).encode()).hexdigest()[:12]
+
+
 def written_once(spark: SparkSession, name: str, build: Callable[[str], None]) -> str:
     """The folder of `name` in the shared folder, built by `build(path)` if it is not there whole.
 
