@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
 from ..sources.tables import small
 
 #: Centroids that are sent to all rows at most.
@@ -76,14 +77,6 @@ def leave_one_out(vectors: DataFrame, key: str = "vec_id", group: str = "label",
     return ranked.groupBy(key, group).agg(F.min_by("g", "r").alias("predicted"), F.min(F.when(F.col(group) == F.col("g"), F.col("r"))).alias("rank"))
 
 
-def pairs(vectors: DataFrame, least: float | None = None, key: str = "vec_id", group: str = "label", vector: str = "embedding") -> DataFrame:
-    """(a, b, group_a, group_b, sim) of all pairs a < b, or those of at least `least`. For sets of stated small size."""
-    a = vectors.select(F.col(key).alias("a"), F.col(group).alias("group_a"), F.col(vector).alias("va"))
-    b = vectors.select(F.col(key).alias("b"), F.col(group).alias("group_b"), F.col(vector).alias("vb"))
-    joined = a.join(b, F.col("a") < F.col("b")).select("a", "b", "group_a", "group_b", dot(F.col("va"), F.col("vb")).alias("sim"))
-    return joined if least is None else joined.filter(F.col("sim") >= least)
-
-
 #: Vectors of a block, about; a tile holds the products of two blocks (8 MB).
 BLOCK = 1024
 
@@ -99,6 +92,12 @@ def tiled(vectors: DataFrame, work: Callable[[Tile], pa.Table], schema: str, key
         F.coalesce(F.expr(asks), F.lit(False)).alias("asks"),
     )
     blocks = max(1, math.ceil(rows.count() / block))
+    if asks != "true":  # blocks of asking rows against blocks of all, no others
+        asking = max(1, math.ceil(rows.filter("asks").count() / block))
+        part = lambda n: F.expr(f"cast(pmod(xxhash64(id, vector), {n}) as int)")
+        left = rows.filter("asks").select(part(asking).alias("i"), F.explode(F.sequence(F.lit(-blocks), F.lit(-1))).alias("j"), F.lit(0).alias("side"), "id", "label", "vector", "asks")
+        right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("i"), (-1 - part(blocks)).alias("j"), F.lit(1).alias("side"), "id", "label", "vector", F.lit(False).alias("asks"))
+        return left.union(right).groupBy("i", "j").applyInArrow(lambda t: work(Tile(t)), schema)
     dealt = rows.withColumn("mine", F.expr(f"cast(pmod(xxhash64(id, vector), {blocks}) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     sides = dealt.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "id", "label", "vector", "asks")
     return sides.groupBy("i", "j").applyInArrow(lambda t: work(Tile(t)), schema)
@@ -155,8 +154,8 @@ def separation(vectors: DataFrame, **of) -> DataFrame:
     return parts.agg(F.min("low_same").alias("low_same"), F.max("high_other").alias("high_other"), mean("same"), mean("other"))
 
 
-def nearest(vectors: DataFrame, k: int, asks: str = "true", other_group: bool = False, **of) -> DataFrame:
-    """(q, group_q, b, sim, r): the k rows of largest product (9 places, ties to the smaller id) with each row that `asks`, of all or of other groups."""
+def best_work(k: int, other_group: bool) -> Callable[[Tile], pa.Table]:
+    """A tile's k best of each asking row, with all that tie at the edge of the k decided by ids."""
 
     def work(t: Tile) -> pa.Table:
         may = t.other if other_group else t.pair
@@ -180,12 +179,17 @@ def nearest(vectors: DataFrame, k: int, asks: str = "true", other_group: bool =
         q, g, b, s = zip(*out) if out else ((), (), (), ())
         return pa.table({"q": pa.array(q, pa.int64()), "group_q": pa.array(g, pa.string()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64())})
 
-    found = tiled(vectors, work, "q long, group_q string, b long, sim double", asks=asks, **of)
+    return work
+
+
+def nearest(vectors: DataFrame, k: int, asks: str = "true", other_group: bool = False, **of) -> DataFrame:
+    """(q, group_q, b, sim, r): the k rows of largest product (9 places, ties to the smaller id) with each row that `asks`, of all or of other groups."""
+    found = tiled(vectors, best_work(k, other_group), "q long, group_q string, b long, sim double", asks=asks, **of)
     return found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "b"))).filter(F.col("r") <= k)
 
 
-def links(vectors: DataFrame, least: float, **of) -> DataFrame:
-    """(a, b): pairs that connect the same rows as all pairs of at least `least` do, fewer than a tile's rows from each tile."""
+def link_work(least: float) -> Callable[[Tile], pa.Table]:
+    """Pairs that connect a tile's rows as all its pairs of at least `least` do."""
 
     def work(t: Tile) -> pa.Table:
         linked = t.pair & (t.sim >= least)
@@ -212,7 +216,12 @@ def links(vectors: DataFrame, least: float, **of) -> DataFrame:
         a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return tiled(vectors, work, "a long, b long", **of)
+    return work
+
+
+def links(vectors: DataFrame, least: float, **of) -> DataFrame:
+    """(a, b): pairs that connect the same rows as all pairs of at least `least` do, fewer than a tile's rows from each tile."""
+    return tiled(vectors, link_work(least), "a long, b long", **of)
 
 
 def boundary(vectors: DataFrame, least: float, top: int = 3, above: int = 3, below: int = 4, **of) -> DataFrame:
@@ -304,3 +313,121 @@ def supervised_leave_one_out(vectors: DataFrame, key: str = "vec_id", group: str
 
     found = dealt.groupBy("fold").applyInArrow(one, "id long, g string, predicted string")
     return found.select(F.col("id").alias(key), F.col("g").alias(group), "predicted")
+
+
+#: Pivots at most, and what a distance may be off by.
+PIVOTS, SLACK = 256, 1e-6
+
+
+def distances(batch: pa.RecordBatch, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The batch's vectors, and how far each is from each pivot."""
+    x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, pivots.shape[1])
+    return x, np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(axis=2))
+
+
+def nearest_pivot(pivots: np.ndarray):
+    """Rows with the cell of their nearest pivot, their distance from it and their norm."""
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, len(whole), BLOCK):
+                batch = whole.slice(first, BLOCK)
+                x, away = distances(batch, pivots)
+                cell = away.argmin(axis=1)
+                more = [pa.array(cell, pa.int32()), pa.array(away[np.arange(len(batch)), cell]), pa.array(np.sqrt((x**2).sum(axis=1)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=["id", "label", "vector", "cell", "away", "norm"])
+
+    return run
+
+
+class Cells:
+    """Rows dealt to the cells of pivots, for exact searches by the triangle inequality.
+
+    A row belongs to its nearest pivot. A row and a cell can only hold a pair within distance r if the row is no farther than r plus
+    the cell's radius from its pivot, and no farther than r beyond the plane between both pivots. Pivots are bounded in number
+    and are all that is sent to tasks, with a radius of each.
+    """
+
+    def __init__(self, vectors: DataFrame, key: str = "vec_id", group: str = "label", vector: str = "embedding"):
+        rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(group).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+        n = rows.count()
+        chosen = rows.filter("size(vector) > 0").orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, 2 * math.isqrt(n)))).collect()  # at most PIVOTS rows
+        width = len(chosen[0].vector) if chosen else 0
+        sound = (F.size("vector") == width) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)) if width else F.lit(False)
+        #: Whether every row is a finite vector of one length; else nothing can be pruned.
+        self.sound = bool(width) and rows.filter(~F.coalesce(sound, F.lit(False))).isEmpty()
+        if not self.sound:
+            return
+        self.pivots = np.unique(np.array([r.vector for r in chosen]), axis=0)
+        self.rows = stored(rows.mapInArrow(nearest_pivot(self.pivots), "id long, label string, vector array<double>, cell int, away double, norm double"))
+        sizes = {r.cell: r for r in self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("norm").alias("norm")).collect()}  # at most PIVOTS rows
+        each = lambda f, none: np.array([getattr(sizes[c], f) if c in sizes else none for c in range(len(self.pivots))])
+        self.size, self.radius, self.norm = each("n", 0), each("radius", 0.0), each("norm", 0.0)
+
+    def visitors(self, rows: DataFrame, later: bool) -> DataFrame:
+        """`rows` (with `least`, the smallest product that still matters) once for each other cell that can hold such a product, as (to, ..); with `later` for cells of larger numbers alone."""
+        pivots, radius, norms, held = self.pivots, self.radius, self.norm, self.size > 0
+        between = np.sqrt(((pivots[:, None, :] - pivots[None]) ** 2).sum(axis=2))
+
+        def run(batches):
+            for whole in batches:
+                for first in range(0, len(whole), BLOCK):
+                    batch = whole.slice(first, BLOCK)
+                    _, away = distances(batch, pivots)
+                    own, norm, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "norm", "least"))
+                    # x.y >= least bounds the distance by norms
+                    r = np.sqrt(np.maximum(norm[:, None] ** 2 + norms[None] ** 2 - 2 * least[:, None], 0.0)) + SLACK
+                    own_away = away[np.arange(len(batch)), own]
+                    gap = np.maximum(between[own], 1e-300)
+                    may = (away <= r + radius[None]) & ((away**2 - own_away[:, None] ** 2) / (2 * gap) <= r) & held[None]
+                    may &= np.arange(len(pivots))[None] > own[:, None] if later else np.arange(len(pivots))[None] != own[:, None]
+                    at, to = np.nonzero(may)
+                    out = batch.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *(out.column(c) for c in ("id", "label", "vector"))], names=["to", "id", "label", "vector"])
+
+        return rows.select("id", "label", "vector", "cell", "norm", F.col("least").cast("double").alias("least")).mapInArrow(run, "to int, id long, label string, vector array<double>")
+
+    def tiles(self, work: Callable[[Tile], pa.Table], schema: str, visitors: DataFrame | None = None, inner: bool = True, visitors_ask: bool = False, block: int = BLOCK) -> DataFrame:
+        """`work` on tiles of each cell: blocks of its own rows against each other (`inner`), and against its visitors' blocks."""
+        own = self.rows.select(F.col("cell").alias("to"), "id", "label", "vector")
+        counts = own.groupBy("to").agg(F.ceil(F.count("*") / block).cast("int").alias("b"))
+        came = visitors.groupBy("to").agg(F.ceil(F.count("*") / block).cast("int").alias("v")) if visitors is not None else counts.select("to", F.lit(0).alias("v"))
+        sizes = F.broadcast(counts.join(came, "to", "left").select("to", "b", F.coalesce("v", F.lit(0)).alias("v")))  # at most PIVOTS rows
+        place = lambda n: F.expr(f"cast(pmod(xxhash64(id, vector), {n}) as int)")
+        mine = own.join(sizes, "to").withColumn("m", place("b"))
+        parts = []
+        if inner:
+            met = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+            parts.append(met.select("to", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), F.when(F.col("m") > F.col("o"), 1).otherwise(0).alias("side"), "id", "label", "vector", F.lit(True).alias("asks")))
+        if visitors is not None:
+            hosts = mine.filter("v > 0").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("v") - 1)))
+            parts.append(hosts.select("to", F.col("m").alias("i"), (F.col("b") + F.col("o")).alias("j"), F.lit(0).alias("side"), "id", "label", "vector", F.lit(not visitors_ask).alias("asks")))
+            guests = visitors.join(sizes, "to").withColumn("m", place("v")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+            parts.append(guests.select("to", F.col("o").alias("i"), (F.col("b") + F.col("m")).alias("j"), F.lit(1).alias("side"), "id", "label", "vector", F.lit(True).alias("asks")))
+        sides = parts[0]
+        for p in parts[1:]:
+            sides = sides.union(p)
+        return sides.groupBy("to", "i", "j").applyInArrow(lambda t: work(Tile(t)), schema)
+
+
+def linked(vectors: DataFrame, least: float, **of) -> DataFrame:
+    """(a, b) as `links` gives it, by cells: only rows within reach of the threshold of each other meet."""
+    cells = Cells(vectors, **of)
+    if not cells.sound:
+        return links(vectors, least, **of)
+    guests = cells.visitors(cells.rows.withColumn("least", F.lit(least)), later=True)
+    return cells.tiles(link_work(least), "a long, b long", visitors=stored(guests))
+
+
+def nearest_by_cells(vectors: DataFrame, k: int, **of) -> DataFrame:
+    """(q, group_q, b, sim, r) as `nearest` gives it for all rows, by cells: a row's k best in its own cell say which other cells can hold a better one."""
+    cells = Cells(vectors, **of)
+    if not cells.sound:
+        return nearest(vectors, k, **of)
+    schema, best = "q long, group_q string, b long, sim double", Window.partitionBy("q").orderBy(F.desc("sim"), "b")
+    ranked = lambda found: found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
+    home = stored(ranked(cells.tiles(best_work(k, False), schema)).drop("r"))
+    floor = home.groupBy(F.col("q").alias("id")).agg(F.when(F.count("*") >= k, F.min("sim")).alias("least"))
+    asking = cells.rows.join(floor, "id", "left").withColumn("least", F.coalesce(F.col("least") - SLACK, F.lit(-1e300)))
+    guests = stored(cells.visitors(asking, later=False))
+    return ranked(home.unionByName(cells.tiles(best_work(k, False), schema, visitors=guests, inner=False, visitors_ask=True)).distinct())

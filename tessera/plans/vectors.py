@@ -75,7 +75,7 @@ SELECT count(*) AS n, round(avg((ga = g)::INT), 6) AS hit_rate FROM n""")
 def neighbour_hit_rate(spark, sf_dir):
     """The share of rows whose nearest row has their own label."""
     e = table(spark, sf_dir, "embeddings")
-    best = vec.nearest(e, 1).join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("group_b")), "b")
+    best = vec.nearest_by_cells(e, 1).join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("group_b")), "b")
     return best.agg(F.count("*").alias("n"), F.round(F.avg((F.col("group_q") == F.col("group_b").cast("string")).cast("int")), 6).alias("hit_rate"))
 
 
@@ -85,7 +85,7 @@ c AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT e.b, c.r FRO
 SELECT id, min(r) AS label FROM c GROUP BY id""")
 def threshold_clusters(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return connected(spark, vec.links(e, 0.6), e.select(F.col("vec_id").alias("id")).filter("id is not null").distinct())
+    return connected(spark, vec.linked(e, 0.6), e.select(F.col("vec_id").alias("id")).filter("id is not null").distinct())
 
 
 @query(f"""
