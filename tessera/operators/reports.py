@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import small
+from .medians import medians
+
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1400) -> DataFrame:
     """(id, chunk, body): a text in pieces of at most `size` characters; an empty text has none."""
@@ -20,8 +23,9 @@ def trace_verdict(known: Column, given: Column, used: Column, right: Column) ->
 
 
 def ingest_scores(rows: DataFrame, slots: DataFrame, top: int = 5, note: int = 400) -> DataFrame:
-    """Rows (slot, score, note) of known slots, scores held to 1 to `top`, notes cut."""
-    return rows.join(F.broadcast(slots), "slot", "left_semi").select("slot", F.greatest(F.lit(1), F.least(F.lit(top), "score")).alias("score"), F.left("note", F.lit(note)).alias("note"))
+    """Rows (slot, score, note) of known slots, scores held to 1 to `top`, notes cut; where no slots are given all are known."""
+    known = rows if slots.isEmpty() else rows.join(small(slots), "slot", "left_semi")
+    return known.select("slot", F.greatest(F.lit(1), F.least(F.lit(top), "score")).alias("score"), F.left("note", F.lit(note)).alias("note"))
 
 
 def ranking(entries: DataFrame, slots: DataFrame) -> DataFrame:
@@ -80,7 +84,8 @@ def grade(score: Column) -> Column:
 
 def tier_curve(runs: DataFrame) -> DataFrame:
     """(tier, median, low, high, run): of runs (tier, run, score), cut-off median and the first run that has it (null if none)."""
-    m = runs.groupBy("tier").agg(F.floor(F.percentile("score", F.lit(0.5))).cast("int").alias("median"), F.min("score").alias("low"), F.max("score").alias("high"))
+    kind = runs.schema["score"].dataType
+    m = medians(runs, "tier", "score").select("tier", F.floor("median").cast("int").alias("median"), F.col("low").cast(kind).alias("low"), F.col("high").cast(kind).alias("high"))
     hit = runs.join(m.select("tier", "median"), "tier").filter("score = median").groupBy("tier").agg(F.min("run").alias("run"))
     return m.join(hit, "tier", "left")
 

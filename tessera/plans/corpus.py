@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import scoring as sc
+from ..operators.medians import medians
 from ..sources.tables import hash_id, spread, table
 from .registry import query
 
@@ -109,7 +110,8 @@ WITH m AS (SELECT source, floor(quantile_cont({_SCORE}, 0.5))::INT AS median_sco
 SELECT source, median_score, low, high FROM m""")
 def int_median_by_group(spark, sf_dir):
     score, _, _ = sc.criteria(F.col("text"), CRITERIA)
-    return table(spark, sf_dir, "documents").select("source", score.alias("score")).groupBy("source").agg(sc.truncated_median(F.col("score")).alias("median_score"), F.min("score").alias("low"), F.max("score").alias("high"))
+    m = medians(spread(table(spark, sf_dir, "documents").select("source", "text")).select("source", score.alias("score")), "source", "score")
+    return m.select("source", F.floor("median").cast("int").alias("median_score"), F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"))
 
 
 @query(f"""
@@ -118,7 +120,7 @@ SELECT max(s) AS best_score, min(s) AS worst_score, max(s) - min(s) AS drop_, (S
 def criteria_degradation(spark, sf_dir):
     """Best and worst tier by median score, and the last tier that holds 80 percent of the best."""
     score, _, _ = sc.criteria(F.col("text"), CRITERIA)
-    m = table(spark, sf_dir, "documents").select("source", score.alias("score")).groupBy("source").agg(sc.truncated_median(F.col("score")).alias("s"))
+    m = medians(spread(table(spark, sf_dir, "documents").select("source", "text")).select("source", score.alias("score")), "source", "score").select("source", F.floor("median").cast("int").alias("s"))
     best = m.agg(F.max("s").alias("best_score"), F.min("s").alias("worst_score"))
     floor_tier = m.crossJoin(F.broadcast(best)).filter("s >= 0.8 * best_score").agg(F.max("source").alias("floor_tier"))  # one row
     return best.crossJoin(floor_tier).select("best_score", "worst_score", (F.col("best_score") - F.col("worst_score")).alias("drop_"), "floor_tier")
@@ -224,7 +226,10 @@ def questions_asked(spark, sf_dir):
 
 @query("SELECT role, count(*) AS turns, quantile_cont(length(text), 0.5) AS median_chars, sum(ceil(length(text) / 4.0))::BIGINT AS tokens FROM conversations GROUP BY role")
 def turn_length_median(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.percentile(F.length("text"), F.lit(0.5)).alias("median_chars"), F.sum(tx.estimated_tokens(F.col("text"))).cast("long").alias("tokens"))
+    turns = table(spark, sf_dir, "conversations").select("role", F.length("text").alias("chars"), tx.estimated_tokens(F.col("text")).alias("t"))
+    sums = turns.groupBy(F.col("role").alias("of")).agg(F.count("*").alias("turns"), F.sum("t").cast("long").alias("tokens"))
+    middle = medians(turns, "role", "chars")
+    return sums.join(middle, F.col("of").eqNullSafe(F.col("role")), "left").select(F.col("of").alias("role"), "turns", F.col("median").alias("median_chars"), "tokens")
 
 
 @query("SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_ FROM conversations")
