@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as m
 from ..operators.trading import fifo
 from ..sources.tables import exposition, table, upsert
-from ..streaming.jobs import counted_by_type, event_trades, fifo_stream, ledger_balances, run_once
+from ..streaming.jobs import arriving, counted_by_type, event_trades, fifo_stream, ledger_balances, run_once
 from .registry import query
 
 _B = ", ".join(f"({float(b)})" for b in m.BOUNDS)
@@ -79,3 +79,29 @@ def stream_fifo(spark, sf_dir):
 def batch_fifo(spark, sf_dir):
     """The batch form on the same trades."""
     return fifo(event_trades(table(spark, sf_dir, "events")))
+
+
+#: Events arrive in three batches by the day of the month, every seventh a batch late.
+_ARRIVES = """
+b AS (SELECT event_id, event_type, ts::TIMESTAMP AS ts, least(2, (day(ts) - 1) // 10 + (event_id % 7 = 0)::INT) AS b FROM events WHERE ts IS NOT NULL),
+m AS (SELECT x.b, max(y.ts) - INTERVAL 1 HOUR AS watermark FROM (SELECT DISTINCT b FROM b) x LEFT JOIN b y ON y.b < x.b GROUP BY x.b),
+d AS (SELECT b.*, watermark, watermark IS NOT NULL AND date_trunc('day', ts) + INTERVAL 1 DAY <= watermark AS late FROM b JOIN m USING (b))"""
+
+
+def _arrived(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("ts is not null").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    batch = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10) + (F.col("event_id") % 7 == 0).cast("int"))
+    return arriving(spark, e, batch, 3)
+
+
+@query(f"WITH {_ARRIVES} SELECT date_trunc('day', ts)::DATE AS day, event_type, count(*) AS n FROM d WHERE NOT late GROUP BY ALL")
+def windowed_on_time(spark, sf_dir):
+    """Daily counts of a stream in three batches: what came before the watermark had passed its day."""
+    return _arrived(spark, sf_dir).counts().select(F.to_date("start").alias("day"), "event_type", "n")
+
+
+@query(f"WITH {_ARRIVES} SELECT event_id, event_type, b::INT AS batch, date_diff('second', ts, watermark) AS behind FROM d WHERE late")
+def windowed_late(spark, sf_dir):
+    """The rows that came too late, with how far they were behind the watermark of their batch."""
+    late = _arrived(spark, sf_dir).late_rows()
+    return late.select("event_id", "event_type", F.col("epoch").alias("batch"), (F.unix_seconds("watermark") - F.unix_seconds("ts")).alias("behind"))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,9 +14,52 @@ def counted_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tumbling counts with a watermark, for append sinks."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+class Windows:
+    """Tumbling counts by event type with a watermark, and the rows later than it in a sink of their own.
+
+    The watermark of a batch is the latest time of all batches before it less `late`; a row whose window ended by then is late, any other
+    adds to its window. Each batch writes its counts, its late rows and its latest time under its own number, the time last, and reads
+    only the times of smaller numbers: a batch that is repeated after a failure finds the same watermark and
+    replaces what it wrote.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, width: str = "1 day", late: str = "1 hour"):
+        self.spark, self.root, self.width, self.late = spark, root, width, late
+
+    def batch(self, rows: DataFrame, epoch: int) -> None:
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.root}/{name}/epoch={epoch}")
+        seen = self._read("times", "at timestamp").filter(F.col("epoch") < epoch).agg(F.max("at").alias("at")).first().at if epoch else None
+        mark = F.lit(seen).cast("timestamp") - F.expr(f"interval {self.late}")
+        dealt = rows.withColumn("w", F.window(F.col("ts").cast("timestamp"), self.width))
+        on_time = mark.isNull() | (F.col("w.end") > mark)
+        put(dealt.filter(on_time).groupBy(F.col("w.start").alias("start"), "event_type").agg(F.count("*").alias("n")), "counts")
+        put(dealt.filter(~on_time).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), mark.alias("watermark")), "late")
+        put(rows.agg(F.max(F.col("ts").cast("timestamp")).alias("at")), "times")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, epoch int").option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
+
+    def counts(self) -> DataFrame:
+        """(start, event_type, n) of all batches together."""
+        return self._read("counts", "start timestamp, event_type string, n long").groupBy("start", "event_type").agg(F.sum("n").alias("n"))
+
+    def late_rows(self) -> DataFrame:
+        return self._read("late", "event_id long, event_type string, ts timestamp, watermark timestamp")
+
+    def drain(self, stream: DataFrame, batch: Callable[[DataFrame, int], None] | None = None) -> None:
+        """Take what has arrived on `stream` as one batch; what was taken before is known by the checkpoint under the same root."""
+        task = stream.writeStream.option("checkpointLocation", f"{self.root}/state").foreachBatch(batch or self.batch).trigger(availableNow=True).start()
+        task.awaitTermination()
+
+
+def arriving(spark: SparkSession, rows: DataFrame, batch: Column, batches: int) -> Windows:
+    """Rows that arrive in batches by number, each drained by a query that starts anew from the checkpoint."""
+    root = f"{checkpoint_root(spark)}/windows-{uuid.uuid4().hex}"
+    windows = Windows(spark, root)
+    for k in range(batches):
+        rows.filter(batch == k).write.mode("append").parquet(f"{root}/in")
+        windows.drain(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
+    return windows
 
 
 def ledger_balances(events: DataFrame) -> DataFrame:

@@ -43,3 +43,35 @@ def test_run_once_keeps_all_batches(spark, tmp_path):
     assert stream == batch and stream
     totals, want = (sorted(map(tuple, QUERIES["stream_ledger"](spark, d).collect())) for d in (str(tmp_path), SF))
     assert totals == want and totals
+
+
+def test_a_batch_that_dies_is_repeated(spark, tmp_path):
+    """A batch fails after its counts are written, before its late rows are; the restarted query gives the rows of one that never failed."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tessera.streaming.jobs import Windows, arriving
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2], f"2024-01-{1 + i % 20:02d} 10:00:00") for i in range(200)], "event_id long, event_type string, at string").select("event_id", "event_type", F.to_timestamp("at").alias("ts"))
+    batch = F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    calm = arriving(spark, rows, batch, 2)
+    shaken = Windows(spark, str(tmp_path / "shaken"))
+    source = str(tmp_path / "in")
+
+    def dies(df, epoch):
+        if epoch == 1 and not (tmp_path / "died").exists():
+            (tmp_path / "died").touch()
+            df.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{shaken.root}/counts/epoch=1")
+            raise RuntimeError("lost")
+        shaken.batch(df, epoch)
+
+    for k in range(2):
+        rows.filter(batch == k).write.mode("append").parquet(source)
+        stream = lambda: spark.readStream.schema(rows.schema).parquet(source)
+        if k:
+            with pytest.raises(Exception, match="lost"):
+                shaken.drain(stream(), dies)
+        shaken.drain(stream(), dies)
+    for rows_of in (Windows.counts, Windows.late_rows):
+        a, b = (sorted(map(tuple, rows_of(w).collect())) for w in (calm, shaken))
+        assert a == b and a
