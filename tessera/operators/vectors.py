@@ -280,39 +280,82 @@ def structural_classes(programs: DataFrame, calls: DataFrame, domains: DataFrame
     return placed.withColumn("how", F.lit("component")).union(rest.select("name", "domain", F.lit("callers"))).union(given.withColumn("how", F.lit("given")))
 
 
-def supervised_leave_one_out(vectors: DataFrame, key: str = "vec_id", group: str = "label", vector: str = "embedding", folds: int | None = None, rounds: int = 200, penalty: float = 1e-3) -> DataFrame:
-    """(key, group, predicted): each row's class by a regression on principal components that is fitted without it.
+#: Components of a vector and classes that the sums of a regression are held for.
+MOST_COMPONENTS, MOST_CLASSES = 2048, 10_000
 
-    With `folds` rows are left out by that many hashes of their key at a time; without, one at a time, for tables of a
-    few thousand rows, as every fit reads all of them. The components number twice the classes, 2 to 16. Each fit is
-    one task with its own copy of the rows: multinomial, by gradient steps of fixed length on standardised components.
+
+def class_sums(width: int):
+    """A row for each class of a task: its rows, their sum, and the sum of their outer products."""
+
+    def run(batches):
+        sums: dict[str, list] = {}
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            coded = batch.column("g").dictionary_encode()
+            for c, name in enumerate(coded.dictionary.to_pylist()):
+                mine = x[coded.indices.to_numpy() == c]
+                old = sums.get(name, (0, 0.0, 0.0))
+                sums[name] = (old[0] + len(mine), old[1] + mine.sum(axis=0), old[2] + mine.T @ mine)
+        if sums:
+            yield packed_sums(sums)
+
+    return run
+
+
+def packed_sums(sums: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.string()), pa.array([n for n, _, _ in sums.values()], pa.int64()), pa.array([s.tobytes() for _, s, _ in sums.values()], pa.binary()), pa.array([o.tobytes() for _, _, o in sums.values()], pa.binary())],
+        names=["g", "n", "total", "outer"],
+    )
+
+
+def added_sums(t: pa.Table) -> pa.Table:
+    add = lambda c: sum(np.frombuffer(x) for x in t.column(c).to_pylist())
+    return pa.Table.from_batches([packed_sums({t.column("g")[0].as_py(): (sum(t.column("n").to_pylist()), add("total"), add("outer"))})])
+
+
+def supervised_leave_one_out(vectors: DataFrame, key: str = "vec_id", group: str = "label", vector: str = "embedding", penalty: float = 1e-3) -> DataFrame:
+    """(key, group, predicted): each row's class by a ridge regression on class indicators that is fitted without it.
+
+    One pass sums the outer products; what a row's own fit lacks is a change of rank one, so every row is predicted from
+    the whole's inverse by Sherman and Morrison's formula and no row meets another. The penalty is a share of the
+    scatter's mean diagonal. Ties go to the first class by name. Rows without a key, a class or a finite vector of the first row's
+    length take no part. With one row there is no prediction. The sums, bounded by MOST_COMPONENTS and MOST_CLASSES, are what tasks get.
     """
     rows = vectors.filter(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(group).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    fold = F.col("id") if folds is None else F.pmod(F.xxhash64("id"), F.lit(folds))
-    out = rows.select(fold.alias("fold")).distinct()
-    dealt = out.crossJoin(rows).withColumn("held", fold == F.col("fold"))
-
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        held = t.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        x = np.array(t.column("v").to_pylist(), np.float64)
-        names, y = np.unique(np.array(t.column("g").to_pylist()), return_inverse=True)
-        mean = x[~held].mean(axis=0)
-        _, _, axes = np.linalg.svd(x[~held] - mean, full_matrices=False)
-        z = (x - mean) @ axes[: max(2, min(16, 2 * len(np.unique(y[~held]))))].T
-        z /= np.maximum(z[~held].std(axis=0), 1e-12)
-        z = np.hstack([z, np.ones((len(z), 1))])
-        w, target = np.zeros((z.shape[1], len(names))), np.eye(len(names))[y[~held]]
-        for _ in range(rounds):
-            s = z[~held] @ w
-            p = np.exp(s - s.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            w += 1.0 * (z[~held].T @ (target - p) / len(target) - penalty * w)
-        best = (z[held] @ w).argmax(axis=1)
-        return pa.table({"id": t.column("id").to_numpy()[held], "g": pa.array(np.array(t.column("g").to_pylist(), object)[held], pa.string()), "predicted": pa.array(names[best].astype(object), pa.string())})
-
-    found = dealt.groupBy("fold").applyInArrow(one, "id long, g string, predicted string")
-    return found.select(F.col("id").alias(key), F.col("g").alias(group), "predicted")
+    first = rows.filter("size(v) > 0").orderBy("id").select(F.size("v").alias("n")).first()
+    schema = "id long, g string, predicted string"
+    if first is None:
+        return rows.limit(0).select(F.col("id").alias(key), F.col("g").alias(group), F.lit(None).cast("string").alias("predicted"))
+    width = first.n
+    rows = rows.filter((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)))
+    if width > MOST_COMPONENTS or rows.select("g").distinct().limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_COMPONENTS} components or {MOST_CLASSES} classes")
+    kind = "g string, n long, total binary, outer binary"
+    found = rows.mapInArrow(class_sums(width), kind).groupBy("g").applyInArrow(added_sums, kind)
+    total = found.select("g", "n", "total").orderBy("g").collect()  # a row a class
+    whole = found.select(F.lit("all").alias("g"), "n", "total", "outer").groupBy("g").applyInArrow(added_sums, kind).first()
+    names, sizes = np.array([r.g for r in total], object), np.array([r.n for r in total], float)
+    n, mean = whole.n, np.frombuffer(whole.total) / whole.n
+    scatter = np.frombuffer(whole.outer).reshape(width, width) - n * np.outer(mean, mean)
+    inverse = np.linalg.inv(scatter + penalty * max(float(np.trace(scatter)) / width, 1e-12) * np.eye(width))
+    apart = np.stack([np.frombuffer(r.total) - r.n * mean for r in total])
+
+    def run(batches):
+        for batch in batches:
+            z = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width) - mean
+            own = names[None] == np.array(batch.column("g").to_pylist(), object)[:, None]
+            left = sizes[None] - own
+            u = z @ inverse
+            h = np.einsum("ij,ij->i", u, z)[:, None]
+            a = n / (n - 1) if n > 1 else 1.0
+            lift = a / np.maximum(1 - a * h, 1e-12)
+            score = left / max(n - 1, 1) + lift * (u @ apart.T - own * h + left * h / max(n - 1, 1))
+            score[left == 0] = -np.inf  # a class of this row alone is not there without it
+            best = [names[i] if n > 1 else None for i in np.round(score, 12).argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("g"), pa.array(best, pa.string())], names=["id", "g", "predicted"])
+
+    return rows.mapInArrow(run, schema).select(F.col("id").alias(key), F.col("g").alias(group), "predicted")
 
 
 #: Pivots at most, and what a distance may be off by.
