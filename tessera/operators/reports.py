@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
 from ..sources.tables import small
 from .medians import medians
 
@@ -90,6 +91,22 @@ def tier_curve(runs: DataFrame) -> DataFrame:
     return m.join(hit, "tier", "left")
 
 
+def degradation(tiers: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: the tiers of the best and the worst median score, the drop, the criteria that the best one's median run met and the worst one's did not, and the last tier that keeps 80 percent of the best.
+
+    Tiers are (tier, index), runs (tier, run, status, score, met). Only tiers with a completed run count, and only such runs; with fewer than
+    two tiers there is no row. Of equal medians the first tier by index is best or worst; a median that no run has met no criteria.
+    """
+    done = runs.filter("status = 'completed'")
+    curve = stored(tier_curve(done).join(tiers, "tier").select("tier", "index", "median", "run"))
+    met = curve.join(done.select("tier", "run", "met"), ["tier", "run"], "left")
+    each = F.struct("tier", "median", F.coalesce("met", F.array().cast("array<string>")).alias("met"))
+    ends = met.agg(F.max_by(each, F.struct("median", -F.col("index"))).alias("best"), F.min_by(each, F.struct("median", "index")).alias("worst"), F.countDistinct("tier").alias("n")).filter("n >= 2")
+    floor = curve.crossJoin(F.broadcast(ends.select(F.col("best.median").alias("top")))).filter(F.col("median") >= 0.8 * F.col("top")).agg(F.max_by("tier", "index").alias("floor_tier"))  # one row
+    lost = F.array_sort(F.array_except("best.met", "worst.met"))
+    return ends.crossJoin(floor).select(F.col("best.tier").alias("best"), F.col("worst.tier").alias("worst"), (F.col("best.median") - F.col("worst.median")).alias("drop_"), lost.alias("lost"), "floor_tier")
+
+
 def members(rows: DataFrame, group: str, member: str, separator: str = ", ") -> DataFrame:
     """(group, members, n): distinct members in order, joined."""
     return rows.select(group, member).distinct().groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(member)), separator).alias("members"), F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..operators import reports as rep
 from ..operators import scoring as sc
 from ..operators.medians import medians
 from ..sources.tables import hash_id, spread, table
@@ -126,6 +127,25 @@ def criteria_degradation(spark, sf_dir):
     return best.crossJoin(floor_tier).select("best_score", "worst_score", (F.col("best_score") - F.col("worst_score")).alias("drop_"), "floor_tier")
 
 
+_MET_NAMES = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{x}{chr(39)})' for x in signals)} THEN '{name}' END" for name, signals in CRITERIA.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""
+WITH r AS (SELECT source AS tier, regexp_extract(source, '[0-9]+')::INT AS i, doc_id AS run, {_SCORE} AS score, {_MET_NAMES} AS met FROM documents WHERE doc_id % 6 <> 0 AND source IS NOT NULL),
+m AS (SELECT tier, any_value(i) AS i, floor(quantile_cont(score, 0.5))::INT AS median FROM r GROUP BY tier),
+c AS (SELECT m.*, (SELECT min(run) FROM r WHERE r.tier = m.tier AND r.score = m.median) AS run FROM m), w AS (SELECT c.*, coalesce(r.met, []) AS met FROM c LEFT JOIN r ON r.tier = c.tier AND r.run = c.run),
+b AS (SELECT * FROM w ORDER BY median DESC, i LIMIT 1), z AS (SELECT * FROM w ORDER BY median, i LIMIT 1)
+SELECT b.tier AS best, z.tier AS worst, b.median - z.median AS drop_, array_to_string(list_sort(list_filter(b.met, lambda x: NOT list_contains(z.met, x))), ', ') AS lost,
+  (SELECT arg_max(tier, i) FROM w WHERE median >= 0.8 * (SELECT max(median) FROM w)) AS floor_tier FROM b, z""")
+def tier_degradation(spark, sf_dir):
+    """What the worst source costs against the best: points, the criteria lost, and the last source that keeps 80 percent. A document is a run; every sixth did not complete."""
+    score, met, _ = sc.criteria(F.col("text"), CRITERIA)
+    docs = spread(table(spark, sf_dir, "documents").filter("source is not null").select("doc_id", "source", "text"))
+    runs = docs.select(F.col("source").alias("tier"), F.col("doc_id").alias("run"), F.when(F.col("doc_id") % 6 == 0, "failed").otherwise("completed").alias("status"), score.alias("score"), met.alias("met"))
+    tiers = runs.select("tier", F.regexp_extract("tier", "[0-9]+", 0).cast("int").alias("index")).distinct()
+    return rep.degradation(tiers, runs).withColumn("lost", F.array_join("lost", ", "))
+
+
 _KEYS = ("the", "password", "licensed", "der", "une")
 
 

@@ -41,3 +41,15 @@ def test_no_slots_mean_all(spark):
     slots = spark.createDataFrame([("a",)], "slot string")
     assert [(r.slot, r.score, len(r.note)) for r in reports.ingest_scores(rows, slots).collect()] == [("a", 5, 400)]
     assert {r.slot for r in reports.ingest_scores(rows, slots.limit(0)).collect()} == {"a", "b"}
+
+
+def test_degradation(spark):
+    """Lost criteria are those of the median runs; runs that did not complete, and tiers without any that did, do not count."""
+    tiers = spark.createDataFrame([("full", 0), ("half", 1), ("none", 2), ("dead", 3)], "tier string, index int")
+    rows = [
+        ("full", 1, "completed", 90, ["a", "b", "c"]), ("full", 2, "completed", 70, ["a"]), ("full", 3, "completed", 100, ["a", "b", "c", "d"]), ("full", 4, "failed", 0, []),
+        ("half", 5, "completed", 80, ["b", "d"]), ("none", 6, "completed", 20, ["b"]), ("none", 7, "completed", 10, []), ("none", 8, "completed", 40, ["c"]), ("dead", 9, "failed", 100, ["a"]),
+    ]
+    runs = spark.createDataFrame(rows, "tier string, run int, status string, score int, met array<string>")
+    assert [tuple(r) for r in reports.degradation(tiers, runs).collect()] == [("full", "none", 70, ["a", "c"], "half")]
+    assert reports.degradation(tiers, runs.filter("tier in ('full', 'dead')")).count() == 0
