@@ -93,7 +93,7 @@ def _ahead(marks: np.ndarray, k: int) -> np.ndarray:
 def _marked(bitmap: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     if bitmap is None:
         return np.ones(len(keys), bool)
-    slot = keys >> np.uint64(64 - BITS)
+    slot = keys >> np.uint64(65 - (len(bitmap) * 64).bit_length())  # as many leading bits as the bitmap has places for
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
