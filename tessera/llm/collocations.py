@@ -35,7 +35,7 @@ BITS, SLICES = 25, 256
 #: Shares of a language's phrases whose first are found apart.
 SHARES = 64
 #: Text bytes of a block, and distinct phrases that a task holds before it sends them.
-BLOCK, HELD = 1 << 21, 1 << 20
+BLOCK, HELD = 1 << 20, 1 << 18
 UNKNOWN = "und"
 
 #: Fixed: what ends a piece, and what ends a word within one.

@@ -141,3 +141,22 @@ def test_no_phrases(spark, no_docs):
     assert co.collocations(spark.createDataFrame([("a b", "en")], "text string, lang string")).count() == 0
     with pytest.raises(ValueError):
         co.collocations(no_docs, longest=1)
+
+
+def test_a_task_sends_phrases_before_it_holds_many():
+    """Of a million distinct words the first are sent before a third is read: what a task holds does not grow with its share."""
+    import pyarrow as pa
+
+    from tessera.llm import collocations as co
+
+    read = 0
+
+    def batches():
+        nonlocal read
+        for k in range(20):
+            read += 1
+            words = [" ".join(f"w{k}x{i}" for i in range(a, a + 500)) for a in range(0, 50_000, 500)]
+            yield pa.RecordBatch.from_arrays([pa.array(["en"] * len(words)), pa.array(words)], names=["lang", "text"])
+
+    next(iter(co._count(1, 1, 10, None, None)(batches())))
+    assert read <= 7
