@@ -102,10 +102,8 @@ def contracts(members: DataFrame, access: DataFrame, edges: DataFrame) -> DataFr
 
 
 def dependence(rows: DataFrame) -> DataFrame:
-    """(program, ordinal, parent, condition, depth, paragraph): each statement with the statement that governs it, by its place."""
-    s = of(rows, "statement")
-    up = s.select("program", F.col("ordinal").alias("parent"), F.col("text").alias("condition"))
-    return s.join(merged(up), ["program", "parent"], "left").select("program", "ordinal", "parent", F.coalesce("condition", F.lit("(unconditional)")).alias("condition"), "depth", "paragraph")
+    """(program, ordinal, parent, condition, depth, paragraph): each statement with the statement that governs it, which its row names as its target."""
+    return of(rows, "statement").select("program", "ordinal", "parent", F.coalesce("target", F.lit("(unconditional)")).alias("condition"), "depth", "paragraph")
 
 
 def conditions(rows: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def sentences(lines: DataFrame) -> DataFrame:
 
 
 def nested(rows: DataFrame) -> DataFrame:
-    """Statements (program, at, line, origin, verb, text) with ordinal, paragraph, depth and the ordinal of the statement that governs each (-1: none).
+    """Statements (program, at, line, origin, verb, text) with ordinal, paragraph, depth and the ordinal and text of the statement that governs each (parent, condition; -1 and null: none).
 
     Depth is a running sum of scopes opened and closed within a paragraph, never below zero: the sum less its lowest
     value so far where that is negative. The governing statement is the last that opened a scope at the depth above.
@@ -127,10 +127,11 @@ def nested(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("depth", F.coalesce(F.sum("step").over(before(*place)), F.lit(0)) - F.least(F.lit(0), F.coalesce(F.min("sum").over(before(*place)), F.lit(0))))
     rows = rows.filter(~verb.isin(*CLOSERS)).withColumn("ordinal", F.row_number().over(Window.partitionBy("program").orderBy("at")) - 1)
     # a statement asks at the level above its own; one that opens a scope offers itself at its own
-    offer = F.struct(F.col("depth").alias("level"), F.when(F.col("step") == 1, F.col("ordinal")).alias("offer"), F.lit(False).alias("asks"))
-    ask = F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast("int").alias("offer"), F.lit(True).alias("asks"))
+    offer = F.struct(F.col("depth").alias("level"), F.when(F.col("step") == 1, F.struct("ordinal", "text")).alias("offer"), F.lit(False).alias("asks"))
+    ask = F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast("struct<ordinal:int,text:string>").alias("offer"), F.lit(True).alias("asks"))
     both = rows.withColumn("e", F.explode(F.array(offer, ask))).select("*", "e.*").drop("e")
-    return both.withColumn("parent", F.coalesce(latest(F.col("offer"), *place, "level", own=False), F.lit(-1))).filter("asks")
+    governed = both.withColumn("above", latest(F.col("offer"), *place, "level", own=False)).filter("asks")
+    return governed.withColumns({"parent": F.coalesce("above.ordinal", F.lit(-1)), "condition": F.col("above.text")})
 
 
 def cursor_uses(rows: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ def parsed(programs: DataFrame, books: DataFrame) -> DataFrame:
         record(laid, "item", **{f: c(f) for f in ("level", "name", "picture", "usage", "redefines", "occurs", "offset", "section", "line", "origin")}, length=c("bytes"), text=F.array_join("path", " > ")),
         record(items.filter("level = 88"), "item", level=c("level"), name=c("name"), section=c("section"), line=c("line"), origin=c("origin"), text=F.trim(F.regexp_replace("value", "^['\" ]+|['\" ]+$", ""))),
         record(code.filter("opens is not null"), "paragraph", name=c("opens"), line=c("line"), origin=c("origin")),
-        record(statements, "statement", kind=c("verb"), **{f: c(f) for f in ("ordinal", "text", "paragraph", "depth", "parent", "line", "origin")}),
+        record(statements, "statement", kind=c("verb"), target=c("condition"), **{f: c(f) for f in ("ordinal", "text", "paragraph", "depth", "parent", "line", "origin")}),
         record(sql, "sql", kind=c("kind"), target=c("target"), name=c("access"), confidence=c("confidence"), line=c("line")),
         record(cics, "cics", kind=c("kind"), target=c("target"), confidence=c("confidence"), line=c("line")),
         record(calls, "call", kind=c("kind"), target=c("target"), confidence=c("confidence"), line=c("line")),

@@ -53,3 +53,10 @@ def test_views_of_programs_broadcast_no_rows(spark, rows, tmp_path):
 def test_tiles_are_not_broadcast(spark):
     members = stored(spark.range(300).selectExpr("id AS holder", "id % 2 AS item"))
     assert re.search(r"SortMergeJoin \[item#\d+L?, i#", plan(graph.co_membership(members, holders=20)))
+
+
+def test_governing_statements_need_no_join(rows):
+    """A statement's row holds the text of the one that governs it."""
+    found = pr.dependence(rows)
+    assert "Join" not in plan(found)
+    assert {(r.ordinal, r.parent, r.condition) for r in found.filter("program = 'P2'").collect()} >= {(0, -1, "(unconditional)"), (1, 0, "IF WS-A = 1")}
