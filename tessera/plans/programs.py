@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import program as pr
 from ..operators import source
 from ..operators import statements as st
-from ..sources.shared import fingerprint, version, written_once
+from ..sources.shared import fingerprint, sized, version, written_once
 from ..sources.tables import table
 from .registry import query
 
@@ -67,7 +67,12 @@ def _parsed(spark, sf_dir, name: str, programs, books):
     """Rows of programs that are made from tables: a table in the shared folder, made once for each state of the tables and of the code."""
     tables = [table(spark, sf_dir, t).select(F.lit(0)) for t in ("supplier", "lineitem", "part")]
     key = f"{name}-{version(st, source, sys.modules[__name__])}-{'-'.join(fingerprint(t)[:8] for t in tables)}"
-    return spark.read.parquet(written_once(spark, key, lambda path: st.parsed(programs(spark, sf_dir), books(spark, sf_dir)).write.parquet(path)))
+
+    def build(path):
+        own = sized(spark, table(spark, sf_dir, "lineitem").count())
+        st.parsed(programs(own, sf_dir), books(own, sf_dir)).write.parquet(path)
+
+    return spark.read.parquet(written_once(spark, key, build))
 
 
 def _rows(spark, sf_dir):
@@ -180,7 +185,9 @@ def _long_programs(spark, sf_dir):
     text = lambda step, n: "concat('           '" + "".join(f", {x if k % 2 else repr(x)}" for k, x in enumerate(_split(step))) + (f", cast(cast({n} as int) as string)" if n else "") + ")"
     statement = f"CASE {_STEP} " + " ".join(f"WHEN {k} THEN {text(t, n)}" for k, (t, n) in enumerate(_STEPS)) + " END"
     head = "CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN concat('       PARA-', l_orderkey, '.', chr(10)) ELSE '' END"
-    rows = table(spark, sf_dir, "lineitem").selectExpr("concat('P', l_suppkey) AS name", "struct(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS at", f"concat({head}, {statement}) AS text")
+    # numbers are shuffled, texts made where they come together
+    dealt = table(spark, sf_dir, "lineitem").selectExpr("concat('P', l_suppkey) AS name", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").repartition("name")
+    rows = dealt.selectExpr("name", "struct(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS at", f"concat({head}, {statement}) AS text")
     whole = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
     return whole.select("name", F.concat(F.lit("       PROCEDURE DIVISION.\n"), F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("source"))
 

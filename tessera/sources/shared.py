@@ -56,6 +56,21 @@ def written_once(spark: SparkSession, name: str, build: Callable[[str], None]) -
     return path
 
 
+#: Rows of the input for each partition of a shuffle, about, and bytes of a shuffle that partitions may be joined up to.
+PARTITION_ROWS, PARTITION_BYTES = 200_000, "4m"
+
+
+def sized(spark: SparkSession, rows: int) -> SparkSession:
+    """A session like `spark` whose shuffles have partitions in proportion to `rows` of input, and no fewer than its own: what a task sorts does not grow with the input."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.shuffle.partitions", max(rows // PARTITION_ROWS + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", PARTITION_BYTES)
+    return own
+
+
 def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     """`df` written to the shared folder as Parquet and read again: computed once, its lineage cut. The table stays until the folder is cleaned."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

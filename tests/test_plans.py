@@ -8,6 +8,8 @@ from tessera.operators import graph
 from tessera.operators import program as pr
 from tessera.operators import source
 from tessera.operators import statements as st
+from tessera.plans import programs as plans
+from tessera.sources import shared
 from tessera.sources.shared import stored
 
 SOURCE = """       CBL TRUNC(BIN)
@@ -60,3 +62,18 @@ def test_governing_statements_need_no_join(rows):
     found = pr.dependence(rows)
     assert "Join" not in plan(found)
     assert {(r.ordinal, r.parent, r.condition) for r in found.filter("program = 'P2'").collect()} >= {(0, -1, "(unconditional)"), (1, 0, "IF WS-A = 1")}
+
+
+def test_shuffles_of_programs_grow_with_the_input(spark, monkeypatch):
+    """What makes the rows of programs has a partition for every so many line items, and leaves the session as it was."""
+    monkeypatch.setattr(shared, "PARTITION_ROWS", 100)
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+
+    def programs(own, sf_dir):
+        seen.append(int(own.conf.get("spark.sql.shuffle.partitions")))
+        return own.createDataFrame([("P1", SOURCE)], "name string, source string")
+
+    found = plans._parsed(spark, "/root/testdata/sf0.001", "sized-rows", programs, lambda own, _: own.createDataFrame([], "name string, source string"))
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert seen == [n // 100 + 1] and seen[0] > int(before) and found.count() > 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
