@@ -26,6 +26,7 @@ def rows_of(kind):
 @pytest.mark.parametrize("block,step", [(1000, 512), (1000, 7), (40, 16)])
 def test_as_one_by_one(spark, kind, block, step, monkeypatch):
     monkeypatch.setattr(ap, "STEP", step)
+    monkeypatch.setattr(ap, "PIECE_BYTES", 16 * step)
     rows = rows_of(kind)
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
     rows.sort()
