@@ -18,6 +18,9 @@ postings opened, and only in their blocks. Nothing is approximate: whoever goes
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,21 +55,71 @@ def floors(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("r", nth).filter(F.col("r") <= k).filter(F.col("r") == k).select("query", (F.col("score") - SLACK).alias("floor"))
 
 
+def postings_of(block: int, doc: pa.Array, length: np.ndarray, ts: pa.ListArray, mean: float, k1: float, b: float) -> pa.RecordBatch | None:
+    """(term, block, n, most, p) of a block's documents; documents that repeat a doc count as one."""
+    ids, term = doc.dictionary_encode(), ts.flatten().dictionary_encode()
+    if not len(term):
+        return None
+    n = len(ids.dictionary)
+    rank = np.empty(n, np.int64)
+    rank[pa.compute.sort_indices(ids.dictionary).to_numpy()] = np.arange(n)
+    owner = np.repeat(ids.indices.to_numpy(), np.diff(ts.offsets.to_numpy()))
+    found, tf = np.unique(term.indices.to_numpy().astype(np.int64) * n + rank[owner], return_counts=True)
+    code, place = np.divmod(found, n)
+    at = np.argsort(rank)
+    size = np.zeros(n, np.int64)
+    size[rank[ids.indices.to_numpy()]] = length
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[place] / mean))
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    p = pa.StructArray.from_arrays([ids.dictionary.take(pa.array(at[place])), pa.array(part)], names=["doc", "part"])
+    ends = pa.array([*first, len(code)], pa.int32())
+    columns = [term.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), block)), pa.array(np.diff([*first, len(code)])), pa.array(np.maximum.reduceat(part, first)), pa.ListArray.from_arrays(ends, p)]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "most", "p"])
+
+
+def block_postings(mean: float, k1: float, b: float):
+    """Postings of blocks whose rows (block, doc, length, ts) follow each other; a block's rows are all that is held beside a batch."""
+
+    def run(batches):
+        held: list = []
+
+        def done():
+            t = pa.Table.from_batches(held).combine_chunks()
+            one = lambda c: pa.concat_arrays(t.column(c).chunks)
+            return postings_of(t.column("block")[0].as_py(), one("doc"), one("length").to_numpy(), one("ts"), mean, k1, b)
+
+        for batch in batches:
+            number = batch.column("block").to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)] if len(number) else []
+            for start, stop in zip(starts, starts[1:]):
+                if held and held[0].column("block")[0].as_py() != number[start]:
+                    out = done()
+                    if out is not None:
+                        yield out
+                    held = []
+                held.append(batch.slice(start, stop - start))
+        if held:
+            out = done()
+            if out is not None:
+                yield out
+
+    return run
+
+
 def write_index(docs: DataFrame, path: str, k1: float = 1.4, b: float = 0.75) -> None:
-    """Write the index of documents (doc, text) under `path`. Null texts have no terms and count as documents of length 0; rows that repeat a doc are one document each only if their blocks differ, so docs should be unique."""
+    """Write the index of documents (doc, text) under `path`. Null texts have no terms and count as documents of length 0; rows that repeat a doc may become one document, so docs should be unique."""
     spark = docs.sparkSession
-    counted = docs.select("doc", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("ts"))
     # mean length as SQL's average has it: a null text has no length
     docs.agg(F.count("*").alias("n_docs"), F.avg(F.regexp_count("text", F.lit(TERM))).alias("mean_length")).coalesce(1).write.parquet(f"{path}/corpus")
     corpus = spark.read.parquet(f"{path}/corpus").first()
-    ordered = counted.withColumn("length", F.size("ts")).repartitionByRange("length", "doc").sortWithinPartitions("length", "doc")
+    # texts are put in order, which are smaller than their terms
+    measured = docs.select("doc", "text", F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).alias("length"))
+    ordered = measured.repartitionByRange("length", "doc").sortWithinPartitions("length", "doc")
     place = F.monotonically_increasing_id()
     # the partition's number above, the row's place in it below
-    blocks = ordered.select("doc", "length", "ts", (F.shiftright(place, 33) * (1 << 28) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK_DOCS)).cast("long").alias("block"))
-    tokens = blocks.select("block", "doc", "length", F.explode("ts").alias("term"))
-    found = tokens.groupBy("term", "block", "doc", "length").agg(F.count("*").alias("tf"))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(corpus.mean_length or 1.0)))
-    rows = found.withColumn("part", part).groupBy("term", "block").agg(F.count("*").alias("n"), F.max("part").alias("most"), F.sort_array(F.collect_list(F.struct("doc", "part"))).alias("p"))
+    blocks = ordered.select((F.shiftright(place, 33) * (1 << 28) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK_DOCS)).cast("long").alias("block"), "doc", "length", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("ts"))
+    # a block lies in one partition in order, so its postings are made there; they are shuffled once, by term
+    rows = blocks.mapInArrow(block_postings(corpus.mean_length or 1.0, k1, b), f"term string, block long, n long, most double, p array<struct<doc:{docs.schema['doc'].dataType.simpleString()},part:double>>")
     rows = rows.select(_bucket("term").alias("bucket"), "term", "block", "n", "most", "p")
     rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most")).sort("term").write.parquet(f"{path}/terms")
@@ -139,7 +192,7 @@ class Index:
 
 
 #: The layout of the tables, a part of a stored index's name.
-LAYOUT = 3
+LAYOUT = 4
 
 
 def index_of(docs: DataFrame) -> Index:

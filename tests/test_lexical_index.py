@@ -1,5 +1,7 @@
 import random
+import re
 
+import pyarrow as pa
 import pytest
 
 from tessera.operators import lexical_index, retrieval
@@ -69,3 +71,26 @@ def test_a_build_that_dies_leaves_nothing(spark, tmp_path):
     path = written_once(spark, name, lambda p: spark.range(5).write.parquet(f"{p}/whole"))
     assert path == f"{shared_dir(spark)}/{name}" and spark.read.parquet(f"{path}/whole").count() == 5
     assert written_once(spark, name, dies) == path
+
+
+def test_postings_are_made_where_blocks_lie(spark, texts, tmp_path, monkeypatch):
+    """Postings of small blocks, cut over batches, as counted one by one; no count of a term in a document is shuffled."""
+    monkeypatch.setattr(lexical_index, "BLOCK_DOCS", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        docs = spark.read.parquet(texts)
+        path = str(tmp_path / "index")
+        lexical_index.write_index(docs, path)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    words = {r.doc: [w.lower() for w in re.findall("[A-Za-z][A-Za-z0-9_-]+", r.text or "")] for r in docs.collect()}
+    mean = spark.read.parquet(f"{path}/corpus").first().mean_length
+    want = {(w, d): ws.count(w) * 2.4 / (ws.count(w) + 1.4 * (0.25 + 0.75 * len(ws) / mean)) for d, ws in words.items() for w in ws}
+    rows = spark.read.parquet(f"{path}/postings").collect()
+    got = {(r.term, x.doc): x.part for r in rows for x in r.p}
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-12 for k, v in want.items()) and sum(r.n for r in rows) == len(want)
+    assert all(r.n == len(r.p) <= 16 and r.most == max(x.part for x in r.p) and [x.doc for x in r.p] == sorted(x.doc for x in r.p) for r in rows)
+    assert len({(r.term, r.block) for r in rows}) == len(rows)
+    batch = pa.record_batch([pa.array([1, 1, 2]), pa.array([9, 4, 5]), pa.array([2, 1, 0], pa.int32()), pa.array([["a", "a"], ["a"], []])], names=["block", "doc", "length", "ts"])
+    out = pa.Table.from_batches(lexical_index.block_postings(1.0, 1.4, 0.75)([batch])).to_pylist()
+    assert [(r["term"], r["block"], r["n"], [x["doc"] for x in r["p"]]) for r in out] == [("a", 1, 2, [4, 9])]
