@@ -31,6 +31,12 @@ def bm25_topk(spark, sf_dir):
     return index.search(queries, 8).withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
 
 
+def linked_by(places, best, k: int):
+    """(query, doc, score): documents (doc, source, lang) of the sources and languages of `best` (query, source, lang, n). All of one are linked alike, so no more than its first k can be among a query's k."""
+    few = ret.top(places.filter("source is not null and lang is not null").select(F.struct("source", "lang").alias("query"), "doc", F.lit(0.0).alias("score")), k)
+    return few.select("query.source", "query.lang", "doc").join(small(best), ["source", "lang"]).select("query", "doc", F.col("n").cast("double").alias("score"))
+
+
 @query(_BM25 + """, near AS (SELECT * FROM (SELECT q.vec_id AS query, e.vec_id AS doc, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
   FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)) WHERE rank <= 50),
 linked AS (SELECT l.query, o.doc_id AS doc, count(*) AS n FROM lexical l JOIN documents d ON d.doc_id = l.doc JOIN documents o ON o.source = d.source AND o.lang = d.lang WHERE l.rank <= 3 GROUP BY ALL),
@@ -47,5 +53,5 @@ def rrf_fused_topk(spark, sf_dir):
     near = nearest(asks.select("vec_id", "label", "embedding", "asks"), 50, "asks").select(F.col("q").alias("query"), F.col("b").alias("doc"), F.col("r").alias("rank"))
     places = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", "lang")
     best = lexical.filter("rank <= 3").join(places, "doc").groupBy("query", "source", "lang").agg(F.count("*").alias("n"))
-    linked = places.join(small(cut(best)), ["source", "lang"]).select("query", "doc", F.col("n").cast("double").alias("score"))
+    linked = linked_by(places, cut(best), 50)
     return ret.fuse([lexical, near, ret.top(linked, 50)]).withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
