@@ -77,3 +77,31 @@ def test_shuffles_of_programs_grow_with_the_input(spark, monkeypatch):
     n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert seen == [n // 100 + 1] and seen[0] > int(before) and found.count() > 0
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_layouts_ask_for_levels_that_items_have(spark, monkeypatch):
+    """Two of 49 levels are there, so each row is asked for two, not 49; what stands above an item is as before."""
+    said = []
+    monkeypatch.setattr(source, "stored", lambda df: said.append(plan(df)) or stored(df))
+    rows = [("P", k, level, name) for k, (level, name) in enumerate([(1, "R"), (5, "A"), (5, "B"), (77, "C"), (1, "S"), (5, "A")])]
+    items = spark.createDataFrame(rows, "program string, k int, level int, name string").selectExpr("program", "array(k) AS at", "'' AS section", "level", "name", "cast(null AS string) AS redefines", "4 AS bytes")
+    found = source.layout_of(items).orderBy("at").collect()
+    assert len(set(re.findall(r"level#\d+ = (\d+)\)", said[0]))) == 2
+    assert [".".join(r.path) for r in found] == ["R", "R.A", "R.B", "C", "S", "S.A"] and [r.offset for r in found] == [0, 0, 4, 0, 0, 0]
+
+
+def test_lines_are_sorted_once(spark):
+    """Sections are found in the program's order; one of a division before is not taken over."""
+    code = ["       DATA DIVISION.", "       LINKAGE SECTION.", "       01 A PIC X.", "       DATA DIVISION.", "       01 B PIC X."]
+    lines = stored(spark.createDataFrame([("P", [k], "P", k, c[7:]) for k, c in enumerate(code)], "program string, at array<int>, origin string, line int, code string"))
+    found = st.sentences(lines)
+    assert len(re.findall(r"Sort \[program#\d+ ASC NULLS FIRST, (?:at|divided)#", plan(found))) == 1
+    assert [r.section for r in found.orderBy("line").filter("text like '01%'").collect()] == ["LINKAGE", None]
+
+
+def test_texts_of_statements_are_searched_once_for_flows(spark):
+    statements = stored(spark.createDataFrame([("P", 1, "MOVE", "MOVE AAA TO BBB CCC"), ("P", 2, "EXEC", "EXEC SQL SELECT A INTO :BBB FROM T END-EXEC"), ("P", 3, "MOVE", "MOVE DDD TO AAA")], "program string, line int, verb string, text string"))
+    items = stored(spark.createDataFrame([("P", "AAA", None, 1), ("P", "BBB", "AAA", 1), ("Q", "DDD", None, 1)], "program string, name string, redefines string, line int"))
+    found = st.flow_facts(statements, items)
+    assert plan(found).count("Generate explode") == 3  # targets, sources and redefinitions
+    assert {(r.source, r.target, r.via) for r in found.collect()} == {("AAA", "BBB", "MOVE"), ("(sql result)", "BBB", "FETCH INTO"), ("AAA", "BBB", "REDEFINES overlap"), ("BBB", "AAA", "REDEFINES overlap")}
