@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.operators import program as pr
@@ -105,3 +106,9 @@ def test_texts_of_statements_are_searched_once_for_flows(spark):
     found = st.flow_facts(statements, items)
     assert plan(found).count("Generate explode") == 3  # targets, sources and redefinitions
     assert {(r.source, r.target, r.via) for r in found.collect()} == {("AAA", "BBB", "MOVE"), ("(sql result)", "BBB", "FETCH INTO"), ("AAA", "BBB", "REDEFINES overlap"), ("BBB", "AAA", "REDEFINES overlap")}
+
+
+def test_lists_of_many_groups_are_sorted_once(spark):
+    """Hashed aggregates of lists sort nearly all rows again where groups are many; the session that is given keeps its own way."""
+    lists = lambda session: plan(session.range(10).groupBy("id").agg(F.collect_list("id")))
+    assert "ObjectHashAggregate" not in lists(shared.sized(spark, 1)) and "ObjectHashAggregate" in lists(spark)
