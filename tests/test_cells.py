@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import vectors as vec
+from tessera.sources.shared import stored
 
 
 def clustered(rng, n, centres=12, width=16):
@@ -83,3 +85,18 @@ def test_askers_against_all(spark, monkeypatch):
     sim = np.round(np.add.accumulate(x[:, None, :] * x[None], axis=2)[:, :, -1], 9)
     got = {(r.q, r.b, r.r) for r in vec.nearest(table(spark, x), 3, "vec_id % 20 = 0").collect()}
     assert got == {(a, b, k + 1) for a in range(0, 120, 20) for k, b in enumerate(sorted((b for b in range(120) if b != a), key=lambda b: (-sim[a, b], b))[:3])}  # noqa: B023
+
+
+def test_splits_without_rows(spark, monkeypatch):
+    """Files read in splits that hold no row group: the pairs to come are counted as doubles there too."""
+    df = table(spark, clustered(np.random.default_rng(9), 400, centres=60))
+    rows = stored(df.coalesce(1))
+    for key, value in (("spark.sql.files.maxPartitionBytes", "4k"), ("spark.sql.files.openCostInBytes", "0")):
+        spark.conf.set(key, value)
+    try:
+        monkeypatch.setattr(vec, "GAIN", 1)
+        cells = vec.Cells(rows)
+        assert 0 in cells.rows.rdd.glom().map(len).collect() and cells.pays(cells.rows.withColumn("least", F.lit(0.9)), later=True)
+    finally:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(key)
